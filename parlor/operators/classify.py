@@ -8,19 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor import defaults as D
 from parlor.functions import rules as R, scoring as S, text as T
-from parlor.operators.vectors import class_scores
-
-SCORES_TYPE = "array<struct<score:double,ordinal:int,class:string>>"
-
-
-def ranked(scores: Column) -> Column:
-    """Scores in descending order, ties in taxonomy order."""
-    keyed = F.transform(scores, lambda s: F.struct((-s["score"]).alias("k"), s["ordinal"].alias("ordinal"), s["class"].alias("class")))
-    return F.transform(
-        F.array_sort(keyed),
-        lambda s: F.struct((-s["k"]).alias("score"), s["ordinal"].alias("ordinal"), s["class"].alias("class")),
-    ).cast(SCORES_TYPE)
-
+from parlor.operators.vectors import ranked_scores
 
 def nearest_centroid(
     df: DataFrame,
@@ -37,39 +25,45 @@ def nearest_centroid(
     Scores are the cosine to each centroid. Blank text, or a missing vector, gives the
     catch-all class at confidence 0 and no boost flag. Map-only, also on a stream.
     """
-    blank = F.coalesce(T.strip(F.col(text_col)) == "", F.lit(True)) | F.col(vector_col).isNull()
-    vector = F.when(~blank, F.col(vector_col))
-    # Two projections keep the Python stage apart from the expressions that read it many times.
-    scored = df.withColumn("_scores", class_scores(vector, table)).withColumn("_ranked", ranked(F.col("_scores")))
-    top, second = F.get("_ranked", F.lit(0)), F.get("_ranked", F.lit(1))
     text = F.col(text_col)
-    with_boost = scored.withColumns(
-        {
-            "_margin": top["score"] - second["score"],
-            "_best": S.boosted(
-                top,
-                second,
-                R.keyword_hit(text, top["class"], keywords),
-                R.keyword_hit(text, second["class"], keywords),
-                threshold=threshold,
-            ),
-        }
+    blank = F.coalesce(T.strip(text) == "", F.lit(True))
+    names = F.array(*[F.lit(c) for c, _ in table])
+    scored = df.withColumn("_r", ranked_scores(F.when(~blank, F.col(vector_col)), table))
+    scores, order = F.col("_r.scores"), F.col("_r.best")
+
+    def place(i: int) -> Column:
+        ordinal = F.get(order, F.lit(i))
+        return F.struct(
+            F.get(scores, ordinal).alias("score"), ordinal.alias("ordinal"), F.get(names, ordinal).alias("class")
+        )
+
+    top, second = place(0), place(1)
+    best = S.boosted(
+        top,
+        second,
+        R.keyword_hit(text, top["class"], keywords),
+        R.keyword_hit(text, second["class"], keywords),
+        threshold=threshold,
+    )
+    margin = top["score"] - second["score"]
+    known = scores.isNotNull()
+    listed = F.transform(
+        order, lambda o: F.struct(F.get(names, o).alias("class"), S.half_even(F.get(scores, o), 4).alias("score"))
     )
-    known = F.col("_ranked").isNotNull()
-    best = F.col("_best")
-    return with_boost.select(
-        *[F.col(c) for c in df.columns],
-        F.when(known, best["class"]).otherwise(F.lit(catch_all)).alias("class"),
-        F.when(known, S.half_even(best["score"], 4)).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(known, S.half_even(F.col("_margin"), 4)).otherwise(F.lit(0.0)).alias("margin"),
-        F.when(known, S.needs_fallback(best["score"], F.col("_margin"), threshold)).otherwise(F.lit(True)).alias("needs_fallback"),
-        F.when(known, best["boosted"]).alias("keyword_boosted"),
-        F.when(
-            known,
-            F.transform("_ranked", lambda s: F.struct(s["class"].alias("class"), S.half_even(s["score"], 4).alias("score"))),
+    nothing = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(0.0).alias("score")) for c, _ in table])
+    return (
+        scored.withColumn("_best", F.when(known, best))
+        .withColumns(
+            {
+                "class": F.coalesce(F.col("_best.class"), F.lit(catch_all)),
+                "confidence": F.coalesce(S.half_even(F.col("_best.score"), 4), F.lit(0.0)),
+                "margin": F.coalesce(S.half_even(margin, 4), F.lit(0.0)),
+                "needs_fallback": F.coalesce(S.needs_fallback(F.col("_best.score"), margin, threshold), F.lit(True)),
+                "keyword_boosted": F.col("_best.boosted"),
+                "class_scores": F.coalesce(listed, nothing),
+            }
         )
-        .otherwise(F.array(*[F.struct(F.lit(c).alias("class"), F.lit(0.0).alias("score")) for c, _ in table]))
-        .alias("class_scores"),
+        .drop("_r", "_best")
     )
 
 

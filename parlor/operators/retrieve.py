@@ -26,6 +26,7 @@ def build_corpus(
     seed: int = 42,
     keywords: Mapping[str, Sequence[str]] = D.KEYWORDS,
     catch_all: str = D.CATCH_ALL,
+    threshold: float = 0.48,
 ) -> DataFrame:
     """Retrieval corpus: long enough threads, at most ``max_items`` of them, with their class.
 
@@ -33,7 +34,9 @@ def build_corpus(
     """
     valid = long_enough(threads, ["customer_message", "agent_reply"], min_length)
     chosen = sample_n(valid, max_items, "thread_id", seed)
-    tagged = nearest_centroid(chosen, "customer_message", vector_col, table, keywords=keywords, catch_all=catch_all)
+    tagged = nearest_centroid(
+        chosen, "customer_message", vector_col, table, keywords=keywords, catch_all=catch_all, threshold=threshold
+    )
     return tagged.withColumnRenamed(vector_col, "embedding").select(*CORPUS_COLUMNS)
 
 

@@ -54,9 +54,9 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     bucket, before = cut.select("bucket").scalar(), cut.select("before").scalar()
     return (
         keyed.where(F.col("_bucket") <= bucket)
-        .withColumn("_rank", _rank_in_bucket([], id_col))
-        .where((F.col("_bucket") < bucket) | (F.col("_rank") <= F.lit(n) - before))
-        .drop("_key", "_bucket", "_rank")
+        .withColumn("_position", _rank_in_bucket([], id_col))
+        .where((F.col("_bucket") < bucket) | (F.col("_position") <= F.lit(n) - before))
+        .drop("_key", "_bucket", "_position")
     )
 
 
@@ -68,10 +68,10 @@ def with_shuffle_rank(
     keyed = _keyed(df, id_col, seed)
     offsets = _running_counts(keyed, groups).select(*groups, "_bucket", "_before")
     return (
-        keyed.withColumn("_rank", _rank_in_bucket(groups, id_col))
+        keyed.withColumn("_position", _rank_in_bucket(groups, id_col))
         .join(offsets, [*groups, "_bucket"])
-        .withColumn(name, (F.col("_rank") + F.col("_before")).cast("long"))
-        .drop("_key", "_bucket", "_rank", "_before")
+        .withColumn(name, (F.col("_position") + F.col("_before")).cast("long"))
+        .drop("_key", "_bucket", "_position", "_before")
     )
 
 
@@ -95,9 +95,9 @@ def quota_sample(
     return (
         keyed.join(F.broadcast(cuts), class_col)
         .where(F.col("_bucket") <= F.col("_cut"))
-        .withColumn("_rank", _rank_in_bucket([class_col], id_col))
-        .where((F.col("_bucket") < F.col("_cut")) | (F.col("_rank") <= quota - F.col("_cut_before")))
-        .drop("_key", "_bucket", "_cut", "_cut_before", "_rank")
+        .withColumn("_position", _rank_in_bucket([class_col], id_col))
+        .where((F.col("_bucket") < F.col("_cut")) | (F.col("_position") <= quota - F.col("_cut_before")))
+        .drop("_key", "_bucket", "_cut", "_cut_before", "_position")
     )
 
 
@@ -111,7 +111,7 @@ def first_per_key(df: DataFrame, key: Column, id_col: str, seed: int = 42) -> Da
     return (
         df.withColumn("_digest", digest(key))
         .withColumn("_key", shuffle_key(id_col, seed))
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") == 1)
-        .drop("_digest", "_key", "_rank")
+        .withColumn("_position", F.row_number().over(order))
+        .where(F.col("_position") == 1)
+        .drop("_digest", "_key", "_position")
     )

@@ -36,27 +36,36 @@ def centroid_list(table: DataFrame, order: Sequence[str] | None = None) -> list[
     return [(c, rows[c]) for c in (order or sorted(rows)) if c in rows]
 
 
-def class_scores(vector: Column, table: Sequence[tuple[str, Sequence[float]]]) -> Column:
-    """``array<struct(score, ordinal, class)>`` of a vector against each centroid.
+def ranked_scores(vector: Column, table: Sequence[tuple[str, Sequence[float]]]) -> Column:
+    """``struct(scores, best)`` of a vector against each centroid.
 
-    One Arrow batch is one matrix product; the result stays in taxonomy order.
+    ``scores`` is in taxonomy order; ``best`` lists the positions by descending score, equal
+    scores in taxonomy order. One Arrow batch is one matrix product, and only the vector goes
+    to Python. A null vector gives nulls.
     """
     matrix = np.asarray([c for _, c in table], dtype=np.float64).T
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("scores array<double>, best array<int>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.Series([None] * len(batch), dtype=object)
-            known = batch.notna().to_numpy()
-            if known.any():
-                vectors = np.stack(batch[known].to_numpy()).astype(np.float64)
-                out[np.flatnonzero(known)] = list(vectors @ matrix)
-            yield out
+            scores, best = np.full((2, len(batch)), None, dtype=object)
+            known = np.flatnonzero(batch.notna().to_numpy())
+            if len(known):
+                found = np.stack(batch.iloc[known].to_numpy()).astype(np.float64) @ matrix
+                order = np.argsort(-found, axis=1, kind="stable").astype(np.int32)
+                for i, s, o in zip(known, found, order):
+                    scores[i], best[i] = s, o
+            yield pd.DataFrame({"scores": scores, "best": best})
+
+    return score(vector)
 
+
+def class_scores(vector: Column, table: Sequence[tuple[str, Sequence[float]]]) -> Column:
+    """``array<struct(class, score)>`` of a vector, in taxonomy order."""
     names = F.array(*[F.lit(c) for c, _ in table])
     return F.transform(
-        score(vector),
-        lambda s, i: F.struct(s.alias("score"), i.alias("ordinal"), F.get(names, i).alias("class")),
+        ranked_scores(vector, table)["scores"],
+        lambda s, i: F.struct(F.get(names, i).alias("class"), s.alias("score")),
     )
 
 

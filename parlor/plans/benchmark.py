@@ -61,20 +61,27 @@ def benchmark(
     return M.benchmark_report(cube, ["system", "slice"], judge_mode)
 
 
-def report_table(results: DataFrame) -> DataFrame:
-    """One row per system in the published column order."""
-    wide = results.groupBy("system").agg(
+def report_rows(results: DataFrame) -> DataFrame:
+    """One wide row per system, the input of both reports."""
+    slices = (M.OVERALL, M.NATURAL, M.ADVERSARIAL)
+    per_slice = results.groupBy("system").agg(
         *[
             F.max(F.when(F.col("slice") == s, F.col(c))).alias(f"{c}_{s}")
             for c in ("accuracy", "macro_f1")
-            for s in (M.OVERALL, M.NATURAL, M.ADVERSARIAL)
+            for s in slices
         ]
     )
-    overall = results.where(F.col("slice") == M.OVERALL).withColumn(
-        "replies", T.ratio_text(F.col("n_evaluated_replies"), F.col("judged_cases"))
+    overall = (
+        results.where(F.col("slice") == M.OVERALL)
+        .drop("slice", "accuracy", "macro_f1")
+        .withColumn("replies", T.ratio_text(F.col("n_evaluated_replies"), F.col("judged_cases")))
     )
-    joined = wide.join(overall, "system")
-    return joined.select(*[F.col(source).alias(name) for name, source in REPORT_COLUMNS.items()])
+    return per_slice.join(overall, "system")
+
+
+def report_table(results: DataFrame) -> DataFrame:
+    """One row per system in the published column order."""
+    return report_rows(results).select(*[F.col(source).alias(name) for name, source in REPORT_COLUMNS.items()])
 
 
 def report_fields(slices: Sequence[str] = (M.OVERALL, M.NATURAL, M.ADVERSARIAL)) -> dict[str, Column]:
@@ -94,17 +101,3 @@ def report_fields(slices: Sequence[str] = (M.OVERALL, M.NATURAL, M.ADVERSARIAL))
         "escalation": F.struct(*escalation),
         "judge_quality": F.struct(*judge),
     }
-
-
-def report_rows(results: DataFrame) -> DataFrame:
-    """One wide row per system, the input of the JSON report."""
-    slices = (M.OVERALL, M.NATURAL, M.ADVERSARIAL)
-    per_slice = results.groupBy("system").agg(
-        *[
-            F.max(F.when(F.col("slice") == s, F.col(c))).alias(f"{c}_{s}")
-            for c in ("accuracy", "macro_f1")
-            for s in slices
-        ]
-    )
-    overall = results.where(F.col("slice") == M.OVERALL).drop("slice", "accuracy", "macro_f1")
-    return per_slice.join(overall, "system")

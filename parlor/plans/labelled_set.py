@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from parlor import defaults as D
 from parlor.functions import rules as R, text as T
-from parlor.operators.bounded import control_rows
 from parlor.operators.evalsets import held_out, unused_texts
 from parlor.operators.sampling import first_per_key, quota_sample, with_shuffle_rank
 
@@ -31,10 +30,10 @@ def build_labelled_set(
 ) -> DataFrame:
     """Fixed cases first, then the quota sample, numbered in order of acceptance.
 
-    ``threads`` has ``thread_id, customer_message, class, confidence``; ``fixed_cases`` is a
-    small table with ``position`` (from 1) and the label columns.
+    ``threads`` has ``thread_id, customer_message, class, confidence``; ``fixed_cases`` has
+    ``position`` (from 1) and the label columns.
     """
-    fixed_count = len(control_rows(fixed_cases.select("position")))
+    fixed_count = fixed_cases.agg(F.count("*").alias("n")).scalar()
     pool = held_out(threads, corpus, "thread_id").withColumn("customer_message", T.strip(F.col("customer_message")))
     pool = pool.where(F.length("customer_message").between(shortest, longest))
     pool = unused_texts(pool, fixed_cases, "customer_message", "customer_message", "thread_id")

@@ -36,6 +36,7 @@ def triage(
     catch_all: str = D.CATCH_ALL,
     min_confidence: float = 0.48,
     min_similarity: float = 0.50,
+    min_catch_all_similarity: float = 0.60,
     top_k: int = 3,
     class_answer_col: str | None = None,
     classes: Sequence[str] = D.CLASSES,
@@ -86,6 +87,7 @@ def triage(
         catch_all=catch_all,
         min_confidence=min_confidence,
         min_similarity=min_similarity,
+        min_catch_all_similarity=min_catch_all_similarity,
     )
     ruled = F.struct(F.lit("escalate").alias("decision"), F.col("_rule.code").alias("reason_code"))
     template = R.lookup(F.col("class"), templates or {}, default_reply)
