@@ -1,2 +1,9 @@
 """Conversation analytics on Spark: lazy DataFrame operators for support threads,
 labelled text and embedding tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel inside the task, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

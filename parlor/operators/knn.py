@@ -115,7 +115,8 @@ def search_broadcast(
                     ]
             yield pd.Series(found, dtype=object)
 
-    return queries.withColumn(output_col, search(F.col(query_id), F.col(vector_col)))
+    # Declared nondeterministic so that no filter above repeats the search.
+    return queries.withColumn(output_col, search.asNondeterministic()(F.col(query_id), F.col(vector_col)))
 
 
 def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:

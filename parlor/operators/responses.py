@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import text as T
+from parlor.operators.evalsets import PROBE_MIN_ROWS, PROBE_SHARE
 from parlor.operators.skew import salted_join
 
 
@@ -29,7 +30,10 @@ def lookup_responses(df: DataFrame, responses: DataFrame, salt_by: Column) -> Da
 
     Copies of one message share a key, so the join is salted against hot keys.
     """
-    found = salted_join(df, stored_answers(responses), ["cache_key"], "left", salt_by)
+    probe = df.sample(PROBE_SHARE, seed=42).select("cache_key")
+    found = salted_join(
+        df, stored_answers(responses), ["cache_key"], "left", salt_by, probe=probe, min_rows=PROBE_MIN_ROWS
+    )
     return found.withColumn("response", F.coalesce("response", F.lit("")))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from parlor.functions.text import digest
 
 AFTER_LAST_BUCKET = "g"
+SMALL_QUOTA = 100
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -78,9 +79,18 @@ def with_shuffle_rank(
 def quota_sample(
     df: DataFrame, class_col: str, quotas: Mapping[str, int], id_col: str, seed: int = 42
 ) -> DataFrame:
-    """The first ``quotas[class]`` rows of each class in shuffled order; other classes drop out."""
+    """The first ``quotas[class]`` rows of each class in shuffled order; other classes drop out.
+
+    Small quotas take one pass: every map task keeps its own first rows of a class, so the final
+    task of a class sees at most quota rows per map task. Larger quotas are cut by bucket counts.
+    """
     keyed = _keyed(df.where(F.col(class_col).isin(list(quotas))), id_col, seed)
     quota = F.create_map(*[F.lit(x) for c, q in quotas.items() for x in (c, int(q))])[F.col(class_col)]
+    largest = max(quotas.values())
+    if largest <= SMALL_QUOTA:
+        order = W.partitionBy(class_col).orderBy("_key", id_col)
+        first = keyed.withColumn("_position", F.row_number().over(order)).where(F.col("_position") <= largest)
+        return first.where(F.col("_position") <= quota).drop("_key", "_bucket", "_position")
     cuts = (
         _running_counts(keyed, [class_col])
         .withColumn("_quota", quota)
@@ -107,11 +117,15 @@ def first_per_key(df: DataFrame, key: Column, id_col: str, seed: int = 42) -> Da
     The rank filter runs inside every map task before the shuffle, so a group of copies sends
     at most one row per task.
     """
-    order = W.partitionBy("_digest").orderBy("_key", id_col)
+    return first_per_digest(df.withColumn("_digest", digest(key)), "_digest", id_col, seed).drop("_digest")
+
+
+def first_per_digest(df: DataFrame, digest_col: str, id_col: str, seed: int = 42) -> DataFrame:
+    """:func:`first_per_key` for a key column; the result is partitioned by that column."""
+    order = W.partitionBy(digest_col).orderBy("_key", id_col)
     return (
-        df.withColumn("_digest", digest(key))
-        .withColumn("_key", shuffle_key(id_col, seed))
+        df.withColumn("_key", shuffle_key(id_col, seed))
         .withColumn("_position", F.row_number().over(order))
         .where(F.col("_position") == 1)
-        .drop("_digest", "_key", "_position")
+        .drop("_key", "_position")
     )

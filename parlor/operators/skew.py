@@ -20,6 +20,7 @@ def salted_join(
     how: str,
     salt_by: Column,
     *,
+    probe: DataFrame | None = None,
     salts: int = 256,
     share: float = 1e-3,
     min_rows: int = 100_000,
@@ -30,11 +31,15 @@ def salted_join(
     repeated once per sub-key, so results are those of the plain join. Left rows with a null key
     match nothing and are spread as well. ``salt_by`` should differ between rows of one key.
     The broadcast set of hot keys has fewer than ``1/share`` rows by construction.
+
+    ``probe`` is where the hot keys are looked for, by default all keys of ``left``. It only
+    steers the split, so where a key is costly to compute a part of the keys will do: the join
+    itself always covers every row.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     hot = F.broadcast(
-        hot_keys(left.dropna(subset=keys), keys, share, min_rows)
+        hot_keys((left if probe is None else probe).dropna(subset=keys), keys, share, min_rows)
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
         .withColumn("_hot", F.lit(True))
     )

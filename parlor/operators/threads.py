@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parlor import defaults as D
 from parlor.functions import text as T
+from parlor.operators.once import evaluate_once
 from parlor.operators.skew import salted_join
 
 CUSTOMER, SUPPORT = "customer", "support"
@@ -55,9 +56,9 @@ def threads_from_transcripts(
     min_length: int = 8,
 ) -> DataFrame:
     """One thread per transcript in which both sides speak. Map-only."""
-    turns = df.select(
-        F.col(id_col).cast("string").alias("thread_id"),
-        parse_turns(F.col(transcript_col), prefixes, handles).alias("raw_turns"),
+    turns = evaluate_once(
+        df.select(F.col(id_col).cast("string").alias("thread_id"), F.col(transcript_col).alias("_transcript")),
+        {"raw_turns": parse_turns(F.col("_transcript"), prefixes, handles)},
     )
 
     def texts(role: str) -> Column:
@@ -97,8 +98,9 @@ def threads_from_turns(
     A single aggregation with map-side partial results: a conversation of any length sends one
     partial row per task.
     """
-    turns = df.where(F.col(role_col).isin(customer, support)).select(
-        id_col, turn_col, role_col, T.clean_text(F.col(text_col), handles).alias("_text")
+    turns = evaluate_once(
+        df.where(F.col(role_col).isin(customer, support)).select(id_col, turn_col, role_col, text_col),
+        {"_text": T.clean_text(F.col(text_col), handles)},
     )
     is_customer, is_support = F.col(role_col) == customer, F.col(role_col) == support
     order = F.col(turn_col)
@@ -161,21 +163,24 @@ def reply_pairs(
     Both sides are cut to the needed columns and cleaned before the shuffle. A message with very
     many replies is split by :func:`salted_join`.
     """
-    replies = by_author(df.dropna(subset=[parent_col]), author_col, brand).select(
-        F.col(parent_col).alias("_id"),
-        F.col(id_col).alias("_reply_id"),
-        T.clean_text(F.col(text_col), handles).alias("agent_reply"),
+    by_brand = by_author(df.dropna(subset=[parent_col]), author_col, brand).select(
+        F.col(parent_col).alias("_id"), F.col(id_col).alias("_reply_id"), F.col(text_col).alias("_text")
     )
+    replies = evaluate_once(by_brand, {"agent_reply": T.clean_text(F.col("_text"), handles)}).drop("_text")
     if first_reply_only:
         first = W.partitionBy("_id").orderBy("_reply_id")
         replies = replies.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    messages = df.select(F.col(id_col).alias("_id"), T.clean_text(F.col(text_col), handles).alias("customer_message"))
+    messages = evaluate_once(
+        df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")),
+        {"customer_message": T.clean_text(F.col("_text"), handles)},
+    ).drop("_text")
     pairs = salted_join(
         long_enough(replies, ["agent_reply"], min_length),
         long_enough(messages, ["customer_message"], min_length),
         ["_id"],
         "inner",
         F.col("_reply_id"),
+        probe=by_brand.select("_id"),
     )
 
     def turn(role: str, column: str) -> Column:

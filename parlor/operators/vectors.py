@@ -57,7 +57,8 @@ def ranked_scores(vector: Column, table: Sequence[tuple[str, Sequence[float]]])
                     scores[i], best[i] = s, o
             yield pd.DataFrame({"scores": scores, "best": best})
 
-    return score(vector)
+    # Declared nondeterministic so that no filter above repeats the Python stage.
+    return score.asNondeterministic()(vector)
 
 
 def class_scores(vector: Column, table: Sequence[tuple[str, Sequence[float]]]) -> Column:
@@ -93,7 +94,7 @@ def encode_text(df: DataFrame, text_col: str, output_col: str, factory: Callable
                     out[i] = v
             yield pd.Series(out)
 
-    return df.withColumn(output_col, encode(F.col(text_col)))
+    return df.withColumn(output_col, encode.asNondeterministic()(F.col(text_col)))
 
 
 def hashing_encoder(df: DataFrame, text_col: str, dimensions: int = 256) -> PipelineModel:

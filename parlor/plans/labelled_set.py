@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from parlor import defaults as D
 from parlor.functions import rules as R, text as T
-from parlor.operators.evalsets import held_out, unused_texts
-from parlor.operators.sampling import first_per_key, quota_sample, with_shuffle_rank
+from parlor.operators.evalsets import held_out
+from parlor.operators.sampling import first_per_digest, quota_sample, shuffle_key, with_shuffle_rank
+from parlor.session import durable
+
+
+MAX_SINGLE_TASK_ROWS = 100_000
+
+
+def number_rows(drawn: DataFrame, most: int, seed: int) -> DataFrame:
+    """Add ``_rank`` in shuffled order. ``most`` bounds the rows: a small draw is numbered in one
+    task, a larger one by bucket."""
+    if most > MAX_SINGLE_TASK_ROWS:
+        return with_shuffle_rank(durable(drawn), "thread_id", seed, name="_rank")
+    order = W.orderBy(shuffle_key("thread_id", seed), "thread_id")
+    return drawn.withColumn("_rank", F.row_number().over(order))
 
 
 def build_labelled_set(
@@ -36,13 +49,16 @@ def build_labelled_set(
     fixed_count = fixed_cases.agg(F.count("*").alias("n")).scalar()
     pool = held_out(threads, corpus, "thread_id").withColumn("customer_message", T.strip(F.col("customer_message")))
     pool = pool.where(F.length("customer_message").between(shortest, longest))
-    pool = unused_texts(pool, fixed_cases, "customer_message", "customer_message", "thread_id")
-    distinct = first_per_key(pool, F.lower("customer_message"), "thread_id", seed)
-    drawn = quota_sample(distinct, "class", quotas, "thread_id", seed)
+    # Copies go first: what is left has one row per text, so the next join knows no hot text, and
+    # it joins on the digest the rows are already partitioned by.
+    digest = T.digest(T.text_key(F.col("customer_message"))).alias("_digest")
+    distinct = first_per_digest(pool.withColumn("_digest", digest), "_digest", "thread_id", seed)
+    unused = distinct.join(fixed_cases.select(digest).distinct(), "_digest", "left_anti").drop("_digest")
+    drawn = number_rows(quota_sample(unused, "class", quotas, "thread_id", seed), sum(quotas.values()), seed)
     ladder = R.label_ladder(
         F.col("customer_message"), F.col("class"), F.col("confidence"), label_terms, catch_all=catch_all
     )
-    sampled = with_shuffle_rank(drawn, "thread_id", seed, name="_rank").withColumn("_label", ladder).select(
+    sampled = drawn.withColumn("_label", ladder).select(
         T.numbered_id(id_prefix, F.col("_rank") + fixed_count).alias("example_id"),
         F.col("thread_id").cast("string").alias("thread_id"),
         "customer_message",

@@ -131,7 +131,8 @@ def parse_turns(spark: SparkSession, folder: str) -> DataFrame:
     parsed = threads.parse_turns(F.col("transcript"), ROLE_PREFIXES, P.HANDLES)
     return (
         _transcripts(spark, folder)
-        .select("block_id", F.posexplode(parsed).alias("position", "t"))
+        .select("block_id", F.posexplode_outer(parsed).alias("position", "t"))
+        .where(F.col("position").isNotNull())
         .select("block_id", F.col("position").cast("long").alias("position"), "t.role", "t.text")
     )
 
