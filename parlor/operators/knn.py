@@ -134,19 +134,24 @@ def search_cells(
     extra: Sequence[str] = (),
     exclude_same_id: bool = False,
     cells: int = 256,
-    block_rows: int = 8192,
-    query_rows: int = 8192,
+    block_rows: int = 32_768,
+    query_rows: int = 32_768,
     seed: int = 42,
 ) -> DataFrame:
-    """``(query_id, id, similarity, extra...)`` of the top-n for a corpus of any size."""
+    """``(query, id, similarity, extra...)`` of the top-n for a corpus of any size."""
     bound_n = n + 1 if exclude_same_id else n
     known = corpus.where(F.col(vector_col).isNotNull()).select(
         F.col(corpus_id).alias("id"), as_double(F.col(vector_col)).alias("_v"), *extra
     )
     pivot_rows = sample_n(known.select("id", "_v"), cells, "id", seed).collect()  # at most `cells` rows
+    pair_schema = T.StructType(
+        [
+            T.StructField("query", queries.schema[query_id].dataType),
+            *candidate_type(corpus, corpus_id, extra).elementType.fields,
+        ]
+    )
     if not pivot_rows:
-        pairs_schema = T.StructType([queries.schema[query_id], *candidate_type(corpus, corpus_id, extra).elementType.fields])
-        return queries.sparkSession.createDataFrame([], pairs_schema)
+        return queries.sparkSession.createDataFrame([], pair_schema)
     pivots = np.asarray([r["_v"] for r in sorted(pivot_rows, key=lambda r: r["id"])], dtype=np.float64)
 
     assigned_schema = T.StructType(
@@ -225,28 +230,21 @@ def search_cells(
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(query_chunks - 1))))
     )
     key = ["_cell", "_block", "_chunk"]
-    pair_schema = T.StructType(
-        [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            *candidate_type(corpus, corpus_id, extra).elementType.fields,
-        ]
-    )
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=pair_schema.names)
         right = right.sort_values("id", kind="stable").reset_index(drop=True)
         qids = left["_qid"].tolist()
-        parts = []
-        for i, best, sims in _search(qids, _matrix(left["_qv"]), right["id"].tolist(), _matrix(right["_v"]), n, exclude_same_id):
-            part = right.loc[best, ["id", *extra]].copy()
-            part.insert(1, "similarity", sims)
-            part.insert(0, query_id, qids[i])
-            parts.append(part)
-        return pd.concat(parts)
+        hits = list(_search(qids, _matrix(left["_qv"]), right["id"].tolist(), _matrix(right["_v"]), n, exclude_same_id))
+        found = right[["id", *extra]].iloc[np.concatenate([best for _, best, _ in hits])]
+        return found.assign(
+            query=np.repeat([qids[i] for i, _, _ in hits], [len(best) for _, best, _ in hits]),
+            similarity=np.concatenate([sims for _, _, sims in hits]),
+        )[pair_schema.names]
 
     per_block = visiting.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(match, pair_schema)
-    order = W.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col("id"))
+    order = W.partitionBy("query").orderBy(F.col("similarity").desc(), F.col("id"))
     return per_block.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -270,7 +268,7 @@ def top_similar(
     pairs = search_cells(queries, corpus, n, **options)
     # At most n small rows per query are gathered.
     keyed = F.struct((-F.col("similarity")).alias("k"), F.col("id"), F.struct("id", "similarity", *extra).alias("c"))
-    gathered = pairs.groupBy(query_id).agg(F.array_sort(F.collect_list(keyed)).alias("_c"))
-    listed = gathered.select(query_id, F.transform("_c", lambda x: x["c"]).alias("candidates"))
+    gathered = pairs.groupBy("query").agg(F.array_sort(F.collect_list(keyed)).alias("_c"))
+    listed = gathered.select(F.col("query").alias(query_id), F.transform("_c", lambda x: x["c"]).alias("candidates"))
     empty = F.array().cast(candidate_type(corpus, corpus_id, extra))
     return queries.join(listed, query_id, "left").withColumn("candidates", F.coalesce("candidates", empty))
