@@ -17,9 +17,8 @@ WHITESPACE = (
 # Where a transcript breaks into lines.
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
-WHITESPACE_CLASS = (
-    r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# The same characters as a pattern; "(?U)" gives the Unicode whitespace.
+WHITESPACE_CLASS = r"(?U:[\s\x1C-\x1F])"
 
 # Unicode-aware, case-insensitive matching in which "." stops at a line feed only.
 IGNORE_CASE = "(?iuUd)"
@@ -40,8 +39,8 @@ def collapse_whitespace(text: Column) -> Column:
 
 def mention_pattern(handles: Sequence[str]) -> str:
     """Routing mentions: the brand handles and anonymised numeric handles."""
-    names = [f"@{re.escape(h)}\\b" for h in handles]
-    return any_case("(" + "|".join([*names, r"@[0-9]+\b"]) + ")")
+    names = "|".join([*map(re.escape, handles), "[0-9]+"])
+    return any_case(rf"@(?:{names})\b")
 
 
 def clean_text(text: Column, handles: Sequence[str] = ()) -> Column:
@@ -65,8 +64,7 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
 
 def word_count(text: Column) -> Column:
     """Whitespace-separated words; 0 for blank or null."""
-    flat = collapse_whitespace(F.coalesce(text, F.lit("")))
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " ")))
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)[^\s\x1C-\x1F]+")), F.lit(0))
 
 
 def text_key(text: Column) -> Column:

@@ -74,6 +74,10 @@ def corpus_size(corpus: DataFrame, vector_col: str, extra: Sequence[str]) -> tup
     return int(row["n"]), int(row["b"] or 0)
 
 
+def fits_broadcast(corpus: DataFrame, vector_col: str, extra: Sequence[str], max_bytes: int) -> bool:
+    return corpus_size(corpus, vector_col, extra)[1] <= max_bytes
+
+
 def search_broadcast(
     queries: DataFrame,
     corpus: DataFrame,
@@ -262,8 +266,7 @@ def top_similar(
 ) -> DataFrame:
     """Add ``candidates: array<struct(id, similarity, extra...)>``, best first, to every query."""
     options = dict(query_id=query_id, corpus_id=corpus_id, vector_col=vector_col, extra=extra, exclude_same_id=exclude_same_id)
-    _, size = corpus_size(corpus, vector_col, extra)
-    if size <= max_broadcast_bytes:
+    if fits_broadcast(corpus, vector_col, extra, max_broadcast_bytes):
         return search_broadcast(queries, corpus.where(F.col(vector_col).isNotNull()), n, **options)
     pairs = search_cells(queries, corpus, n, **options)
     # At most n small rows per query are gathered.

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor import defaults as D
 from parlor.functions import scoring as S
 from parlor.operators.classify import nearest_centroid
-from parlor.operators.knn import top_similar
+from parlor.operators.knn import fits_broadcast, top_similar
 from parlor.operators.sampling import sample_n
+from parlor.operators.skew import salted_join
 from parlor.operators.threads import long_enough
+from parlor.session import durable
 
 CORPUS_COLUMNS = ["thread_id", "customer_message", "agent_reply", "class", "is_boilerplate", "embedding"]
 
@@ -58,13 +61,47 @@ def rerank(candidates: Column, predicted: Column, top_k: int, catch_all: str = D
                 score.alias("ranking_score"),
                 c["class"].alias("class"),
                 c["is_boilerplate"].alias("is_boilerplate"),
-                c["reply"].alias("reply"),
             ).alias("m"),
         )
 
     return F.transform(F.slice(F.array_sort(F.transform(candidates, scored)), 1, top_k), lambda x: x["m"])
 
 
+def _with_replies(kept: Column, replies: Column) -> Column:
+    return F.zip_with(kept, replies, lambda m, r: m.withField("reply", r))
+
+
+def replies_from_broadcast(found: DataFrame, replies: DataFrame) -> DataFrame:
+    """Turn ``_kept`` into ``matches`` with reply texts; only the kept rows carry text."""
+    texts = found.sparkSession.sparkContext.broadcast({r["thread_id"]: r["agent_reply"] for r in replies.collect()})
+
+    @F.pandas_udf("array<string>")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            yield pd.Series([[texts.value[i] for i in row] for row in ids], dtype=object)
+
+    found = found.withColumn("_replies", look_up.asNondeterministic()(F.transform("_kept", lambda m: m["id"])))
+    return found.withColumn("matches", _with_replies(F.col("_kept"), F.col("_replies"))).drop("_kept", "_replies")
+
+
+def replies_from_join(found: DataFrame, replies: DataFrame, query_id: str) -> DataFrame:
+    """The same for a corpus beyond the broadcast bound: top-k small rows per query are joined.
+
+    A reply that suits very many queries is spread by the salted join.
+    """
+    found = durable(found)
+    wanted = found.select(query_id, F.posexplode("_kept").alias("_at", "_m")).select(
+        query_id, "_at", F.col("_m.id").alias("thread_id")
+    )
+    joined = salted_join(wanted, replies, ["thread_id"], "left", F.col(query_id))
+    gathered = joined.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("_at", "agent_reply"))).alias("_r"))
+    listed = gathered.select(query_id, F.transform("_r", lambda r: r["agent_reply"]).alias("_replies"))
+    matches = F.when(F.size("_kept") == 0, _with_replies(F.col("_kept"), F.array().cast("array<string>"))).otherwise(
+        _with_replies(F.col("_kept"), F.col("_replies"))
+    )
+    return found.join(listed, query_id, "left").withColumn("matches", matches).drop("_kept", "_replies")
+
+
 def retrieve(
     queries: DataFrame,
     corpus: DataFrame,
@@ -82,25 +119,23 @@ def retrieve(
     The pool of ``10 * top_k`` candidates is chosen by raw similarity, then re-ranked. An empty
     corpus gives empty matches and similarity 0.
     """
-    pool = corpus.select(
-        F.col("thread_id"),
-        F.col("embedding").alias(vector_col),
-        "class",
-        "is_boilerplate",
-        F.col("agent_reply").alias("reply"),
-    )
+    pool = corpus.select(F.col("thread_id"), F.col("embedding").alias(vector_col), "class", "is_boilerplate", "agent_reply")
+    small = fits_broadcast(pool, vector_col, ["class", "is_boilerplate", "agent_reply"], max_broadcast_bytes)
     found = top_similar(
         queries,
-        pool,
+        pool.drop("agent_reply"),
         top_k * 10,
         query_id=query_id,
         corpus_id="thread_id",
         vector_col=vector_col,
-        extra=["class", "is_boilerplate", "reply"],
+        extra=["class", "is_boilerplate"],
         exclude_same_id=exclude_same_id,
-        max_broadcast_bytes=max_broadcast_bytes,
+        max_broadcast_bytes=max_broadcast_bytes if small else -1,
     )
-    ranked = found.withColumn("matches", rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)).drop("candidates")
+    kept = rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)
+    found = found.withColumn("_kept", kept).drop("candidates")
+    replies = pool.select("thread_id", "agent_reply")
+    ranked = replies_from_broadcast(found, replies) if small else replies_from_join(found, replies, query_id)
     raw = F.transform("matches", lambda m: m["raw_similarity"])
     total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
     return ranked.withColumns(

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
 from parlor.operators import classify, cluster, evalsets, knn, metrics as M, responses, retrieve, sampling, threads, vectors
+from parlor.operators.once import evaluate_once
 from parlor.plans.benchmark import benchmark, report_table, stack_systems
 from parlor.plans.labelled_set import build_labelled_set
 from parlor.plans.triage import triage
 from parlor.registry import parameters as P
 from parlor.session import durable
+from parlor.sources import readers
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -25,6 +27,11 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for the queries that run patterns over whole texts."""
+    return readers.spread(load(spark, folder, "documents"))
+
+
 # Text and rules
 
 
@@ -36,7 +43,7 @@ def scan_filter(spark: SparkSession, folder: str) -> DataFrame:
 def text_clean(spark: SparkSession, folder: str) -> DataFrame:
     """F1, F3, F4, P4."""
     text = F.col("text")
-    return load(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id",
         T.clean_text(text, P.HANDLES).alias("cleaned"),
         T.digest(T.text_key(text)).alias("text_digest"),
@@ -47,7 +54,7 @@ def text_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 def boilerplate_flag(spark: SparkSession, folder: str) -> DataFrame:
     """F2."""
-    return load(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", T.matches(F.col("text"), P.BOILERPLATE).alias("is_boilerplate")
     )
 
@@ -55,18 +62,18 @@ def boilerplate_flag(spark: SparkSession, folder: str) -> DataFrame:
 def rule_first_match(spark: SparkSession, folder: str) -> DataFrame:
     """F5."""
     rule = R.first_match(F.col("text"), P.MESSAGE_RULES)
-    return load(spark, folder, "documents").select("doc_id", rule.alias("r")).select("doc_id", "r.code", "r.description")
+    return documents(spark, folder).select("doc_id", rule.alias("r")).select("doc_id", "r.code", "r.description")
 
 
 def keyword_hits(spark: SparkSession, folder: str) -> DataFrame:
     """F7."""
     hits = R.keyword_classes(F.col("text"), P.TERMS)
-    return load(spark, folder, "documents").select("doc_id", F.concat_ws(",", hits).alias("classes"))
+    return documents(spark, folder).select("doc_id", F.concat_ws(",", hits).alias("classes"))
 
 
 def keyword_baseline(spark: SparkSession, folder: str) -> DataFrame:
     """Both baselines, stacked."""
-    docs = load(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     keyword = classify.keyword_baseline(
         docs, "text", class_rules=P.LANGUAGE_RULES, escalate_pattern=P.ESCALATE, templates=P.TEMPLATES,
         catch_all=P.OTHER, default_reply=P.DEFAULT_REPLY,
@@ -80,7 +87,7 @@ def label_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """F16."""
     which = R.first_class(F.col("text"), P.LANGUAGE_RULES, P.OTHER)
     confidence = F.when(F.length("text") > 500, F.lit(0.7)).otherwise(F.lit(0.3))
-    docs = load(spark, folder, "documents").withColumn("class", which).withColumn("confidence", confidence)
+    docs = documents(spark, folder).withColumn("class", which).withColumn("confidence", confidence)
     label = R.label_ladder(F.col("text"), F.col("class"), F.col("confidence"), P.LABEL_TERMS, catch_all=P.OTHER)
     return docs.withColumn("l", label).select("doc_id", "class", "l.decision", "l.reason")
 
@@ -232,7 +239,7 @@ def shared_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled_set(spark: SparkSession, folder: str) -> DataFrame:
     """C10, U2, W5, F16, P9."""
-    docs = load(spark, folder, "documents").select(F.col("doc_id").alias("thread_id"), F.col("text").alias("customer_message"))
+    docs = documents(spark, folder).select(F.col("doc_id").alias("thread_id"), F.col("text").alias("customer_message"))
     pool = docs.withColumn("class", R.first_class(F.col("customer_message"), P.LANGUAGE_RULES, P.OTHER)).withColumn(
         "confidence", F.when(F.length("customer_message") > 500, F.lit(0.7)).otherwise(F.lit(0.3))
     )
@@ -287,7 +294,7 @@ def class_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def _embedded_documents(spark: SparkSession, folder: str) -> DataFrame:
     vectors_ = _embeddings(spark, folder).withColumnRenamed("vec_id", "doc_id")
-    return load(spark, folder, "documents").select("doc_id", "text").join(vectors_, "doc_id")
+    return documents(spark, folder).select("doc_id", "text").join(vectors_, "doc_id")
 
 
 def _classified(spark: SparkSession, folder: str, table: list | None = None) -> DataFrame:
@@ -303,7 +310,7 @@ def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, folder: str, table: list) -> DataFrame:
-    documents = _embedded_documents(spark, folder).select(
+    threads_ = _embedded_documents(spark, folder).select(
         F.col("doc_id").alias("thread_id"),
         F.col("text").alias("customer_message"),
         F.col("text").alias("agent_reply"),
@@ -311,7 +318,7 @@ def _corpus(spark: SparkSession, folder: str, table: list) -> DataFrame:
         "embedding",
     )
     return retrieve.build_corpus(
-        documents, table, keywords=P.VECTOR_KEYWORDS, catch_all=P.VECTOR_CATCH_ALL, threshold=P.SCORE_THRESHOLD
+        threads_, table, keywords=P.VECTOR_KEYWORDS, catch_all=P.VECTOR_CATCH_ALL, threshold=P.SCORE_THRESHOLD
     )
 
 
@@ -327,7 +334,7 @@ def knn_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The 30 most similar other vectors of every vector."""
     embedded = load(spark, folder, "embeddings").select("vec_id", "embedding")
     found = knn.top_similar(
-        embedded, embedded, 30, query_id="vec_id", corpus_id="vec_id", vector_col="embedding", exclude_same_id=True
+        readers.spread(embedded), embedded, 30, query_id="vec_id", corpus_id="vec_id", vector_col="embedding", exclude_same_id=True
     )
     return found.select("vec_id", F.posexplode("candidates").alias("position", "c")).select(
         "vec_id",
@@ -369,7 +376,7 @@ def precedent_prompt(spark: SparkSession, folder: str) -> DataFrame:
 def triage_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document; those without a vector fall to the catch-all class."""
     embedded = load(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    messages = load(spark, folder, "documents").select("doc_id", "text").join(embedded, "doc_id", "left")
+    messages = documents(spark, folder).select("doc_id", "text").join(embedded, "doc_id", "left")
     table = _centroid_table(spark, folder)
     decided = triage(
         messages, durable(_corpus(spark, folder, table)), table, id_col="doc_id", text_col="text",
@@ -453,7 +460,7 @@ def escalation_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
-    examples = _labelled(spark, folder).select(
+    examples = documents(spark, folder).join(load(spark, folder, "labels"), "doc_id").select(
         "doc_id", "text",
         F.element_at(F.create_map(*[F.lit(x) for x in ("en", "english", "fr", "french", "de", "german", "es", "spanish")]), F.col("lang")).alias("gold_class"),
         F.when(F.col("toxic") == 1, "escalate").otherwise("auto_handle").alias("gold_decision"),
@@ -464,8 +471,12 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     def answer(which: Column, decision: Column, reply: Column) -> Column:
         return F.struct(which.alias("class"), decision.alias("decision"), reply.alias("draft_reply"))
 
-    by_rule = R.first_class(text, P.LANGUAGE_RULES, P.OTHER)
-    keyword_decision = F.when(T.matches(text, P.ESCALATE), "escalate").otherwise("auto_handle")
+    examples = evaluate_once(
+        examples,
+        {"rule_class": R.first_class(text, P.LANGUAGE_RULES, P.OTHER), "rule_hit": T.matches(text, P.ESCALATE)},
+    )
+    by_rule = F.col("rule_class")
+    keyword_decision = F.when(F.col("rule_hit"), "escalate").otherwise("auto_handle")
     length_class = F.when(F.col("n_chars") > 1000, F.lit("english")).otherwise(F.lit("german"))
     length_decision = F.when(F.col("n_chars") < 800, "escalate").otherwise("auto_handle")
     systems = {

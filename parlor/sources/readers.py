@@ -9,6 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlor.sources import schemas
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    Files that cannot be split (one row group, multi-line CSV) would keep most cores idle. A
+    table with enough splits is returned as it is, so a large one is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
