@@ -46,12 +46,12 @@ def first_class(text: Column, rules: Sequence[Rule], default: str) -> Column:
     return F.coalesce(*[F.when(text.rlike(any_case(r.pattern)), F.lit(r.code)) for r in rules], F.lit(default))
 
 
-def keyword_hit(text: Column, which: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
-    """Whether any keyword of the row's class is a substring of the lowered text.
+def keyword_hit(lowered: Column, which: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """Whether any keyword of the row's class is a substring of the (lowered) text.
 
-    Only the keywords of the class named by ``which`` are searched for each row.
+    Only the keywords of the class named by ``which`` are searched for each row. Pass a column
+    that already holds the lowered text: an expression would be evaluated for every keyword.
     """
-    lowered = F.lower(text)
     hit = None
     for name, terms in keywords.items():
         test = contains_any(lowered, terms)
@@ -59,9 +59,8 @@ def keyword_hit(text: Column, which: Column, keywords: Mapping[str, Sequence[str
     return F.lit(False) if hit is None else F.coalesce(hit.otherwise(F.lit(False)), F.lit(False))
 
 
-def keyword_classes(text: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
-    """Array of every class with at least one keyword in the text, in table order."""
-    lowered = F.lower(text)
+def keyword_classes(lowered: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
+    """Array of every class with at least one keyword in the (lowered) text, in table order."""
     return F.filter(
         F.array(*[F.when(contains_any(lowered, terms), F.lit(name)) for name, terms in keywords.items()]),
         lambda c: c.isNotNull(),
@@ -107,7 +106,7 @@ def route(
 
 
 def label_ladder(
-    text: Column,
+    lowered: Column,
     which: Column,
     confidence: Column,
     rules: Sequence[TermRule],
@@ -115,12 +114,11 @@ def label_ladder(
     catch_all: str,
     catch_all_confidence: float = 0.40,
 ) -> Column:
-    """Reference label of a message: ``struct(decision, reason)`` by substring terms."""
+    """Reference label of a (lowered) message: ``struct(decision, reason)`` by substring terms."""
 
     def step(decision: str, reason: str) -> Column:
         return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
 
-    lowered = F.lower(text)
     ladder = F.when(F.lit(False), step("", ""))
     for rule in rules:
         test = contains_any(lowered, rule.terms)

@@ -107,9 +107,13 @@ def rubric(
     empathy_terms: Sequence[str] = D.RUBRIC_EMPATHY_TERMS,
     money_term: str = D.RUBRIC_MONEY_TERM,
     generic_reply: str = D.GENERIC_REPLY,
+    lowered: Column | None = None,
 ) -> Column:
-    """Deterministic reply score on four dimensions; escalated rows score null."""
-    lowered = F.lower(reply)
+    """Deterministic reply score on four dimensions; escalated rows score null.
+
+    ``lowered`` is a column with the lowered reply, to lower long replies once only.
+    """
+    lowered = F.lower(reply) if lowered is None else lowered
     money = reply.contains("$") | lowered.contains(money_term)
     short = F.length(reply) < 30
     contact = contains_any(lowered, contact_terms)

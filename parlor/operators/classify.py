@@ -28,7 +28,7 @@ def nearest_centroid(
     text = F.col(text_col)
     blank = F.coalesce(T.strip(text) == "", F.lit(True))
     names = F.array(*[F.lit(c) for c, _ in table])
-    scored = df.withColumn("_r", ranked_scores(F.when(~blank, F.col(vector_col)), table))
+    scored = df.withColumn("_r", ranked_scores(F.when(~blank, F.col(vector_col)), table)).withColumn("_lower", F.lower(text))
     scores, order = F.col("_r.scores"), F.col("_r.best")
 
     def place(i: int) -> Column:
@@ -41,8 +41,8 @@ def nearest_centroid(
     best = S.boosted(
         top,
         second,
-        R.keyword_hit(text, top["class"], keywords),
-        R.keyword_hit(text, second["class"], keywords),
+        R.keyword_hit(F.col("_lower"), top["class"], keywords),
+        R.keyword_hit(F.col("_lower"), second["class"], keywords),
         threshold=threshold,
     )
     margin = top["score"] - second["score"]
@@ -63,7 +63,7 @@ def nearest_centroid(
                 "class_scores": F.coalesce(listed, nothing),
             }
         )
-        .drop("_r", "_best")
+        .drop("_r", "_best", "_lower")
     )
 
 

@@ -44,10 +44,19 @@ def shared_keys(a: DataFrame, b: DataFrame, a_key: Column, b_key: Column) -> Dat
 
 
 def shared_texts(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFrame:
-    """Texts equal after lowering and stripping, joined by digest: ``(digest, rows_a, rows_b)``."""
-    left = a.groupBy(T.digest(T.text_key(F.col(a_col))).alias("digest")).agg(F.count("*").alias("rows_a"))
-    right = b.groupBy(T.digest(T.text_key(F.col(b_col))).alias("digest")).agg(F.count("*").alias("rows_b"))
-    return left.dropna(subset=["digest"]).join(right, "digest")
+    """Texts equal after lowering and stripping: ``(digest, rows_a, rows_b)``.
+
+    One aggregation over both sides instead of a join; copies combine before the shuffle.
+    """
+    digests = _tagged(a, T.digest(T.text_key(F.col(a_col))), 1).unionByName(_tagged(b, T.digest(T.text_key(F.col(b_col))), 2))
+    counts = digests.groupBy(F.col("key").alias("digest")).agg(
+        F.count_if(F.col("side") == 1).alias("rows_a"), F.count_if(F.col("side") == 2).alias("rows_b")
+    )
+    return counts.where((F.col("rows_a") > 0) & (F.col("rows_b") > 0))
+
+
+def _tagged(df: DataFrame, key: Column, side: int) -> DataFrame:
+    return df.select(key.alias("key"), F.lit(side).alias("side")).where(F.col("key").isNotNull())
 
 
 def leakage_audit(
@@ -61,18 +70,32 @@ def leakage_audit(
     evaluation_text: str,
     seed_text: str | None = None,
 ) -> DataFrame:
-    """One row per check with the number of shared keys; 0 everywhere means no leak."""
+    """One row per check with the number of shared keys; 0 everywhere means no leak.
 
-    def counted(name: str, shared: DataFrame) -> DataFrame:
-        return shared.agg(F.count("*").alias("shared")).select(F.lit(name).alias("check"), "shared")
+    Every table is read once. Ids and text digests are grouped together, and the sides that hold
+    a key are collected as bits: 1 corpus, 2 evaluation set, 4 seeds.
+    """
+
+    def keys(df: DataFrame, side: int, text_col: str, id_col: str | None = None) -> DataFrame:
+        kinds = [F.struct(F.lit("text").alias("kind"), T.digest(T.text_key(F.col(text_col))).alias("key"))]
+        if id_col is not None:
+            kinds.append(F.struct(F.lit("id").alias("kind"), F.col(id_col).cast("string").alias("key")))
+        return df.select(F.inline(F.array(*kinds)), F.lit(side).alias("side")).where(F.col("key").isNotNull())
 
-    checks = [
-        counted("corpus_evaluation_ids", shared_keys(corpus, evaluation, F.col(corpus_id).cast("string"), F.col(evaluation_id).cast("string"))),
-        counted("corpus_evaluation_texts", shared_texts(corpus, evaluation, corpus_text, evaluation_text)),
-    ]
+    tagged = keys(corpus, 1, corpus_text, corpus_id).unionByName(keys(evaluation, 2, evaluation_text, evaluation_id))
+    checks = [("corpus_evaluation_ids", "id", 3), ("corpus_evaluation_texts", "text", 3)]
     if seeds is not None and seed_text is not None:
-        checks.append(counted("evaluation_seed_texts", shared_texts(evaluation, seeds, evaluation_text, seed_text)))
-    return reduce(DataFrame.unionByName, checks)
+        tagged = tagged.unionByName(keys(seeds, 4, seed_text))
+        checks.append(("evaluation_seed_texts", "text", 6))
+    sides = tagged.groupBy("kind", "key").agg(F.bit_or("side").alias("sides"))
+
+    def shared(kind: str, bits: int) -> Column:
+        return F.count_if((F.col("kind") == kind) & (F.col("sides").bitwiseAND(F.lit(bits)) == bits))
+
+    counts = sides.agg(
+        F.array(*[F.struct(F.lit(name).alias("check"), shared(kind, bits).alias("shared")) for name, kind, bits in checks]).alias("c")
+    )
+    return counts.select(F.inline("c"))
 
 
 def distribution(df: DataFrame, *columns: str) -> DataFrame:

@@ -48,11 +48,14 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
         _running_counts(keyed, [])
         .where(F.col("_before") + F.col("_rows") >= n)
         .agg(
-            F.coalesce(F.min("_bucket"), F.lit(AFTER_LAST_BUCKET)).alias("bucket"),
-            F.coalesce(F.min("_before"), F.lit(0)).alias("before"),
+            F.struct(
+                F.coalesce(F.min("_bucket"), F.lit(AFTER_LAST_BUCKET)).alias("bucket"),
+                F.coalesce(F.min("_before"), F.lit(0)).alias("before"),
+            )
         )
+        .scalar()
     )
-    bucket, before = cut.select("bucket").scalar(), cut.select("before").scalar()
+    bucket, before = cut["bucket"], cut["before"]
     return (
         keyed.where(F.col("_bucket") <= bucket)
         .withColumn("_position", _rank_in_bucket([], id_col))

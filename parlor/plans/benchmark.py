@@ -55,8 +55,11 @@ def benchmark(
     """
     reply, decision = F.col("draft_reply"), F.col("decision")
     use_answers = judge_mode == "llm" and judge_answer is not None
-    scores = S.judged(F.col(judge_answer), reply, decision) if use_answers else S.rubric(reply, decision)
-    scored = predictions.withColumn("scores", scores).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    lowered = F.col("_lower")
+    scores = (
+        S.judged(F.col(judge_answer), reply, decision, lowered=lowered) if use_answers else S.rubric(reply, decision, lowered=lowered)
+    )
+    scored = predictions.withColumn("_lower", F.lower(reply)).withColumn("scores", scores).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
     cube = M.sliced(M.evaluation_cube(scored, ["system", flag]), flag)
     return M.benchmark_report(cube, ["system", "slice"], judge_mode)
 

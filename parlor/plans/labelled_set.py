@@ -56,9 +56,9 @@ def build_labelled_set(
     unused = distinct.join(fixed_cases.select(digest).distinct(), "_digest", "left_anti").drop("_digest")
     drawn = number_rows(quota_sample(unused, "class", quotas, "thread_id", seed), sum(quotas.values()), seed)
     ladder = R.label_ladder(
-        F.col("customer_message"), F.col("class"), F.col("confidence"), label_terms, catch_all=catch_all
+        F.col("_lower"), F.col("class"), F.col("confidence"), label_terms, catch_all=catch_all
     )
-    sampled = drawn.withColumn("_label", ladder).select(
+    sampled = drawn.withColumn("_lower", F.lower("customer_message")).withColumn("_label", ladder).select(
         T.numbered_id(id_prefix, F.col("_rank") + fixed_count).alias("example_id"),
         F.col("thread_id").cast("string").alias("thread_id"),
         "customer_message",

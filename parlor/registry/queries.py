@@ -67,8 +67,9 @@ def rule_first_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyword_hits(spark: SparkSession, folder: str) -> DataFrame:
     """F7."""
-    hits = R.keyword_classes(F.col("text"), P.TERMS)
-    return documents(spark, folder).select("doc_id", F.concat_ws(",", hits).alias("classes"))
+    hits = R.keyword_classes(F.col("lower"), P.TERMS)
+    lowered = documents(spark, folder).select("doc_id", F.lower("text").alias("lower"))
+    return lowered.select("doc_id", F.concat_ws(",", hits).alias("classes"))
 
 
 def keyword_baseline(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,8 +88,8 @@ def label_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """F16."""
     which = R.first_class(F.col("text"), P.LANGUAGE_RULES, P.OTHER)
     confidence = F.when(F.length("text") > 500, F.lit(0.7)).otherwise(F.lit(0.3))
-    docs = documents(spark, folder).withColumn("class", which).withColumn("confidence", confidence)
-    label = R.label_ladder(F.col("text"), F.col("class"), F.col("confidence"), P.LABEL_TERMS, catch_all=P.OTHER)
+    docs = evaluate_once(documents(spark, folder), {"class": which, "confidence": confidence, "lower": F.lower("text")})
+    label = R.label_ladder(F.col("lower"), F.col("class"), F.col("confidence"), P.LABEL_TERMS, catch_all=P.OTHER)
     return docs.withColumn("l", label).select("doc_id", "class", "l.decision", "l.reason")
 
 
@@ -500,9 +501,10 @@ def benchmark_table(spark: SparkSession, folder: str) -> DataFrame:
 def _rubric(spark: SparkSession, folder: str) -> DataFrame:
     decision = F.when(F.col("role") == "assistant", "auto_handle").otherwise("escalate")
     scores = S.rubric(
-        F.col("text"), decision, contact_terms=P.RUBRIC_CONTACT, empathy_terms=P.RUBRIC_EMPATHY, money_term=P.RUBRIC_MONEY
+        F.col("text"), decision, contact_terms=P.RUBRIC_CONTACT, empathy_terms=P.RUBRIC_EMPATHY, money_term=P.RUBRIC_MONEY,
+        lowered=F.col("lower"),
     )
-    return load(spark, folder, "conversations").withColumn("scores", scores)
+    return load(spark, folder, "conversations").withColumn("lower", F.lower("text")).withColumn("scores", scores)
 
 
 def rubric(spark: SparkSession, folder: str) -> DataFrame:

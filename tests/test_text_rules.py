@@ -109,10 +109,10 @@ def test_rule_gap_stops_at_line_feed_only(spark):
 
 def test_keywords_are_substrings_and_class_rules_are_words(spark):
     df = texts(spark, ["that is related", "my bags"])
-    assert values(df, R.keyword_hit(F.col("t"), F.lit("flight_delay_cancellation"), D.KEYWORDS)) == [True, False]
+    assert values(df, R.keyword_hit(F.lower("t"), F.lit("flight_delay_cancellation"), D.KEYWORDS)) == [True, False]
     assert values(df, R.first_class(F.col("t"), D.CLASS_RULES, D.CATCH_ALL)) == ["other_unclear", "baggage_issue"]
-    assert values(df, R.keyword_hit(F.col("t"), F.lit("unknown"), D.KEYWORDS)) == [False, False]
-    assert values(df, R.keyword_classes(F.col("t"), D.KEYWORDS)) == [["flight_delay_cancellation"], ["baggage_issue"]]
+    assert values(df, R.keyword_hit(F.lower("t"), F.lit("unknown"), D.KEYWORDS)) == [False, False]
+    assert values(df, R.keyword_classes(F.lower("t"), D.KEYWORDS)) == [["flight_delay_cancellation"], ["baggage_issue"]]
 
 
 def test_label_ladder(spark):
@@ -125,7 +125,7 @@ def test_label_ladder(spark):
         (5, "hello", "other_unclear", 0.40, "auto_handle", "standard_operational_resolution"),
     ]
     df = spark.createDataFrame([r[:4] for r in rows], "i int, t string, c string, p double")
-    label = R.label_ladder(F.col("t"), F.col("c"), F.col("p"), D.LABEL_TERMS, catch_all=D.CATCH_ALL)
+    label = R.label_ladder(F.lower("t"), F.col("c"), F.col("p"), D.LABEL_TERMS, catch_all=D.CATCH_ALL)
     got = [tuple(r) for r in df.select("i", label.alias("l")).orderBy("i").select("l.*").collect()]
     assert got == [r[4:] for r in rows]
 
