@@ -99,6 +99,15 @@ def draft_prompt(which: Column, message: Column, snippets: Column) -> Column:
     )
 
 
+def judge_prompt(message: Column, sketch: Column, precedent: Column, reply: Column) -> Column:
+    """Prompt that asks a judge to score one reply."""
+    return F.concat(
+        F.lit('Message: "'), message, F.lit('"\nMust contain: "'), F.coalesce(sketch, F.lit("")),
+        F.lit('"\nPrecedent: "'), F.coalesce(precedent, F.lit("None")), F.lit('"\nReply: "'), reply,
+        F.lit('"\n\nScores as JSON:'),
+    )
+
+
 def rubric(
     reply: Column,
     decision: Column,

@@ -89,7 +89,7 @@ def replies_from_join(found: DataFrame, replies: DataFrame, query_id: str) -> Da
 
     A reply that suits very many queries is spread by the salted join.
     """
-    found = durable(found)
+    found = durable(found)  # read for the ids and again for the scores
     wanted = found.select(query_id, F.posexplode("_kept").alias("_at", "_m")).select(
         query_id, "_at", F.col("_m.id").alias("thread_id")
     )
@@ -121,8 +121,10 @@ def retrieve(
     """
     pool = corpus.select(F.col("thread_id"), F.col("embedding").alias(vector_col), "class", "is_boilerplate", "agent_reply")
     small = fits_broadcast(pool, vector_col, ["class", "is_boilerplate", "agent_reply"], max_broadcast_bytes)
+    # Beyond the bound only ids, classes and vectors take part in the search.
+    asked = queries if small else queries.select(query_id, class_col, vector_col)
     found = top_similar(
-        queries,
+        asked,
         pool.drop("agent_reply"),
         top_k * 10,
         query_id=query_id,
@@ -135,7 +137,11 @@ def retrieve(
     kept = rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)
     found = found.withColumn("_kept", kept).drop("candidates")
     replies = pool.select("thread_id", "agent_reply")
-    ranked = replies_from_broadcast(found, replies) if small else replies_from_join(found, replies, query_id)
+    if small:
+        ranked = replies_from_broadcast(found, replies)
+    else:
+        joined = replies_from_join(found.drop(class_col, vector_col), replies, query_id)
+        ranked = queries.join(joined, query_id, "left")
     raw = F.transform("matches", lambda m: m["raw_similarity"])
     total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
     return ranked.withColumns(

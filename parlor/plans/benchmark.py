@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import scoring as S, text as T
 from parlor.operators import metrics as M
+from parlor.sources import writers
 
 REPORT_COLUMNS = {
     "System": "system",
@@ -104,3 +105,38 @@ def report_fields(slices: Sequence[str] = (M.OVERALL, M.NATURAL, M.ADVERSARIAL))
         "escalation": F.struct(*escalation),
         "judge_quality": F.struct(*judge),
     }
+
+
+def run_benchmark(
+    evaluation: DataFrame,
+    systems: Mapping[str, DataFrame],
+    human: DataFrame,
+    output: str,
+    *,
+    audited_system: str,
+    judge_mode: str = "heuristic",
+    judge_answer: str | None = None,
+) -> DataFrame:
+    """Score every system on the evaluation set and write the three reports.
+
+    ``evaluation`` has ``example_id`` and the gold columns; ``systems`` maps a name to its
+    predictions ``(example_id, class, decision, draft_reply)``; ``human`` has ``example_id`` and one
+    column per rubric dimension. Writes ``summary`` (JSON), ``table`` (CSV) and ``agreement`` (JSON),
+    and returns the metrics per system and slice.
+    """
+    columns = ["example_id", "class", "decision", "draft_reply", *([judge_answer] if judge_answer else [])]
+    gold = evaluation.select("example_id", "gold_class", "gold_decision", "is_adversarial")
+    stacked = union_predictions({name: df.select(*columns) for name, df in systems.items()}).join(gold, "example_id")
+    results = benchmark(stacked, judge_mode=judge_mode, judge_answer=judge_answer)
+    writers.write_report_json(writers.report_json(report_rows(results), "system", report_fields()), f"{output}/summary")
+    writers.write_report_csv(report_table(results), f"{output}/table")
+
+    audited = systems[audited_system]
+    reply, decision = F.col("draft_reply"), F.col("decision")
+    use_answers = judge_mode == "llm" and judge_answer is not None
+    scores = S.judged(F.col(judge_answer), reply, decision) if use_answers else S.rubric(reply, decision)
+    judge = audited.select("example_id", scores.alias("s")).select("example_id", "s.*")
+    agreed = M.agreement(judge, human)
+    metrics = {c: F.col(c) for c in agreed.columns if c != "dimension"}
+    writers.write_report_json(writers.report_json(agreed, "dimension", metrics), f"{output}/agreement")
+    return results

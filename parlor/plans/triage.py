@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor import defaults as D
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.operators.classify import nearest_centroid
-from parlor.operators.responses import class_override
+from parlor.operators.responses import class_override, lookup_responses, with_response_key
 from parlor.operators.retrieve import retrieve
 
 OUTPUT = [
@@ -18,6 +18,11 @@ OUTPUT = [
 ]
 
 
+def class_prompt(message: Column) -> Column:
+    """Prompt that asks for the class of one message."""
+    return F.concat(F.lit('Customer message: "'), message, F.lit('"\nClass:'))
+
+
 def triage(
     messages: DataFrame,
     corpus: DataFrame,
@@ -40,6 +45,10 @@ def triage(
     top_k: int = 3,
     class_answer_col: str | None = None,
     classes: Sequence[str] = D.CLASSES,
+    responses: DataFrame | None = None,
+    model: str = "offline",
+    class_system_text: str = "",
+    reply_system_text: str = "",
     exclude_same_id: bool = False,
     max_broadcast_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
@@ -47,7 +56,10 @@ def triage(
 
     With a corpus within the broadcast bound the whole plan is map-only, so the same function
     runs on a stream. A row that hits a hard rule is hidden from the retrieval.
-    ``class_answer_col`` names a column with a stored class answer for unsure rows.
+    ``class_answer_col`` names a column with a stored class answer for unsure rows. Alternatively
+    ``responses`` is a table of stored answers: it is joined by prompt key, first for the class
+    of unsure rows and then for the reply of every row without a rule hit. An answer that is not
+    stored leaves the deterministic result in place.
     """
     prepared = messages.withColumns(
         {"customer_message": T.strip(F.coalesce(F.col(text_col), F.lit("")))}
@@ -55,6 +67,12 @@ def triage(
     classified = nearest_centroid(
         prepared, "customer_message", vector_col, table, keywords=keywords, catch_all=catch_all, threshold=min_confidence
     )
+    if responses is not None:
+        asked = F.when(F.col("needs_fallback"), class_prompt(F.col("customer_message")))
+        keyed = with_response_key(classified, asked, F.lit(class_system_text), F.lit(model))
+        class_answer_col = "_class_answer"
+        classified = lookup_responses(keyed, responses, F.col(id_col)).withColumnRenamed("response", class_answer_col)
+        classified = classified.drop("prompt", "cache_key")
     if class_answer_col is not None:
         decided = class_override(
             F.col("needs_fallback"), F.col(class_answer_col), F.col("class"), F.col("confidence"), classes
@@ -77,6 +95,12 @@ def triage(
         max_broadcast_bytes=max_broadcast_bytes,
     )
     hit = F.col("_rule").isNotNull()
+    stored_reply = F.lit("")
+    if responses is not None:
+        asked = S.draft_prompt(F.col("class"), F.col("customer_message"), S.precedent_snippets(F.col("matches")))
+        keyed = with_response_key(grounded, F.when(~hit, asked), F.lit(reply_system_text), F.lit(model))
+        grounded = lookup_responses(keyed, responses, F.col(id_col)).withColumnRenamed("response", "_reply_answer")
+        stored_reply = F.col("_reply_answer")
     route = R.route(
         F.col("confidence"),
         F.col("best_similarity"),
@@ -102,7 +126,9 @@ def triage(
         {
             "decision": F.col("_route.decision"),
             "reason_code": F.col("_route.reason_code"),
-            "draft_reply": F.when(hit, F.lit(hard_rule_reply)).otherwise(S.choose_reply(F.col("matches"), template)),
+            "draft_reply": F.when(hit, F.lit(hard_rule_reply))
+            .when(stored_reply != "", T.strip_quotes(stored_reply))
+            .otherwise(S.choose_reply(F.col("matches"), template)),
             "trace": trace,
         }
     )

@@ -12,7 +12,7 @@ from parlor.operators import classify, cluster, evalsets, knn, metrics as M, res
 from parlor.operators.once import evaluate_once
 from parlor.plans.benchmark import benchmark, report_table, stack_systems
 from parlor.plans.labelled_set import build_labelled_set
-from parlor.plans.triage import triage
+from parlor.plans.triage import class_prompt, triage
 from parlor.registry import parameters as P
 from parlor.session import durable
 from parlor.sources import readers
@@ -398,7 +398,7 @@ def triage_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
-    prompt = F.concat(F.lit('Customer message: "'), F.col("text"), F.lit('"\nClass:'))
+    prompt = class_prompt(F.col("text"))
     docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
     return responses.with_response_key(docs, prompt, F.lit(P.SYSTEM_TEXT), F.lit(P.MODEL))
 

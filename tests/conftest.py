@@ -10,6 +10,6 @@ from parlor.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, memory="8g")
+    session = local_session(4, memory="8g", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     return session

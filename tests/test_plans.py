@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from parlor import defaults as D
 from parlor.functions import scoring as S
-from parlor.operators import evalsets, responses as X
+from parlor.operators import classify, evalsets, responses as X, vectors
 from parlor.plans.labelled_set import build_labelled_set
-from parlor.plans.triage import triage
+from parlor.plans.benchmark import run_benchmark
+from parlor.plans.index import build_index, train_centroids
+from parlor.plans.triage import class_prompt, triage
 from parlor.sources import readers, schemas, writers
 from parlor.streaming.triage_stream import stream_triage
 
@@ -74,6 +76,24 @@ def test_triage_with_a_stored_class_answer(spark, corpus):
     assert empty["class"] == "baggage_issue"
 
 
+def test_triage_with_stored_answers(spark, corpus):
+    asked = messages(spark).where("id in (1, 2, 7)")
+    options = dict(class_system_text="C", reply_system_text="R", model="m")
+    class_key = X.with_response_key(asked.where("id = 7"), class_prompt(F.trim("text")), F.lit("C"), F.lit("m"))
+    classes = class_key.select("cache_key", "prompt", F.lit("other_unclear").alias("response"))
+    grounded = {r["id"]: r for r in decide(asked, corpus, responses=classes, **options).collect()}
+    assert (grounded[7]["class"], grounded[7]["confidence"]) == ("other_unclear", 0.75)
+    assert grounded[1]["draft_reply"] == "Please file a claim at our office"
+    prompt = S.draft_prompt(F.lit("baggage_issue"), F.lit("My bag is gone"), F.lit(
+        'Precedent 1: "Please file a claim at our office"\nPrecedent 2: "short"\nPrecedent 3: "Thanks for the kind words, see you"'
+    ))
+    replies = X.with_response_key(spark.range(1), prompt, F.lit("R"), F.lit("m")).select("cache_key", "prompt", F.lit(' "A drafted reply" ').alias("response"))
+    got = {r["id"]: r for r in decide(asked, corpus, responses=classes.unionByName(replies), **options).collect()}
+    assert got[1]["draft_reply"] == "A drafted reply"
+    assert got[2]["draft_reply"] == D.HARD_RULE_REPLY
+    assert got[7]["draft_reply"] == grounded[7]["draft_reply"]
+
+
 def test_stream_gives_the_batch_result(spark, corpus, tmp_path):
     source, output = str(tmp_path / "in"), str(tmp_path / "out")
     messages(spark).repartition(3).write.parquet(source)
@@ -89,7 +109,8 @@ def test_stream_gives_the_batch_result(spark, corpus, tmp_path):
 def test_triage_plan_is_map_only(spark, corpus):
     plan = decide(messages(spark), corpus)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
-    assert plan.count("ArrowEvalPython") == 2
+    # Scores, search and reply texts: each Python stage appears once.
+    assert plan.count("ArrowEvalPython") == 3
 
 
 def test_reply_choice_and_snippets(spark):
@@ -198,3 +219,40 @@ def test_class_override(spark):
     o = X.class_override(F.col("f"), F.col("a"), F.lit("other"), F.col("p"), ["bag", "other"])
     got = [tuple(r) for r in df.select("i", o.alias("o")).orderBy("i").select("o.*").collect()]
     assert got == [("bag", 0.75, True), ("bag", 0.9, True), ("other", 0.3, False), ("other", 0.3, False), ("other", 0.3, False)]
+
+
+def test_from_seeds_to_reports(spark, tmp_path):
+    seeds = spark.createDataFrame(
+        [("baggage_issue", "my bag is lost"), ("baggage_issue", "where is my lost suitcase"), ("refund_compensation_request", "refund my ticket"),
+         ("refund_compensation_request", "i want a refund now"), ("other_unclear", "hello nice weather")],
+        "class string, text string",
+    )
+    model = vectors.hashing_encoder(seeds, "text", 512)
+    encode = lambda df, text, out: vectors.hashed_vectors(df.withColumnRenamed(text, "text"), "text", out, model).withColumnRenamed("text", text)
+    classes = spark.createDataFrame([(c, i, "") for i, c in enumerate(D.CLASSES)], schemas.CLASSES)
+    centroids = train_centroids(seeds, classes, encode, str(tmp_path / "centroids"))
+    assert centroids.count() == 3
+    threads = spark.createDataFrame(
+        [("t1", "my bag is lost again", "Please see the baggage office today", False), ("t2", "please refund the ticket", "Submit a refund form online please", False), ("t3", "tiny", "x", False)],
+        "thread_id string, customer_message string, agent_reply string, is_boilerplate boolean",
+    )
+    corpus = build_index(threads, centroids, encode, str(tmp_path / "corpus"))
+    assert {r["thread_id"]: r["class"] for r in corpus.collect()} == {"t1": "baggage_issue", "t2": "refund_compensation_request"}
+
+    evaluation = spark.createDataFrame(
+        [("gold-001", "where is my bag", "baggage_issue", "auto_handle", False), ("gold-002", "my lawyer will sue", "other_unclear", "escalate", True)],
+        "example_id string, customer_message string, gold_class string, gold_decision string, is_adversarial boolean",
+    )
+    table = vectors.centroid_list(centroids, D.CLASSES)
+    agent = triage(encode(evaluation, "customer_message", "embedding"), corpus, table, id_col="example_id", text_col="customer_message", min_similarity=0.1, min_confidence=0.1)
+    systems = {
+        "constant": classify.constant_baseline(evaluation), "keyword": classify.keyword_baseline(evaluation, "customer_message"), "agent": agent,
+    }
+    human = spark.createDataFrame([("gold-001", 4, 4, 4, 4, 4.0)], "example_id string, groundedness int, correctness int, tone_empathy int, completeness int, overall double")
+    results = run_benchmark(evaluation, systems, human, str(tmp_path / "out"), audited_system="agent")
+    got = {(r["system"], r["slice"]): r for r in results.collect()}
+    assert got["agent", "overall"]["true_positives"] == 1 and got["constant", "overall"]["false_negatives"] == 1
+    assert got["agent", "natural_heldout"]["accuracy"] == 1.0
+    for name, rows in (("summary", 3), ("agreement", 5)):
+        assert spark.read.text(str(tmp_path / "out" / name)).count() == rows
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "table")).count() == 3
