@@ -8,7 +8,8 @@ Two ways to the same result:
   angle of its n-th neighbour from per-cell summaries, skips every cell the triangle inequality
   rules out, and meets the rest in blocks of bounded size that keep n rows per query.
 
-Similarities are rounded to nine decimals before ranking; ties go to the smaller corpus id.
+Ranking compares similarities rounded to nine decimals, and ties go to the smaller corpus id;
+the similarity returned is not rounded.
 """
 
 from __future__ import annotations
@@ -50,13 +51,14 @@ def _search(query_ids, queries: np.ndarray, corpus_ids, corpus: np.ndarray, n: i
     position = {c: i for i, c in enumerate(corpus_ids)} if exclude_same_id else {}
     step = max(1, PRODUCT_CELLS // max(1, len(corpus_ids)))
     for start in range(0, len(queries), step):
-        sims = np.round(queries[start : start + step] @ corpus.T, DIGITS) + 0.0
-        for i, row in enumerate(sims):
+        sims = queries[start : start + step] @ corpus.T
+        ranks = np.round(sims, DIGITS)
+        for i, row in enumerate(ranks):
             same = position.get(query_ids[start + i]) if exclude_same_id else None
             if same is not None:
                 row[same] = -np.inf
             best = _best(row, n)
-            yield start + i, best, row[best]
+            yield start + i, best, sims[i, best]
 
 
 def candidate_type(corpus: DataFrame, corpus_id: str, extra: Sequence[str]) -> T.ArrayType:
@@ -248,7 +250,7 @@ def search_cells(
         )[pair_schema.names]
 
     per_block = visiting.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(match, pair_schema)
-    order = W.partitionBy("query").orderBy(F.col("similarity").desc(), F.col("id"))
+    order = W.partitionBy("query").orderBy(F.bround("similarity", DIGITS).desc(), F.col("id"))
     return per_block.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
 
@@ -270,7 +272,7 @@ def top_similar(
         return search_broadcast(queries, corpus.where(F.col(vector_col).isNotNull()), n, **options)
     pairs = search_cells(queries, corpus, n, **options)
     # At most n small rows per query are gathered.
-    keyed = F.struct((-F.col("similarity")).alias("k"), F.col("id"), F.struct("id", "similarity", *extra).alias("c"))
+    keyed = F.struct((-F.bround("similarity", DIGITS)).alias("k"), F.col("id"), F.struct("id", "similarity", *extra).alias("c"))
     gathered = pairs.groupBy("query").agg(F.array_sort(F.collect_list(keyed)).alias("_c"))
     listed = gathered.select(F.col("query").alias(query_id), F.transform("_c", lambda x: x["c"]).alias("candidates"))
     empty = F.array().cast(candidate_type(corpus, corpus_id, extra))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parlor import defaults as D
 from parlor.functions import scoring as S
 from parlor.operators.classify import nearest_centroid
-from parlor.operators.knn import fits_broadcast, top_similar
+from parlor.operators.knn import DIGITS, fits_broadcast, top_similar
 from parlor.operators.sampling import sample_n
 from parlor.operators.skew import salted_join
 from parlor.operators.threads import long_enough
@@ -53,7 +53,7 @@ def rerank(candidates: Column, predicted: Column, top_k: int, catch_all: str = D
         score = S.half_even(S.ranking_score(c["similarity"], c["class"], predicted, c["is_boilerplate"], catch_all=catch_all), 4)
         return F.struct(
             (-score).alias("k"),
-            (-c["similarity"]).alias("s"),
+            (-S.half_even(c["similarity"], DIGITS)).alias("s"),
             c["id"].alias("id"),
             F.struct(
                 c["id"].alias("id"),

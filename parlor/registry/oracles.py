@@ -191,11 +191,11 @@ def retrieved(source: str) -> str:
     return f"""{corpus()},
     sims AS (
         SELECT q.doc_id, c.thread_id, c.class, c.is_boilerplate, q.class AS predicted,
-               round_even(list_dot_product(q.v, c.v), 9) AS similarity
+               list_dot_product(q.v, c.v) AS similarity
         FROM {source} q JOIN corpus c ON c.thread_id <> q.doc_id),
     pool AS (
         SELECT * FROM sims
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, thread_id) <= 30),
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round_even(similarity, 9) DESC, thread_id) <= 30),
     adjusted AS (
         SELECT *, round_even(
             CASE WHEN is_boilerplate
@@ -204,7 +204,7 @@ def retrieved(source: str) -> str:
             round_even(similarity, 4) AS raw_similarity
         FROM pool),
     top AS (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ranking_score DESC, similarity DESC, thread_id) AS rank
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ranking_score DESC, round_even(similarity, 9) DESC, thread_id) AS rank
         FROM adjusted QUALIFY rank <= 3),
     best AS (
         SELECT doc_id, round_even(max(raw_similarity), 4) AS best_similarity,
@@ -392,7 +392,7 @@ def audit(table: str, columns: list[str]) -> str:
 
 CANDIDATES = """
     SELECT a.vec_id, b.vec_id AS neighbour,
-           round_even(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
+           list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
     FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"""
 
 ORACLES: dict[str, str] = {
@@ -516,7 +516,7 @@ ORACLES: dict[str, str] = {
         SELECT thread_id, class, is_boilerplate, length(reply) AS reply_chars, len(v) AS dimensions FROM corpus""",
     "knn_candidates": f"""
         WITH sims AS ({CANDIDATES}),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, neighbour) AS rank FROM sims QUALIFY rank <= 30)
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round_even(similarity, 9) DESC, neighbour) AS rank FROM sims QUALIFY rank <= 30)
         SELECT vec_id, rank, neighbour, round_even(similarity, 6) AS similarity FROM ranked""",
     "rerank_topk": f"""WITH {CLASSIFIED}, {retrieved('classified')}
         SELECT doc_id, rank, thread_id AS match_id, raw_similarity, ranking_score, best_similarity, mean_similarity

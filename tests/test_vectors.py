@@ -60,7 +60,7 @@ def test_cell_search_is_exact(points, cells, block, chunk):
     )
     got = {}
     for r in found.collect():
-        got.setdefault(r["query"], []).append((-r["similarity"], r["id"]))
+        got.setdefault(r["query"], []).append((-round(r["similarity"], knn.DIGITS), r["id"]))
     expected = brute(x, 7)
     assert {q: [i for _, i in sorted(m)] for q, m in got.items()} == expected
 
@@ -72,8 +72,10 @@ def test_both_searches_give_one_shape(points, spark):
     small = knn.top_similar(queries, df, 5, **options)
     large = knn.top_similar(queries, df, 5, max_broadcast_bytes=0, **options)
     assert small.schema["candidates"].dataType == large.schema["candidates"].dataType
-    a = {r["q"]: r["candidates"] for r in small.collect()}
-    b = {r["q"]: r["candidates"] for r in large.collect()}
+    def shown(found):
+        return {r["q"]: [(c["id"], round(c["similarity"], 9), c["c"]) for c in r["candidates"]] for r in found.collect()}
+
+    a, b = shown(small), shown(large)
     assert a == b and a[999] == []
 
 
