@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,15 +21,16 @@ from parlor.session import durable
 
 
 def silhouette_points(
-    df: DataFrame, id_col: str, cluster_col: str, vector_col: str, block_rows: int = 2048
+    df: DataFrame, id_col: str, cluster_col: str, vector_col: str, block_rows: int = 2048, rows: int | None = None
 ) -> DataFrame:
     """``(id, cluster, a, b, silhouette)`` per point, with Euclidean distances.
 
     Points meet in block pairs of bounded size. A pair returns one distance sum per point and
     cluster, never the distances themselves. The work grows with the square of the row count;
-    callers sample first, as :func:`silhouette` does.
+    callers sample first, as :func:`silhouette` does. ``rows`` saves counting where the number
+    (or a bound) is known.
     """
-    blocks = max(1, math.ceil(df.count() / block_rows))
+    blocks = max(1, math.ceil((df.count() if rows is None else rows) / block_rows))
     points = df.select(
         F.col(id_col).alias("id"),
         F.col(cluster_col).cast("string").alias("cluster"),
@@ -35,8 +38,8 @@ def silhouette_points(
     )
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = points.withColumn("_row", block).withColumn("_col", every)
-    columns = points.withColumn("_col", block).withColumn("_row", every)
+    left_side = points.withColumn("_row", block).withColumn("_col", every)
+    right_side = points.withColumn("_col", block).withColumn("_row", every)
     id_type = points.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, cluster string, other string, total double, members bigint"
 
@@ -58,7 +61,8 @@ def silhouette_points(
             )
         return pd.concat(parts)
 
-    sums = rows.groupBy("_row", "_col").cogroup(columns.groupBy("_row", "_col")).applyInPandas(distance_sums, schema)
+    pairs = left_side.groupBy("_row", "_col").cogroup(right_side.groupBy("_row", "_col"))
+    sums = pairs.applyInPandas(distance_sums, schema)
     per_cluster = sums.groupBy("id", "cluster", "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members"))
     own = F.col("cluster") == F.col("other")
     per_point = per_cluster.groupBy("id", "cluster").agg(
@@ -77,9 +81,11 @@ def silhouette(
 ) -> DataFrame:
     """Mean silhouette of a seeded sample of at most ``sample_size`` points (all, if None)."""
     chosen = df if sample_size is None else sample_n(df, sample_size, id_col, seed)
-    return silhouette_points(chosen, id_col, cluster_col, vector_col).agg(
-        F.count("*").alias("points"), F.avg("silhouette").alias("silhouette")
-    )
+    return _mean_silhouette(silhouette_points(chosen, id_col, cluster_col, vector_col, rows=sample_size))
+
+
+def _mean_silhouette(points: DataFrame) -> DataFrame:
+    return points.agg(F.count("*").alias("points"), F.avg("silhouette").alias("silhouette"))
 
 
 def cluster_sweep(
@@ -92,24 +98,34 @@ def cluster_sweep(
     sample_size: int = 4000,
     silhouette_size: int = 1500,
     seed: int = 42,
+    parallel_fits: int = 4,
 ) -> DataFrame:
     """``(k, silhouette, cluster_distribution)`` of the best of several k-means runs per k.
 
-    The sample bounds the work; each run is a distributed MLlib fit.
+    The sample bounds the work; each run is a distributed MLlib fit, and a few of these small
+    fits are submitted at a time.
     """
     chosen = sample_n(df.select(id_col, vector_col), sample_size, id_col, seed)
     points = durable(chosen.withColumn("_features", array_to_vector(as_double(F.col(vector_col)))))
+    scored = durable(sample_n(points, silhouette_size, id_col, seed))
+
+    def fit(k: int, restart: int):
+        return KMeans(k=k, seed=seed + restart, featuresCol="_features", predictionCol="_cluster").fit(points)
+
+    runs = [(k, r) for k in ks for r in range(restarts)]
+    with ThreadPoolExecutor(parallel_fits) as pool:
+        fits = list(pool.map(inheritable_thread_target(df.sparkSession)(lambda run: fit(*run)), runs))
     results = []
-    for k in ks:
-        fits = [KMeans(k=k, seed=seed + r, featuresCol="_features", predictionCol="_cluster").fit(points) for r in range(restarts)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+    for k in dict.fromkeys(k for k, _ in runs):
+        best = min((m for (n, _), m in zip(runs, fits) if n == k), key=lambda m: m.summary.trainingCost)
         labelled = best.transform(points)
         sizes = labelled.groupBy("_cluster").agg(F.count("*").alias("n")).agg(
             F.sort_array(F.collect_list("n"), asc=False).alias("cluster_distribution")
         )
-        score = silhouette(labelled, id_col, "_cluster", vector_col, sample_size=silhouette_size, seed=seed)
+        sampled = best.transform(scored)
+        per_point = silhouette_points(sampled, id_col, "_cluster", vector_col, rows=silhouette_size)
         results.append(
-            score.select(
+            _mean_silhouette(per_point).select(
                 F.lit(k).alias("k"),
                 half_even(F.col("silhouette"), 4).alias("silhouette"),
                 F.lit(sizes.select("cluster_distribution").scalar()).alias("cluster_distribution"),

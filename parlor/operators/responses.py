@@ -25,12 +25,16 @@ def stored_answers(responses: DataFrame) -> DataFrame:
     return responses.groupBy("cache_key").agg(F.min("response").alias("response"))
 
 
-def lookup_responses(df: DataFrame, responses: DataFrame, salt_by: Column) -> DataFrame:
+def lookup_responses(
+    df: DataFrame, responses: DataFrame, salt_by: Column, probe: DataFrame | None = None
+) -> DataFrame:
     """Add ``response``; the empty string where none is stored.
 
-    Copies of one message share a key, so the join is salted against hot keys.
+    Copies of one message share a key, so the join is salted against hot keys. ``probe`` gives
+    the keys to look for hot ones in (default: a hundredth of ``df``); pass one where computing
+    ``df`` twice would be costly.
     """
-    probe = df.sample(PROBE_SHARE, seed=42).select("cache_key")
+    probe = df.sample(PROBE_SHARE, seed=42).select("cache_key") if probe is None else probe
     found = salted_join(
         df, stored_answers(responses), ["cache_key"], "left", salt_by, probe=probe, min_rows=PROBE_MIN_ROWS
     )

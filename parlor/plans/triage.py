@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parlor import defaults as D
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.operators.classify import nearest_centroid
+from parlor.operators.evalsets import PROBE_SHARE
 from parlor.operators.responses import class_override, lookup_responses, with_response_key
 from parlor.operators.retrieve import retrieve
+from parlor.session import durable
 
 OUTPUT = [
     "customer_message", "class", "confidence", "decision", "reason_code", "best_similarity",
@@ -70,8 +72,13 @@ def triage(
     if responses is not None:
         asked = F.when(F.col("needs_fallback"), class_prompt(F.col("customer_message")))
         keyed = with_response_key(classified, asked, F.lit(class_system_text), F.lit(model))
+        # Hot prompts are those of often copied messages, which the input alone tells.
+        few = prepared.select("customer_message").sample(PROBE_SHARE, seed=42)
+        probe = with_response_key(few, class_prompt(F.col("customer_message")), F.lit(class_system_text), F.lit(model))
         class_answer_col = "_class_answer"
-        classified = lookup_responses(keyed, responses, F.col(id_col)).withColumnRenamed("response", class_answer_col)
+        classified = lookup_responses(keyed, responses, F.col(id_col), probe.select("cache_key")).withColumnRenamed(
+            "response", class_answer_col
+        )
         classified = classified.drop("prompt", "cache_key")
     if class_answer_col is not None:
         decided = class_override(
@@ -98,7 +105,8 @@ def triage(
     stored_reply = F.lit("")
     if responses is not None:
         asked = S.draft_prompt(F.col("class"), F.col("customer_message"), S.precedent_snippets(F.col("matches")))
-        keyed = with_response_key(grounded, F.when(~hit, asked), F.lit(reply_system_text), F.lit(model))
+        # Stored, since the hot prompts are looked for before the join.
+        keyed = durable(with_response_key(grounded, F.when(~hit, asked), F.lit(reply_system_text), F.lit(model)))
         grounded = lookup_responses(keyed, responses, F.col(id_col)).withColumnRenamed("response", "_reply_answer")
         stored_reply = F.col("_reply_answer")
     route = R.route(
