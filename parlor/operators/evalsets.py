@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import scoring as S, text as T
+from parlor.operators.once import evaluate_once
 from parlor.operators.skew import salted_join
 
 
@@ -27,10 +28,10 @@ def unused_texts(df: DataFrame, used: DataFrame, text_col: str, used_col: str, i
     Joins on fixed-width digests; copies of one text are spread by the salted join, whose hot
     texts are looked for in a hundredth of the rows to save hashing every text twice.
     """
-    taken = used.select(T.digest(T.text_key(F.col(used_col))).alias("_digest")).distinct()
-    digest = T.digest(T.text_key(F.col(text_col))).alias("_digest")
-    keyed = df.withColumn("_digest", digest)
-    probe = df.select(text_col).sample(PROBE_SHARE, seed=42).select(digest)
+    taken = evaluate_once(used.select(used_col), {"_digest": T.digest(T.text_key(F.col(used_col)))}).select("_digest").distinct()
+    digest = T.digest(T.text_key(F.col(text_col)))
+    keyed = evaluate_once(df, {"_digest": digest})
+    probe = evaluate_once(df.select(text_col).sample(PROBE_SHARE, seed=42), {"_digest": digest}).select("_digest")
     return salted_join(
         keyed, taken, ["_digest"], "left_anti", F.col(id_col), probe=probe, min_rows=PROBE_MIN_ROWS
     ).select(*df.columns)
@@ -56,7 +57,7 @@ def shared_texts(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFram
 
 
 def _tagged(df: DataFrame, key: Column, side: int) -> DataFrame:
-    return df.select(key.alias("key"), F.lit(side).alias("side")).where(F.col("key").isNotNull())
+    return df.select(F.inline(F.array(F.struct(key.alias("key"), F.lit(side).alias("side"))))).where(F.col("key").isNotNull())
 
 
 def leakage_audit(

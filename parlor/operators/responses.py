@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import text as T
 from parlor.operators.evalsets import PROBE_MIN_ROWS, PROBE_SHARE
+from parlor.operators.once import evaluate_once
 from parlor.operators.skew import salted_join
 
 
 def with_response_key(df: DataFrame, prompt: Column, system_text: Column, model: Column) -> DataFrame:
     """Add ``prompt`` and its ``cache_key``."""
-    return df.withColumn("prompt", prompt).withColumn("cache_key", T.response_key(model, system_text, F.col("prompt")))
+    return evaluate_once(df.withColumn("prompt", prompt), {"cache_key": T.response_key(model, system_text, F.col("prompt"))})
 
 
 def stored_answers(responses: DataFrame) -> DataFrame:

@@ -41,7 +41,10 @@ def test_quota_sample(numbers, quotas):
     for r in numbers.collect():
         groups.setdefault(r["g"], []).append(r["id"])
     expected = sorted(i for g, q in quotas.items() for i in order(groups.get(g, []))[:q])
-    assert sorted(r["id"] for r in P.quota_sample(numbers, "g", quotas, "id").collect()) == expected
+    drawn = P.quota_sample(numbers, "g", quotas, "id")
+    assert sorted(r["id"] for r in drawn.collect()) == expected
+    if max(quotas.values()) <= P.SMALL_QUOTA:
+        assert "row_number(), 10, Partial" in drawn._jdf.queryExecution().executedPlan().toString()
 
 
 def test_first_per_key_combines_before_the_shuffle(numbers):
