@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from parlor.functions.vectors import as_double
 from parlor.operators.sampling import sample_n
@@ -29,6 +29,8 @@ DIGITS = 9
 # Cells are skipped in similarity space with this much room for the rounding above.
 SLACK = 1e-5
 PRODUCT_CELLS = 4_000_000
+# Up to this many corpus rows, sorting all rows of a product at once beats one selection per row.
+SORTED_ROWS = 2048
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -53,11 +55,17 @@ def _search(query_ids, queries: np.ndarray, corpus_ids, corpus: np.ndarray, n: i
     for start in range(0, len(queries), step):
         sims = queries[start : start + step] @ corpus.T
         ranks = np.round(sims, DIGITS)
-        for i, row in enumerate(ranks):
-            same = position.get(query_ids[start + i]) if exclude_same_id else None
-            if same is not None:
-                row[same] = -np.inf
-            best = _best(row, n)
+        if exclude_same_id:
+            for i in range(len(ranks)):
+                same = position.get(query_ids[start + i])
+                if same is not None:
+                    ranks[i, same] = -np.inf
+        if len(corpus_ids) <= SORTED_ROWS:
+            order = np.argsort(-ranks, axis=1, kind="stable")[:, :n]
+            chosen = (row[np.isfinite(ranks[i, row])] for i, row in enumerate(order))
+        else:
+            chosen = (_best(row, n) for row in ranks)
+        for i, best in enumerate(chosen):
             yield start + i, best, sims[i, best]
 
 
@@ -192,6 +200,9 @@ def search_cells(
     member_cell = np.repeat(np.arange(len(summary)), [len(m) for m in members])
     member_angle = np.concatenate(members)
     cell_pivots = pivots[cell_ids]
+    # Blocks are numbered through all cells: a slot is one block of one cell.
+    slot_cell = np.repeat(np.arange(len(summary)), blocks)
+    first_slot = dict(zip(cell_ids.tolist(), (np.cumsum(blocks) - blocks).tolist()))
 
     query_chunks = max(1, math.ceil(queries.count() / query_rows))
     asked = queries.where(F.col(vector_col).isNotNull()).select(
@@ -200,8 +211,11 @@ def search_cells(
         F.pmod(F.xxhash64(query_id), F.lit(query_chunks)).cast("int").alias("_chunk"),
     )
     visit_schema = T.StructType(
-        [*asked.schema.fields, T.StructField("_visit", T.ArrayType(T.StructType(
-            [T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())])))]
+        [
+            *asked.schema.fields,
+            T.StructField("_floor", T.DoubleType()),
+            T.StructField("_slots", T.ArrayType(T.IntegerType())),
+        ]
     )
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,40 +223,37 @@ def search_cells(
             if not len(batch):
                 continue
             angles = _angles(_matrix(batch["_qv"]), cell_pivots)
-            visits = []
+            slots, floors = [], []
             for row in angles:
                 reach = row[member_cell] + member_angle
                 worst = np.partition(reach, bound_n - 1)[bound_n - 1] if len(reach) >= bound_n else np.pi
-                floor = math.cos(min(worst, np.pi)) - SLACK
+                floors.append(math.cos(min(worst, np.pi)) - SLACK)
                 nearest = np.cos(np.maximum(row - radius, 0.0))
-                visits.append(
-                    [
-                        {"cell": int(cell_ids[c]), "block": int(b)}
-                        for c in np.flatnonzero(nearest >= floor)
-                        for b in range(blocks[c])
-                    ]
-                )
-            yield batch.assign(_visit=visits)
+                slots.append(np.flatnonzero((nearest >= floors[-1])[slot_cell]).astype(np.int32))
+            yield batch.assign(_floor=floors, _slots=slots)
 
-    visiting = (
-        asked.mapInPandas(plan, visit_schema)
-        .withColumn("_visit", F.explode("_visit"))
-        .select("_qid", "_qv", "_chunk", F.col("_visit.cell").alias("_cell"), F.col("_visit.block").alias("_block"))
-    )
-    blocks_of = F.create_map(*[F.lit(int(x)) for pair in zip(cell_ids, blocks) for x in pair])
+    visiting = asked.mapInPandas(plan, visit_schema).withColumn("_slot", F.explode("_slots")).drop("_slots")
+
+    def per_cell(values: dict) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(int(x)) for pair in values.items() for x in pair]), F.col("_cell"))
+
+    block = F.pmod(F.xxhash64("id"), per_cell(dict(zip(cell_ids.tolist(), blocks.tolist()))))
     offered = (
-        assigned.drop("_angle")
-        .withColumn("_block", F.pmod(F.xxhash64("id"), F.try_element_at(blocks_of, F.col("_cell"))).cast("int"))
+        assigned.withColumn("_slot", (per_cell(first_slot) + block).cast("int"))
+        .drop("_cell", "_angle")
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(query_chunks - 1))))
     )
-    key = ["_cell", "_block", "_chunk"]
+    key = ["_slot", "_chunk"]
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=pair_schema.names)
         right = right.sort_values("id", kind="stable").reset_index(drop=True)
         qids = left["_qid"].tolist()
-        hits = list(_search(qids, _matrix(left["_qv"]), right["id"].tolist(), _matrix(right["_v"]), n, exclude_same_id))
+        floors = left["_floor"].to_numpy()
+        search = _search(qids, _matrix(left["_qv"]), right["id"].tolist(), _matrix(right["_v"]), n, exclude_same_id)
+        # What lies below a query's bound cannot be among its n nearest.
+        hits = [(i, best[sims >= floors[i]], sims[sims >= floors[i]]) for i, best, sims in search]
         found = right[["id", *extra]].iloc[np.concatenate([best for _, best, _ in hits])]
         return found.assign(
             query=np.repeat([qids[i] for i, _, _ in hits], [len(best) for _, best, _ in hits]),
