@@ -4,6 +4,41 @@ from __future__ import annotations
 
 WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+OP7 = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS pos
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+  FROM sized GROUP BY source
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k FROM sources
+), sums AS (
+  SELECT *, sum(source_size) OVER ()
+         - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM ordered
+), level AS (
+  SELECT left_over::DOUBLE / weights::DOUBLE AS l FROM sums
+  WHERE 3.0 * source_size >= left_over::DOUBLE / weights::DOUBLE * weight ORDER BY k LIMIT 1
+), targets AS (
+  SELECT source, source_size, least(3.0 * source_size::DOUBLE, l * weight::DOUBLE) AS target FROM sources, level
+), plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
+), placed AS (
+  SELECT doc_id, size, source_size, target, whole, pos, target - whole * source_size AS rest,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY pos, doc_id
+                                  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before,
+         sum(size) OVER (PARTITION BY s.source, pos, doc_id) AS alike
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
+       (size * (whole + CASE WHEN 2 * before + alike <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""
+
 OP9 = f"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, translate(coalesce(text, ''), {WHITE}, '') AS norm
@@ -19,5 +54,6 @@ WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
 """
 
 ORACLES: dict[str, str] = {
+    "op7_source_mixing": OP7,
     "op9_exact_dedup": OP9,
 }

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlor.llm.exact_dedup import exact_groups
+from parlor.llm.mixing import mix
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    taken = (F.col("size") * F.col("epochs")).alias("taken")
+    return mix(load(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_groups(load(spark, folder, "documents"))
     return groups.select(
@@ -21,5 +27,6 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_source_mixing": op7_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
