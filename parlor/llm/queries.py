@@ -8,12 +8,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlor.llm.exact_dedup import exact_groups
 from parlor.llm.mixing import mix
+from parlor.llm.secret_scan import BASE_RULES, scan
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    def listed(spans):
+        part = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
+        return F.array_join(F.transform(spans, part), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin([rule.kind for rule in BASE_RULES]))
+    counts = [
+        F.size(F.filter("spans", lambda s, k=rule.kind: s["kind"] == k)).cast("long").alias(f"n_{rule.kind}")
+        for rule in BASE_RULES
+    ]
+    return scan(load(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     taken = (F.col("size") * F.col("epochs")).alias("taken")
     return mix(load(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
@@ -27,6 +43,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
 }
