@@ -53,6 +53,23 @@ def without(df: DataFrame, drop: DataFrame, keys: Sequence[tuple[Column, str]])
     return df.join(ids, condition, "left_anti")
 
 
+def keep_rows(docs: DataFrame, id_col: str, text_col: str, drop: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows ``(id, raw)`` of ``drop``, and one row of those in ``repeated``; both durable.
+
+    ``raw`` is the :func:`text_hash`. Rows that agree in id and text can't be told apart by a join, so where
+    one of them stays they are reduced to one.
+    """
+    rest = without(docs, drop, [(docs[id_col], "id"), (text_hash(docs[text_col]), "raw")])
+    if repeated.isEmpty():
+        return rest
+    keys = [(rest[id_col], "id"), (text_hash(rest[text_col]), "raw")]
+    marked = rest.join(
+        repeated.select(F.col("id").alias("_repeated_id"), F.col("raw").alias("_repeated_raw")),
+        keys[0][0].eqNullSafe(F.col("_repeated_id")) & (keys[1][0] == F.col("_repeated_raw")), "left_semi",
+    )
+    return without(rest, repeated, keys).unionByName(marked.dropDuplicates([id_col, text_col]))
+
+
 def components(edges: DataFrame, a: str, b: str, seed: int = 42, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of long ids: one row ``(node, root)`` per id that has an edge.
 

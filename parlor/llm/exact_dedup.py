@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from parlor.llm.common import durable, text_hash, without
+from parlor.llm.common import durable, keep_rows, text_hash
 
 WHITE = " \t\n\x0b\x0c\r"
 FINGERPRINT_BITS = 48
@@ -231,14 +231,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     judged = durable(exact_groups(docs, id_col, text_col), "judged")
     same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw"))
-    keys = [(docs[id_col], "id"), (text_hash(docs[text_col]), "raw")]
-    rest = without(docs, judged.where(~F.col("kept") & ~same).select("id", "raw"), keys)
+    drop = durable(judged.where(~F.col("kept") & ~same).select("id", "raw"), "dropped")
     repeated = durable(judged.where(~F.col("kept") & same).select("id", "raw").distinct(), "repeated")
-    if repeated.isEmpty():
-        return rest
-    once = without(rest, repeated, [(rest[id_col], "id"), (text_hash(rest[text_col]), "raw")])
-    marked = rest.join(
-        repeated.toDF("_repeated_id", "_repeated_raw"),
-        rest[id_col].eqNullSafe(F.col("_repeated_id")) & (text_hash(rest[text_col]) == F.col("_repeated_raw")), "left_semi",
-    )
-    return once.unionByName(marked.dropDuplicates([id_col, text_col]))
+    return keep_rows(docs, id_col, text_col, drop, repeated)

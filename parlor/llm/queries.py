@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlor.llm.exact_dedup import exact_groups
 from parlor.llm.mixing import mix
 from parlor.llm.secret_scan import BASE_RULES, scan
+from parlor.llm.simhash import near_groups
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(load(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     def listed(spans):
         part = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
@@ -43,6 +51,7 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
