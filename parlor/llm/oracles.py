@@ -53,7 +53,23 @@ FROM t
 WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
 """
 
+OP10 = f"""
+WITH lines AS (
+  SELECT doc_id, row_number() OVER () AS r, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, {WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), judged AS (
+  SELECT *, length(key) >= 10 AND doc_id <> min(doc_id) OVER (PARTITION BY key) AS dropped FROM keyed
+)
+SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY r, doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op7_source_mixing": OP7,
     "op9_exact_dedup": OP9,
+    "op10_line_dedup": OP10,
 }

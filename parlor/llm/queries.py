@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlor.llm.exact_dedup import exact_groups
+from parlor.llm.line_dedup import dedup_lines
 from parlor.llm.mixing import mix
 from parlor.llm.secret_scan import BASE_RULES, scan
 from parlor.llm.simhash import near_groups
@@ -50,9 +51,16 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_lines(load(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
