@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from parlor.llm.decontaminate import matches
 from parlor.llm.exact_dedup import exact_groups
+from parlor.llm.html_text import extract
 from parlor.llm.line_dedup import dedup_lines
 from parlor.llm.mixing import mix
 from parlor.llm.secret_scan import BASE_RULES, scan
@@ -17,6 +19,17 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = matches(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "allowed", "start", "stop")
+
+
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(load(spark, folder, "pages")).select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(load(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -58,6 +71,8 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_html_extraction": op3_html_extraction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
