@@ -13,6 +13,12 @@ from parlor.llm.line_dedup import dedup_lines
 from parlor.llm.mixing import mix
 from parlor.llm.secret_scan import BASE_RULES, scan
 from parlor.llm.simhash import near_groups
+from parlor.llm.url_filter import UrlRule, judge_urls
+
+URL_RULES = (
+    UrlRule("com/", "allow"), UrlRule("example.com/en/", "block"), UrlRule("www.example.com/en/", "allow"),
+    UrlRule("net/es/", "block"), UrlRule("net/fr/", "block"),
+)
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -24,6 +30,10 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "allowed", "start", "stop")
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(load(spark, folder, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(load(spark, folder, "pages")).select(
         F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars")
@@ -72,6 +82,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_url_filter": op2_url_filter,
     "op3_html_extraction": op3_html_extraction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
