@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlor.llm.decontaminate import matches
 from parlor.llm.exact_dedup import exact_groups
 from parlor.llm.html_text import extract
+from parlor.llm.language_id import identify, train
 from parlor.llm.line_dedup import dedup_lines
 from parlor.llm.mixing import mix
 from parlor.llm.secret_scan import BASE_RULES, scan
 from parlor.llm.simhash import near_groups
-from parlor.llm.url_filter import UrlRule, judge_urls
+from parlor.llm.url_filter import UrlRule, host_of, judge_urls
 
 URL_RULES = (
     UrlRule("com/", "allow"), UrlRule("example.com/en/", "block"), UrlRule("www.example.com/en/", "allow"),
@@ -67,6 +68,27 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(load(spark, folder, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken)
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by text, declared language and source as host; they have no address."""
+    docs = load(spark, folder, "documents")
+    judged = identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return judged.select(F.col("id").alias("doc_id"), "language", "confidence", "declared", "kept")
+
+
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages by their extracted text, the language of their markup, the suffix of their address and their host."""
+    pages = load(spark, folder, "pages")
+    address = pages.select(
+        F.col("page_id").alias("id"), F.nullif(host_of(F.col("url")), F.lit("")).alias("host"),
+        F.nullif(F.regexp_extract(F.substring("html", 1, 2000), r"""(?i)<html[^>]*\slang=["']?([a-z]+)""", 1), F.lit("")).alias("markup"),
+    )
+    texts = extract(pages).select("id", "url", "text").join(address, "id")
+    suffix = F.substring_index("host", ".", -1)
+    model = train(load(spark, folder, "documents"))
+    judged = identify(texts, "id", declared=F.col("markup"), host=F.col("host"), suffix=suffix, model=model)
+    return judged.select(F.col("id").alias("page_id"), "language", "confidence", "declared", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact_groups(load(spark, folder, "documents"))
     return groups.select(
@@ -87,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
+    "op8_language_id": op8_language_id,
+    "language_of_pages": language_of_pages,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
