@@ -12,6 +12,7 @@ from parlor.llm.html_text import extract
 from parlor.llm.language_id import identify, train
 from parlor.llm.line_dedup import dedup_lines
 from parlor.llm.mixing import mix
+from parlor.llm.quality import grade, train as train_quality
 from parlor.llm.secret_scan import BASE_RULES, scan
 from parlor.llm.simhash import near_groups
 from parlor.llm.url_filter import UrlRule, host_of, judge_urls
@@ -48,16 +49,24 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: 0 toxic, 1 poor, 2 good; kept if more likely than not above 0."""
+    docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
+    rating = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = train_quality(docs, labels.select("doc_id", rating.alias("grade")))
+    return grade(docs, model).drop("raw").withColumnRenamed("id", "doc_id")
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     def listed(spans):
         part = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))
         return F.array_join(F.transform(spans, part), ",")
 
-    base = F.filter("spans", lambda s: s["kind"].isin([rule.kind for rule in BASE_RULES]))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=rule.kind: s["kind"] == k)).cast("long").alias(f"n_{rule.kind}")
-        for rule in BASE_RULES
-    ]
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = of(*[rule.kind for rule in BASE_RULES])
+    counts = [F.size(of(rule.kind)).cast("long").alias(f"n_{rule.kind}") for rule in BASE_RULES]
     return scan(load(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_html_extraction": op3_html_extraction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_secret_scan": op6_secret_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_language_id": op8_language_id,
