@@ -44,7 +44,7 @@ def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(load(spark, folder, "documents")).select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 

@@ -6,6 +6,11 @@ for some choice. Distinct fingerprints (exact copies count once) are dealt by ke
 partition, and compared bucket by bucket with vectorised XOR and bit counts. A bucket reports links that
 connect what it found close, at most one per fingerprint, never all its pairs: what counts is the component.
 
+A text may get several fingerprints, each from the shingle hashes mixed in another way. Two texts are then compared where any of these is
+within ``bits``, and linked if all together differ in at most ``all_bits``. One fingerprint within 4 bits finds
+texts that hardly differ; a similarity of 0.8 means some 10 of 64 bits, too many for blocks of a useful size,
+but one of three fingerprints is mostly within 8, and 192 bits tell the similarity well: see :data:`SIMILAR`.
+
 The number of blocks follows the number of distinct fingerprints so that buckets of unrelated fingerprints
 stay small; it changes the cost only, never a link. A bucket larger than ``tile`` (a large group of near
 copies) is cut into tiles, and every pair of tiles is a bucket of its own.
@@ -30,16 +35,30 @@ from pyspark.sql import DataFrame, functions as F
 from parlor.llm.common import components, durable, keep_rows, text_hash
 
 HASH_SEED = 42
+#: Options for texts whose sets of five-word shingles have a similarity of 0.8 or more. Some 10 of 64 bits and 29 of
+#: 192 differ at 0.8, 7 and 20 at 0.9; one of three fingerprints is within 8 bits for about 7 of 10 pairs at 0.8,
+#: 9 of 10 at 0.85 and nearly all at 0.9.
+SIMILAR = {"words": 5, "prints": 3, "bits": 8, "all_bits": 34}
 #: Mean number of unrelated fingerprints in a bucket beyond which one more block is used.
-BUCKET_LOAD = 64
+BUCKET_LOAD = 256
 TILE = 4096
 
 
-def simhash(text: bytes, words: int = 4) -> int:
-    """64-bit fingerprint; a bit is set if more than half of the shingle hashes have it."""
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """The hashes for fingerprint ``turn``: the hashes themselves, then their splitmix64 successors."""
+    if not turn:
+        return hashes
+    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def simhash(text: bytes, words: int = 4, prints: int = 1) -> list[int]:
+    """``prints`` 64-bit fingerprints; a bit is set if more than half of the shingle hashes have it."""
     tokens = text.lower().split()  # bytes: ASCII letters and ASCII white space only
     if not tokens:
-        return 0
+        return [0] * prints
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(lengths + 1) - 1
@@ -47,34 +66,42 @@ def simhash(text: bytes, words: int = 4) -> int:
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    found = []
+    for turn in range(prints):
+        bits = np.unpackbits(_mixed(hashes, turn).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        found.append(int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n, bitorder="little").view("<u8")[0]))
+    return found
 
 
-def _fingerprints(words: int, id_type: pa.DataType):
-    schema = pa.schema([("id", id_type), ("raw", pa.int64()), ("fp", pa.int64())])
+def _fingerprints(words: int, prints: int, id_type: pa.DataType):
+    names = [f"fp{i}" for i in range(prints)]
+    schema = pa.schema([("id", id_type), ("raw", pa.int64()), *[(name, pa.int64()) for name in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([simhash(t or b"", words) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("raw"), pa.array(values.view(np.int64))], schema=schema
-            )
+            values = [simhash(t.as_py() or b"", words, prints) for t in batch.column("text")]
+            table = np.array(values, dtype=np.uint64).reshape(len(values), prints).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), *columns], schema=schema)
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """One row per document: ``id, raw`` (hash of the text) and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
+                 prints: int = 1) -> DataFrame:
+    """One row per document: ``id, raw`` (hash of the text), ``fp0 ..`` (as signed longs) and ``node``.
+
+    ``node`` is the fingerprint, or a 64-bit hash of several ones.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(
         F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("raw"), F.col(text_col).cast("binary").alias("text")
     )
-    kind = source.schema["id"].dataType
-    return source.mapInArrow(
-        _fingerprints(words, to_arrow_type(kind)), f"id {kind.simpleString()}, raw long, fp long"
-    )
+    kind, names = source.schema["id"].dataType, [f"fp{i}" for i in range(prints)]
+    schema = f"id {kind.simpleString()}, raw long, " + ", ".join(f"{name} long" for name in names)
+    found = source.mapInArrow(_fingerprints(words, prints, to_arrow_type(kind)), schema)
+    return found.withColumn("node", F.col("fp0") if len(names) == 1 else F.xxhash64(*names))
 
 
 def _blocks(count: int) -> list[int]:
@@ -92,91 +119,101 @@ def key_masks(distinct: int, bits: int) -> list[int]:
     raise ValueError("no more blocks than bits")
 
 
-def _close_links(values: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Links that connect every group of distinct values that is connected by steps of at most ``bits`` bits."""
-    if len(values) < 2:
+def _close_links(prints: np.ndarray, word: int, bits: int, all_bits: int) -> tuple[list[int], list[int]]:
+    """Row pairs that connect every group of rows connected by close pairs. Rows are fingerprints, one or more columns."""
+    if len(prints) < 2:
         return [], []
-    if len(values) <= 128:
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= bits
-        if int(near.sum()) == len(values):
+    own = prints[:, word]
+    if len(own) <= 128:
+        near = np.bitwise_count(own[:, None] ^ own[None, :]) <= bits
+        if int(near.sum()) == len(own):
             return [], []
-    left, a, b = values, [], []
+    left, a, b = np.arange(len(own)), [], []
     while len(left):
         front, left = [left[0]], left[1:]
-        root = front[0]
+        root = int(front[0])
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= bits
-            if near.any():
+            one = front.pop()
+            near = np.flatnonzero(np.bitwise_count(own[left] ^ own[one]) <= bits)
+            if len(near) and prints.shape[1] > 1:
+                total = np.bitwise_count(prints[left[near]] ^ prints[one]).sum(axis=1, dtype=np.int64)
+                near = near[total <= all_bits]
+            if len(near):
                 found = left[near]
-                left = left[~near]
+                left = np.delete(left, near)
                 front.extend(found)
-                a.extend([int(root)] * len(found))
+                a.extend([root] * len(found))
                 b.extend(found.tolist())
     return a, b
 
 
-def _links(bits: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _links(masks: list[tuple[int, int]], count: int, bits: int, all_bits: int):
+    names = [f"fp{i}" for i in range(count)]
 
-    def found(values: np.ndarray) -> pa.RecordBatch | None:
-        a, b = _close_links(values.view(np.uint64), bits)
+    def found(mask: int, held: list[np.ndarray]) -> pa.RecordBatch | None:
+        rows = np.concatenate(held)
+        a, b = _close_links(rows[:, 1:].view(np.uint64), masks[mask][0], bits, all_bits)
         if not a:
             return None
-        as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([as_long(a), as_long(b)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 0]), pa.array(rows[b, 0])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket may go on in the next batch."""
-        open_bucket, held = None, []
+        open_bucket, mask, held = None, 0, []
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("mask", "key", "i", "j")], axis=1)
-            values = batch.column("fp").to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in ("node", *names)], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 bucket = keys[start].tobytes()
                 if bucket != open_bucket:
-                    if held and (out := found(np.concatenate(held))):
+                    if held and (out := found(mask, held)):
                         yield out
-                    open_bucket, held = bucket, []
-                held.append(values[start:stop])
-        if held and (out := found(np.concatenate(held))):
+                    open_bucket, mask, held = bucket, int(keys[start, 0]), []
+                held.append(rows[start:stop])
+        if held and (out := found(mask, held)):
             yield out
 
     return run
 
 
-def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` that connect all fingerprints of the column ``fp`` (distinct, durable) within ``bits`` bits."""
-    masks = key_masks(distinct.count(), bits)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    table = F.array(*[F.struct(F.lit(i).alias("mask"), F.lit(m).cast("long").alias("bits")) for i, m in enumerate(signed)])
-    keyed = distinct.select("fp", F.explode(table).alias("m")).select(
-        "fp", F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("key")
-    )
+def links(distinct: DataFrame, count: int = 1, bits: int = 4, all_bits: int = 4, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` between nodes that connect all close rows ``node, fp0 ..`` (distinct, durable)."""
+    choices = key_masks(distinct.count(), bits)
+    masks = [(word, m) for word in range(count) for m in choices]
+    signed = [(word, m - (1 << 64) if m >> 63 else m) for word, m in masks]
+    table = F.array(*[
+        F.struct(F.lit(i).alias("mask"), F.col(f"fp{word}").bitwiseAND(F.lit(m).cast("long")).alias("key"))
+        for i, (word, m) in enumerate(signed)
+    ])
+    names = ["node", *[f"fp{i}" for i in range(count)]]
+    keyed = distinct.select(*names, F.explode(table).alias("m")).select(*names, "m.mask", "m.key")
     # Buckets that need tiles hold at least ``tile`` rows each, so there are few of them.
     large = keyed.groupBy("mask", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > tile)
     tiles = F.ceil(F.coalesce(F.col("rows"), F.lit(1)) / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp", "mask"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node", "mask"), F.col("tiles")).cast("int")
     spread = (
         keyed.join(durable(large, "large"), ["mask", "key"], "left").withColumn("tiles", tiles).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("fp", "mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select(*names, "mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     bucket = ["mask", "key", "i", "j"]
     dealt = spread.repartition(*bucket).sortWithinPartitions(*bucket)
-    return dealt.mapInArrow(_links(bits), "a long, b long")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, bits: int = 4,
-                tile: int = TILE) -> DataFrame:
-    """One row per document: ``id, raw, fp, root`` (a fingerprint of the group), ``component`` (its smallest id)."""
-    prints = durable(fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), bits, tile), "a", "b")
-    member = distinct.join(roots.toDF("fp", "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return dealt.mapInArrow(_links(masks, count, bits, all_bits), "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, prints: int = 1,
+                bits: int = 4, all_bits: int | None = None, tile: int = TILE) -> DataFrame:
+    """One row per document: ``id, raw, fp0 .., root`` (a node of the group), ``component`` (its smallest id)."""
+    hashed = durable(fingerprints(docs, id_col, text_col, words, prints), "prints")
+    names = [f"fp{i}" for i in range(prints)]
+    distinct = durable(hashed.groupBy("node", *names).agg(F.min("id").alias("first")), "distinct")
+    close = links(distinct.drop("first"), prints, bits, bits if all_bits is None else all_bits, tile)
+    roots = components(close, "a", "b")
+    member = distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = member.groupBy("root").agg(F.min("first").alias("component"))
-    named = durable(member.join(smallest, "root").select("fp", "root", "component"), "named")
-    return prints.join(named, "fp", "left").select("id", "raw", "fp", "root", "component")
+    named = durable(member.join(smallest, "root").select("node", "root", "component"), "named")
+    return hashed.join(named, "node", "left").select("id", "raw", *names, "root", "component")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
