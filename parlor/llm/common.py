@@ -43,7 +43,7 @@ def without(df: DataFrame, drop: DataFrame, keys: Sequence[tuple[Column, str]])
     ``drop`` must be durable, since it is counted first: up to ``MAX_BROADCAST_ROWS`` rows are broadcast so
     that ``df`` stays where it is, more are joined by a shuffle.
     """
-    renamed = {name: f"_drop_{uuid.uuid4().hex[:8]}_{i}" for i, (_, name) in enumerate(keys)}
+    renamed = {name: f"__drop_{uuid.uuid4().hex[:8]}_{i}" for i, (_, name) in enumerate(keys)}
     ids = drop.select(*[F.col(name).alias(new) for name, new in renamed.items()]).distinct()
     if ids.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -64,8 +64,8 @@ def keep_rows(docs: DataFrame, id_col: str, text_col: str, drop: DataFrame, repe
         return rest
     keys = [(rest[id_col], "id"), (text_hash(rest[text_col]), "raw")]
     marked = rest.join(
-        repeated.select(F.col("id").alias("_repeated_id"), F.col("raw").alias("_repeated_raw")),
-        keys[0][0].eqNullSafe(F.col("_repeated_id")) & (keys[1][0] == F.col("_repeated_raw")), "left_semi",
+        repeated.select(F.col("id").alias("__repeated_id"), F.col("raw").alias("__repeated_raw")),
+        keys[0][0].eqNullSafe(F.col("__repeated_id")) & (keys[1][0] == F.col("__repeated_raw")), "left_semi",
     )
     return without(rest, repeated, keys).unionByName(marked.dropDuplicates([id_col, text_col]))
 

@@ -13,7 +13,7 @@ Results, all cases included:
 * words are runs of other characters than ASCII white space; a null or empty text has none and is taken 0 times;
 * sources are ordered by code point, null is a source of its own and the last one;
 * rows that agree in id, text and source are treated alike; an empty table gives an empty result;
-* with no words at all every target is 0.
+* a document without words follows its source, and a source without any is taken once, with a target of 0.
 """
 
 from __future__ import annotations
@@ -88,23 +88,26 @@ class Mix:
         self.plan, self.ranked, self.seed = plan, ranked, seed
 
     def epochs(self, df: DataFrame, id_col: Column, source: Column, at: Column) -> DataFrame:
-        """Add ``_epochs``, ``_size``, ``_target`` to the rows, which stay where they are if both tables are small.
+        """Add ``__mix_epochs``, ``__mix_source_size`` and ``__mix_target`` to the rows.
 
-        Spark broadcasts them by the measured size of their files, and splits hot sources where it can't.
+        The rows stay where they are if both tables are small: Spark broadcasts them by the measured size of
+        their files, and splits hot sources where it can't.
         """
-        plan = self.plan.select(*[F.col(c).alias(f"_{c}") for c in self.plan.columns])
-        ranked = self.ranked.toDF("_r_source", "_r_id", "_r_at", "_again")
-        df = df.withColumn("_at", at)
-        joined = df.join(plan, source.eqNullSafe(F.col("_source")), "left").join(
+        plan = self.plan.select(*[F.col(c).alias(f"__mix_{c}") for c in self.plan.columns])
+        ranked = self.ranked.select(*[F.col(c).alias(f"__in_cut_{c}") for c in self.ranked.columns])
+        joined = df.withColumn("__mix_at", at).join(plan, source.eqNullSafe(F.col("__mix_source")), "left")
+        joined = joined.join(
             ranked,
-            source.eqNullSafe(F.col("_r_source")) & id_col.eqNullSafe(F.col("_r_id")) & (F.col("_at") == F.col("_r_at")),
+            source.eqNullSafe(F.col("__in_cut_source")) & id_col.eqNullSafe(F.col("__in_cut_id"))
+            & (F.col("__mix_at") == F.col("__in_cut_at")),
             "left",
-        )
-        place, cut = _low_range(F.col("_at")), F.coalesce("_cut", F.lit(1 << 24))
-        again = F.when(place < cut, 1).when(place > cut, 0).otherwise(F.coalesce("_again", F.lit(0)))
-        return joined.withColumn("_epochs", F.col("_whole") + again).drop(
-            "_at", "_source", "_r_source", "_r_id", "_r_at", "_again", "_cut", "_whole", "_before", "_rest"
-        )
+        )
+        place, cut = _low_range(F.col("__mix_at")), F.coalesce("__mix_cut", F.lit(1 << 24))
+        again = F.when(place < cut, 1).when(place > cut, 0).otherwise(F.coalesce("__in_cut_again", F.lit(0)))
+        return joined.withColumn("__mix_epochs", F.col("__mix_whole") + again).drop(
+            "__mix_at", *[f"__in_cut_{c}" for c in self.ranked.columns],
+            *[f"__mix_{c}" for c in self.plan.columns if c not in ("source_size", "target")],
+        )
 
 
 def _low_range(at: Column) -> Column:
@@ -182,8 +185,8 @@ def mix(
     sized = _sized(docs, id_col, text_col, source_col, seed)
     decided = plan_mix(sized, weights, max_epochs, share, seed)
     return decided.epochs(sized, F.col("id"), F.col("source"), F.col("at")).select(
-        "id", "source", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        F.col("_epochs").alias("epochs"),
+        "id", "source", "size", F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"), F.col("__mix_epochs").alias("epochs"),
     )
 
 
@@ -202,5 +205,5 @@ def take_mix(
     decided = plan_mix(_sized(docs, id_col, text_col, source_col, seed), weights, max_epochs, share, seed)
     name = "mix_epochs" if "epochs" in {c.lower() for c in docs.columns} else "epochs"
     at = shuffle_number(docs[id_col], docs[text_col], seed)
-    marked = decided.epochs(docs, docs[id_col], docs[source_col], at).where("_epochs > 0")
-    return marked.drop("_source_size", "_target").withColumnRenamed("_epochs", name)
+    marked = decided.epochs(docs, docs[id_col], docs[source_col], at).where("__mix_epochs > 0")
+    return marked.drop("__mix_source_size", "__mix_target").withColumnRenamed("__mix_epochs", name)
