@@ -35,59 +35,48 @@ KEYWORDS = {
 
 # Replies that only move the customer to a private channel.
 BOILERPLATE_PATTERN = (
-    r"(please\s+(dm|send\s+(us\s+)?a?\s*dm|direct\s+message)|"
-    r"dm\s+(us\s+)?your\s+(record\s+locator|confirmation|booking\s+reference)|"
-    r"send\s+us\s+a\s+direct\s+message|"
-    r"follow\s+and\s+dm|"
-    r"reach\s+out\s+via\s+dm)"
+    r"(please\s+(dm|send\s+(us\s+)?a?\s*dm|direct\s+message)|dm\s+(us\s+)?your\s+(record\s+locator|confirmation|booking\s+reference)|send\s+us\s+a\s+direct\s+message|follow\s+and\s+dm|reach\s+out\s+via\s+dm)"
 )
 
-# Hard escalation rules, in order.
+# Codes and patterns of the hard escalation rules, in order. The descriptions and the reply are free text.
 HARD_RULES = [
     Rule(
         "hard_rule_legal_threat",
         r"\b(lawyer|attorney|sue\b|suing|lawsuit|legal\s+action|court|litigation|small\s+claims)\b",
-        "Customer threatening legal litigation or attorney involvement",
+        "Mentions lawyers, courts or a lawsuit",
     ),
     Rule(
         "hard_rule_dot_regulatory",
         r"\b(dot\s+complaint|department\s+of\s+transportation|faa\s+complaint|federal\s+aviation|regulatory\s+complaint)\b",
-        "DOT or FAA regulatory complaint filing",
+        "Complaint to an aviation authority",
     ),
     Rule(
         "hard_rule_safety_medical",
-        r"\b(medical\s+emergency|heart\s+attack|stroke|paramedic|ambulance|passed\s+out|unconscious|"
-        r"bomb|weapon|gun|hijack|terrorist|assault\w*|police\s+involved|physical\s+violence|"
-        r"injured\b|injury|spilled\s+hot|burned\s+by|scalded|intentionally\s+hurt)\b",
-        "Immediate safety, medical emergency, security, or physical injury allegation",
+        r"\b(medical\s+emergency|heart\s+attack|stroke|paramedic|ambulance|passed\s+out|unconscious|bomb|weapon|gun|hijack|terrorist|assault\w*|police\s+involved|physical\s+violence|injured\b|injury|spilled\s+hot|burned\s+by|scalded|intentionally\s+hurt)\b",
+        "Danger, injury or a medical case",
     ),
     Rule(
         "hard_rule_unaccompanied_minor",
-        r"\b(unaccompanied\s+minor|umnr)\b|"
-        r"\b(child|minor|kid|daughter|son|[0-9]{1,2}\s*[- ]?year\s*[- ]?old)\b.{0,30}"
-        r"\b(traveling\s+alone|flying\s+alone|alone|by\s+(himself|herself|themselves)|without\s+(me|parent|adult|chaperone)|stranded)\b",
-        "Unaccompanied minor or child stranded/traveling alone",
+        r"\b(unaccompanied\s+minor|umnr)\b|\b(child|minor|kid|daughter|son|[0-9]{1,2}\s*[- ]?year\s*[- ]?old)\b.{0,30}\b(traveling\s+alone|flying\s+alone|alone|by\s+(himself|herself|themselves)|without\s+(me|parent|adult|chaperone)|stranded)\b",
+        "A minor on their own",
     ),
     Rule(
         "hard_rule_abusive_threat",
         r"\b(kill\s+yourself|go\s+die|burn\s+in\s+hell|punch\s+you|fuck\s+you\s+all)\b",
-        "Abusive, harassing, or threatening language",
+        "Abuse or a threat",
     ),
     Rule(
         "hard_rule_dollar_amount_demanded",
         r"(\$\s*[0-9]+|[0-9]+\s*(dollars|usd))\b",
-        "Explicit dollar amount demanded or promised",
+        "Names a sum of money",
     ),
     Rule(
         "hard_rule_adversarial_prompt_injection",
         r"\b(ignore\s+(all\s+)?previous\s+instructions|disregard\s+(all\s+)?prior\s+instructions|system\s+prompt\s+override|developer\s+mode)\b",
-        "Adversarial prompt injection attempt detected",
+        "Tries to override the instructions",
     ),
 ]
-HARD_RULE_REPLY = (
-    "This case requires human representative handling due to regulatory, safety, legal, "
-    "or monetary policy restrictions."
-)
+HARD_RULE_REPLY = "A member of our team has to look at this one and will get back to you."
 REFUND_PATTERN = r"\b(refund|compensation|pay\s+me|reimburse)\b"
 
 # Keyword baseline, in order.

@@ -1,12 +1,10 @@
-"""Size checks in front of broadcasts and control tables."""
+"""Size check in front of control tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row
 
 MAX_CONTROL_ROWS = 10_000
-MAX_BROADCAST_ROWS = 100_000
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def control_rows(df: DataFrame, max_rows: int = MAX_CONTROL_ROWS) -> list[Row]:
@@ -15,18 +13,3 @@ def control_rows(df: DataFrame, max_rows: int = MAX_CONTROL_ROWS) -> list[Row]:
     if len(rows) > max_rows:
         raise ValueError(f"control table has more than {max_rows} rows")
     return rows
-
-
-def measure(df: DataFrame, columns: list[str] | None = None) -> tuple[int, int]:
-    """Row count and approximate bytes (as JSON text) of a table, in one aggregate."""
-    body = F.to_json(F.struct(*[F.col(c) for c in (columns or df.columns)]))
-    row = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(body)).alias("b")).first()
-    return int(row["n"]), int(row["b"] or 0)
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
-) -> DataFrame:
-    """Hint a broadcast only when the measured size allows it; otherwise Spark chooses the join."""
-    rows, size = measure(df.limit(max_rows + 1))
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df

@@ -1,9 +1,9 @@
-"""Clustering evaluation: exact silhouette and the k-means sweep."""
+"""Clustering evaluation: silhouettes, a k-means step and the k-means sweep."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -11,12 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark import inheritable_thread_target
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from parlor.functions.scoring import half_even
 from parlor.functions.vectors import as_double
-from parlor.operators.sampling import sample_n
+from parlor.operators.bounded import control_rows
 from parlor.session import durable
 
 
@@ -26,9 +27,9 @@ def silhouette_points(
     """``(id, cluster, a, b, silhouette)`` per point, with Euclidean distances.
 
     Points meet in block pairs of bounded size. A pair returns one distance sum per point and
-    cluster, never the distances themselves. The work grows with the square of the row count;
-    callers sample first, as :func:`silhouette` does. ``rows`` saves counting where the number
-    (or a bound) is known.
+    cluster, never the distances themselves. The work grows with the square of the row count, and each row
+    is sent to every block; :func:`silhouette_scores` is the linear form. ``rows`` saves counting where the
+    number (or a bound) is known.
     """
     blocks = max(1, math.ceil((df.count() if rows is None else rows) / block_rows))
     points = df.select(
@@ -76,18 +77,83 @@ def silhouette_points(
     ).drop("_own")
 
 
-def silhouette(
-    df: DataFrame, id_col: str, cluster_col: str, vector_col: str, *, sample_size: int | None = 1500, seed: int = 42
-) -> DataFrame:
-    """Mean silhouette of a seeded sample of at most ``sample_size`` points (all, if None)."""
-    chosen = df if sample_size is None else sample_n(df, sample_size, id_col, seed)
-    return _mean_silhouette(silhouette_points(chosen, id_col, cluster_col, vector_col, rows=sample_size))
+def cluster_moments(df: DataFrame, cluster_col: str, vector_col: str) -> DataFrame:
+    """``(cluster, members, total, squares)``: count, sum of vectors and sum of squared lengths, in one aggregate."""
+    vector = array_to_vector(as_double(F.col(vector_col)))
+    return df.groupBy(F.col(cluster_col).cast("string").alias("cluster")).agg(
+        F.count("*").alias("members"), Summarizer.sum(vector).alias("s"), Summarizer.sum(_squared(vector_col)).alias("q")
+    ).select("cluster", "members", vector_to_array("s").alias("total"), vector_to_array("q")[0].alias("squares"))
+
+
+def _squared(vector_col: str):
+    return array_to_vector(F.array(F.aggregate(as_double(F.col(vector_col)), F.lit(0.0), lambda t, x: t + x * x)))
+
+
+def silhouette_scores(df: DataFrame, id_col: str, cluster_col: str, vector_col: str) -> DataFrame:
+    """``(id, cluster, a, b, silhouette)`` of every point under squared Euclidean distances.
+
+    The mean squared distance of a point to a cluster follows from the cluster's moments, so all points are
+    scored in one map over a broadcast of the moments (a checked number of clusters): linear in the rows.
+    """
+    moments = control_rows(cluster_moments(df, cluster_col, vector_col).orderBy("cluster"))
+    names = {r["cluster"]: i for i, r in enumerate(moments)}
+    members = np.asarray([r["members"] for r in moments], dtype=np.float64)
+    totals = np.asarray([r["total"] for r in moments], dtype=np.float64)
+    squares = np.asarray([r["squares"] for r in moments], dtype=np.float64)
+    shared = df.sparkSession.sparkContext.broadcast((names, members, totals, squares))
+
+    @F.pandas_udf("a double, b double, silhouette double")
+    def score(clusters: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        index, n, s, q = shared.value
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        own = clusters.map(index).to_numpy()
+        sums = n[None, :] * (x * x).sum(axis=1)[:, None] - 2.0 * (x @ s.T) + q[None, :]
+        rows = np.arange(len(x))
+        a = np.where(n[own] > 1, sums[rows, own] / np.maximum(n[own] - 1, 1), 0.0)
+        means = sums / n[None, :]
+        means[rows, own] = np.inf
+        b = means.min(axis=1)
+        top = np.maximum(a, b)
+        value = np.where((n[own] > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+        return pd.DataFrame({"a": a, "b": b, "silhouette": value})
+
+    points = df.select(F.col(id_col).alias("id"), F.col(cluster_col).cast("string").alias("cluster"), F.col(vector_col).alias("v"))
+    scored = points.withColumn("_s", score.asNondeterministic()("cluster", as_double(F.col("v"))))
+    return scored.select("id", "cluster", "_s.a", "_s.b", "_s.silhouette")
+
+
+def silhouette(df: DataFrame, id_col: str, cluster_col: str, vector_col: str) -> DataFrame:
+    """Number of points and mean silhouette over all rows, see :func:`silhouette_scores`.
+
+    :func:`silhouette_points` has the Euclidean form, whose work grows with the square of the rows.
+    """
+    return _mean_silhouette(silhouette_scores(df, id_col, cluster_col, vector_col))
 
 
 def _mean_silhouette(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("points"), F.avg("silhouette").alias("silhouette"))
 
 
+def kmeans_step(df: DataFrame, vector_col: str, centres: Sequence[tuple[str, Sequence[float]]]) -> DataFrame:
+    """``(cluster, members, cost)``: sizes and summed squared distances when every row goes to its nearest centre.
+
+    Equally near centres go to the first one in the list.
+    """
+    names = [c for c, _ in centres]
+    table = df.sparkSession.sparkContext.broadcast(np.asarray([v for _, v in centres], dtype=np.float64))
+
+    @F.pandas_udf("cluster int, cost double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        x, c = np.stack(vectors.to_numpy()).astype(np.float64), table.value
+        squared = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+        best = squared.argmin(axis=1)
+        return pd.DataFrame({"cluster": best.astype(np.int32), "cost": np.maximum(squared[np.arange(len(x)), best], 0.0)})
+
+    placed = df.select(nearest.asNondeterministic()(as_double(F.col(vector_col))).alias("p")).select("p.*")
+    sums = placed.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("cost").alias("cost"))
+    return sums.withColumn("cluster", F.get(F.array(*[F.lit(n) for n in names]), F.col("cluster")))
+
+
 def cluster_sweep(
     df: DataFrame,
     id_col: str,
@@ -95,19 +161,14 @@ def cluster_sweep(
     *,
     ks: Iterable[int] = range(6, 13),
     restarts: int = 5,
-    sample_size: int = 4000,
-    silhouette_size: int = 1500,
     seed: int = 42,
     parallel_fits: int = 4,
 ) -> DataFrame:
-    """``(k, silhouette, cluster_distribution)`` of the best of several k-means runs per k.
+    """``(k, silhouette, cluster_distribution)`` of the best of several k-means runs per k, over all rows.
 
-    The sample bounds the work; each run is a distributed MLlib fit, and a few of these small
-    fits are submitted at a time.
+    Each run is a distributed MLlib fit, and a few are submitted at a time.
     """
-    chosen = sample_n(df.select(id_col, vector_col), sample_size, id_col, seed)
-    points = durable(chosen.withColumn("_features", array_to_vector(as_double(F.col(vector_col)))))
-    scored = durable(sample_n(points, silhouette_size, id_col, seed))
+    points = durable(df.select(id_col, vector_col).withColumn("_features", array_to_vector(as_double(F.col(vector_col)))))
 
     def fit(k: int, restart: int):
         return KMeans(k=k, seed=seed + restart, featuresCol="_features", predictionCol="_cluster").fit(points)
@@ -118,14 +179,12 @@ def cluster_sweep(
     results = []
     for k in dict.fromkeys(k for k, _ in runs):
         best = min((m for (n, _), m in zip(runs, fits) if n == k), key=lambda m: m.summary.trainingCost)
-        labelled = best.transform(points)
+        labelled = best.transform(points).drop("_features")
         sizes = labelled.groupBy("_cluster").agg(F.count("*").alias("n")).agg(
             F.sort_array(F.collect_list("n"), asc=False).alias("cluster_distribution")
         )
-        sampled = best.transform(scored)
-        per_point = silhouette_points(sampled, id_col, "_cluster", vector_col, rows=silhouette_size)
         results.append(
-            _mean_silhouette(per_point).select(
+            silhouette(labelled, id_col, "_cluster", vector_col).select(
                 F.lit(k).alias("k"),
                 half_even(F.col("silhouette"), 4).alias("silhouette"),
                 F.lit(sizes.select("cluster_distribution").scalar()).alias("cluster_distribution"),

@@ -37,13 +37,6 @@ def unused_texts(df: DataFrame, used: DataFrame, text_col: str, used_col: str, i
     ).select(*df.columns)
 
 
-def shared_keys(a: DataFrame, b: DataFrame, a_key: Column, b_key: Column) -> DataFrame:
-    """Distinct keys present on both sides; each side is made distinct before the join."""
-    left = a.select(a_key.alias("key")).dropna().distinct()
-    right = b.select(b_key.alias("key")).dropna().distinct()
-    return left.join(right, "key", "left_semi")
-
-
 def shared_texts(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFrame:
     """Texts equal after lowering and stripping: ``(digest, rows_a, rows_b)``.
 

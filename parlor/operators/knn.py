@@ -1,15 +1,21 @@
-"""Exact top-n cosine search of a query table in a corpus table of unit vectors.
+"""Exact top-n cosine search of a query table in a corpus table.
 
 Two ways to the same result:
 
-* a corpus that fits a broadcast (a retrieval corpus is capped by its builder) is searched
-  map-only: one matrix product per batch of queries, no shuffle;
-* a larger corpus is cut into cells around pivot vectors. Each query gets an upper bound on the
-  angle of its n-th neighbour from per-cell summaries, skips every cell the triangle inequality
-  rules out, and meets the rest in blocks of bounded size that keep n rows per query.
+* a corpus whose measured size fits a broadcast is searched map-only: one matrix product per batch of
+  queries, no shuffle;
+* a larger corpus is cut into cells around pivot vectors, and queries into chunks of neighbouring pivots. Each
+  query gets an upper bound on the angle of its n-th neighbour from per-cell summaries and leaves out every cell
+  that the triangle inequality rules out; a block of corpus rows is sent to a chunk only if some query of it
+  visits the block. Blocks keep n rows per query.
 
-Ranking compares similarities rounded to nine decimals, and ties go to the smaller corpus id;
-the similarity returned is not rounded.
+In many dimensions few cells are ruled out, and an exact search then compares all pairs: its cost is queries x
+corpus, with a copy of each corpus row for every chunk of ``query_rows`` queries and of each query for every block
+of ``block_rows`` rows. Where an approximate answer will do, :func:`lsh_similar` avoids that.
+
+Vectors are compared by direction: those that don't have unit length are scaled to it, zero and null vectors are
+found by nobody and find nothing. Ranking compares similarities rounded to nine decimals, ties go to the smaller
+corpus id and then to the ``ties`` columns; the similarity returned is not rounded. Ids may repeat on both sides.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from parlor.functions.vectors import as_double
-from parlor.operators.sampling import sample_n
+from parlor.functions.vectors import as_double, normalize
 from parlor.session import durable
 
 DIGITS = 9
@@ -34,7 +41,17 @@ SORTED_ROWS = 2048
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
+    """Rows of unit length; rows that have it up to rounding are left as they are."""
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+    lengths = np.linalg.norm(rows, axis=1)
+    off = np.abs(lengths - 1.0) > 1e-6
+    rows[off] /= lengths[off, None]
+    return rows
+
+
+def directed(vector: Column) -> Column:
+    """The vector as doubles, null if it is null or zero."""
+    return F.when(F.exists(vector, lambda x: x != 0), as_double(vector))
 
 
 def _best(sims: np.ndarray, n: int) -> np.ndarray:
@@ -50,7 +67,9 @@ def _best(sims: np.ndarray, n: int) -> np.ndarray:
 
 def _search(query_ids, queries: np.ndarray, corpus_ids, corpus: np.ndarray, n: int, exclude_same_id: bool):
     """Yield ``(query position, corpus positions, similarities)``; the corpus is sorted by id."""
-    position = {c: i for i, c in enumerate(corpus_ids)} if exclude_same_id else {}
+    position: dict = {}
+    for i, c in enumerate(corpus_ids if exclude_same_id else ()):
+        position.setdefault(c, []).append(i)
     step = max(1, PRODUCT_CELLS // max(1, len(corpus_ids)))
     for start in range(0, len(queries), step):
         sims = queries[start : start + step] @ corpus.T
@@ -75,45 +94,44 @@ def candidate_type(corpus: DataFrame, corpus_id: str, extra: Sequence[str]) -> T
     return T.ArrayType(T.StructType(fields))
 
 
-def corpus_size(corpus: DataFrame, vector_col: str, extra: Sequence[str]) -> tuple[int, int]:
-    """Rows and bytes the corpus would take in a broadcast."""
-    size = F.size(vector_col) * 8
-    for c in extra:
-        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16
-    row = corpus.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    return int(row["n"]), int(row["b"] or 0)
+def corpus_size(corpus: DataFrame, vector_col: str, texts: Sequence[str] = (), others: int = 0) -> int:
+    """Bytes the corpus would take in a broadcast as Python objects: vectors, ``texts``, ``others`` short columns."""
+    size = F.size(vector_col) * 8 + 200 + 80 * others
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 80
+    return int(corpus.agg(F.sum(size).alias("b")).first()["b"] or 0)
 
 
-def fits_broadcast(corpus: DataFrame, vector_col: str, extra: Sequence[str], max_bytes: int) -> bool:
-    return corpus_size(corpus, vector_col, extra)[1] <= max_bytes
+class Packed:
+    """A measured corpus, gathered once: a broadcast for the search, and the columns carried along."""
+
+    def __init__(self, corpus: DataFrame, corpus_id: str, vector_col: str, extra: Sequence[str], ties: Sequence[str] = (),
+                 carried: Sequence[str] = ()):
+        chosen = corpus.select(F.col(corpus_id), directed(F.col(vector_col)).alias("_v"), *extra, *carried)
+        table = chosen.where(F.col("_v").isNotNull()).toPandas()
+        table = table.sort_values([corpus_id, *ties], kind="stable").reset_index(drop=True)
+        ids = table[corpus_id].tolist()
+        self.table, self.extra, self.type = table.drop(columns="_v"), list(extra), candidate_type(corpus, corpus_id, extra)
+        self.shared = corpus.sparkSession.sparkContext.broadcast(
+            (ids, _matrix(table["_v"]) if ids else None, {c: table[c].tolist() for c in extra})
+        )
 
 
 def search_broadcast(
     queries: DataFrame,
-    corpus: DataFrame,
+    corpus: Packed,
     n: int,
     *,
     query_id: str,
-    corpus_id: str,
     vector_col: str,
-    extra: Sequence[str] = (),
     exclude_same_id: bool = False,
     output_col: str = "candidates",
 ) -> DataFrame:
-    """Add the top-n candidates as an array column; the corpus must have passed a size check.
-
-    Map-only, so it also runs on a stream. Rows without a vector get an empty array.
-    """
-    spark = queries.sparkSession
-    table = corpus.select(F.col(corpus_id), as_double(F.col(vector_col)).alias("_v"), *extra).toPandas()
-    table = table.sort_values(corpus_id, kind="stable").reset_index(drop=True)
-    ids = table[corpus_id].tolist()
-    packed = spark.sparkContext.broadcast(
-        (ids, _matrix(table["_v"]) if ids else None, {c: table[c].tolist() for c in extra})
-    )
+    """Add the top-n candidates as an array column. Map-only, so it also runs on a stream."""
+    packed, extra = corpus.shared, corpus.extra
 
     # Only the id and the vector travel to Python; the rest of the row stays in the JVM.
-    @F.pandas_udf(candidate_type(corpus, corpus_id, extra))
+    @F.pandas_udf(corpus.type)
     def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         corpus_ids, vectors, columns = packed.value
         for query_ids, asked in batches:
@@ -130,13 +148,34 @@ def search_broadcast(
             yield pd.Series(found, dtype=object)
 
     # Declared nondeterministic so that no filter above repeats the search.
-    return queries.withColumn(output_col, search.asNondeterministic()(F.col(query_id), F.col(vector_col)))
+    return queries.withColumn(output_col, search.asNondeterministic()(F.col(query_id), directed(F.col(vector_col))))
 
 
 def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
 
+def _chunks(pivots: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per pivot its first chunk of queries and how many it has to itself.
+
+    Pivots are lined up along their main direction; neighbours share a chunk of at most ``most`` queries, and a
+    pivot with more is cut into several.
+    """
+    centred = pivots - pivots.mean(axis=0)
+    direction = np.linalg.svd(centred, full_matrices=False)[2][0] if len(pivots) > 1 else np.ones(pivots.shape[1])
+    first, parts, chunk, held = np.zeros(len(pivots), dtype=np.int64), np.ones(len(pivots), dtype=np.int64), 0, 0
+    for p in np.argsort(centred @ direction, kind="stable"):
+        parts[p] = max(1, math.ceil(counts[p] / most))
+        if held and held + counts[p] > most:
+            chunk, held = chunk + 1, 0
+        first[p] = chunk
+        if parts[p] > 1:
+            chunk, held = chunk + int(parts[p]), 0
+        else:
+            held += int(counts[p])
+    return first, parts
+
+
 def search_cells(
     queries: DataFrame,
     corpus: DataFrame,
@@ -145,28 +184,37 @@ def search_cells(
     query_id: str,
     corpus_id: str,
     vector_col: str,
+    row_id: str | None = None,
     extra: Sequence[str] = (),
+    ties: Sequence[str] = (),
     exclude_same_id: bool = False,
-    cells: int = 256,
-    block_rows: int = 32_768,
-    query_rows: int = 32_768,
+    cells: int | None = None,
+    block_rows: int = 131_072,
+    query_rows: int = 131_072,
     seed: int = 42,
 ) -> DataFrame:
-    """``(query, id, similarity, extra...)`` of the top-n for a corpus of any size."""
-    bound_n = n + 1 if exclude_same_id else n
-    known = corpus.where(F.col(vector_col).isNotNull()).select(
-        F.col(corpus_id).alias("id"), as_double(F.col(vector_col)).alias("_v"), *extra
-    )
-    pivot_rows = sample_n(known.select("id", "_v"), cells, "id", seed).collect()  # at most `cells` rows
+    """``(query, id, similarity, extra...)`` of the top-n for a corpus of any size.
+
+    ``query`` is the value of ``row_id``, which must tell the queries apart (by default ``query_id``). ``cells``
+    is by default the square root of the corpus rows, 4,096 at most.
+    """
+    row_id = row_id or query_id
+    known = corpus.select(F.col(corpus_id).alias("id"), directed(F.col(vector_col)).alias("_v"), *extra).where(F.col("_v").isNotNull())
     pair_schema = T.StructType(
         [
-            T.StructField("query", queries.schema[query_id].dataType),
+            T.StructField("query", queries.schema[row_id].dataType),
             *candidate_type(corpus, corpus_id, extra).elementType.fields,
         ]
     )
-    if not pivot_rows:
+    copies = known.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if not copies["rows"]:
         return queries.sparkSession.createDataFrame([], pair_schema)
-    pivots = np.asarray([r["_v"] for r in sorted(pivot_rows, key=lambda r: r["id"])], dtype=np.float64)
+    # A query may have to pass over as many rows as share its id.
+    bound_n = n + copies["most"] if exclude_same_id else n
+    cells = cells or min(4096, max(1, math.isqrt(copies["rows"])))
+    # Any pivots will do; at most `cells` rows.
+    some = known.select("_v").orderBy(F.rand(seed)).limit(cells).collect()
+    pivots = _matrix(pd.Series([r["_v"] for r in some]))
 
     assigned_schema = T.StructType(
         [*known.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())]
@@ -204,15 +252,13 @@ def search_cells(
     slot_cell = np.repeat(np.arange(len(summary)), blocks)
     first_slot = dict(zip(cell_ids.tolist(), (np.cumsum(blocks) - blocks).tolist()))
 
-    query_chunks = max(1, math.ceil(queries.count() / query_rows))
-    asked = queries.where(F.col(vector_col).isNotNull()).select(
-        F.col(query_id).alias("_qid"),
-        as_double(F.col(vector_col)).alias("_qv"),
-        F.pmod(F.xxhash64(query_id), F.lit(query_chunks)).cast("int").alias("_chunk"),
-    )
+    asked = queries.select(
+        F.col(row_id).alias("_qrow"), F.col(query_id).alias("_qid"), directed(F.col(vector_col)).alias("_qv")
+    ).where(F.col("_qv").isNotNull())
     visit_schema = T.StructType(
         [
             *asked.schema.fields,
+            T.StructField("_near", T.IntegerType()),
             T.StructField("_floor", T.DoubleType()),
             T.StructField("_slots", T.ArrayType(T.IntegerType())),
         ]
@@ -230,41 +276,66 @@ def search_cells(
                 floors.append(math.cos(min(worst, np.pi)) - SLACK)
                 nearest = np.cos(np.maximum(row - radius, 0.0))
                 slots.append(np.flatnonzero((nearest >= floors[-1])[slot_cell]).astype(np.int32))
-            yield batch.assign(_floor=floors, _slots=slots)
-
-    visiting = asked.mapInPandas(plan, visit_schema).withColumn("_slot", F.explode("_slots")).drop("_slots")
-
-    def per_cell(values: dict) -> Column:
-        return F.try_element_at(F.create_map(*[F.lit(int(x)) for pair in values.items() for x in pair]), F.col("_cell"))
-
-    block = F.pmod(F.xxhash64("id"), per_cell(dict(zip(cell_ids.tolist(), blocks.tolist()))))
+            yield batch.assign(_near=angles.argmin(axis=1).astype(np.int32), _floor=floors, _slots=slots)
+
+    planned = durable(asked.mapInPandas(plan, visit_schema))
+    near = {r["_near"]: r["n"] for r in planned.groupBy("_near").agg(F.count("*").alias("n")).collect()}
+    first_chunk, parts = _chunks(cell_pivots, np.asarray([near.get(i, 0) for i in range(len(cell_ids))]), query_rows)
+
+    def mapped(column: str, values: dict) -> Column:
+        dense = [values.get(i, 0) for i in range(max(values) + 1)]
+        return F.get(F.array(*[F.lit(int(x)) for x in dense]), F.col(column))
+
+    part = F.pmod(F.xxhash64("_qrow"), mapped("_near", dict(enumerate(parts))))
+    chunked = planned.withColumn("_chunk", (mapped("_near", dict(enumerate(first_chunk))) + part).cast("int"))
+    visiting = chunked.withColumn("_slot", F.explode("_slots")).drop("_slots", "_near")
+    # A block goes to the chunks that visit it and to no others.
+    needed = visiting.select("_slot", "_chunk").distinct().toDF("_slot", "_chunk")
+    block = F.pmod(F.xxhash64("id", "_v"), mapped("_cell", dict(zip(cell_ids.tolist(), blocks.tolist()))))
     offered = (
-        assigned.withColumn("_slot", (per_cell(first_slot) + block).cast("int"))
-        .drop("_cell", "_angle")
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(query_chunks - 1))))
+        assigned.withColumn("_slot", (mapped("_cell", first_slot) + block).cast("int")).drop("_cell", "_angle").join(needed, "_slot")
     )
     key = ["_slot", "_chunk"]
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=pair_schema.names)
-        right = right.sort_values("id", kind="stable").reset_index(drop=True)
-        qids = left["_qid"].tolist()
-        floors = left["_floor"].to_numpy()
-        search = _search(qids, _matrix(left["_qv"]), right["id"].tolist(), _matrix(right["_v"]), n, exclude_same_id)
+        right = right.sort_values(["id", *ties], kind="stable").reset_index(drop=True)
+        rows, floors = left["_qrow"].tolist(), left["_floor"].to_numpy()
+        search = _search(left["_qid"].tolist(), _matrix(left["_qv"]), right["id"].tolist(), _matrix(right["_v"]), n, exclude_same_id)
         # What lies below a query's bound cannot be among its n nearest.
         hits = [(i, best[sims >= floors[i]], sims[sims >= floors[i]]) for i, best, sims in search]
         found = right[["id", *extra]].iloc[np.concatenate([best for _, best, _ in hits])]
         return found.assign(
-            query=np.repeat([qids[i] for i, _, _ in hits], [len(best) for _, best, _ in hits]),
+            query=np.repeat([rows[i] for i, _, _ in hits], [len(best) for _, best, _ in hits]),
             similarity=np.concatenate([sims for _, _, sims in hits]),
         )[pair_schema.names]
 
     per_block = visiting.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(match, pair_schema)
-    order = W.partitionBy("query").orderBy(F.bround("similarity", DIGITS).desc(), F.col("id"))
+    order = W.partitionBy("query").orderBy(F.bround("similarity", DIGITS).desc(), F.col("id"), *ties)
     return per_block.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def numbered(queries: DataFrame) -> DataFrame:
+    """The queries, stored, with a number ``_row`` of each row, since their ids may repeat."""
+    return durable(queries.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def similar_by_row(rows: DataFrame, corpus: DataFrame, n: int, *, corpus_id: str, extra: Sequence[str] = (),
+                   ties: Sequence[str] = (), **options) -> DataFrame:
+    """Add ``candidates`` to :func:`numbered` queries by way of :func:`search_cells`."""
+    pairs = search_cells(rows, corpus, n, row_id="_row", corpus_id=corpus_id, extra=extra, ties=ties, **options)
+    # At most n small rows per query are gathered.
+    keyed = F.struct(
+        (-F.bround("similarity", DIGITS)).alias("k"), F.col("id"), *[F.col(c).alias(f"t_{c}") for c in ties],
+        F.struct("id", "similarity", *extra).alias("c"),
+    )
+    gathered = pairs.groupBy("query").agg(F.array_sort(F.collect_list(keyed)).alias("_c"))
+    listed = gathered.select(F.col("query").alias("_row"), F.transform("_c", lambda x: x["c"]).alias("candidates"))
+    empty = F.array().cast(candidate_type(corpus, corpus_id, extra))
+    return rows.join(listed, "_row", "left").withColumn("candidates", F.coalesce("candidates", empty))
+
+
 def top_similar(
     queries: DataFrame,
     corpus: DataFrame,
@@ -278,13 +349,36 @@ def top_similar(
     max_broadcast_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
     """Add ``candidates: array<struct(id, similarity, extra...)>``, best first, to every query."""
-    options = dict(query_id=query_id, corpus_id=corpus_id, vector_col=vector_col, extra=extra, exclude_same_id=exclude_same_id)
-    if fits_broadcast(corpus, vector_col, extra, max_broadcast_bytes):
-        return search_broadcast(queries, corpus.where(F.col(vector_col).isNotNull()), n, **options)
-    pairs = search_cells(queries, corpus, n, **options)
-    # At most n small rows per query are gathered.
-    keyed = F.struct((-F.bround("similarity", DIGITS)).alias("k"), F.col("id"), F.struct("id", "similarity", *extra).alias("c"))
-    gathered = pairs.groupBy("query").agg(F.array_sort(F.collect_list(keyed)).alias("_c"))
-    listed = gathered.select(F.col("query").alias(query_id), F.transform("_c", lambda x: x["c"]).alias("candidates"))
-    empty = F.array().cast(candidate_type(corpus, corpus_id, extra))
-    return queries.join(listed, query_id, "left").withColumn("candidates", F.coalesce("candidates", empty))
+    options = dict(query_id=query_id, vector_col=vector_col, exclude_same_id=exclude_same_id)
+    if corpus_size(corpus, vector_col, extra) <= max_broadcast_bytes:
+        return search_broadcast(queries, Packed(corpus, corpus_id, vector_col, extra, extra), n, **options)
+    return similar_by_row(numbered(queries), corpus, n, corpus_id=corpus_id, extra=extra, ties=extra, **options).drop("_row")
+
+
+def lsh_similar(
+    queries: DataFrame,
+    corpus: DataFrame,
+    least_similarity: float,
+    *,
+    query_id: str,
+    corpus_id: str,
+    vector_col: str,
+    bucket_length: float = 0.5,
+    tables: int = 8,
+    seed: int = 42,
+) -> DataFrame:
+    """Approximate pairs ``(query, id, similarity)`` of at least ``least_similarity``, by locality-sensitive hashing.
+
+    Found pairs are right, some pairs are missed; more ``tables`` or longer buckets miss fewer. No row is compared
+    with rows outside its buckets.
+    """
+
+    def prepared(df: DataFrame, id_col: str, name: str) -> DataFrame:
+        vector = normalize(directed(F.col(vector_col)))
+        return df.select(F.col(id_col).alias(name), vector.alias("v")).where("v is not null").select(name, array_to_vector("v").alias("v"))
+
+    left, right = prepared(queries, query_id, "query"), prepared(corpus, corpus_id, "id")
+    hashing = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
+    reach = math.sqrt(max(0.0, 2.0 - 2.0 * least_similarity))
+    pairs = hashing.fit(right).approxSimilarityJoin(left, right, reach, distCol="d")
+    return pairs.select("datasetA.query", "datasetB.id", (1.0 - F.col("d") * F.col("d") / 2.0).alias("similarity"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parlor import defaults as D
 from parlor.functions import scoring as S
 from parlor.operators.classify import nearest_centroid
-from parlor.operators.knn import DIGITS, fits_broadcast, top_similar
+from parlor.operators.knn import DIGITS, Packed, corpus_size, numbered, search_broadcast, similar_by_row
 from parlor.operators.sampling import sample_n
 from parlor.operators.skew import salted_join
 from parlor.operators.threads import long_enough
@@ -24,27 +24,34 @@ def build_corpus(
     table: Sequence[tuple[str, Sequence[float]]],
     *,
     vector_col: str = "embedding",
-    max_items: int = 8000,
+    max_items: int | None = None,
     min_length: int = 12,
     seed: int = 42,
     keywords: Mapping[str, Sequence[str]] = D.KEYWORDS,
     catch_all: str = D.CATCH_ALL,
     threshold: float = 0.48,
 ) -> DataFrame:
-    """Retrieval corpus: long enough threads, at most ``max_items`` of them, with their class.
-
-    ``max_items`` is what bounds the corpus for the broadcast search.
-    """
+    """Retrieval corpus: all long enough threads, or a seeded sample of ``max_items``, with their class."""
     valid = long_enough(threads, ["customer_message", "agent_reply"], min_length)
-    chosen = sample_n(valid, max_items, "thread_id", seed)
+    chosen = valid if max_items is None else sample_threads(valid, max_items, seed)
     tagged = nearest_centroid(
         chosen, "customer_message", vector_col, table, keywords=keywords, catch_all=catch_all, threshold=threshold
     )
     return tagged.withColumnRenamed(vector_col, "embedding").select(*CORPUS_COLUMNS)
 
 
+def thread_key() -> Column:
+    """Digest of a corpus row; several replies to one message share their ``thread_id``."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("thread_id", "customer_message", "agent_reply")]
+    return F.md5(F.concat_ws("\u0001", *parts))
+
+
+def sample_threads(threads: DataFrame, n: int, seed: int) -> DataFrame:
+    return sample_n(threads.withColumn("_row_key", thread_key()), n, "_row_key", seed).drop("_row_key")
+
+
 def rerank(candidates: Column, predicted: Column, top_k: int, catch_all: str = D.CATCH_ALL) -> Column:
-    """Top-k of the candidates by adjusted score; equal scores keep similarity order, then id.
+    """Top-k of the candidates by adjusted score; equal scores keep similarity order, then id, then key.
 
     Works on the row's own candidate array, so it needs no shuffle.
     """
@@ -55,12 +62,14 @@ def rerank(candidates: Column, predicted: Column, top_k: int, catch_all: str = D
             (-score).alias("k"),
             (-S.half_even(c["similarity"], DIGITS)).alias("s"),
             c["id"].alias("id"),
+            c["key"].alias("key"),
             F.struct(
                 c["id"].alias("id"),
                 S.half_even(c["similarity"], 4).alias("raw_similarity"),
                 score.alias("ranking_score"),
                 c["class"].alias("class"),
                 c["is_boilerplate"].alias("is_boilerplate"),
+                c["key"].alias("key"),
             ).alias("m"),
         )
 
@@ -68,38 +77,36 @@ def rerank(candidates: Column, predicted: Column, top_k: int, catch_all: str = D
 
 
 def _with_replies(kept: Column, replies: Column) -> Column:
-    return F.zip_with(kept, replies, lambda m, r: m.withField("reply", r))
+    return F.zip_with(kept, replies, lambda m, r: m.dropFields("key").withField("reply", r))
 
 
-def replies_from_broadcast(found: DataFrame, replies: DataFrame) -> DataFrame:
-    """Turn ``_kept`` into ``matches`` with reply texts; only the kept rows carry text."""
-    texts = found.sparkSession.sparkContext.broadcast({r["thread_id"]: r["agent_reply"] for r in replies.collect()})
+def replies_from_broadcast(found: DataFrame, replies: Mapping[str, str]) -> DataFrame:
+    """Turn ``_kept`` into ``matches`` with the reply of each corpus row, looked up by its key."""
+    texts = found.sparkSession.sparkContext.broadcast(dict(replies))
 
     @F.pandas_udf("array<string>")
     def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([[texts.value[i] for i in row] for row in ids], dtype=object)
+        for keys in batches:
+            yield pd.Series([[texts.value[k] for k in row] for row in keys], dtype=object)
 
-    found = found.withColumn("_replies", look_up.asNondeterministic()(F.transform("_kept", lambda m: m["id"])))
+    found = found.withColumn("_replies", look_up.asNondeterministic()(F.transform("_kept", lambda m: m["key"])))
     return found.withColumn("matches", _with_replies(F.col("_kept"), F.col("_replies"))).drop("_kept", "_replies")
 
 
-def replies_from_join(found: DataFrame, replies: DataFrame, query_id: str) -> DataFrame:
-    """The same for a corpus beyond the broadcast bound: top-k small rows per query are joined.
+def replies_from_join(found: DataFrame, replies: DataFrame) -> DataFrame:
+    """The same for a corpus beyond the broadcast bound: top-k small rows per query row are joined.
 
     A reply that suits very many queries is spread by the salted join.
     """
-    found = durable(found)  # read for the ids and again for the scores
-    wanted = found.select(query_id, F.posexplode("_kept").alias("_at", "_m")).select(
-        query_id, "_at", F.col("_m.id").alias("thread_id")
-    )
-    joined = salted_join(wanted, replies, ["thread_id"], "left", F.col(query_id))
-    gathered = joined.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("_at", "agent_reply"))).alias("_r"))
-    listed = gathered.select(query_id, F.transform("_r", lambda r: r["agent_reply"]).alias("_replies"))
+    found = durable(found)  # read for the keys and again for the scores
+    wanted = found.select("_row", F.posexplode("_kept").alias("_at", "_m")).select("_row", "_at", F.col("_m.key").alias("key"))
+    joined = salted_join(wanted, replies.dropDuplicates(["key"]), ["key"], "left", F.col("_row"))
+    gathered = joined.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "agent_reply"))).alias("_r"))
+    listed = gathered.select("_row", F.transform("_r", lambda r: r["agent_reply"]).alias("_replies"))
     matches = F.when(F.size("_kept") == 0, _with_replies(F.col("_kept"), F.array().cast("array<string>"))).otherwise(
         _with_replies(F.col("_kept"), F.col("_replies"))
     )
-    return found.join(listed, query_id, "left").withColumn("matches", matches).drop("_kept", "_replies")
+    return found.join(listed, "_row", "left").withColumn("matches", matches).drop("_kept", "_replies")
 
 
 def retrieve(
@@ -117,31 +124,27 @@ def retrieve(
     """Add ``matches, best_similarity, mean_similarity, grounding_ids``.
 
     The pool of ``10 * top_k`` candidates is chosen by raw similarity, then re-ranked. An empty
-    corpus gives empty matches and similarity 0.
+    corpus gives empty matches and similarity 0. Every corpus row is a match with its own reply,
+    also where several share a ``thread_id``; queries may share an id as well.
     """
-    pool = corpus.select(F.col("thread_id"), F.col("embedding").alias(vector_col), "class", "is_boilerplate", "agent_reply")
-    small = fits_broadcast(pool, vector_col, ["class", "is_boilerplate", "agent_reply"], max_broadcast_bytes)
-    # Beyond the bound only ids, classes and vectors take part in the search.
-    asked = queries if small else queries.select(query_id, class_col, vector_col)
-    found = top_similar(
-        asked,
-        pool.drop("agent_reply"),
-        top_k * 10,
-        query_id=query_id,
-        corpus_id="thread_id",
-        vector_col=vector_col,
-        extra=["class", "is_boilerplate"],
-        exclude_same_id=exclude_same_id,
-        max_broadcast_bytes=max_broadcast_bytes if small else -1,
+    pool = corpus.select(
+        "thread_id", F.col("embedding").alias(vector_col), "class", "is_boilerplate", "agent_reply", thread_key().alias("key")
     )
+    extra = ["class", "is_boilerplate", "key"]
     kept = rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)
-    found = found.withColumn("_kept", kept).drop("candidates")
-    replies = pool.select("thread_id", "agent_reply")
-    if small:
-        ranked = replies_from_broadcast(found, replies)
+    options = dict(query_id=query_id, vector_col=vector_col, exclude_same_id=exclude_same_id)
+    if corpus_size(pool, vector_col, ["agent_reply"], len(extra) + 1) <= max_broadcast_bytes:
+        # One pass gathers vectors and replies.
+        packed = Packed(pool, "thread_id", vector_col, extra, ["key"], ["agent_reply"])
+        found = search_broadcast(queries, packed, top_k * 10, **options).withColumn("_kept", kept).drop("candidates")
+        ranked = replies_from_broadcast(found, dict(zip(packed.table["key"], packed.table["agent_reply"])))
     else:
-        joined = replies_from_join(found.drop(class_col, vector_col), replies, query_id)
-        ranked = queries.join(joined, query_id, "left")
+        # Only ids, classes and vectors take part in the search; texts are joined last.
+        rows = numbered(queries)
+        asked = rows.select("_row", query_id, class_col, vector_col)
+        found = similar_by_row(asked, pool.drop("agent_reply"), top_k * 10, corpus_id="thread_id", extra=extra, ties=["key"], **options)
+        joined = replies_from_join(found.select("_row", kept.alias("_kept")), pool.select("key", "agent_reply"))
+        ranked = rows.join(joined, "_row", "left").drop("_row")
     raw = F.transform("matches", lambda m: m["raw_similarity"])
     total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
     return ranked.withColumns(

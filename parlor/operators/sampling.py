@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from parlor.functions.text import digest
 
 AFTER_LAST_BUCKET = "g"
-SMALL_QUOTA = 100
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -84,16 +83,10 @@ def quota_sample(
 ) -> DataFrame:
     """The first ``quotas[class]`` rows of each class in shuffled order; other classes drop out.
 
-    Small quotas take one pass: every map task keeps its own first rows of a class, so the final
-    task of a class sees at most quota rows per map task. Larger quotas are cut by bucket counts.
+    Bucket counts give the cut of each class, so no task ever sees more than one bucket of a class.
     """
     keyed = _keyed(df.where(F.col(class_col).isin(list(quotas))), id_col, seed)
     quota = F.create_map(*[F.lit(x) for c, q in quotas.items() for x in (c, int(q))])[F.col(class_col)]
-    largest = max(quotas.values())
-    if largest <= SMALL_QUOTA:
-        order = W.partitionBy(class_col).orderBy("_key", id_col)
-        first = keyed.withColumn("_position", F.row_number().over(order)).where(F.col("_position") <= largest)
-        return first.where(F.col("_position") <= quota).drop("_key", "_bucket", "_position")
     cuts = (
         _running_counts(keyed, [class_col])
         .withColumn("_quota", quota)

@@ -31,9 +31,8 @@ def centroids(df: DataFrame, class_col: str, vector_col: str) -> DataFrame:
 
 
 def centroid_list(table: DataFrame, order: Sequence[str] | None = None) -> list[tuple[str, list[float]]]:
-    """Centroids as driver values, in taxonomy order (by name if none is given).
-
-    A taxonomy too large for this is searched with ``knn.top_similar`` and n = 2 instead.
+    """Centroids as driver values, in taxonomy order (by name if none is given). A table of more than
+    10,000 classes is refused: search it with :func:`knn.top_similar` and n = 2.
     """
     rows = {r["class"]: list(r["centroid"]) for r in control_rows(table.select("class", "centroid"))}
     return [(c, rows[c]) for c in (order or sorted(rows)) if c in rows]

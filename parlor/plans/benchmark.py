@@ -11,6 +11,7 @@ from parlor.functions import scoring as S, text as T
 from parlor.operators import metrics as M
 from parlor.sources import writers
 
+# Column names of the published report, in order.
 REPORT_COLUMNS = {
     "System": "system",
     "Intent_Acc_Overall": "accuracy_overall",

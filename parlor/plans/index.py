@@ -7,8 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from parlor import defaults as D
-from parlor.operators.retrieve import build_corpus
-from parlor.operators.sampling import sample_n
+from parlor.operators.retrieve import build_corpus, sample_threads
 from parlor.operators.threads import long_enough
 from parlor.operators.vectors import centroid_list, centroids
 from parlor.sources import writers
@@ -31,20 +30,20 @@ def build_index(
     path: str,
     *,
     classes: Sequence[str] = D.CLASSES,
-    max_items: int = 8000,
+    max_items: int | None = None,
     min_length: int = 12,
     seed: int = 42,
     keywords: Mapping[str, Sequence[str]] = D.KEYWORDS,
     catch_all: str = D.CATCH_ALL,
 ) -> DataFrame:
-    """Sample, encode and classify the threads, write the corpus with its vectors, return it.
+    """Encode and classify the threads, write the corpus with its vectors, return it.
 
-    The sample is drawn before the encoder runs, so only the kept messages are encoded, once.
+    A sample of ``max_items``, if one is asked for, is drawn before the encoder runs.
     """
     valid = long_enough(threads, ["customer_message", "agent_reply"], min_length)
-    chosen = encode(sample_n(valid, max_items, "thread_id", seed), "customer_message", "embedding")
+    chosen = encode(valid if max_items is None else sample_threads(valid, max_items, seed), "customer_message", "embedding")
     corpus = build_corpus(
-        chosen, centroid_list(table, classes), max_items=max_items, min_length=min_length, seed=seed,
+        chosen, centroid_list(table, classes), min_length=min_length, seed=seed,
         keywords=keywords, catch_all=catch_all,
     )
     writers.write_parquet(corpus, path)

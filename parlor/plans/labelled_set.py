@@ -4,25 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from parlor import defaults as D
 from parlor.functions import rules as R, text as T
 from parlor.operators.evalsets import held_out
-from parlor.operators.sampling import first_per_digest, quota_sample, shuffle_key, with_shuffle_rank
-from parlor.session import durable
-
-
-MAX_SINGLE_TASK_ROWS = 100_000
-
-
-def number_rows(drawn: DataFrame, most: int, seed: int) -> DataFrame:
-    """Add ``_rank`` in shuffled order. ``most`` bounds the rows: a small draw is numbered in one
-    task, a larger one by bucket."""
-    if most > MAX_SINGLE_TASK_ROWS:
-        return with_shuffle_rank(durable(drawn), "thread_id", seed, name="_rank")
-    order = W.orderBy(shuffle_key("thread_id", seed), "thread_id")
-    return drawn.withColumn("_rank", F.row_number().over(order))
+from parlor.operators.sampling import first_per_digest, quota_sample, with_shuffle_rank
 
 
 def build_labelled_set(
@@ -54,7 +41,7 @@ def build_labelled_set(
     digest = T.digest(T.text_key(F.col("customer_message"))).alias("_digest")
     distinct = first_per_digest(pool.withColumn("_digest", digest), "_digest", "thread_id", seed)
     unused = distinct.join(fixed_cases.select(digest).distinct(), "_digest", "left_anti").drop("_digest")
-    drawn = number_rows(quota_sample(unused, "class", quotas, "thread_id", seed), sum(quotas.values()), seed)
+    drawn = with_shuffle_rank(quota_sample(unused, "class", quotas, "thread_id", seed), "thread_id", seed, name="_rank")
     ladder = R.label_ladder(
         F.col("_lower"), F.col("class"), F.col("confidence"), label_terms, catch_all=catch_all
     )

@@ -56,8 +56,8 @@ def triage(
 ) -> DataFrame:
     """One decision row per message.
 
-    With a corpus within the broadcast bound the whole plan is map-only, so the same function
-    runs on a stream. A row that hits a hard rule is hidden from the retrieval.
+    With a corpus within the broadcast bound and no ``responses`` the whole plan is map-only, so the same
+    function runs on a stream; stored ``responses`` are looked up in a stored intermediate and need a table. A row that hits a hard rule is hidden from the retrieval.
     ``class_answer_col`` names a column with a stored class answer for unsure rows. Alternatively
     ``responses`` is a table of stored answers: it is joined by prompt key, first for the class
     of unsure rows and then for the reply of every row without a rule hit. An answer that is not

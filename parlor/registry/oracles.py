@@ -99,11 +99,18 @@ THREADS = f"""
 
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
-PARSED = f"""
-    blocks AS (
+PAIR_BLOCKS = """
         SELECT CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.turn AS VARCHAR) AS block_id,
                c.role || ': ' || c.text || coalesce(chr(10) || n.role || ': ' || n.text, '') AS transcript
-        FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1),
+        FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1"""
+WHOLE_BLOCKS = """
+        SELECT CAST(conv_id AS VARCHAR) AS block_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
+        FROM conversations GROUP BY conv_id"""
+
+
+def parsed(blocks: str) -> str:
+    return f"""
+    blocks AS ({blocks}),
     split_lines AS (
         SELECT block_id, string_split_regex(transcript, '{LINE_BREAK}') AS lines FROM blocks),
     numbered AS (
@@ -127,6 +134,9 @@ PARSED = f"""
     parsed AS (
         SELECT block_id, segment, role, {clean('body')} AS body FROM joined WHERE {clean('body')} <> '')"""
 
+
+PARSED = parsed(PAIR_BLOCKS)
+
 CENTROIDS = """
     elements AS (
         SELECT CAST(label AS VARCHAR) AS class, unnest(CAST(embedding AS DOUBLE[])) AS value,
@@ -179,11 +189,11 @@ CLASSIFIED = f"""{CENTROIDS},
         FROM docs d LEFT JOIN boosted b USING (doc_id))"""
 
 
-def corpus(size: int = 8000) -> str:
+def corpus() -> str:
     return f"""
     corpus AS (
         SELECT doc_id AS thread_id, text AS reply, class, {like('text', BOILERPLATE)} AS is_boilerplate, v
-        FROM classified WHERE length(text) >= 12 ORDER BY {key('doc_id')}, doc_id LIMIT {size})"""
+        FROM classified WHERE length(text) >= 12)"""
 
 
 def retrieved(source: str) -> str:
@@ -269,10 +279,40 @@ def rubric(reply: str, applicable: str, contact: list[str], empathy: list[str],
         {score(2.5, f'(4.0 - CASE WHEN {short} THEN 1.5 ELSE 0.0 END)', c)} AS completeness"""
 
 
+TRIAGED = f"""{CLASSIFIED},
+        messages AS (
+            SELECT d.doc_id, {strip('d.text')} AS message, coalesce(c.class, '9') AS class, coalesce(c.confidence, 0.0) AS confidence, c.v,
+                   CASE WHEN {like('d.text', '[a-z0-9._]+@[a-z0-9.]+[.]com')} THEN 1 WHEN {like('d.text', 'licen[sc]e|copyright')} THEN 2
+                        WHEN {like('d.text', word('nicht|pas|kein'))} THEN 3 WHEN {like('d.text', '[0-9]{6,}')} THEN 4 END AS rule
+            FROM documents d LEFT JOIN classified c USING (doc_id)),
+        asked AS (SELECT * FROM messages WHERE rule IS NULL AND v IS NOT NULL),
+        {retrieved('asked').strip()},
+        routed AS (
+            SELECT m.*, coalesce(b.best_similarity, 0.0) AS similarity, coalesce(b.grounding_ids, '') AS ids,
+                   coalesce(b.matches_count, 0) AS n, f.reply AS first_reply, f.is_boilerplate AS first_boilerplate,
+                   CASE WHEN rule IS NOT NULL THEN CASE rule WHEN 1 THEN 'contact_data' WHEN 2 THEN 'license' WHEN 3 THEN 'negation' ELSE 'long_number' END
+                        WHEN confidence < 0.20 THEN 'low_intent_confidence'
+                        WHEN coalesce(b.best_similarity, 0.0) < 0.36 THEN 'no_similar_precedent'
+                        WHEN m.class = '8' AND {like('message', word('the|and'))} THEN 'policy_refund_agent_only'
+                        WHEN m.class = '9' AND coalesce(b.best_similarity, 0.0) < 0.40 THEN 'ambiguous_intent' ELSE 'ok' END AS reason_code
+            FROM messages m LEFT JOIN best b USING (doc_id) LEFT JOIN corpus f ON f.thread_id = b.first_id),
+    triaged AS (
+        SELECT doc_id, class, confidence, CASE reason_code WHEN 'ok' THEN 'auto_handle' ELSE 'escalate' END AS decision, reason_code,
+               similarity AS best_similarity, ids AS grounding_ids,
+               CASE WHEN rule IS NOT NULL THEN 'A member of our team has to look at this one and will get back to you.'
+                    WHEN length(first_reply) > 25 AND NOT first_boilerplate THEN first_reply
+                    WHEN class = '0' THEN 'Template of class 0' ELSE '{GENERIC}' END AS draft_reply,
+               CASE WHEN rule IS NOT NULL THEN 'hard_rules' ELSE 'heuristic_model' END AS layer,
+               CASE rule WHEN 1 THEN 'An e-mail address' WHEN 2 THEN 'A license line' WHEN 3 THEN 'A negated sentence'
+                         WHEN 4 THEN 'A long number' END AS rule_description,
+               CASE WHEN rule IS NULL THEN n END AS matches_count FROM routed)"""
+
 OVERALL = "round_even((groundedness + correctness + tone_empathy + completeness) / 4.0, 2)"
 DIMENSIONS = ["groundedness", "correctness", "tone_empathy", "completeness", "overall"]
 
-PREDICTIONS = f"""
+AGENT_CLASS = "CASE CAST(t.class AS INTEGER) % 4 WHEN 0 THEN 'english' WHEN 1 THEN 'french' WHEN 2 THEN 'german' ELSE 'spanish' END"
+
+PREDICTIONS = f"""{TRIAGED},
     examples AS (
         SELECT d.doc_id, d.text, d.n_chars,
                CASE d.lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' END AS truth,
@@ -285,7 +325,9 @@ PREDICTIONS = f"""
                CASE WHEN {like('text', ESCALATE)} THEN 'escalate' ELSE 'auto_handle' END, {template('(' + language('text') + ')')} FROM examples
         UNION ALL
         SELECT 'length', examples.*, CASE WHEN n_chars > 1000 THEN 'english' ELSE 'german' END,
-               CASE WHEN n_chars < 800 THEN 'escalate' ELSE 'auto_handle' END, text FROM examples),
+               CASE WHEN n_chars < 800 THEN 'escalate' ELSE 'auto_handle' END, text FROM examples
+        UNION ALL
+        SELECT 'agent', examples.*, {AGENT_CLASS}, t.decision, t.draft_reply FROM examples JOIN triaged t USING (doc_id)),
     judged AS (
         SELECT *, {rubric('reply', "decision <> 'escalate'", ['dm', 'record locator', 'confirmation'],
                           ['sorry', 'apologize', 'understand', 'glad', 'happy to help'], 'dollar')} FROM answers),
@@ -531,32 +573,7 @@ ORACLES: dict[str, str] = {
             FROM classified q LEFT JOIN snippets s USING (doc_id))
         SELECT doc_id, length(prompt) AS prompt_chars,
                sha256('offline:Answer with one class name.' || chr(10) || chr(10) || prompt) AS cache_key FROM prompts""",
-    "triage_messages": f"""WITH {CLASSIFIED},
-        messages AS (
-            SELECT d.doc_id, {strip('d.text')} AS message, coalesce(c.class, '9') AS class, coalesce(c.confidence, 0.0) AS confidence, c.v,
-                   CASE WHEN {like('d.text', '[a-z0-9._]+@[a-z0-9.]+[.]com')} THEN 1 WHEN {like('d.text', 'licen[sc]e|copyright')} THEN 2
-                        WHEN {like('d.text', word('nicht|pas|kein'))} THEN 3 WHEN {like('d.text', '[0-9]{6,}')} THEN 4 END AS rule
-            FROM documents d LEFT JOIN classified c USING (doc_id)),
-        asked AS (SELECT * FROM messages WHERE rule IS NULL AND v IS NOT NULL),
-        {retrieved('asked').strip()},
-        routed AS (
-            SELECT m.*, coalesce(b.best_similarity, 0.0) AS similarity, coalesce(b.grounding_ids, '') AS ids,
-                   coalesce(b.matches_count, 0) AS n, f.reply AS first_reply, f.is_boilerplate AS first_boilerplate,
-                   CASE WHEN rule IS NOT NULL THEN CASE rule WHEN 1 THEN 'contact_data' WHEN 2 THEN 'license' WHEN 3 THEN 'negation' ELSE 'long_number' END
-                        WHEN confidence < 0.20 THEN 'low_intent_confidence'
-                        WHEN coalesce(b.best_similarity, 0.0) < 0.36 THEN 'no_similar_precedent'
-                        WHEN m.class = '8' AND {like('message', word('the|and'))} THEN 'policy_refund_agent_only'
-                        WHEN m.class = '9' AND coalesce(b.best_similarity, 0.0) < 0.40 THEN 'ambiguous_intent' ELSE 'ok' END AS reason_code
-            FROM messages m LEFT JOIN best b USING (doc_id) LEFT JOIN corpus f ON f.thread_id = b.first_id)
-        SELECT doc_id, class, confidence, CASE reason_code WHEN 'ok' THEN 'auto_handle' ELSE 'escalate' END AS decision, reason_code,
-               similarity AS best_similarity, ids AS grounding_ids,
-               CASE WHEN rule IS NOT NULL THEN 'This case requires human representative handling due to regulatory, safety, legal, or monetary policy restrictions.'
-                    WHEN length(first_reply) > 25 AND NOT first_boilerplate THEN first_reply
-                    WHEN class = '0' THEN 'Template of class 0' ELSE '{GENERIC}' END AS draft_reply,
-               CASE WHEN rule IS NOT NULL THEN 'hard_rules' ELSE 'heuristic_model' END AS layer,
-               CASE rule WHEN 1 THEN 'An e-mail address' WHEN 2 THEN 'A license line' WHEN 3 THEN 'A negated sentence'
-                         WHEN 4 THEN 'A long number' END AS rule_description,
-               CASE WHEN rule IS NULL THEN n END AS matches_count FROM routed""",
+    "triage_messages": f"WITH {TRIAGED} SELECT * FROM triaged",
     "response_lookup": f"WITH {ANSWERS} SELECT doc_id, cache_key, trim({strip('response')}, '\"') AS response FROM found",
     "pending_prompts": f"""WITH {PROMPTS},
         answered AS (SELECT cache_key FROM keyed JOIN labels USING (doc_id))
@@ -615,12 +632,11 @@ ORACLES: dict[str, str] = {
                round_even(CAST(quality * 2 + 3 + toxic + 4 + 5 - quality + quality + toxic + 2 AS DOUBLE) / 4.0, 2) AS overall
         FROM documents JOIN labels USING (doc_id)""",
     "agreement": agreement_sql(),
-    "silhouette": f"""
-        WITH points AS (
-            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY {key('vec_id')}, vec_id LIMIT 1500),
+    "silhouette": """
+        WITH points AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         sums AS (
             SELECT a.vec_id, a.label, b.label AS other, count(*) AS members,
-                   sum(CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE list_distance(a.v, b.v) END) AS total
+                   sum(CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE pow(list_distance(a.v, b.v), 2) END) AS total
             FROM points a CROSS JOIN points b GROUP BY ALL),
         per_point AS (
             SELECT vec_id, max(members) FILTER (WHERE other = label) AS own,
@@ -629,4 +645,95 @@ ORACLES: dict[str, str] = {
             FROM sums GROUP BY vec_id)
         SELECT count(*) AS points, round_even(avg(CASE WHEN own > 1 THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) ELSE 0.0 END), 6) AS silhouette
         FROM per_point""",
+    "kmeans_step": f"""WITH {CENTROIDS},
+        near AS (
+            SELECT vec_id, class, pow(list_distance(CAST(embedding AS DOUBLE[]), centroid), 2) AS d FROM embeddings CROSS JOIN centroids
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, CAST(class AS INTEGER)) = 1)
+        SELECT class AS cluster, count(*) AS members, round_even(sum(d), 6) AS cost FROM near GROUP BY class""",
+    "knn_cells": f"""
+        WITH sims AS ({CANDIDATES}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round_even(similarity, 9) DESC, neighbour) AS rank FROM sims QUALIFY rank <= 10)
+        SELECT vec_id, rank, neighbour, round_even(similarity, 6) AS similarity FROM ranked""",
+    "shared_thread_replies": f"""WITH {CLASSIFIED},
+        corpus AS (
+            SELECT doc_id // 3 AS thread_id, doc_id || ': ' || text AS reply, class, {like('text', BOILERPLATE)} AS is_boilerplate, v,
+                   md5((doc_id // 3) || chr(1) || text || chr(1) || doc_id || ': ' || text) AS k
+            FROM classified WHERE length(text) >= 12),
+        sims AS (
+            SELECT q.doc_id, c.*, q.class AS predicted, list_dot_product(q.v, c.v) AS similarity FROM classified q CROSS JOIN corpus c),
+        pool AS (
+            SELECT * FROM sims
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round_even(similarity, 9) DESC, thread_id, k) <= 30),
+        adjusted AS (
+            SELECT *, round_even(similarity + (CASE WHEN class = predicted AND predicted <> '9' THEN 0.05 ELSE 0.0 END)
+                                 - (CASE WHEN is_boilerplate THEN 0.03 ELSE 0.0 END), 4) AS ranking_score FROM pool),
+        top AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ranking_score DESC, round_even(similarity, 9) DESC, thread_id, k) AS rank
+            FROM adjusted QUALIFY rank <= 3)
+        SELECT doc_id, rank, thread_id AS match_id, ranking_score, sha256(reply) AS reply_digest FROM top""",
+    "transcript_turns": f"""WITH {parsed(WHOLE_BLOCKS)}
+        SELECT block_id, row_number() OVER (PARTITION BY block_id ORDER BY segment) - 1 AS position, role, body AS text FROM parsed""",
+    "transcript_threads": f"""WITH {parsed(WHOLE_BLOCKS)},
+        sides AS (
+            SELECT block_id AS thread_id, arg_min(body, segment) FILTER (WHERE role = 'customer') AS customer_message,
+                   arg_min(body, segment) FILTER (WHERE role = 'support') AS agent_reply, count(*) AS turns_count,
+                   count(*) FILTER (WHERE role = 'customer') AS num_customer_turns,
+                   count(*) FILTER (WHERE role = 'support') AS num_support_turns,
+                   CAST(to_json(list({{'role': role, 'text': body}} ORDER BY segment)) AS VARCHAR) AS raw_turns_json
+            FROM parsed GROUP BY block_id)
+        SELECT *, {like('agent_reply', BOILERPLATE)} AS is_boilerplate FROM sides
+        WHERE length(customer_message) >= 8 AND length(agent_reply) >= 8""",
+    "reply_fanout": f"""
+        WITH firsts AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+        pairs AS (
+            SELECT 'tw_' || CAST(f.conv_id AS VARCHAR) || ':' || CAST(f.turn AS VARCHAR) AS thread_id,
+                   {clean('c.text')} AS customer_message, {clean('r.text')} AS agent_reply
+            FROM firsts f JOIN conversations c USING (conv_id, turn) JOIN conversations r ON r.conv_id = f.conv_id AND r.role = 'assistant')
+        SELECT thread_id, customer_message, agent_reply, {like('agent_reply', BOILERPLATE)} AS is_boilerplate
+        FROM pairs WHERE length(customer_message) >= 8 AND length(agent_reply) >= 8""",
+    "thread_union": f"""WITH {THREADS},
+        pairs AS (
+            SELECT 'tw_' || CAST(c.conv_id AS VARCHAR) || ':' || CAST(c.turn AS VARCHAR) AS thread_id,
+                   {clean('c.text')} AS customer_message, {clean('r.text')} AS agent_reply
+            FROM conversations c JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+            WHERE r.role = 'assistant')
+        SELECT thread_id, customer_message, agent_reply FROM threads
+        UNION ALL SELECT * FROM pairs WHERE length(customer_message) >= 8 AND length(agent_reply) >= 8""",
+    "judge_json": f"""
+        WITH rows AS (
+            SELECT d.doc_id, d.text AS reply, CASE WHEN d.n_chars < 800 THEN 'escalate' ELSE 'auto_handle' END AS decision, quality, toxic
+            FROM documents d JOIN labels USING (doc_id)),
+        ruled AS (
+            SELECT *, decision <> 'escalate' AS is_applicable, decision <> 'escalate' AND toxic = 0 AS answered,
+                   {rubric('reply', "decision <> 'escalate'", ['dm', 'record locator', 'confirmation'],
+                           ['sorry', 'apologize', 'understand', 'glad', 'happy to help'], 'dollar')} FROM rows),
+        scored AS (
+            SELECT doc_id, is_applicable, answered, CASE WHEN answered THEN quality + 4.0::DOUBLE ELSE groundedness END AS groundedness,
+                   CASE WHEN answered THEN 5.0::DOUBLE ELSE correctness END AS correctness,
+                   CASE WHEN answered THEN 3.5::DOUBLE ELSE tone_empathy END AS tone_empathy,
+                   CASE WHEN answered THEN 5.0::DOUBLE - quality ELSE completeness END AS completeness FROM ruled)
+        SELECT doc_id, is_applicable, groundedness, correctness, tone_empathy, completeness, {OVERALL} AS overall,
+               CASE WHEN answered THEN 'llm' WHEN is_applicable THEN 'heuristic' END AS judge_type FROM scored""",
+    "judge_prompts": """
+        WITH p AS (
+            SELECT doc_id, 'Message: "' || text || '"' || chr(10) || 'Must contain: "' || coalesce(lang, '') || '"' || chr(10) || 'Precedent: "'
+                   || coalesce(CASE WHEN n_chars > 500 THEN source END, 'None') || '"' || chr(10) || 'Reply: "' || source || '"'
+                   || chr(10) || chr(10) || 'Scores as JSON:' AS prompt FROM documents)
+        SELECT doc_id, length(prompt) AS prompt_chars, sha256(prompt) AS prompt_digest FROM p""",
+    "report_json": f"""WITH {PREDICTIONS}
+        SELECT system, max(accuracy) FILTER (WHERE slice = 'overall') AS accuracy_overall,
+               max(macro_f1) FILTER (WHERE slice = 'adversarial') AS macro_f1_adversarial,
+               max(escalation_recall) FILTER (WHERE slice = 'overall') AS escalation_recall,
+               max(n_evaluated_replies) FILTER (WHERE slice = 'overall') AS n_evaluated_replies,
+               max(judge_label) FILTER (WHERE slice = 'overall') AS judge_label
+        FROM results GROUP BY system""",
+    "csv_rows": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_digest FROM documents",
+    "json_rows": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_digest FROM documents",
+    "encode_letters": """
+        WITH counts AS (
+            SELECT doc_id, unnest([0, 1, 2, 3]) AS position,
+                   unnest([length(text) - length(replace(text, c, '')) FOR c IN ['a', 'e', 'n', 'o']])::DOUBLE AS n FROM documents),
+        sizes AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM counts GROUP BY doc_id)
+        SELECT doc_id, position::BIGINT AS position, round_even(CAST(CASE WHEN size > 0 THEN n / size ELSE 0.0 END AS FLOAT)::DOUBLE, 5) AS value
+        FROM counts JOIN sizes USING (doc_id)""",
 }

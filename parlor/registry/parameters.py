@@ -65,6 +65,8 @@ MIN_CATCH_ALL_SIMILARITY = 0.40
 REFUND_CLASS = "8"
 REFUND_PATTERN = words("the", "and")
 
+AGENT_CLASSES = ["english", "french", "german", "spanish"]
+
 MODEL = "offline"
 SYSTEM_TEXT = "Answer with one class name."
 RUBRIC_CONTACT = ["nicht", "thing"]

@@ -10,12 +10,11 @@ from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
 from parlor.operators import classify, cluster, evalsets, knn, metrics as M, responses, retrieve, sampling, threads, vectors
 from parlor.operators.once import evaluate_once
-from parlor.plans.benchmark import benchmark, report_table, stack_systems
+from parlor.plans.benchmark import benchmark, report_fields, report_rows, report_table, stack_systems
 from parlor.plans.labelled_set import build_labelled_set
 from parlor.plans.triage import class_prompt, triage
 from parlor.registry import parameters as P
-from parlor.session import durable
-from parlor.sources import readers
+from parlor.sources import readers, writers
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -28,7 +27,7 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents for the queries that run patterns over whole texts."""
+    """Documents for the queries that run patterns over whole texts; a small table is dealt over the cores."""
     return readers.spread(load(spark, folder, "documents"))
 
 
@@ -134,15 +133,37 @@ def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def parse_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per parsed turn."""
+def _whole_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation as one transcript of all its turns."""
+    line = F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
+    whole = load(spark, folder, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return whole.select(F.col("conv_id").cast("string").alias("block_id"), text.alias("transcript"))
+
+
+def _turn_rows(transcripts: DataFrame) -> DataFrame:
     parsed = threads.parse_turns(F.col("transcript"), ROLE_PREFIXES, P.HANDLES)
-    return (
-        _transcripts(spark, folder)
-        .select("block_id", F.posexplode_outer(parsed).alias("position", "t"))
-        .where(F.col("position").isNotNull())
-        .select("block_id", F.col("position").cast("long").alias("position"), "t.role", "t.text")
+    rows = transcripts.select("block_id", F.posexplode_outer(parsed).alias("position", "t")).where("position is not null")
+    return rows.select("block_id", F.col("position").cast("long").alias("position"), "t.role", "t.text")
+
+
+def transcript_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of whole conversations."""
+    return _turn_rows(_whole_transcripts(spark, folder))
+
+
+def transcript_threads(spark: SparkSession, folder: str) -> DataFrame:
+    """One thread per whole conversation, turns as JSON."""
+    found = threads.threads_from_transcripts(
+        _whole_transcripts(spark, folder), "block_id", "transcript", prefixes=ROLE_PREFIXES, handles=P.HANDLES,
+        boilerplate=P.BOILERPLATE,
     )
+    return writers.nested_as_json(found)
+
+
+def parse_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per parsed turn."""
+    return _turn_rows(_transcripts(spark, folder))
 
 
 def thread_extract_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,6 +193,25 @@ def reply_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.drop("raw_turns")
 
 
+def reply_fanout(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reply of a conversation answers its first user turn, so a message has many replies."""
+    turns = load(spark, folder, "conversations")
+    first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    messages = turns.join(first, "conv_id", "left").select(
+        F.concat_ws(":", "conv_id", "turn").alias("tweet_id"), F.col("role").alias("author_id"),
+        F.when((F.col("role") == "assistant") & F.col("first").isNotNull(), F.concat_ws(":", "conv_id", "first")).alias("in_response_to_tweet_id"),
+        "text",
+    )
+    pairs = threads.reply_pairs(messages, "assistant", handles=P.HANDLES, boilerplate=P.BOILERPLATE)
+    return pairs.select("thread_id", "customer_message", "agent_reply", "is_boilerplate")
+
+
+def thread_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Bag union of the threads of both sources."""
+    columns = ["thread_id", "customer_message", "agent_reply"]
+    return _threads(spark, folder).select(columns).unionByName(reply_pairs(spark, folder).select(columns))
+
+
 def answered_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Messages that the brand replied to."""
     messages = _messages(spark, folder)
@@ -345,12 +385,23 @@ def knn_candidates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def knn_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar other vectors, by the way of a corpus beyond the broadcast bound."""
+    embedded = load(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = knn.top_similar(
+        embedded, embedded, 10, query_id="vec_id", corpus_id="vec_id", vector_col="embedding", exclude_same_id=True,
+        max_broadcast_bytes=-1,
+    )
+    return found.select("vec_id", F.posexplode("candidates").alias("position", "c")).select(
+        "vec_id", (F.col("position") + 1).cast("long").alias("rank"), F.col("c.id").alias("neighbour"),
+        half_even(F.col("c.similarity"), 6).alias("similarity"),
+    )
+
+
 def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
     table = _centroid_table(spark, folder)
-    # The corpus is a table of its own: built once, then measured and searched.
-    corpus = durable(_corpus(spark, folder, table))
     return retrieve.retrieve(
-        _classified(spark, folder, table), corpus, query_id="doc_id", class_col="class",
+        _classified(spark, folder, table), _corpus(spark, folder, table), query_id="doc_id", class_col="class",
         catch_all=P.VECTOR_CATCH_ALL, exclude_same_id=True,
     )
 
@@ -367,6 +418,23 @@ def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def shared_thread_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """Three corpus rows share a thread id, many queries an id; every match has its own reply."""
+    table = _centroid_table(spark, folder)
+    text = F.col("text")
+    rows = _embedded_documents(spark, folder).select(
+        F.expr("doc_id div 3").alias("thread_id"), text.alias("customer_message"),
+        F.concat_ws(": ", "doc_id", "text").alias("agent_reply"), T.matches(text, P.BOILERPLATE).alias("is_boilerplate"), "embedding",
+    )
+    corpus = retrieve.build_corpus(rows, table, keywords=P.VECTOR_KEYWORDS, catch_all=P.VECTOR_CATCH_ALL, threshold=P.SCORE_THRESHOLD)
+    queries = _classified(spark, folder, table).withColumn("asked", F.col("doc_id") % 97)
+    found = retrieve.retrieve(queries, corpus, query_id="asked", class_col="class", catch_all=P.VECTOR_CATCH_ALL)
+    return found.select("doc_id", F.posexplode("matches").alias("position", "m")).select(
+        "doc_id", (F.col("position") + 1).cast("long").alias("rank"), F.col("m.id").alias("match_id"), "m.ranking_score",
+        T.digest(F.col("m.reply")).alias("reply_digest"),
+    )
+
+
 def precedent_prompt(spark: SparkSession, folder: str) -> DataFrame:
     """Prompt over the retrieved precedents, and its key."""
     prompt = S.draft_prompt(F.col("class"), F.col("text"), S.precedent_snippets(F.col("matches")))
@@ -374,19 +442,22 @@ def precedent_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.select("doc_id", F.length("prompt").cast("long").alias("prompt_chars"), "cache_key")
 
 
-def triage_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document; those without a vector fall to the catch-all class."""
+def _triaged(spark: SparkSession, folder: str) -> DataFrame:
     embedded = load(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     messages = documents(spark, folder).select("doc_id", "text").join(embedded, "doc_id", "left")
     table = _centroid_table(spark, folder)
-    decided = triage(
-        messages, durable(_corpus(spark, folder, table)), table, id_col="doc_id", text_col="text",
+    return triage(
+        messages, _corpus(spark, folder, table), table, id_col="doc_id", text_col="text",
         hard_rules=P.MESSAGE_RULES, keywords=P.VECTOR_KEYWORDS, templates={"0": "Template of class 0"},
         default_reply=P.DEFAULT_REPLY, refund_class=P.REFUND_CLASS, refund_pattern=P.REFUND_PATTERN,
         catch_all=P.VECTOR_CATCH_ALL, min_confidence=P.SCORE_THRESHOLD, min_similarity=P.MIN_SIMILARITY,
         min_catch_all_similarity=P.MIN_CATCH_ALL_SIMILARITY, exclude_same_id=True,
     )
-    return decided.select(
+
+
+def triage_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document; those without a vector fall to the catch-all class."""
+    return _triaged(spark, folder).select(
         "doc_id", "class", "confidence", "decision", "reason_code", "best_similarity",
         F.concat_ws(",", "grounding_ids").alias("grounding_ids"), "draft_reply",
         F.col("trace.layer").alias("layer"), F.col("trace.hard_rule_description").alias("rule_description"),
@@ -485,7 +556,12 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
         "keyword": answer(by_rule, keyword_decision, R.lookup(by_rule, P.TEMPLATES, P.DEFAULT_REPLY)),
         "length": answer(length_class, length_decision, text),
     }
-    return stack_systems(examples, systems)
+    names = F.array(*[F.lit(c) for c in P.AGENT_CLASSES])
+    agent = _triaged(spark, folder).select(
+        "doc_id", F.lit("agent").alias("system"), F.get(names, F.col("class").cast("int") % len(P.AGENT_CLASSES)).alias("class"),
+        "decision", "draft_reply",
+    )
+    return stack_systems(examples, systems).unionByName(examples.join(agent, "doc_id"))
 
 
 def benchmark_slices(spark: SparkSession, folder: str) -> DataFrame:
@@ -498,6 +574,61 @@ def benchmark_table(spark: SparkSession, folder: str) -> DataFrame:
     return report_table(benchmark(_predictions(spark, folder)))
 
 
+def report_json(spark: SparkSession, folder: str) -> DataFrame:
+    """SK4, C14: the JSON report, read back."""
+    lines = writers.report_json(report_rows(benchmark(_predictions(spark, folder))), "system", report_fields())
+    schema = (
+        "system string, intent_accuracy struct<overall: double>, intent_macro_f1 struct<adversarial: double>, "
+        "escalation struct<escalation_recall: double>, judge_quality struct<n_evaluated_replies: bigint, judge_label: string>"
+    )
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select(
+        "r.system", F.col("r.intent_accuracy.overall").alias("accuracy_overall"),
+        F.col("r.intent_macro_f1.adversarial").alias("macro_f1_adversarial"), "r.escalation.escalation_recall",
+        "r.judge_quality.n_evaluated_replies", "r.judge_quality.judge_label",
+    )
+
+
+def judge_json(spark: SparkSession, folder: str) -> DataFrame:
+    """stored judge answers in a code fence; every toxic document has a broken one."""
+    answer = F.concat(
+        F.lit('```json\n{"groundedness": '), F.col("quality") + 4, F.lit(', "correctness": 5, "tone_empathy": 3.5, "completeness": '),
+        5 - F.col("quality"), F.when(F.col("toxic") == 1, "").otherwise(F.lit(', "justification": "x"}\n```')),
+    )
+    decision = F.when(F.col("n_chars") < 800, "escalate").otherwise("auto_handle")
+    scores = S.judged(answer, F.col("text"), decision)
+    return _labelled(spark, folder).select("doc_id", scores.alias("s")).select("doc_id", "s.*")
+
+
+def judge_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """the judge's prompt, its length and digest."""
+    precedent = F.when(F.col("n_chars") > 500, F.col("source"))
+    prompt = S.judge_prompt(F.col("text"), F.col("lang"), precedent, F.col("source"))
+    rows = load(spark, folder, "documents").select("doc_id", prompt.alias("prompt"))
+    return rows.select("doc_id", F.length("prompt").cast("long").alias("prompt_chars"), T.digest(F.col("prompt")).alias("prompt_digest"))
+
+
+ROW_COLUMNS = "doc_id bigint, lang string, source string, n_chars bigint, text string"
+
+
+def _row_digests(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "lang", "source", "n_chars", T.digest(F.col("text")).alias("text_digest"))
+
+
+def csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """SC2, SK3: rows as CSV text and back."""
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "quoteAll": "true"}
+    text = F.to_csv(F.struct("doc_id", "lang", "source", "n_chars", "text"), options)
+    lines = load(spark, folder, "documents").select(text.alias("line"))
+    return _row_digests(lines.select(F.from_csv("line", ROW_COLUMNS, options | {"mode": "FAILFAST", "maxCharsPerColumn": "-1"}).alias("r")).select("r.*"))
+
+
+def json_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """SC4, SK2: rows as JSON lines and back."""
+    text = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text"), {"ignoreNullFields": "false"})
+    lines = load(spark, folder, "documents").select(text.alias("line"))
+    return _row_digests(lines.select(F.from_json("line", ROW_COLUMNS, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+
+
 def _rubric(spark: SparkSession, folder: str) -> DataFrame:
     decision = F.when(F.col("role") == "assistant", "auto_handle").otherwise("escalate")
     scores = S.rubric(
@@ -559,16 +690,35 @@ def agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact silhouette of a seeded sample under the given labels."""
+    """Silhouette of all vectors under the given labels, from cluster moments."""
     scored = cluster.silhouette(load(spark, folder, "embeddings"), "vec_id", "label", "embedding")
     return scored.withColumn("silhouette", half_even(F.col("silhouette"), 6))
 
 
+def kmeans_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes and cost when every vector goes to the nearest class centroid."""
+    step = cluster.kmeans_step(load(spark, folder, "embeddings"), "embedding", _centroid_table(spark, folder))
+    return step.withColumn("cost", half_even(F.col("cost"), 6))
+
+
 def cluster_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    """A17, C17."""
+    """Over all vectors."""
     return cluster.cluster_sweep(load(spark, folder, "embeddings"), "vec_id", "embedding")
 
 
+def _letter_counts():
+    """An encoder that SQL can repeat: how often four letters occur."""
+    return lambda texts: [[text.count(letter) for letter in "aeno"] for text in texts]
+
+
+def encode_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts through an encoder that the caller supplies."""
+    encoded = vectors.encode_text(load(spark, folder, "documents").select("doc_id", "text"), "text", "vector", _letter_counts)
+    return encoded.select("doc_id", F.posexplode("vector").alias("position", "value")).select(
+        "doc_id", F.col("position").cast("long").alias("position"), half_even(F.col("value").cast("double"), 5).alias("value")
+    )
+
+
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     """E1."""
     docs = load(spark, folder, "documents").select("doc_id", "text")
@@ -585,6 +735,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         leakage_audit, shared_texts, labelled_set, table_audit, centroids, class_scores, nearest_centroid,
         corpus_build, knn_candidates, rerank_topk, precedent_prompt, triage_messages, response_lookup,
         pending_prompts, class_override, class_report, class_summary, escalation_report, benchmark_slices,
-        benchmark_table, rubric, rubric_summary, audit_join, agreement, silhouette, cluster_sweep, embed_text,
+        benchmark_table, rubric, rubric_summary, audit_join, agreement, silhouette, cluster_sweep, embed_text, knn_cells,
+        shared_thread_replies, transcript_turns, transcript_threads, reply_fanout, thread_union, report_json, judge_json,
+        judge_prompts, csv_rows, json_rows, kmeans_step, encode_letters,
     )
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,23 +22,20 @@ def local_session(cpus: int | str = "*", memory: str = "12g", shuffle_partitions
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+    """The session's checkpoint folder, which the driver and all executors must reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to
-    a temporary folder, since a machine-local one is lost with its machine.
+    It is named by ``spark.checkpoint.dir``; where that is unset, a folder beside the warehouse tables is taken.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        current = tempfile.mkdtemp(prefix="parlor-checkpoint-")
+        current = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate that several later jobs read."""
+    """Cut the lineage of an intermediate that several later jobs read. Runs a job at once."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()

@@ -9,19 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parlor.sources import schemas
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
+SPREAD_BYTES = 256 * 1024 * 1024
 
-    Files that cannot be split (one row group, multi-line CSV) would keep most cores idle. A
-    table with enough splits is returned as it is, so a large one is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
+def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Deal a small table over the session's cores.
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    For files that cannot be split (one row group, multi-line CSV) and would keep most cores idle. The caller
+    decides that; a table that Spark estimates above ``max_bytes`` is returned as it is.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if df.isStreaming or int(str(size)) > max_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_transcripts(spark: SparkSession, path: str, company: str) -> DataFrame:
@@ -30,12 +30,12 @@ def read_transcripts(spark: SparkSession, path: str, company: str) -> DataFrame:
 
 
 def read_tweets(
-    spark: SparkSession, path: str, schema: str = schemas.TWEETS, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str = schemas.TWEETS, multi_line: bool = False
 ) -> DataFrame:
     """Message CSV with a header and quoted text.
 
-    ``multi_line`` is needed when texts hold line feeds, but a file then is one split: give the
-    reader many files, or ``multi_line=False`` where the texts have none.
+    ``multi_line`` is needed where texts hold line feeds. A file then is one split, so the messages should come
+    in many files.
     """
     return (
         spark.read.schema(schema)
@@ -53,13 +53,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_source(spark: SparkSession, path: str, schema: str, source_format: str | None = None) -> DataFrame:
+def read_source(
+    spark: SparkSession, path: str, schema: str, source_format: str | None = None, *, multi_line: bool = False
+) -> DataFrame:
     """Parquet, CSV or JSON lines, by argument or by file extension."""
     chosen = source_format or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if chosen == "parquet":
         return spark.read.schema(schema).parquet(path)
     if chosen == "csv":
-        return read_tweets(spark, path, schema)
+        return read_tweets(spark, path, schema, multi_line)
     if chosen in ("json", "jsonl"):
         return read_jsonl(spark, path, schema)
     raise ValueError(f"unknown source format: {chosen}")

@@ -32,7 +32,7 @@ MESSAGES = [
 CORPUS = [
     ("p1", [1.0, 0.0, 0.0], "baggage_issue", False, "Please file a claim at our office"),
     ("p2", [0.0, 1.0, 0.0], "refund_compensation_request", False, "short"),
-    ("p3", [0.0, 0.0, 0.56], "other_unclear", False, "Thanks for the kind words, see you"),
+    ("p3", [-math.sqrt(1 - 0.56**2), 0.0, 0.56], "other_unclear", False, "Thanks for the kind words, see you"),
 ]
 
 

@@ -116,7 +116,7 @@ def test_ingest_from_both_sources(spark, tmp_path):
     )
     names = ["tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id"]
     rows.select(*names).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(csv)
-    summary = run_ingest(spark, csv, "acme", str(tmp_path / "p.parquet"), str(tmp_path / "p.jsonl"), max_threads=3)
+    summary = run_ingest(spark, csv, "acme", str(tmp_path / "p.parquet"), str(tmp_path / "p.jsonl"), max_threads=3, multi_line=True)
     assert summary.first()["threads"] == 3
     assert 'second "line", é' in spark.read.parquet(str(tmp_path / "p.parquet")).first()["customer_message"]
 

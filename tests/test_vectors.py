@@ -44,7 +44,8 @@ def test_centroids(spark, points):
 
 def test_broadcast_search_is_exact(points):
     df, x = points
-    found = knn.search_broadcast(df, df, 7, query_id="id", corpus_id="id", vector_col="v", extra=["c"], exclude_same_id=True)
+    packed = knn.Packed(df, "id", "v", ["c"])
+    found = knn.search_broadcast(df, packed, 7, query_id="id", vector_col="v", exclude_same_id=True)
     expected = brute(x, 7)
     for r in found.collect():
         assert [c["id"] for c in r["candidates"]] == expected[r["id"]]
@@ -79,6 +80,72 @@ def test_both_searches_give_one_shape(points, spark):
     assert a == b and a[999] == []
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 26])
+def test_vectors_of_any_length_and_repeated_ids(spark, limit):
+    order = np.random.default_rng(8)
+    x = order.normal(size=(200, 4)) * order.uniform(0.1, 9, (200, 1))
+    x[17] = 0.0
+    rows = [(i // 2, x[i].tolist(), f"c{i}") for i in range(200)]
+    corpus = spark.createDataFrame(rows, "id long, v array<double>, c string")
+    queries = spark.createDataFrame([(i % 5, x[i].tolist(), i) for i in range(60)], "id long, v array<double>, n int")
+    found = knn.top_similar(
+        queries, corpus, 6, query_id="id", corpus_id="id", vector_col="v", extra=["c"], exclude_same_id=True, max_broadcast_bytes=limit
+    )
+    got = {r["n"]: [c["c"] for c in r["candidates"]] for r in found.collect()}
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round((x @ x.T) / np.maximum(size * size.T, 1e-300), knn.DIGITS)
+    for i in range(60):
+        others = [j for j in range(200) if j // 2 != i % 5 and j != 17]
+        best = sorted(others, key=lambda j: (-sims[i, j], j // 2, f"c{j}"))[:6]
+        assert got[i] == ([] if i == 17 else [f"c{j}" for j in best])
+
+
+def test_chunks_hold_neighbouring_pivots():
+    pivots = np.array([[np.cos(a), np.sin(a)] for a in np.linspace(0, 1.5, 40)])
+    counts = np.full(40, 10)
+    counts[7] = 95
+    first, parts = knn._chunks(pivots, counts, 30)
+    load = {}
+    for p in range(40):
+        for k in range(parts[p]):
+            load[first[p] + k] = load.get(first[p] + k, 0) + counts[p] / parts[p]
+    assert parts[7] == 4 and max(load.values()) <= 30 and sorted(load) == list(range(len(load)))
+    runs = [p for p in np.argsort(first, kind="stable") if p != 7]
+    assert runs == sorted(runs) or runs == sorted(runs, reverse=True) or all(abs(a - b) <= 3 or first[a] != first[b] for a, b in zip(runs, runs[1:]))
+
+
+def test_blocks_go_to_the_chunks_that_visit_them(spark, monkeypatch):
+    """Two far-apart groups: no block of one group is sent to the queries of the other."""
+    order = np.random.default_rng(9)
+    x = np.concatenate([unit(order.normal([9, 0, 0], 0.2, (150, 3))), unit(order.normal([0, 9, 0], 0.2, (150, 3)))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    seen = []
+    original = type(df).join
+
+    def spy(self, other, *args, **kwargs):
+        out = original(self, other, *args, **kwargs)
+        if {"_slot", "_chunk"} <= set(out.columns) and "_v" in out.columns:
+            seen.append((out.count(), other.count(), df.count()))
+        return out
+
+    monkeypatch.setattr(type(df), "join", spy)
+    found = knn.search_cells(df, df, 3, query_id="id", corpus_id="id", vector_col="v", cells=8, block_rows=1000, query_rows=150)
+    expected = brute(x, 3, exclude=False)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], []).append((-round(r["similarity"], knn.DIGITS), r["id"]))
+    assert {q: [i for _, i in sorted(m)] for q, m in got.items()} == expected
+    shipped, pairs, rows = seen[0]
+    assert shipped <= rows * 1.7 < rows * 2 and pairs < 8 * 2  # with every block in every chunk it were twice the rows
+
+
+def test_lsh_finds_most_pairs(points):
+    df, x = points
+    found = {(r["query"], r["id"]) for r in knn.lsh_similar(df, df, 0.95, query_id="id", corpus_id="id", vector_col="v").collect()}
+    true = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95))}
+    assert found <= {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.95 - 1e-9))} and len(found) >= 0.8 * len(true)
+
+
 def test_search_of_an_empty_corpus(points):
     df, _ = points
     for limit in (-1, 1 << 20):
@@ -185,6 +252,19 @@ def test_retrieve_reranks_the_pool(spark, limit):
     assert (got["q3"]["grounding_ids"], got["q3"]["best_similarity"], got["q3"]["mean_similarity"]) == ([], 0.0, 0.0)
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 26])
+def test_every_match_has_its_own_reply(spark, limit):
+    rows = [("tw_1", [1.0, 0.0], "bag", False, "the first reply of all"), ("tw_1", [0.8, 0.6], "bag", False, "the second reply of all"),
+            ("tw_4", [0.6, 0.8], "bag", False, "the reply of another one")]
+    queries = spark.createDataFrame([("q", [1.0, 0.0], "bag", 1), ("q", [0.6, 0.8], "bag", 2), (None, [0.0, 1.0], "bag", 3)], "id string, embedding array<double>, class string, n int")
+    found = retrieve.retrieve(queries, corpus(spark, rows), query_id="id", class_col="class", max_broadcast_bytes=limit)
+    got = {r["n"]: [(m["id"], m["reply"].split()[1], m["raw_similarity"]) for m in r["matches"]] for r in found.collect()}
+    assert got[1] == [("tw_1", "first", 1.0), ("tw_1", "second", 0.8), ("tw_4", "reply", 0.6)]
+    assert got[2] == [("tw_4", "reply", 1.0), ("tw_1", "second", 0.96), ("tw_1", "first", 0.6)]
+    assert [m[2] for m in got[3]] == [0.8, 0.6, 0.0]
+    assert {r["n"]: r["mean_similarity"] for r in found.collect()} == {1: 0.8, 2: 0.8533, 3: 0.4667}
+
+
 def test_retrieve_from_an_empty_corpus(spark):
     queries = spark.createDataFrame([("q1", [1.0, 0.0], "delay")], "id string, embedding array<double>, class string")
     row = retrieve.retrieve(queries, corpus(spark, []), query_id="id", class_col="class").first()
@@ -210,21 +290,27 @@ def test_silhouette_matches_the_definition(points):
         scores.append((b - a) / max(a, b))
     whole = cluster.silhouette_points(df, "id", "c", "v", block_rows=70).agg(F.avg("silhouette")).first()[0]
     assert whole == pytest.approx(np.mean(scores), abs=1e-6)
-    assert cluster.silhouette(df, "id", "c", "v", sample_size=50).first()["points"] == 50
+    squared, rows = distance**2, {r["id"]: r for r in cluster.silhouette_scores(df, "id", "c", "v").collect()}
+    for i in range(400):
+        means = {c: squared[i, (labels == c)].sum() / ((labels == c).sum() - (c == labels[i])) for c in range(4)}
+        a, b = means.pop(labels[i]), min(means.values())
+        assert rows[i]["silhouette"] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+    assert cluster.silhouette(df, "id", "c", "v").first()["points"] == 400
 
 
 def test_silhouette_of_a_single_member(spark):
     df = spark.createDataFrame([(1, "a", [0.0, 0.0]), (2, "b", [1.0, 0.0]), (3, "b", [1.0, 0.1])], "id int, c string, v array<double>")
-    got = {r["id"]: r["silhouette"] for r in cluster.silhouette_points(df, "id", "c", "v").collect()}
-    assert got[1] == 0.0 and got[2] > 0.8
+    for form in (cluster.silhouette_points, cluster.silhouette_scores):
+        got = {r["id"]: r["silhouette"] for r in form(df, "id", "c", "v").collect()}
+        assert got[1] == 0.0 and got[2] > 0.8
 
 
 def test_cluster_sweep(points):
     df, _ = points
-    rows = cluster.cluster_sweep(df, "id", "v", ks=[2, 6], restarts=2, sample_size=300, silhouette_size=200).collect()
+    rows = cluster.cluster_sweep(df, "id", "v", ks=[2, 6], restarts=2).collect()
     assert [r["k"] for r in rows] == [2, 6]
     for r in rows:
-        assert len(r["cluster_distribution"]) == r["k"] and sum(r["cluster_distribution"]) == 300
+        assert len(r["cluster_distribution"]) == r["k"] and sum(r["cluster_distribution"]) == 400
         assert r["cluster_distribution"] == sorted(r["cluster_distribution"], reverse=True)
     assert rows[1]["silhouette"] > rows[0]["silhouette"]
 
