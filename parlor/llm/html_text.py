@@ -3,7 +3,7 @@
 Markup is stripped block by block, so that every block element is a line; menus, scripts, forms, adverts,
 notices, comments and the like, which the markup names as such, leave an empty line. A line's weight is its
 number of visible characters outside links, and nothing outside the element that the page declares as its
-article, if it has one. Sums of weights over sliding windows of ``window`` lines rise from zero at surge points
+article or else its main part, if it has one. Sums of weights over sliding windows of ``window`` lines rise from zero at surge points
 and fall back to zero at dive points. The stretches between them whose highest sum reaches ``least`` (and the
 highest of all in any case) are the main text: all their lines, short ones included.
 
@@ -57,6 +57,7 @@ MARKS = {
 OUTER_MARKS = {"header", "banner", "masthead", "topbar", "head"}
 COMMENT_MARKS = {"comment", "comments", "reply", "replies"}
 ARTICLE_MARKS = {"article", "post", "entry", "story"}
+MAIN_MARKS = {"content", "main"}
 BODIES = {"html", "body", "main"}
 OPEN_ENDED = {"li", "dt", "dd", "td", "th", "tr", "option"}
 PARENTS = {"ul", "ol", "dl", "table", "select"}
@@ -77,10 +78,10 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
 
 
 class _Lines:
-    """Lines of a page with their weights; ``depth`` counts open article elements."""
+    """Lines of a page: text, weight, and whether they stand in its article (2) or main part (1)."""
 
     def __init__(self):
-        self.rows: list[tuple[str, int, bool]] = []
+        self.rows: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.in_link = False
@@ -91,7 +92,7 @@ class _Lines:
             if self.in_link:
                 self.linked.append(raw)
 
-    def flush(self, inside: bool) -> None:
+    def flush(self, inside: int) -> None:
         if self.parts:
             line = " ".join(unescape("".join(self.parts)).split())
             if line:
@@ -99,17 +100,18 @@ class _Lines:
                 self.rows.append((line, len(line.replace(" ", "")) - links, inside))
             self.parts, self.linked = [], []
 
-    def blank(self, inside: bool) -> None:
+    def blank(self, inside: int) -> None:
         self.flush(inside)
         self.rows.append(("", 0, inside))
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines ``(text, characters outside links, inside an article)`` and whether the page declares an article."""
+def page_lines(page: str) -> list[tuple[str, int, int]]:
+    """Lines ``(text, characters outside links, 2 in an article, 1 in the main part of the page)``."""
     out, at, end = _Lines(), 0, len(page)
-    articles: list[str] = []  # names of the open elements that hold the article, with those of the same name inside
+    # Names of the open elements that hold the article, with those of the same name inside; the same for the main part.
+    articles: list[str] = []
+    mains: list[str] = []
     skip, skip_depth, nested, outer = "", 0, 0, 0
-    declared = False
     while at < end:
         match = TOKEN.search(page, at)
         if match is None:
@@ -151,11 +153,11 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name in INLINE and (closing or not attrs):
             continue
         words, hidden = _marks(attrs) if attrs and not closing else (set(), False)
-        inside = bool(articles)
+        inside = 2 if articles else 1 if mains else 0
         if not closing and name not in VOID:
             header = name == "header" or words & OUTER_MARKS
             furniture = name in FURNITURE or hidden or (name not in BODIES and name != "article" and words & MARKS)
-            furniture = furniture or (name == "article" and words & COMMENT_MARKS) or (header and not inside and name not in BODIES)
+            furniture = furniture or (name == "article" and words & COMMENT_MARKS) or (header and not articles and name not in BODIES)
             if furniture and not attrs.endswith("/"):
                 out.blank(inside)
                 skip, skip_depth, nested, outer = name, 1, 0, len(articles)
@@ -167,23 +169,23 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if closing:
                 if articles:
                     articles.pop()
-                    if not articles:
-                        out.blank(False)
             else:
-                declared = True
-                if not articles:
-                    out.blank(False)
                 articles.append(name)
-    out.flush(bool(articles))
-    return out.rows, declared
+        elif name == "main" or (mains and name == mains[-1]) or (name in ("div", "section") and words & MAIN_MARKS and not mains):
+            if closing:
+                if mains:
+                    mains.pop()
+            else:
+                mains.append(name)
+    out.flush(2 if articles else 1 if mains else 0)
+    return out.rows
 
 
 def main_text(page: str, window: int = 3, least: int = 86) -> str:
     """The main text of a page, see the module's text."""
-    lines, declared = page_lines(page)
-    if declared and not any(weight > 0 for _, weight, inside in lines if inside):
-        declared = False
-    weights = np.array([max(0, w) if inside or not declared else 0 for _, w, inside in lines], dtype=np.int64)
+    lines = page_lines(page)
+    declared = max((inside for _, weight, inside in lines if weight > 0), default=0)
+    weights = np.array([max(0, weight) if inside >= declared else 0 for _, weight, inside in lines], dtype=np.int64)
     if not weights.any():
         return ""
     # sums[i] covers the lines i - window + 1 to i; a stretch of sums above zero is one of text and its gaps.
@@ -196,7 +198,7 @@ def main_text(page: str, window: int = 3, least: int = 86) -> str:
     for surge, dive, peak in zip(surges, dives, peaks, strict=True):
         if peak >= bound:
             stop = dive - window + 1
-            kept += [text for text, _, inside in lines[surge:stop] if text and (inside or not declared)]
+            kept += [text for text, _, inside in lines[surge:stop] if text and inside >= declared]
     return " ".join(kept)
 
 
