@@ -9,12 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import scoring as S, text as T
 from parlor.operators.once import evaluate_once
-from parlor.operators.skew import salted_join
-
-
-# Hot keys are looked for in this share of the rows where a key is costly to compute.
-PROBE_SHARE = 0.01
-PROBE_MIN_ROWS = 1000
+from parlor.operators.skew import PROBE_MIN_ROWS, PROBE_SHARE, salted_join
 
 
 def held_out(df: DataFrame, corpus: DataFrame, id_col: str) -> DataFrame:

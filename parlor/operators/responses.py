@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import text as T
-from parlor.operators.evalsets import PROBE_MIN_ROWS, PROBE_SHARE
 from parlor.operators.once import evaluate_once
-from parlor.operators.skew import salted_join
+from parlor.operators.skew import PROBE_MIN_ROWS, PROBE_SHARE, salted_join
 
 
 def with_response_key(df: DataFrame, prompt: Column, system_text: Column, model: Column) -> DataFrame:

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Where all rows need not be counted, hot keys are looked for in this share of them.
+PROBE_SHARE = 0.01
+PROBE_MIN_ROWS = 1000
+
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = 1e-3, min_rows: int = 100_000) -> DataFrame:
     """Keys holding more than ``share`` of all rows: fewer than ``1/share`` of them exist."""

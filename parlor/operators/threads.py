@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from parlor import defaults as D
 from parlor.functions import text as T
 from parlor.operators.once import evaluate_once
-from parlor.operators.skew import salted_join
+from parlor.operators.skew import PROBE_MIN_ROWS, PROBE_SHARE, salted_join
 
 CUSTOMER, SUPPORT = "customer", "support"
 
@@ -180,7 +180,8 @@ def reply_pairs(
         ["_id"],
         "inner",
         F.col("_reply_id"),
-        probe=by_brand.select("_id"),
+        probe=by_brand.select("_id").sample(PROBE_SHARE, seed=42),
+        min_rows=PROBE_MIN_ROWS,
     )
 
     def turn(role: str, column: str) -> Column:

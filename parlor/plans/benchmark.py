@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.functions import scoring as S, text as T
 from parlor.operators import metrics as M
+from parlor.session import durable
 from parlor.sources import writers
 
 # Column names of the published report, in order.
@@ -127,12 +128,14 @@ def run_benchmark(
     """
     columns = ["example_id", "class", "decision", "draft_reply", *([judge_answer] if judge_answer else [])]
     gold = evaluation.select("example_id", "gold_class", "gold_decision", "is_adversarial")
-    stacked = union_predictions({name: df.select(*columns) for name, df in systems.items()}).join(gold, "example_id")
+    # Every system runs once; the reports are read from its stored predictions.
+    stored = durable(union_predictions({name: df.select(*columns) for name, df in systems.items()}))
+    stacked = stored.join(gold, "example_id")
     results = benchmark(stacked, judge_mode=judge_mode, judge_answer=judge_answer)
     writers.write_report_json(writers.report_json(report_rows(results), "system", report_fields()), f"{output}/summary")
     writers.write_report_csv(report_table(results), f"{output}/table")
 
-    audited = systems[audited_system]
+    audited = stored.where(F.col("system") == audited_system)
     reply, decision = F.col("draft_reply"), F.col("decision")
     use_answers = judge_mode == "llm" and judge_answer is not None
     scores = S.judged(F.col(judge_answer), reply, decision) if use_answers else S.rubric(reply, decision)

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parlor import defaults as D
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.operators.classify import nearest_centroid
-from parlor.operators.evalsets import PROBE_SHARE
 from parlor.operators.responses import class_override, lookup_responses, with_response_key
 from parlor.operators.retrieve import retrieve
+from parlor.operators.skew import PROBE_SHARE
 from parlor.session import durable
 
 OUTPUT = [

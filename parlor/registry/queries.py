@@ -10,6 +10,7 @@ from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
 from parlor.operators import classify, cluster, evalsets, knn, metrics as M, responses, retrieve, sampling, threads, vectors
 from parlor.operators.once import evaluate_once
+from parlor.operators.skew import PROBE_SHARE
 from parlor.plans.benchmark import benchmark, report_fields, report_rows, report_table, stack_systems
 from parlor.plans.labelled_set import build_labelled_set
 from parlor.plans.triage import class_prompt, triage
@@ -468,9 +469,10 @@ def triage_messages(spark: SparkSession, folder: str) -> DataFrame:
 # Responses
 
 
-def _prompts(spark: SparkSession, folder: str) -> DataFrame:
+def _prompts(spark: SparkSession, folder: str, share: float | None = None) -> DataFrame:
     prompt = class_prompt(F.col("text"))
     docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs if share is None else docs.sample(share, seed=42)
     return responses.with_response_key(docs, prompt, F.lit(P.SYSTEM_TEXT), F.lit(P.MODEL))
 
 
@@ -481,9 +483,15 @@ def _responses(spark: SparkSession, folder: str) -> DataFrame:
     return answered.select("cache_key", "prompt", answer.alias("response"))
 
 
+def _answered(spark: SparkSession, folder: str) -> DataFrame:
+    # Hot prompts are looked for in a few documents, whose prompts alone are built for that.
+    probe = _prompts(spark, folder, PROBE_SHARE).select("cache_key")
+    return responses.lookup_responses(_prompts(spark, folder), _responses(spark, folder), F.col("doc_id"), probe)
+
+
 def response_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """L1, J10, F19, F20."""
-    found = responses.lookup_responses(_prompts(spark, folder), _responses(spark, folder), F.col("doc_id"))
+    found = _answered(spark, folder)
     return found.select("doc_id", "cache_key", T.strip_quotes(F.col("response")).alias("response"))
 
 
@@ -494,7 +502,7 @@ def pending_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 def class_override(spark: SparkSession, folder: str) -> DataFrame:
     """L3, F23, F24."""
-    found = responses.lookup_responses(_prompts(spark, folder), _responses(spark, folder), F.col("doc_id"))
+    found = _answered(spark, folder)
     confidence = F.when(F.length("text") > 1500, F.lit(0.9)).otherwise(F.lit(0.3))
     rows = found.withColumns({"class": F.lit(P.OTHER), "confidence": confidence, "unsure": F.length("text") < 3000})
     decided = responses.class_override(
