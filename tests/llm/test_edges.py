@@ -189,7 +189,7 @@ def test_tiles_lose_no_link(spark, tile):
             values.add(one)
     values |= {int(x) for x in order.integers(0, 1 << 62, 50)}
     values = sorted(values)
-    rows = common.durable(make(spark, [(v, v) for v in values], "node long, fp0 long"), "prints")
+    rows = common.durable(make(spark, [(v,) for v in values], "fp0 long"), "prints")
     array = np.array(values, dtype=np.uint64)
     label = np.arange(len(values))
     for _ in range(len(values)):
