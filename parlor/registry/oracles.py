@@ -348,6 +348,19 @@ PREDICTIONS = f"""{TRIAGED},
     results AS (
         SELECT * FROM labels_part JOIN routes_part USING (system, slice) JOIN judge_part USING (system, slice))"""
 
+JUDGED = f"""WITH rows AS (
+            SELECT d.doc_id, d.text AS reply, CASE WHEN d.n_chars < 800 THEN 'escalate' ELSE 'auto_handle' END AS decision, quality, toxic
+            FROM documents d JOIN labels USING (doc_id)),
+        ruled AS (
+            SELECT *, decision <> 'escalate' AS is_applicable, decision <> 'escalate' AND toxic = 0 AS answered,
+                   {rubric('reply', "decision <> 'escalate'", ['dm', 'record locator', 'confirmation'],
+                           ['sorry', 'apologize', 'understand', 'glad', 'happy to help'], 'dollar')} FROM rows),
+        scored AS (
+            SELECT doc_id, toxic, is_applicable, answered, CASE WHEN answered THEN quality + 4.0::DOUBLE ELSE groundedness END AS groundedness,
+                   CASE WHEN answered THEN 5.0::DOUBLE ELSE correctness END AS correctness,
+                   CASE WHEN answered THEN 3.5::DOUBLE ELSE tone_empathy END AS tone_empathy,
+                   CASE WHEN answered THEN 5.0::DOUBLE - quality ELSE completeness END AS completeness FROM ruled)"""
+
 PROMPTS = """
     prompts AS (
         SELECT doc_id, text, 'Customer message: "' || text || '"' || chr(10) || 'Class:' AS prompt FROM documents),
@@ -699,21 +712,20 @@ ORACLES: dict[str, str] = {
             WHERE r.role = 'assistant')
         SELECT thread_id, customer_message, agent_reply FROM threads
         UNION ALL SELECT * FROM pairs WHERE length(customer_message) >= 8 AND length(agent_reply) >= 8""",
-    "judge_json": f"""
-        WITH rows AS (
-            SELECT d.doc_id, d.text AS reply, CASE WHEN d.n_chars < 800 THEN 'escalate' ELSE 'auto_handle' END AS decision, quality, toxic
-            FROM documents d JOIN labels USING (doc_id)),
-        ruled AS (
-            SELECT *, decision <> 'escalate' AS is_applicable, decision <> 'escalate' AND toxic = 0 AS answered,
-                   {rubric('reply', "decision <> 'escalate'", ['dm', 'record locator', 'confirmation'],
-                           ['sorry', 'apologize', 'understand', 'glad', 'happy to help'], 'dollar')} FROM rows),
-        scored AS (
-            SELECT doc_id, is_applicable, answered, CASE WHEN answered THEN quality + 4.0::DOUBLE ELSE groundedness END AS groundedness,
-                   CASE WHEN answered THEN 5.0::DOUBLE ELSE correctness END AS correctness,
-                   CASE WHEN answered THEN 3.5::DOUBLE ELSE tone_empathy END AS tone_empathy,
-                   CASE WHEN answered THEN 5.0::DOUBLE - quality ELSE completeness END AS completeness FROM ruled)
+    "judge_json": f"""{JUDGED}
         SELECT doc_id, is_applicable, groundedness, correctness, tone_empathy, completeness, {OVERALL} AS overall,
                CASE WHEN answered THEN 'llm' WHEN is_applicable THEN 'heuristic' END AS judge_type FROM scored""",
+    "judge_labels": f"""{JUDGED},
+        grouped AS (
+            SELECT CASE WHEN doc_id % 2 = 1 THEN 'some' WHEN toxic = 1 THEN 'none' ELSE 'all' END AS answers, is_applicable, answered,
+                   {OVERALL} AS overall FROM scored)
+        SELECT answers, count(overall) AS n_evaluated_replies, count(*) AS judged_cases,
+               round_even({share('sum(overall)', 'count(overall)')}, 2) AS avg_overall,
+               CASE WHEN count(*) FILTER (WHERE answered) = count(overall) AND count(overall) > 0 THEN 'LLM-as-a-Judge'
+                    WHEN count(*) FILTER (WHERE answered) > 0 THEN 'LLM-as-a-Judge (' || count(*) FILTER (WHERE answered) || '/'
+                         || count(overall) || ' successful, rest heuristic)'
+                    ELSE 'Deterministic Offline Heuristic Rubric (LLM Fallback)' END AS judge_label
+        FROM grouped GROUP BY answers""",
     "judge_prompts": """
         WITH p AS (
             SELECT doc_id, 'Message: "' || text || '"' || chr(10) || 'Must contain: "' || coalesce(lang, '') || '"' || chr(10) || 'Precedent: "'

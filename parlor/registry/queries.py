@@ -596,15 +596,28 @@ def report_json(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def judge_json(spark: SparkSession, folder: str) -> DataFrame:
-    """stored judge answers in a code fence; every toxic document has a broken one."""
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored judge answers in a code fence; every toxic document has a broken one."""
     answer = F.concat(
         F.lit('```json\n{"groundedness": '), F.col("quality") + 4, F.lit(', "correctness": 5, "tone_empathy": 3.5, "completeness": '),
         5 - F.col("quality"), F.when(F.col("toxic") == 1, "").otherwise(F.lit(', "justification": "x"}\n```')),
     )
     decision = F.when(F.col("n_chars") < 800, "escalate").otherwise("auto_handle")
-    scores = S.judged(answer, F.col("text"), decision)
-    return _labelled(spark, folder).select("doc_id", scores.alias("s")).select("doc_id", "s.*")
+    return _labelled(spark, folder).withColumn("scores", S.judged(answer, F.col("text"), decision))
+
+
+def judge_json(spark: SparkSession, folder: str) -> DataFrame:
+    """F22."""
+    return _judged(spark, folder).select("doc_id", "scores.*")
+
+
+def judge_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups whose replies the judge answered all, some or none of."""
+    group = F.when(F.col("doc_id") % 2 == 1, "some").when(F.col("toxic") == 1, "none").otherwise("all")
+    rows = _judged(spark, folder).withColumns({"answers": group, "g": F.lit("x"), "d": F.lit("auto_handle")})
+    cube = M.evaluation_cube(rows, ["answers"], gold_class="g", predicted_class="g", gold_decision="d", decision="d")
+    summary = M.rubric_summary(cube, ["answers"], "llm")
+    return summary.select("answers", "n_evaluated_replies", "judged_cases", "avg_overall", "judge_label")
 
 
 def judge_prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -744,7 +757,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         corpus_build, knn_candidates, rerank_topk, precedent_prompt, triage_messages, response_lookup,
         pending_prompts, class_override, class_report, class_summary, escalation_report, benchmark_slices,
         benchmark_table, rubric, rubric_summary, audit_join, agreement, silhouette, cluster_sweep, embed_text, knn_cells,
-        shared_thread_replies, transcript_turns, transcript_threads, reply_fanout, thread_union, report_json, judge_json,
+        shared_thread_replies, transcript_turns, transcript_threads, reply_fanout, thread_union, report_json, judge_json, judge_labels,
         judge_prompts, csv_rows, json_rows, kmeans_step, encode_letters,
     )
 }
