@@ -7,7 +7,7 @@ partition, and compared bucket by bucket with vectorised XOR and bit counts. A b
 connect what it found close, at most one per fingerprint, never all its pairs: what counts is the component.
 
 A text may get several fingerprints, each from the shingle hashes mixed in another way. Two texts are then compared where any of these is
-within ``bits``, and linked if all together differ in at most ``all_bits``. One fingerprint within 4 bits finds
+within ``bits``, and linked if all together differ in at most ``all_bits`` or the first ones are equal. One fingerprint within 4 bits finds
 texts that hardly differ; a similarity of 0.8 means some 10 of 64 bits, too many for blocks of a useful size,
 but one of three fingerprints is mostly within 8, and 192 bits tell the similarity well: see :data:`SIMILAR`.
 
@@ -40,8 +40,9 @@ HASH_SEED = 42
 #: 9 of 10 at 0.85 and nearly all at 0.9.
 SIMILAR = {"words": 5, "prints": 3, "bits": 8, "all_bits": 34}
 #: Mean number of unrelated fingerprints in a bucket beyond which one more block is used.
-BUCKET_LOAD = 256
-TILE = 4096
+BUCKET_LOAD = 2048
+TILE = 8192
+SCAN_ROWS = 64
 
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
@@ -89,10 +90,7 @@ def _fingerprints(words: int, prints: int, id_type: pa.DataType):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
                  prints: int = 1) -> DataFrame:
-    """One row per document: ``id, raw`` (hash of the text), ``fp0 ..`` (as signed longs) and ``node``.
-
-    ``node`` is the fingerprint, or a 64-bit hash of several ones.
-    """
+    """One row per document: ``id, raw`` (hash of the text) and ``fp0 ..`` (as signed longs)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(
@@ -100,8 +98,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     kind, names = source.schema["id"].dataType, [f"fp{i}" for i in range(prints)]
     schema = f"id {kind.simpleString()}, raw long, " + ", ".join(f"{name} long" for name in names)
-    found = source.mapInArrow(_fingerprints(words, prints, to_arrow_type(kind)), schema)
-    return found.withColumn("node", F.col("fp0") if len(names) == 1 else F.xxhash64(*names))
+    return source.mapInArrow(_fingerprints(words, prints, to_arrow_type(kind)), schema)
 
 
 def _blocks(count: int) -> list[int]:
@@ -124,11 +121,14 @@ def _close_links(prints: np.ndarray, word: int, bits: int, all_bits: int) -> tup
     if len(prints) < 2:
         return [], []
     own = prints[:, word]
-    if len(own) <= 128:
-        near = np.bitwise_count(own[:, None] ^ own[None, :]) <= bits
-        if int(near.sum()) == len(own):
-            return [], []
-    left, a, b = np.arange(len(own)), [], []
+    # Most rows of a bucket are close to no other one: a few rows at a time against all tells which are.
+    alone = np.empty(len(own), dtype=bool)
+    for start in range(0, len(own), SCAN_ROWS):
+        near = np.bitwise_count(own[start : start + SCAN_ROWS, None] ^ own[None, :]) <= bits
+        alone[start : start + SCAN_ROWS] = near.sum(axis=1) == 1
+    if alone.all():
+        return [], []
+    left, a, b = np.flatnonzero(~alone), [], []
     while len(left):
         front, left = [left[0]], left[1:]
         root = int(front[0])
@@ -152,7 +152,7 @@ def _links(masks: list[tuple[int, int]], count: int, bits: int, all_bits: int):
 
     def found(mask: int, held: list[np.ndarray]) -> pa.RecordBatch | None:
         rows = np.concatenate(held)
-        a, b = _close_links(rows[:, 1:].view(np.uint64), masks[mask][0], bits, all_bits)
+        a, b = _close_links(rows.view(np.uint64), masks[mask][0], bits, all_bits)
         if not a:
             return None
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 0]), pa.array(rows[b, 0])], names=["a", "b"])
@@ -161,8 +161,8 @@ def _links(masks: list[tuple[int, int]], count: int, bits: int, all_bits: int):
         """Rows come sorted by bucket; a bucket may go on in the next batch."""
         open_bucket, mask, held = None, 0, []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("mask", "key", "i", "j")], axis=1)
-            rows = np.stack([batch.column(c).to_numpy() for c in ("node", *names)], axis=1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("mask", "bucket")], axis=1)
+            rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 bucket = keys[start].tobytes()
@@ -178,7 +178,7 @@ def _links(masks: list[tuple[int, int]], count: int, bits: int, all_bits: int):
 
 
 def links(distinct: DataFrame, count: int = 1, bits: int = 4, all_bits: int = 4, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` between nodes that connect all close rows ``node, fp0 ..`` (distinct, durable)."""
+    """Links ``(a, b)`` of first fingerprints that connect all close rows ``fp0 ..`` (distinct in ``fp0``, durable)."""
     choices = key_masks(distinct.count(), bits)
     masks = [(word, m) for word in range(count) for m in choices]
     signed = [(word, m - (1 << 64) if m >> 63 else m) for word, m in masks]
@@ -186,34 +186,36 @@ def links(distinct: DataFrame, count: int = 1, bits: int = 4, all_bits: int = 4,
         F.struct(F.lit(i).alias("mask"), F.col(f"fp{word}").bitwiseAND(F.lit(m).cast("long")).alias("key"))
         for i, (word, m) in enumerate(signed)
     ])
-    names = ["node", *[f"fp{i}" for i in range(count)]]
+    names = [f"fp{i}" for i in range(count)]
     keyed = distinct.select(*names, F.explode(table).alias("m")).select(*names, "m.mask", "m.key")
     # Buckets that need tiles hold at least ``tile`` rows each, so there are few of them.
     large = keyed.groupBy("mask", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > tile)
     tiles = F.ceil(F.coalesce(F.col("rows"), F.lit(1)) / tile).cast("int")
-    own = F.pmod(F.xxhash64("node", "mask"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("fp0", "mask"), F.col("tiles")).cast("int")
     spread = (
         keyed.join(durable(large, "large"), ["mask", "key"], "left").withColumn("tiles", tiles).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(*names, "mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    bucket = ["mask", "key", "i", "j"]
-    dealt = spread.repartition(*bucket).sortWithinPartitions(*bucket)
+    # A hash names the bucket, to send little; where two buckets of a mask share it, they are compared as one.
+    dealt = spread.select("mask", F.xxhash64("key", "i", "j").alias("bucket"), *names)
+    dealt = dealt.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket")
     return dealt.mapInArrow(_links(masks, count, bits, all_bits), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, prints: int = 1,
                 bits: int = 4, all_bits: int | None = None, tile: int = TILE) -> DataFrame:
-    """One row per document: ``id, raw, fp0 .., root`` (a node of the group), ``component`` (its smallest id)."""
+    """One row per document: ``id, raw, fp0 .., root`` (an ``fp0`` of the group), ``component`` (its smallest id)."""
     hashed = durable(fingerprints(docs, id_col, text_col, words, prints), "prints")
     names = [f"fp{i}" for i in range(prints)]
-    distinct = durable(hashed.groupBy("node", *names).agg(F.min("id").alias("first")), "distinct")
+    others = F.min(F.struct(*names)).alias("fps")
+    distinct = durable(hashed.groupBy("fp0").agg(F.min("id").alias("first"), others).select("first", "fps.*"), "distinct")
     close = links(distinct.drop("first"), prints, bits, bits if all_bits is None else all_bits, tile)
-    roots = components(close, "a", "b")
-    member = distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("first").alias("component"))
-    named = durable(member.join(smallest, "root").select("node", "root", "component"), "named")
-    return hashed.join(named, "node", "left").select("id", "raw", *names, "root", "component")
+    roots = components(close, "a", "b").withColumnRenamed("node", "fp0")
+    member = durable(distinct.join(roots, "fp0", "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root")), "member")
+    smallest = durable(member.groupBy("root").agg(F.min("first").alias("component")), "smallest")
+    named = durable(member.join(smallest, "root").select("fp0", "root", "component"), "named")
+    return hashed.join(named, "fp0", "left").select("id", "raw", *names, "root", "component")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
