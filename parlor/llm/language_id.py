@@ -25,6 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor.llm.common import durable, keep_rows, text_hash
@@ -52,16 +53,16 @@ def _trigram_buckets(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.cumsum(lengths) - lengths
 
 
-def _shards(texts: Sequence[bytes], limit: int) -> Iterator[tuple[int, Sequence[bytes]]]:
-    """Runs of texts of bounded size; a longer text is a run by itself."""
+def _shards(texts: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of bounded size, so that a batch is never copied as a whole; a longer text is a run by itself."""
     start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield start, texts[start:i]
+    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and size + length > limit:
+            yield start, texts.slice(start, i - start).to_pylist()
             start, size = i, 0
-        size += len(text)
+        size += length
     if start < len(texts):
-        yield start, texts[start:]
+        yield start, texts.slice(start).to_pylist()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,9 +70,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         names = np.array(batch.column("lang").to_pylist(), dtype=object)
-        texts = batch.column("text").to_pylist()
         for name in dict.fromkeys(names):
-            own = [texts[i] for i in np.flatnonzero(names == name)]
+            own = batch.column("text").filter(pa.array(names == name))
             table = counts.setdefault(name, np.zeros(BUCKETS, dtype=np.int64))
             for _, shard in _shards(own, SHARD_BYTES):
                 table += np.bincount(_trigram_buckets(shard)[0], minlength=BUCKETS)
@@ -114,7 +114,7 @@ def _likelihoods(shared, text_weight: float, fields: pa.Schema):
         logs = shared.value
         languages = logs.shape[1]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             sums, sizes = np.zeros((len(texts), languages)), np.zeros(len(texts))
             for start, shard in _shards(texts, max(1 << 14, 4 * SHARD_BYTES // max(4, languages))):
                 buckets, starts = _trigram_buckets(shard)
