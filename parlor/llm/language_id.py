@@ -7,14 +7,17 @@ languages of a host are spread, drawn towards those of its domain and these towa
 a text overlap and repeat, so a text counts as at most ``text_weight`` independent ones; on short or mixed
 texts the other evidence decides.
 
-The models are fitted on about ``train_rows`` labelled rows of each language, chosen by a seeded hash (whole
-texts; the bound is this parameter). Languages are the declarations on at least ``least_share`` of all declared
-rows, so there are at most ``1 / least_share`` of them.
+The models are fitted on about ``train_rows`` distinct labelled texts of each language, chosen by a seeded hash
+(whole texts; the bound is this parameter). Languages are all declarations on at least ``least_rows`` rows,
+whatever their share is; in a small table ``least_share`` of them is enough too. Counts are brought to the same
+total, so that a trigram that no language has seen tells nothing and a language with few texts doesn't draw
+unusual ones. A language takes 256 KB of every task's memory and 16 bytes of every row's intermediates.
 
 Results, all cases included:
 * a text without letters (null, empty, digits, signs) has no language and is rejected;
 * so is one whose best language has a posterior below ``least_confidence`` or is not among ``wanted``;
 * a null declaration, suffix or host is no evidence; of equal posteriors the first language by code point wins;
+* a rarer declaration is no language: it is evidence like any other;
 * rows that agree in all evidence are judged alike, repeated rows too; an empty table gives an empty result,
   and without any declaration every text is rejected.
 """
@@ -83,30 +86,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, train_rows: int = 2000,
-          least_share: float = 0.01, seed: int = 42) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the logarithms of trigram probabilities: at most ``1 / least_share`` tables."""
-    lang = F.col(lang_col).cast("string")
-    declared = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
+          least_rows: int = 5, least_share: float = 0.01, seed: int = 42) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and the logarithms of trigram probabilities, one table for each language."""
+    lang, text = F.col(lang_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    declared = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(
+        F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(text)).alias("texts")
+    )
     total = declared.agg(F.sum("n").alias("n"))
-    common = declared.where(F.col("n") >= F.lit(least_share) * total.scalar()).orderBy("lang").collect()
+    enough = (F.col("n") >= least_rows) | (F.col("n") >= F.lit(least_share) * total.scalar())
+    common = declared.where(enough).orderBy("lang").collect()
     if not common:
         return [], np.zeros((BUCKETS, 0))
-    share = F.lit(None).cast("double")
-    for row in common:
-        share = F.when(lang == row.lang, F.lit(train_rows / row.n)).otherwise(share)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    names = [row.lang for row in common]
+    shares = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.lit(train_rows / row.texts) for row in common]))
     place = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(1_000_000)) / 1e6
-    sample = docs.where(place < share).select(lang.alias("lang"), text.cast("binary").alias("text"))
+    sample = docs.where(place < F.try_element_at(shares, lang)).select(lang.alias("lang"), text.cast("binary").alias("text")).distinct()
     counts = (
         sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     )
-    names = [row.lang for row in common]
-    table = np.zeros((BUCKETS, len(names)))
+    places = {name: i for i, name in enumerate(names)}
+    table = np.zeros((BUCKETS, len(names)), dtype=np.float32)
     for row in counts.toLocalIterator():  # at most BUCKETS rows for each language
-        table[row.bucket, names.index(row.lang)] = row.n
-    logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS))
+        table[row.bucket, places[row.lang]] = row.n
+    totals = table.sum(axis=0, dtype=np.float64)
+    table *= (totals.max() / np.maximum(totals, 1)).astype(np.float32)
+    logs = np.log((table + np.float32(0.5)) / np.float32(totals.max() + 0.5 * BUCKETS))
     logs[0] = 0
-    return names, logs.astype(np.float32)
+    return names, logs
 
 
 def _likelihoods(shared, text_weight: float, fields: pa.Schema):
@@ -119,7 +125,11 @@ def _likelihoods(shared, text_weight: float, fields: pa.Schema):
             for start, shard in _shards(texts, max(1 << 14, 4 * SHARD_BYTES // max(4, languages))):
                 buckets, starts = _trigram_buckets(shard)
                 here = slice(start, start + len(shard))
-                sums[here] = np.add.reduceat(logs[buckets], starts, axis=0, dtype=np.float64)
+                if len(shard) == 1:  # perhaps a very long text: as many rows of the table as it has distinct trigrams
+                    found, times = np.unique(buckets, return_counts=True)
+                    sums[here] = times.astype(np.float64) @ logs[found]
+                else:
+                    sums[here] = np.add.reduceat(logs[buckets], starts, axis=0, dtype=np.float64)
                 sizes[here] = np.add.reduceat((buckets > 0).astype(np.int64), starts)
             scale = np.minimum(1.0, text_weight / np.maximum(1.0, sizes))
             evidence = sums * scale[:, None]
@@ -173,6 +183,7 @@ def identify(
     suffix: Column | None = None,
     train_col: str = "lang",
     train_rows: int = 2000,
+    least_rows: int = 5,
     least_share: float = 0.01,
     text_weight: float = 60.0,
     smoothing: float = 10.0,
@@ -188,7 +199,7 @@ def identify(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     none = F.lit(None).cast("string")
-    names, logs = model or train(docs, text_col, train_col, train_rows=train_rows, least_share=least_share)
+    names, logs = model or train(docs, text_col, train_col, train_rows=train_rows, least_rows=least_rows, least_share=least_share)
     evidence = {"declared": declared, "host": host, "suffix": suffix}
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

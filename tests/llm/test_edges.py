@@ -356,6 +356,21 @@ def test_language_edges(spark, docs, no_docs):
     assert not any(r.kept for r in language_id.identify(unlabelled).collect())
 
 
+def test_a_rare_language_is_found_beside_a_hot_source(spark):
+    order = np.random.default_rng(6)
+    words = {"en": "the house and tree of this road with water when night".split(), "fr": "la maison et le chemin de ville avec eau quand".split(),
+             "fi": "talo ja puu tien vesi kun ilta saapuu metsän järvi".split()}
+    langs = ["en"] * 1200 + ["fr"] * 790 + ["fi"] * 10
+    rows = [(i, " ".join(order.choice(words[lang], 30)), lang, "hot" if i < 700 else "s") for i, lang in enumerate(langs)]
+    rows += [(5000, "zzgh qxw vvk jjq xzw kkp " * 5, "en", "hot")]
+    table = make(spark, rows, "doc_id long, text string, lang string, source string")
+    assert language_id.train(table)[0] == ["en", "fi", "fr"]
+    found = {r.id: r for r in language_id.identify(table, declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(found[i].language == lang and found[i].kept for i, _, lang, _ in rows)
+    plain = {r.id: r.language for r in language_id.identify(table).collect()}
+    assert all(plain[i] == "fi" for i in range(1990, 2000))
+
+
 # 9 Exact copies
 
 
