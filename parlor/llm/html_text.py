@@ -1,14 +1,17 @@
 """Main text of HTML pages from the distribution of text over line blocks.
 
 Markup is stripped block by block, so that every block element is a line; menus, scripts, forms, adverts,
-notices, comments and the like, which the markup names as such, leave an empty line. A line's weight is its
-number of visible characters outside links, and nothing outside the element that the page declares as its
-article or else its main part, if it has one. Sums of weights over sliding windows of ``window`` lines rise from zero at surge points
+notices, comments and the like, which the markup names as such, leave an empty line. If the page declares an
+article or else a main part that has text outside links, all lines in it are the main text, links too, and no
+other line is. On other pages a line's weight is its number of visible characters outside links. Sums of weights over sliding windows of ``window`` lines rise from zero at surge points
 and fall back to zero at dive points. The stretches between them whose highest sum reaches ``least`` (and the
 highest of all in any case) are the main text: all their lines, short ones included.
 
 Results, all cases included:
 * a null or empty page, and one without any weight, has an empty text;
+* an article or main part of nothing but links is the main text if no stretch of the page reaches ``least``;
+* an ``a`` without ``href`` or ending in ``/>`` is no link; a link ends with its end tag, also one inside
+  furniture, and where the next ``a`` tag is a start tag or missing, at the end of its block;
 * character references are decoded, white space inside a block becomes one space, blocks are joined in page
   order by one space; nothing is cut off, however long a page is;
 * markup that doesn't end (comments, scripts, quotes) ends with the page; a ``<`` that starts no tag is text;
@@ -32,6 +35,9 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 NAMES = re.compile(r"""\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?<![\w-])(hidden)(?![\w-])|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+EMPTY = re.compile(r"(?:\A|[\s\"'])/\Z")
+HREF = re.compile(r"(?<![\w-])href\s*=", re.IGNORECASE)
+LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -85,6 +91,14 @@ class _Lines:
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.in_link = False
+        self.link_ends = False
+
+    def link(self, page: str, at: int, attrs: str) -> None:
+        """A link starts. Without an end tag of its own it ends with its block."""
+        self.in_link = bool(HREF.search(attrs)) and not EMPTY.search(attrs)
+        if self.in_link:
+            tag = LINK_TAG.search(page, at)
+            self.link_ends = tag is not None and bool(tag[1])
 
     def text(self, raw: str) -> None:
         if raw:
@@ -99,6 +113,7 @@ class _Lines:
                 links = len("".join(unescape("".join(self.linked)).split()))
                 self.rows.append((line, len(line.replace(" ", "")) - links, inside))
             self.parts, self.linked = [], []
+        self.in_link = self.in_link and self.link_ends
 
     def blank(self, inside: int) -> None:
         self.flush(inside)
@@ -130,6 +145,8 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             at = close.end() if close else end
             continue
         if skip:
+            if name == "a":
+                out.in_link = False
             # Elements whose end tag may be left out end with what can't stand inside them.
             if skip == "p":
                 ends = name not in INLINE and name not in VOID
@@ -148,7 +165,10 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             if name == was and closing:
                 continue
         if name == "a":
-            out.in_link = not closing
+            if closing:
+                out.in_link = False
+            else:
+                out.link(page, at, attrs)
             continue
         if name in INLINE and (closing or not attrs):
             continue
@@ -185,7 +205,12 @@ def main_text(page: str, window: int = 3, least: int = 86) -> str:
     """The main text of a page, see the module's text."""
     lines = page_lines(page)
     declared = max((inside for _, weight, inside in lines if weight > 0), default=0)
-    weights = np.array([max(0, weight) if inside >= declared else 0 for _, weight, inside in lines], dtype=np.int64)
+    linked = max((inside for text, _, inside in lines if text), default=0)
+    weights = np.array([max(0, weight) for _, weight, _ in lines], dtype=np.int64)
+    if not declared and linked and (not weights.any() or np.convolve(weights, np.ones(window, dtype=np.int64)).max() < least):
+        declared = linked
+    if declared:
+        return " ".join(text for text, _, inside in lines if text and inside >= declared)
     if not weights.any():
         return ""
     # sums[i] covers the lines i - window + 1 to i; a stretch of sums above zero is one of text and its gaps.
@@ -193,12 +218,12 @@ def main_text(page: str, window: int = 3, least: int = 86) -> str:
     edges = np.flatnonzero(np.diff((sums > 0).astype(np.int8), prepend=0, append=0))
     surges, dives = edges[::2], edges[1::2]
     peaks = [int(sums[a:b].max()) for a, b in zip(surges, dives, strict=True)]
-    bound = 1 if declared else min(least, max(peaks))
+    bound = min(least, max(peaks))
     kept = []
     for surge, dive, peak in zip(surges, dives, peaks, strict=True):
         if peak >= bound:
             stop = dive - window + 1
-            kept += [text for text, _, inside in lines[surge:stop] if text and inside >= declared]
+            kept += [text for text, _, _ in lines[surge:stop] if text]
     return " ".join(kept)
 
 

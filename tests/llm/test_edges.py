@@ -162,6 +162,26 @@ def test_windows_find_the_body_without_an_article():
     assert text.startswith("Paragraph 0") and "Short." in text and "Tiny" not in text and "rights" not in text
 
 
+def test_links_inside_an_article_are_kept():
+    long = "A sentence that is long enough to be the body of a page without an article, clearly so, and then some more."
+    references = "".join(f"<li><a href=r{i}>Ref {i}</a>" for i in range(5))
+    cases = {
+        "<article><h1><a href=x>Title</a></h1><p>Text</p></article>": "Title Text",
+        "<article><p>Text</p><p><a href=x>Last</a></p></article>": "Text Last",
+        f"<article><p>Text</p><ul>{references}</ul><p>End</p></article>": "Text Ref 0 Ref 1 Ref 2 Ref 3 Ref 4 End",
+        "<article><a id=x/><p>One</p><p>Two</p></article>": "One Two", "<article><p><a name=x>One</p><p>Two</p></article>": "One Two",
+        "<article><p><a href=x>One</p><nav></a></nav><p>Two</p></article>": "One Two",
+        "<article><ul><li><a href=x>Only</a><li><a href=y>links</a></ul></article><p>Rest</p>": "Only links",
+        f"<article><a href=x>Teaser</a></article><p>{long}</p>": long,
+        # Without an article: anchors, empty and unclosed links don't swallow what follows, closed ones count to their end.
+        f"<a id=x/><p>{long}</p><p>{long}</p>": f"{long} {long}", f"<p><a name=x>{long}</p><p>{long}</p>": f"{long} {long}",
+        f"<p><a href='x' />{long}</p><p>{long}</p>": f"{long} {long}", f"<p>{long} <a href=x>open</p><p>{long}</p>": f"{long} open {long}",
+        f"<p>{long} <a href=x>open</p><aside></a></aside><p>{long}</p>": f"{long} open {long}",
+        f"<p>{long}</p>" + "<p></p>" * 2 + f"<a href=x/><div>{long}</div><div>{long}</div><div>{long}</div></a>": long,
+    }
+    assert {page: html_text.main_text(page) for page in cases} == cases
+
+
 # 4 SimHash
 
 
