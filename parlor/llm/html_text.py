@@ -38,6 +38,7 @@ NAMES = re.compile(r"""\b(class|id|role|style)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)
 EMPTY = re.compile(r"(?:\A|[\s\"'])/\Z")
 HREF = re.compile(r"(?<![\w-])href\s*=", re.IGNORECASE)
 LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
+LANG = re.compile(r"""(?<![^\s"'])lang\s*=\s*["']?\s*([a-z]+)""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -227,22 +228,45 @@ def main_text(page: str, window: int = 3, least: int = 86) -> str:
     return " ".join(kept)
 
 
-def _extract(id_type: pa.DataType, window: int, least: int):
-    schema = pa.schema([("id", id_type), ("url", pa.string()), ("text", pa.string())])
+def page_language(page: str) -> str | None:
+    """The language that the first ``html`` tag with one declares, wherever it stands outside comments and scripts."""
+    at, end = 0, len(page)
+    while at < end and (match := TOKEN.search(page, at)):
+        at, name = match.end(), (match["name"] or "").lower()
+        if match["end"]:
+            continue
+        if name == "html" and (found := LANG.search(match["attrs"])):
+            return found[1]
+        if name in RAW and not match["attrs"].endswith("/"):
+            close = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
+            at = close.end() if close else end
+    return None
+
+
+def _extract(id_type: pa.DataType, window: int, least: int, languages: bool):
+    fields = [("id", id_type), ("url", pa.string()), ("text", pa.string())]
+    schema = pa.schema([*fields, ("lang", pa.string())] if languages else fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py() or "", window, least) for page in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], schema=schema)
+            texts, found = [], []
+            for value in batch.column("html"):
+                page = value.as_py() or ""
+                texts.append(main_text(page, window, least))
+                if languages:
+                    found.append(page_language(page))
+            columns = [batch.column("id"), batch.column("url"), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())] if languages else columns, schema=schema)
 
     return run
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, window: int = 3,
-            least: int = 86) -> DataFrame:
-    """One row per page: ``id, url, text``. Pages are read one by one, without a shuffle."""
+            least: int = 86, languages: bool = False) -> DataFrame:
+    """One row per page: ``id, url, text`` and, if asked for, ``lang``. Pages are read one by one, without a shuffle."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     kind = source.schema["id"].dataType
-    return source.mapInArrow(_extract(to_arrow_type(kind), window, least), f"id {kind.simpleString()}, url string, text string")
+    schema = f"id {kind.simpleString()}, url string, text string" + (", lang string" if languages else "")
+    return source.mapInArrow(_extract(to_arrow_type(kind), window, least, languages), schema)

@@ -87,14 +87,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages by their extracted text, the language of their markup, the suffix of their address and their host."""
     pages = load(spark, folder, "pages")
-    address = pages.select(
-        F.col("page_id").alias("id"), F.nullif(host_of(F.col("url")), F.lit("")).alias("host"),
-        F.nullif(F.regexp_extract(F.substring("html", 1, 2000), r"""(?i)<html[^>]*\slang=["']?([a-z]+)""", 1), F.lit("")).alias("markup"),
-    )
-    texts = extract(pages).select("id", "url", "text").join(address, "id")
+    address = pages.select(F.col("page_id").alias("id"), F.nullif(host_of(F.col("url")), F.lit("")).alias("host"))
+    texts = extract(pages, languages=True).join(address, "id")
     suffix = F.substring_index("host", ".", -1)
     model = train(load(spark, folder, "documents"))
-    judged = identify(texts, "id", declared=F.col("markup"), host=F.col("host"), suffix=suffix, model=model)
+    judged = identify(texts, "id", declared=F.col("lang"), host=F.col("host"), suffix=suffix, model=model)
     return judged.select(F.col("id").alias("page_id"), "language", "confidence", "declared", "kept")
 
 

@@ -141,6 +141,15 @@ def test_language_agrees_with_the_declarations(spark, table):
     assert sum(r.language == r.declared for r in pages) >= 0.95 * len(pages) == 0.95 * len(table("pages", "page_id"))
 
 
+def test_late_declarations_of_pages_are_read():
+    from parlor.llm.html_text import page_language
+
+    late = "<!-- <html lang=xx> " + "licence " * 1000 + "-->" + " " * 5000
+    assert page_language(late + "<script>'<html lang=yy>'</script><HTML class='a' lang='fr-CA'><p lang=en>x") == "fr"
+    assert page_language("<html class=a><html data-lang=xx hreflang=yy lang = de><p>x") == "de"
+    assert page_language("<p lang=en>x") is page_language("") is page_language("<html") is None
+
+
 def test_quality_on_held_out_rows():
     """Fitted on three quarters of the labels of a larger table, judged on the rest."""
     from parlor.llm.quality import features, fit
