@@ -87,8 +87,8 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages by their extracted text, the language of their markup, the suffix of their address and their host."""
     pages = load(spark, folder, "pages")
-    address = pages.select(F.col("page_id").alias("id"), F.nullif(host_of(F.col("url")), F.lit("")).alias("host"))
-    texts = extract(pages, languages=True).join(address, "id")
+    # Everything travels with the row: ids may be null or occur several times.
+    texts = extract(pages, languages=True).withColumn("host", F.nullif(host_of(F.col("url")), F.lit("")))
     suffix = F.substring_index("host", ".", -1)
     model = train(load(spark, folder, "documents"))
     judged = identify(texts, "id", declared=F.col("lang"), host=F.col("host"), suffix=suffix, model=model)

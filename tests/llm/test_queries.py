@@ -150,6 +150,19 @@ def test_late_declarations_of_pages_are_read():
     assert page_language("<p lang=en>x") is page_language("") is page_language("<html") is None
 
 
+def test_language_of_pages_with_null_and_repeated_ids(spark, tmp_path):
+    text = {"en": "the house and the tree of this road with water", "fr": "la maison et le chemin de ville avec eau"}
+    docs = [(i, text["en" if i % 2 else "fr"], "en" if i % 2 else "fr") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    late = "<!--" + "licence " * 1000 + "-->"
+    pages = [(i, f"http://h.{lang}/", f"{late}<html lang={lang}><p>{text[lang]}</p>") for i, lang in [(None, "fr"), (None, "en"), (7, "fr"), (7, "en"), (8, "en")]]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["language_of_pages"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id or 0, r.language, r.declared) for r in found) == [
+        (0, "en", "en"), (0, "fr", "fr"), (7, "en", "en"), (7, "fr", "fr"), (8, "en", "en")
+    ]
+
+
 def test_quality_on_held_out_rows():
     """Fitted on three quarters of the labels of a larger table, judged on the rest."""
     from parlor.llm.quality import features, fit
