@@ -247,6 +247,33 @@ def test_similar_texts_are_found(spark):
     assert pairs >= 28 and all(r.component in (r.id, r.id - 1) for r in rows)
 
 
+def test_less_similar_texts_are_not_linked(spark):
+    """Every link is at 0.8 or more by the sets themselves, also for texts whose fingerprints are equal."""
+    order = np.random.default_rng(4)
+    words = ["".join(order.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    texts = []
+    for i in range(60):
+        base = list(order.choice(words, 200))
+        texts += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(base[:170] + list(order.choice(words, 30)))),
+                  (3 * i + 2, " ".join(base).upper())]
+    same = "again and again we say this line " * 40  # its shingles rule the majority, the rest differs
+    texts += [(1000, "same " * 30 + " ".join(order.choice(words, 12))), (1001, "same " * 30 + " ".join(order.choice(words, 12)))]
+    texts += [(1002, same), (1003, same + "x"), (1004, None), (1005, " "), (1006, "few words"), (1007, "few others")]
+    by_id = dict(texts)
+    rows = simhash.near_groups(make(spark, texts, "doc_id long, text string"), **simhash.SIMILAR).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.root, []).append(r.id)
+    sets = {i: simhash.shingle_set((t or "").encode(), 5) for i, t in by_id.items()}
+    for group in groups.values():
+        for i in group:
+            alike = [len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in group if j != i]
+            assert not alike or max(alike) >= 0.8 or not sets[i]
+    component = {r.id: r.component for r in rows}
+    assert all(component[3 * i + 2] == 3 * i and component[3 * i + 1] == 3 * i + 1 for i in range(60))
+    assert component[1001] == 1001 and component[1003] == 1002 and component[1005] == 1004 and component[1007] == 1007
+
+
 # 5 Quality
 
 
