@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from parlor.llm.align import Vocabularies, align
 from parlor.llm.decontaminate import matches
 from parlor.llm.exact_dedup import exact_groups
 from parlor.llm.html_text import extract
@@ -22,6 +23,9 @@ URL_RULES = (
     UrlRule("net/es/", "block"), UrlRule("net/fr/", "block"),
 )
 
+#: Where the files of the public tokenizers lie on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
@@ -108,6 +112,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    files = Vocabularies.read(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return align(load(spark, folder, "documents"), files).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_url_filter": op2_url_filter,
@@ -120,4 +129,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_of_pages": language_of_pages,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
