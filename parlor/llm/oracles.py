@@ -68,8 +68,79 @@ SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
 FROM judged GROUP BY r, doc_id
 """
 
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars')))} || {_field(text)})"
+
+
+def _levels(name: str, count: int) -> str:
+    """Levels above the table ``name_0 (tree, place, n, h)``, and for each level what stands beside a node in its run."""
+    ctes = []
+    run = "OVER (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN"
+    for k in range(count):
+        ctes.append(f"""{name}_side_{k} AS (
+  SELECT tree, place, n, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_{k}
+), {name}_{k + 1} AS (
+  SELECT tree, place // 8 AS place, any_value((n + 7) // 8) AS n,
+         CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE any_value(h) END AS h
+  FROM {name}_{k} GROUP BY tree, place // 8
+)""")
+    return ",\n".join(ctes)
+
+
+def _folds(source: str, name: str, tree: str, place: str, count: int) -> str:
+    """``source`` with its proof and fold carried up the levels of ``name``; ``source_0`` is there, ``source_<count>`` the result."""
+    return ",\n".join(f"""{source}_{k + 1} AS (
+  SELECT f.* REPLACE (f.proof || s.l || s.r AS proof, CASE WHEN s.n > 1 THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold)
+  FROM {source}_{k} f JOIN {name}_side_{k} s ON s.tree = {tree} AND s.place = {place} // {8**k}
+)""" for k in range(count))
+
+
+#: Levels of the SQL form: up to 8^7 rows a group and 8^3 groups.
+LOWER, UPPER = 7, 3
+HALF = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+
+OP11 = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS x, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, {HALF}, k + 1 FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT i, x FROM bits WHERE k = 8
+), crcs AS (
+  SELECT DISTINCT doc_id AS crc_id, doc_id::VARCHAR AS s, 4294967295::BIGINT AS crc, 1 AS k FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT crc_id, s, xor(crc // 256, x), k + 1 FROM crcs JOIN crc_table ON i = xor(crc % 256, ascii(substr(s, k, 1))::BIGINT) WHERE k <= length(s)
+), tampered AS (
+  SELECT crc_id FROM crcs WHERE k = length(s) + 1 AND xor(crc, 4294967295) % 3 = 0
+), hashed AS (
+  SELECT doc_id, lang, crc_id IS NOT NULL AS touched, {_leaf("text")} AS leaf,
+         {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered
+  FROM documents LEFT JOIN tampered ON crc_id = doc_id
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), low_0 AS (
+  SELECT tree, place, n, leaf AS h FROM placed
+), {_levels("low", LOWER)}, top_0 AS (
+  SELECT -1 AS tree, tree AS place, count(*) OVER () AS n, h FROM low_{LOWER}
+), {_levels("top", UPPER)}, below_0 AS (
+  SELECT *, '' AS proof, CASE WHEN touched THEN lowered ELSE leaf END AS fold FROM placed
+), {_folds("below", "low", "f.tree", "f.place", LOWER)}, above_0 AS (
+  SELECT * FROM below_{LOWER}
+), {_folds("above", "top", "-1", "f.tree", UPPER)}
+SELECT doc_id, leaf, low_{LOWER}.h AS subroot, top_{UPPER}.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+       fold = top_{UPPER}.h AS verified
+FROM above_{UPPER} f JOIN low_{LOWER} ON low_{LOWER}.tree = f.tree CROSS JOIN top_{UPPER}
+"""
+
 ORACLES: dict[str, str] = {
     "op7_source_mixing": OP7,
     "op9_exact_dedup": OP9,
     "op10_line_dedup": OP10,
+    "op11_merkle_manifest": OP11,
 }

@@ -12,6 +12,7 @@ from parlor.llm.exact_dedup import exact_groups
 from parlor.llm.html_text import extract
 from parlor.llm.language_id import identify, train
 from parlor.llm.line_dedup import dedup_lines
+from parlor.llm.merkle import ascii_lower, leaf_hash, manifest, proofs
 from parlor.llm.mixing import mix
 from parlor.llm.quality import grade, train as train_quality
 from parlor.llm.secret_scan import BASE_RULES, scan
@@ -112,6 +113,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the ids claims a text with small letters; its proof must fail unless the text had no others."""
+
+    def leaf(text):
+        return leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    claimed = F.when(tampered, leaf(ascii_lower(F.col("text"))))
+    made = manifest(load(spark, folder, "documents"), "doc_id", "lang", leaf(F.col("text")), claimed)
+    return proofs(made).withColumnRenamed("id", "doc_id")
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     files = Vocabularies.read(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
     return align(load(spark, folder, "documents"), files).withColumnRenamed("id", "doc_id")
@@ -129,5 +142,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_of_pages": language_of_pages,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_token_alignment": op13_token_alignment,
 }
