@@ -10,6 +10,7 @@ from parlor.llm.align import Vocabularies, align
 from parlor.llm.decontaminate import matches
 from parlor.llm.exact_dedup import exact_groups
 from parlor.llm.html_text import extract
+from parlor.llm.jaccard_join import jaccard_groups
 from parlor.llm.language_id import identify, train
 from parlor.llm.line_dedup import dedup_lines
 from parlor.llm.merkle import ascii_lower, leaf_hash, manifest, proofs
@@ -125,6 +126,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proofs(made).withColumnRenamed("id", "doc_id")
 
 
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups(load(spark, folder, "documents")).toDF("doc_id", "n_shingles", "component_id")
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     files = Vocabularies.read(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
     return align(load(spark, folder, "documents"), files).withColumnRenamed("id", "doc_id")
@@ -143,5 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_token_alignment": op13_token_alignment,
 }
