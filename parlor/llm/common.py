@@ -73,35 +73,34 @@ def keep_rows(docs: DataFrame, id_col: str, text_col: str, drop: DataFrame, repe
 def components(edges: DataFrame, a: str, b: str, seed: int = 42, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of long ids: one row ``(node, root)`` per id that has an edge.
 
-    Each round every node moves to its neighbour (or itself) with the smallest hash under the round's
-    seed, and the graph shrinks to the nodes that were moved to. Hashes give an expected constant factor
-    a round whatever the order of the ids, chains included. A round has one aggregation, which combines
-    inside the map tasks, and joins that Spark splits where a node is hot; nothing is gathered.
+    Each round every node is renamed to the node within two links with the smallest hash under the round's seed, and the
+    graph shrinks to these names. Hashes give an expected constant factor a round whatever the order of the ids, chains
+    included; a star takes one round. A round has two aggregations, which combine inside the map tasks, and joins
+    that Spark splits where a node is hot; nothing is gathered.
     """
     current = durable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    roots = None
+    steps: list[DataFrame] = []
+
     for turn in range(max_rounds):
         if current.isEmpty():
             break
         order = lambda c: F.struct(F.xxhash64(F.lit(seed + turn), c).alias("h"), c.alias("n"))
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = durable(
-            both.groupBy("a").agg(F.least(F.min(order(F.col("b"))), order(F.col("a")))["n"].alias("to")), "moves"
-        )
+        near = durable(both.groupBy("a").agg(F.least(F.min(order(F.col("b"))), order(F.col("a"))).alias("to")), "near")
+        beside = both.join(near.toDF("b", "to"), "b").select("a", "to").union(near)
+        moves = durable(beside.groupBy("a").agg(F.min("to")["n"].alias("to")), "moves")
+        steps.append(moves)
         left, right = moves.toDF("a", "ra"), moves.toDF("b", "rb")
         current = durable(
             current.join(left, "a").join(right, "b").where("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
             "edges",
         )
-        step = moves.toDF("root", "next")
-        if roots is None:
-            roots = moves.toDF("node", "root")
-        else:
-            roots = roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        roots = durable(roots, "roots")
     else:
         raise RuntimeError("the components did not converge")
-    if roots is None:
+    if not steps:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    roots = steps[0].toDF("node", "root")
+    for moves in steps[1:]:
+        roots = roots.join(moves.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return durable(roots, "roots")

@@ -6,13 +6,13 @@ fragments, so that a set falls into one segment per fragment. A pair's overlap i
 each by a join of its own segments, and summed per pair; what it sums to decides the link.
 
 Pairs come from prefixes: two sets that link share one of the first ``n - ceil(least * n) + 1`` shingles of both, in
-any global order. Nodes under such a shingle form a bucket. No bucket is paired out: in each turn the groups of a bucket
-(at first single nodes) send one node each to meet one node of another group, pairs that sizes and bitmaps rule out are dropped, every
-node keeps its most promising pair, and what links merges groups. When a turn links nothing, buckets that still hold
-several groups compare nodes of different groups; bitmaps (parities of hashed shingles, whose differing bits never exceed the
-symmetric difference) rule pairs out where they lie, the others are counted. So a link is only ever passed over inside a group that
-links have already connected, and a large group of near copies costs a few pairs a node. Buckets beyond ``tile`` nodes are cut
-into tiles, and shingles that the sketch shows to be frequent are dealt to several tasks.
+any global order. Nodes under such a shingle form a bucket. No bucket is paired out. First, for ``TURNS`` turns, the groups of
+a bucket (at first single nodes) send one node each to meet one node of another group; every node keeps its most promising pair, and
+what links merges groups. Then buckets that still hold several groups compare nodes of different groups, at first to count
+the most promising pair of every two groups, then all that are left. Bitmaps (parities of hashed shingles, whose differing
+bits never exceed the symmetric difference) rule pairs out before they are counted. So a link is only ever passed over inside a group
+that links have already connected, and a large group of near copies costs a few pairs a node. Buckets beyond ``tile``
+nodes are cut into tiles, and shingles that the sketch shows to be frequent are dealt to several tasks.
 
 Results, all cases included:
 * A-Z are lowered, words are runs of other characters than ASCII white space; a text with fewer words than a
@@ -43,34 +43,76 @@ COUNTERS_A_ROW, MAX_COUNTERS = 16, 1 << 26
 #: Shingles of at least two to this power are dealt to several tasks.
 SPREAD_LEVEL = 14
 TILE = 4096
+#: Turns that pair one node of each group of a bucket with one of another.
+TURNS = 1
+#: Buckets of up to so many rows are paired by a join.
+SMALL = 32
 MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+#: Bytes that are hashed at once; a longer word is hashed whole.
+HASH_BYTES = 1 << 18
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
 class Shingler:
-    """Sets of shingle hashes; hashes of words are kept for the words of a task."""
+    """Sets of shingle hashes. A word's hash is a polynomial in its bytes, taken from running sums over the whole text."""
 
     def __init__(self, words: int) -> None:
-        self.words, self.known = words, {}
-
-    def _word(self, word: bytes) -> int:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        value = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        self.words = words
+        self.bytes = np.random.default_rng(MIXERS[0]).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def _grow(self, size: int) -> None:
+        for name, base in (("powers", MIXERS[1]), ("inverses", pow(MIXERS[1], -1, 1 << 64))):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.cumprod(steps))
+
+    def _words(self, part: np.ndarray) -> np.ndarray:
+        """Hashes of the words of some bytes that no word crosses."""
+        inside = np.concatenate([[False], ~WHITE[part], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        if len(part) > len(self.powers):
+            self._grow(max(HASH_BYTES, 2 * len(part)))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(self.bytes[part] * self.powers[: len(part)], out=sums[1:])
+        return (sums[stops] - sums[starts]) * self.inverses[starts] + (stops - starts).astype(np.uint64)
+
+    def hashed_words(self, text: bytes) -> np.ndarray:
+        """One hash for each word, in order."""
+        small = text.lower()
+        data = np.frombuffer(small, dtype=np.uint8)
+        if len(data) <= HASH_BYTES:
+            return self._words(data)
+        parts, start = [], 0
+        while start < len(data):
+            stop = min(len(data), start + HASH_BYTES)
+            while stop < len(data) and not WHITE[data[stop]]:  # to the end of the word
+                ahead = np.flatnonzero(WHITE[data[stop : stop + HASH_BYTES]])
+                stop = stop + int(ahead[0]) if len(ahead) else min(len(data), stop + HASH_BYTES)
+            parts.append(self._words(data[start:stop]))
+            start = stop
+        return np.concatenate(parts)
 
     def __call__(self, text: bytes) -> np.ndarray:
         """Distinct hashes, ascending."""
-        words, known = text.lower().split(), self.known
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        each = np.array([known.get(w) or self._word(w) for w in words], dtype=np.uint64)
-        size = min(self.words, len(words))
+        return self.shingles(self.hashed_words(text))
+
+    def shingles(self, each: np.ndarray) -> np.ndarray:
+        if not len(each):
+            return each
+        size = min(self.words, len(each))
         total = np.full(len(each) - size + 1, size, dtype=np.uint64)
         for i in range(size):
             x = (total ^ each[i : i + len(total)]) * np.uint64(MIXERS[0])
             total = (x ^ (x >> np.uint64(29))) * np.uint64(MIXERS[1])
         total = (total ^ (total >> np.uint64(32))) * np.uint64(MIXERS[2])
-        return np.unique(total ^ (total >> np.uint64(31)))
+        total ^= total >> np.uint64(31)
+        total.sort()
+        return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _set_names(hashes: np.ndarray) -> tuple[int, int]:
@@ -302,12 +344,12 @@ def _promising(least: int):
     return run
 
 
-def _bucket_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, tile: np.ndarray, maps: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, tile: np.ndarray, maps: list[bytes], least: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes with different roots (of different tiles, if it has two) that sizes and bitmaps leave possible."""
     widths = np.array([len(m) // 8 for m in maps])
     groups, sizes = np.unique(root, return_counts=True)
     largest = groups[np.argmax(sizes)]
-    two, a, b = tile.min() != tile.max(), [], []
+    two, a, b, scores = tile.min() != tile.max(), [], [], []
     tables = {w: np.stack([np.frombuffer(maps[i], dtype="<u8") for i in np.flatnonzero(widths == w)]) for w in np.unique(widths).tolist()}
     within = np.zeros(len(node), dtype=np.int64)
     for w in tables:
@@ -326,13 +368,23 @@ def _bucket_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, tile: np.nd
                 continue
             width = min(w, own.shape[1])
             differing = np.bitwise_count(folded(table[within[found]], width) ^ folded(own, width)).sum(axis=1, dtype=np.int64)
-            found = found[links_if(most_common(n[found], n[i], differing), n[found], n[i], least)]
-            a.extend([node[i]] * len(found))
-            b.extend(node[found])
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-
-def _compared(least: int):
+            most = most_common(n[found], n[i], differing)
+            keep = links_if(most, n[found], n[i], least)
+            found, most = found[keep], most[keep]
+            a.extend([i] * len(found))
+            b.extend(found)
+            scores.extend(most / (n[found] + n[i]))
+    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    if best and len(a):
+        ends = np.sort(np.stack([root[a], root[b]]), axis=0)
+        order = np.lexsort((-np.array(scores), ends[1], ends[0]))
+        first = np.concatenate([[True], (ends[:, order[1:]] != ends[:, order[:-1]]).any(axis=0)])
+        a, b = a[order[first]], b[order[first]]
+    return node[a], node[b]
+
+
+def _compared(least: int, best: bool = False):
+    """Pairs of each bucket; with ``best`` the most promising one of every two groups."""
     names = ["token", "i", "j", "own", "node", "root", "n", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +398,7 @@ def _compared(least: int):
                 numbers[3] = np.zeros(len(rows), dtype=np.int64)
             if numbers[1].min() == numbers[1].max():
                 return None
-            a, b = _bucket_pairs(*numbers, rows.column("bits").to_pylist(), least)
+            a, b = _bucket_pairs(*numbers, rows.column("bits").to_pylist(), least, best)
             if not len(a):
                 return None
             low, high = np.minimum(a, b), np.maximum(a, b)
@@ -373,55 +425,97 @@ def _compared(least: int):
     return run
 
 
-def _turns(join: Join, buckets: DataFrame, tile: int) -> DataFrame:
-    """Links that connect whatever is linked; ``buckets`` are the rows ``token, node, n`` of shared shingles, durable."""
-    spark, nothing = buckets.sparkSession, "a long, b long"
-    links, turn = durable(spark.createDataFrame([], nothing), "links"), 0
-    sizes = join.nodes.select("node", "n", "bits")
-    while True:
-        roots = components(links, "a", "b")
-        rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        # Hot shingles are folded in the map tasks, and Spark splits the hot ones of the join.
-        mixed = durable(rooted.join(ends.select("token"), "token", "left_semi"), "mixed")
-        order = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n")
-        each = durable(mixed.groupBy("token", "root").agg(F.min(order).alias("one")).select("token", "root", "one.node", "one.n"), "each")
-        lead = each.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "root"), "root", "node", "n")).alias("lead"))
-        met = each.join(lead, "token").where("root <> lead.root")
-        a, b = F.least("node", "lead.node"), F.greatest("node", "lead.node")
-        swap = F.col("node") > F.col("lead.node")
-        pairs = met.select(
-            a.alias("a"), b.alias("b"), F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("na"),
-            F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("nb"), "root",
-        )
-        pairs = pairs.where(links_if(F.least("na", "nb"), F.col("na"), F.col("nb"), join.least)).distinct()
-        maps = sizes.select("node", "bits")
-        pairs = pairs.join(maps.toDF("a", "bits_a"), "a").join(maps.toDF("b", "bits_b"), "b")
-        likely = pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_promising(join.least), "a long, b long, na long, nb long, most long")
-        # Each node's most promising pair: the graph of these connects far more than it tests.
-        score = F.col("most") / (F.col("na") + F.col("nb"))
-        best = F.max(F.struct(score.alias("score"), F.xxhash64("a", "b").alias("h"), "a", "b", "na", "nb")).alias("best")
-        both = likely.withColumn("node", F.explode(F.array("a", "b")))
-        chosen = durable(both.groupBy("node").agg(best).select("best.a", "best.b", "best.na", "best.nb").distinct(), "chosen")
-        new = join.linked(chosen) if not chosen.isEmpty() else None
-        if new is None or new.isEmpty():
-            break
-        links, turn = durable(links.union(new), "links"), turn + 1
-    # Whatever is left in several groups.
-    large = durable(mixed.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > tile), "large")
-    tiles = F.ceil(F.coalesce(F.col("rows"), F.lit(1)) / tile).cast("long")
+class Groups:
+    """What the links found so far connect, and the pairs that were counted."""
+
+    def __init__(self, join: Join, buckets: DataFrame) -> None:
+        spark = buckets.sparkSession
+        self.join, self.buckets = join, buckets
+        self.roots = durable(spark.createDataFrame([], "node long, root long"), "roots")
+        self.counted = durable(spark.createDataFrame([], "a long, b long"), "counted")
+
+    def mixed(self) -> DataFrame:
+        """The rows of buckets with several groups, with their ``root``; smaller from turn to turn."""
+        rooted = self.buckets.drop("root").join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        ends = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows"))
+        # Shingles of many rows are folded in the map tasks, and Spark splits the hot ones of the join.
+        several = ends.where("low <> high").select("token", "rows")
+        self.buckets = durable(rooted.drop("rows").join(several, "token"), "mixed")
+        return self.buckets
+
+    def count(self, pairs: DataFrame) -> None:
+        """Count the overlaps of ``pairs (a, b, na, nb)`` and merge the groups that the links connect."""
+        new = durable(pairs.join(self.counted, ["a", "b"], "left_anti"), "new")
+        if new.isEmpty():
+            return
+        self.counted = self.counted.union(new.select("a", "b"))
+        links = self.join.linked(new)
+        a, b = self.roots.toDF("a", "ra"), self.roots.toDF("b", "rb")
+        between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        merged = durable(components(between, "a", "b"), "merged").toDF("root", "to")
+        moved = self.roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        fresh = merged.toDF("node", "root").join(self.roots, "node", "left_anti")
+        self.roots = durable(moved.union(fresh), "roots")
+
+
+def _sized(pairs: DataFrame, groups: Groups) -> DataFrame:
+    """Pairs ``(a, b, na, nb)`` that their sizes and bitmaps leave possible, with ``most``."""
+    least, maps = groups.join.least, groups.join.nodes.select("node", "bits")
+    pairs = pairs.where(links_if(F.least("na", "nb"), F.col("na"), F.col("nb"), least)).distinct()
+    pairs = pairs.join(maps.toDF("a", "bits_a"), "a").join(maps.toDF("b", "bits_b"), "b")
+    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_promising(least), "a long, b long, na long, nb long, most long")
+
+
+def _met(groups: Groups, turn: int) -> DataFrame:
+    """Pairs of one node of each group of a bucket with one node of a group that all of the bucket meet; each node's most promising one."""
+    order = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n")
+    each = durable(groups.buckets.groupBy("token", "root").agg(F.min(order).alias("one")).select("token", "root", "one.node", "one.n"), "each")
+    lead = each.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "root"), "root", "node", "n")).alias("lead"))
+    met = each.join(lead, "token").where("root <> lead.root")
+    swap = F.col("node") > F.col("lead.node")
+    pairs = met.select(
+        F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"),
+        F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("nb"),
+    )
+    likely = _sized(pairs, groups)
+    score = F.col("most") / (F.col("na") + F.col("nb"))
+    best = F.max(F.struct(score.alias("score"), F.xxhash64("a", "b").alias("h"), "a", "b", "na", "nb")).alias("best")
+    both = likely.withColumn("node", F.explode(F.array("a", "b")))
+    return both.groupBy("node").agg(best).select("best.a", "best.b", "best.na", "best.nb").distinct()
+
+
+def _left_small(groups: Groups) -> DataFrame:
+    """Promising pairs of nodes of different groups in buckets of a few rows."""
+    small = groups.buckets.where(F.col("rows") <= SMALL).select("token", "node", "root", "n")
+    both = small.toDF("token", "a", "ra", "na").join(small.toDF("token", "b", "rb", "nb"), "token").where("a < b and ra <> rb")
+    return _sized(both.select("a", "b", "na", "nb"), groups).drop("most")
+
+
+def _left_large(groups: Groups, tile: int, best: bool) -> DataFrame:
+    """The same in the other buckets, compared bucket by bucket."""
+    wide = groups.buckets.where(F.col("rows") > SMALL)
+    tiles = F.ceil(F.col("rows") / tile).cast("long")
     dealt = (
-        mixed.drop("n").join(sizes, "node").join(large, "token", "left").withColumn("tiles", tiles)
+        wide.join(groups.join.nodes.select("node", "bits"), "node").withColumn("tiles", tiles)
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("long"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "bits")
     )
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    rest = dealt.mapInArrow(_compared(join.least), "a long, b long, na long, nb long").distinct()
-    rest = durable(rest, "rest")
-    if rest.isEmpty():
-        return links
-    return durable(links.union(join.linked(rest)), "links")
+    return dealt.mapInArrow(_compared(groups.join.least, best), "a long, b long, na long, nb long").distinct()
+
+
+def _connected(join: Join, buckets: DataFrame, tile: int) -> DataFrame:
+    """``node, root`` of all linked nodes; ``buckets`` are the rows ``token, node, n`` of shared shingles, durable."""
+    groups = Groups(join, buckets)
+    for turn in range(TURNS):
+        groups.mixed()
+        groups.count(_met(groups, turn))
+    if not groups.mixed().where(F.col("rows") > SMALL).isEmpty():
+        groups.count(_left_large(groups, tile, best=True))
+        groups.mixed()
+    groups.count(_left_small(groups).union(_left_large(groups, tile, best=False)).distinct())
+    return groups.roots
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, least: int = 80,
@@ -449,7 +543,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = keyed.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt")
     buckets = durable(dealt.select("token", "node", "n", "spread").mapInArrow(_shared, "token long, node long, n long, spread int").drop("spread"), "buckets")
     join = Join(texts.select("raw", "text"), nodes.select("node", "raw", "h1", "h2", "n", "bits"), shared, words, least, fragments)
-    roots = components(_turns(join, buckets, tile), "a", "b")
+    roots = _connected(join, buckets, tile)
     member = durable(sets.join(roots, "node", "left").select("h1", "h2", "first", F.coalesce("root", "node").alias("root")), "member")
     smallest = member.groupBy("root").agg(F.min("first").alias("component"))
     named = durable(member.join(smallest, "root").select("h1", "h2", "component"), "named")
