@@ -12,7 +12,8 @@ from parlor.llm.exact_dedup import drop_copies
 from parlor.llm.language_id import keep_identified
 from parlor.llm.mixing import take_mix
 from parlor.llm.queries import load
-from parlor.llm.simhash import SIMILAR, one_per_group
+from parlor.llm.simhash import one_per_group
+from parlor.llm.similar import similar_groups
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,8 +29,8 @@ def copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps one of each group of texts with a similarity of 0.8 or more; see ``parlor.llm.simhash``."""
-    return one_per_group(docs, **SIMILAR)
+    """Keeps one of each group of texts with a similarity of 0.8 or more; see ``parlor.llm.similar``."""
+    return one_per_group(docs, groups=similar_groups)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -256,7 +256,7 @@ def pair_counts(aligned: DataFrame, b_ids: int) -> DataFrame:
 def _least_common(counts: DataFrame, most: int) -> int:
     """The smallest power of two so that no more than ``most`` pairs have that count, 1 if that holds for all."""
     sizes = counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("n")).collect()
-    cut, held = 64, 0
+    cut, held = 62, 0
     for k, n in sorted(sizes, reverse=True):
         held += n
         if held > most:

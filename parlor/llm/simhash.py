@@ -6,14 +6,6 @@ for some choice. Distinct fingerprints (exact copies count once) are dealt by ke
 partition, and compared bucket by bucket with vectorised XOR and bit counts. A bucket reports links that
 connect what it found close, at most one per fingerprint, never all its pairs: what counts is the component.
 
-A text may get several fingerprints, each from the shingle hashes mixed in another way. Two texts are then compared where any of these is
-within ``bits``, and linked if all together differ in at most ``all_bits`` or the first ones are equal. One fingerprint within 4 bits finds
-texts that hardly differ; a similarity of 0.8 means some 10 of 64 bits, too many for blocks of a useful size,
-but one of three fingerprints is mostly within 8: see :data:`SIMILAR`. With ``least`` the fingerprints only propose:
-a link counts if the sets of shingles have that Jaccard similarity, compared in a join of links and texts. Rows are
-then texts with different words, not fingerprints. Where a link may fail, its row proposes its ``NEAREST`` closest
-rows of the group too; these are compared only where the other links left the two in different components.
-
 The number of blocks follows the number of distinct fingerprints so that buckets of unrelated fingerprints
 stay small; it changes the cost only, never a link. A bucket larger than ``tile`` (a large group of near
 copies) is cut into tiles, and every pair of tiles is a bucket of its own.
@@ -27,7 +19,7 @@ Results, all cases included:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,33 +30,17 @@ from pyspark.sql import DataFrame, functions as F
 from parlor.llm.common import components, durable, keep_rows, text_hash
 
 HASH_SEED = 42
-#: Options for texts whose sets of five-word shingles have a similarity of 0.8 or more. Some 10 of 64 bits and 29 of
-#: 192 differ at 0.8, 7 and 20 at 0.9; one of three fingerprints is within 8 bits for about 7 of 10 pairs at 0.8,
-#: 9 of 10 at 0.85 and nearly all at 0.9.
-SIMILAR = {"words": 5, "prints": 3, "bits": 8, "all_bits": 44, "least": 0.8}
-#: Links of more bits than this may fail the comparison of shingles; then so many others are proposed for the row.
-SURE_BITS, NEAREST = 16, 8
 #: Mean number of unrelated fingerprints in a bucket beyond which one more block is used.
 BUCKET_LOAD = 2048
 TILE = 8192
 SCAN_ROWS = 64
 
 
-def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """The hashes for fingerprint ``turn``: the hashes themselves, then their splitmix64 successors."""
-    if not turn:
-        return hashes
-    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def simhash(text: bytes, words: int = 4, prints: int = 1) -> list[int]:
-    """``prints`` 64-bit fingerprints; a bit is set if more than half of the shingle hashes have it."""
+def simhash(text: bytes, words: int = 4) -> int:
+    """64-bit fingerprint; a bit is set if more than half of the shingle hashes have it."""
     tokens = text.lower().split()  # bytes: ASCII letters and ASCII white space only
     if not tokens:
-        return [0] * prints
+        return 0
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(lengths + 1) - 1
@@ -72,45 +48,30 @@ def simhash(text: bytes, words: int = 4, prints: int = 1) -> list[int]:
     stops = ends[min(words, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    found = []
-    for turn in range(prints):
-        bits = np.unpackbits(_mixed(hashes, turn).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        found.append(int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n, bitorder="little").view("<u8")[0]))
-    return found
-
-
-def words_hash(text: bytes) -> int:
-    """64-bit hash of the words, as a signed long: the same for texts that have the same shingles in the same order."""
-    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), HASH_SEED) - (1 << 63)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words: int, prints: int, id_type: pa.DataType, hashed: bool):
-    names = [f"fp{i}" for i in range(prints)] + ["same"] * hashed
-    schema = pa.schema([("id", id_type), ("raw", pa.int64()), *[(name, pa.int64()) for name in names]])
+def _fingerprints(words: int, id_type: pa.DataType):
+    schema = pa.schema([("id", id_type), ("raw", pa.int64()), ("fp0", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [simhash(t.as_py() or b"", words, prints) for t in batch.column("text")]
-            table = np.array(values, dtype=np.uint64).reshape(len(values), prints).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(table[:, i])) for i in range(prints)]
-            if hashed:
-                columns.append(pa.array([words_hash(t.as_py() or b"") for t in batch.column("text")], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), *columns], schema=schema)
+            values = np.array([simhash(t.as_py() or b"", words) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("raw"), pa.array(values)], schema=schema)
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
-                 prints: int = 1, hashed: bool = False) -> DataFrame:
-    """One row per document: ``id, raw`` (hash of the text), ``fp0 ..`` (as signed longs), ``same`` (if ``hashed``)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """One row per document: ``id, raw`` (hash of the text), ``fp0`` (as a signed long)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(
         F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("raw"), F.col(text_col).cast("binary").alias("text")
     )
-    kind, names = source.schema["id"].dataType, [f"fp{i}" for i in range(prints)] + ["same"] * hashed
-    schema = f"id {kind.simpleString()}, raw long, " + ", ".join(f"{name} long" for name in names)
-    return source.mapInArrow(_fingerprints(words, prints, to_arrow_type(kind), hashed), schema)
+    kind = source.schema["id"].dataType
+    return source.mapInArrow(_fingerprints(words, to_arrow_type(kind)), f"id {kind.simpleString()}, raw long, fp0 long")
 
 
 def _blocks(count: int) -> list[int]:
@@ -128,193 +89,101 @@ def key_masks(distinct: int, bits: int) -> list[int]:
     raise ValueError("no more blocks than bits")
 
 
-def _close_links(prints: np.ndarray, word: int, bits: int, all_bits: int) -> tuple[list[int], list[int], list[bool]]:
-    """Close row pairs that connect every group of rows connected by close pairs, and (False) more for unsure rows.
-
-    Rows are fingerprints, one or more columns.
-    """
+def _close_links(prints: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Close row pairs that connect every group of rows connected by close pairs. Rows are fingerprints."""
     if len(prints) < 2:
-        return [], [], []
-    own = prints[:, word]
+        return [], []
     # Most rows of a bucket are close to no other one: a few rows at a time against all tells which are.
-    alone = np.empty(len(own), dtype=bool)
-    for start in range(0, len(own), SCAN_ROWS):
-        near = np.bitwise_count(own[start : start + SCAN_ROWS, None] ^ own[None, :]) <= bits
+    alone = np.empty(len(prints), dtype=bool)
+    for start in range(0, len(prints), SCAN_ROWS):
+        near = np.bitwise_count(prints[start : start + SCAN_ROWS, None] ^ prints[None, :]) <= bits
         alone[start : start + SCAN_ROWS] = near.sum(axis=1) == 1
-    if alone.all():
-        return [], [], []
-    left, a, b, tree = np.flatnonzero(~alone), [], [], []
+    left, a, b = np.flatnonzero(~alone), [], []
     while len(left):
         front, left = [left[0]], left[1:]
-        group, unsure = [int(front[0])], []
         while front and len(left):
             one = front.pop()
-            near = np.flatnonzero(np.bitwise_count(own[left] ^ own[one]) <= bits)
-            if len(near) and prints.shape[1] > 1:
-                total = np.bitwise_count(prints[left[near]] ^ prints[one]).sum(axis=1, dtype=np.int64)
-                near, total = near[total <= all_bits], total[total <= all_bits]
-                unsure.extend(left[near[total > SURE_BITS]].tolist())
+            near = np.flatnonzero(np.bitwise_count(prints[left] ^ prints[one]) <= bits)
             if len(near):
                 found = left[near]
                 left = np.delete(left, near)
                 front.extend(found)
-                group.extend(found.tolist())
                 a.extend([int(one)] * len(found))
                 b.extend(found.tolist())
-                tree.extend([True] * len(found))
-        if unsure and len(group) > 2:
-            members = np.array(group)
-            for one in unsure:
-                total = np.bitwise_count(prints[members] ^ prints[one]).sum(axis=1, dtype=np.int64)
-                total[members == one] = all_bits + 1
-                closest = np.argsort(total, kind="stable")[:NEAREST]
-                others = members[closest[total[closest] <= all_bits]].tolist()
-                a.extend([one] * len(others))
-                b.extend(others)
-                tree.extend([False] * len(others))
-    return a, b, tree
-
-
-def _links(masks: list[tuple[int, int]], names: list[str], count: int, bits: int, all_bits: int):
-
-    def found(mask: int, held: list[np.ndarray]) -> pa.RecordBatch | None:
-        rows = np.concatenate(held)
-        prints = np.ascontiguousarray(rows[:, len(names) - count :]).view(np.uint64)
-        a, b, tree = _close_links(prints, masks[mask][0], bits, all_bits)
-        if not a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(rows[a, 0]), pa.array(rows[b, 0]), pa.array(tree)], names=["a", "b", "tree"])
+    return a, b
+
+
+def _links(bits: int):
+    def found(held: list[np.ndarray]) -> pa.RecordBatch | None:
+        prints = np.concatenate(held)
+        a, b = _close_links(prints.view(np.uint64), bits)
+        return pa.RecordBatch.from_arrays([pa.array(prints[a]), pa.array(prints[b])], names=["a", "b"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket may go on in the next batch."""
-        open_bucket, mask, held = None, 0, []
+        open_bucket, held = None, []
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("mask", "bucket")], axis=1)
-            rows = np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+            prints = batch.column("fp0").to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 bucket = keys[start].tobytes()
                 if bucket != open_bucket:
-                    if held and (out := found(mask, held)):
+                    if held and (out := found(held)):
                         yield out
-                    open_bucket, mask, held = bucket, int(keys[start, 0]), []
-                held.append(rows[start:stop])
-        if held and (out := found(mask, held)):
+                    open_bucket, held = bucket, []
+                held.append(prints[start:stop])
+        if held and (out := found(held)):
             yield out
 
     return run
 
 
-def links(distinct: DataFrame, count: int = 1, bits: int = 4, all_bits: int = 4, tile: int = TILE, node: str = "fp0") -> DataFrame:
-    """Links ``(a, b, tree)`` of nodes; those of the tree connect all close rows ``fp0 ..`` (distinct in ``node``, durable)."""
-    choices = key_masks(distinct.count(), bits)
-    masks = [(word, m) for word in range(count) for m in choices]
-    signed = [(word, m - (1 << 64) if m >> 63 else m) for word, m in masks]
+def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` that connect all close fingerprints ``fp0`` (distinct, durable)."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in key_masks(distinct.count(), bits)]
     table = F.array(*[
-        F.struct(F.lit(i).alias("mask"), F.col(f"fp{word}").bitwiseAND(F.lit(m).cast("long")).alias("key"))
-        for i, (word, m) in enumerate(signed)
+        F.struct(F.lit(i).alias("mask"), F.col("fp0").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)
     ])
-    names = [*([] if node == "fp0" else [node]), *[f"fp{i}" for i in range(count)]]
-    keyed = distinct.select(*names, F.explode(table).alias("m")).select(*names, "m.mask", "m.key")
+    keyed = distinct.select("fp0", F.explode(table).alias("m")).select("fp0", "m.mask", "m.key")
     # Buckets that need tiles hold at least ``tile`` rows each, so there are few of them.
     large = keyed.groupBy("mask", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > tile)
     tiles = F.ceil(F.coalesce(F.col("rows"), F.lit(1)) / tile).cast("int")
-    own = F.pmod(F.xxhash64(node, "mask"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("fp0", "mask"), F.col("tiles")).cast("int")
     spread = (
         keyed.join(durable(large, "large"), ["mask", "key"], "left").withColumn("tiles", tiles).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(*names, "mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("fp0", "mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
     # A hash names the bucket, to send little; where two buckets of a mask share it, they are compared as one.
-    dealt = spread.select("mask", F.xxhash64("key", "i", "j").alias("bucket"), *names)
+    dealt = spread.select("mask", F.xxhash64("key", "i", "j").alias("bucket"), "fp0")
     dealt = dealt.repartition("mask", "bucket").sortWithinPartitions("mask", "bucket")
-    return dealt.mapInArrow(_links(masks, names, count, bits, all_bits), "a long, b long, tree boolean")
+    return dealt.mapInArrow(_links(bits), "a long, b long")
 
 
-def shingle_set(text: bytes, words: int) -> set[tuple[bytes, ...]]:
-    tokens = text.lower().split()
-    if len(tokens) < words:
-        return {tuple(tokens)} if tokens else set()
-    return set(zip(*[tokens[i:] for i in range(words)], strict=False))
-
-
-def _similar(words: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            kept = []
-            for i, (a, left, right) in enumerate(zip(*[batch.column(c) for c in ("a", "left", "right")], strict=True)):
-                if a.as_py() != last:
-                    last, own = a.as_py(), shingle_set(left.as_py(), words)
-                other = shingle_set(right.as_py(), words)
-                common = len(own & other)
-                if common >= least * (len(own) + len(other) - common):
-                    kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    return run
-
-
-def similar_links(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` whose texts ``(same, text)`` have a similarity of shingle sets of at least ``least``."""
-    left, right = texts.toDF("a", "left"), texts.toDF("b", "right")
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return durable(both.mapInArrow(_similar(words, least), "a long, b long"), "similar")
-
-
-def _verified_roots(docs: DataFrame, text_col: str, distinct: DataFrame, proposed: DataFrame, words: int, least: float) -> DataFrame:
-    """``node, root`` of the components of those proposed links that hold."""
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    pairs = durable(proposed.select(low.alias("a"), high.alias("b"), "tree").groupBy("a", "b").agg(F.max("tree").alias("tree")), "pairs")
-    ends = pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
-    need = durable(distinct.join(ends, "same", "left_semi").select("same", "raw"), "need")
-    source = docs.select(text_hash(F.col(text_col)).alias("raw"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    # A copied text comes once for each copy; the aggregate folds them before its shuffle.
-    texts = durable(source.join(need, "raw").groupBy("same").agg(F.any_value("text").alias("text")), "texts")
-    sure = similar_links(pairs.where("tree"), texts, words, least)
-    roots = components(sure, "a", "b")
-    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    apart = pairs.where("not tree").join(a, "a", "left").join(b, "b", "left")
-    apart = durable(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
-    if apart.isEmpty():
-        return roots
-    return components(sure.union(similar_links(apart, texts, words, least)), "a", "b")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, prints: int = 1,
-                bits: int = 4, all_bits: int | None = None, least: float | None = None, tile: int = TILE) -> DataFrame:
-    """One row per document: ``id, raw, fp0 .., root`` (a node of the group), ``component`` (its smallest id).
-
-    Nodes are fingerprints, all texts of one being a group; with several or with ``least`` they are hashes of the words.
-    """
-    node = "fp0" if prints == 1 and least is None else "same"
-    hashed = durable(fingerprints(docs, id_col, text_col, words, prints, node == "same"), "prints")
-    names = [f"fp{i}" for i in range(prints)]
-    others = F.min(F.struct(*names, "raw")).alias("one")
-    distinct = hashed.groupBy(node).agg(F.min("id").alias("first"), others)
-    distinct = durable(distinct.select("first", *([node] if node == "same" else []), "one.*"), "distinct")
-    close = links(distinct.drop("first", "raw"), prints, bits, bits if all_bits is None else all_bits, tile, node)
-    if least is None:
-        roots = components(close.where("tree"), "a", "b")
-    else:
-        roots = _verified_roots(docs, text_col, distinct, close, words, least)
-    roots = roots.withColumnRenamed("node", node)
-    member = durable(distinct.join(roots, node, "left").select(node, "first", F.coalesce("root", node).alias("root")), "member")
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, bits: int = 4,
+                tile: int = TILE) -> DataFrame:
+    """One row per document: ``id, raw, fp0, root`` (a fingerprint of the group), ``component`` (its smallest id)."""
+    hashed = durable(fingerprints(docs, id_col, text_col, words), "prints")
+    distinct = durable(hashed.groupBy("fp0").agg(F.min("id").alias("first")), "distinct")
+    roots = components(links(distinct.select("fp0"), bits, tile), "a", "b").withColumnRenamed("node", "fp0")
+    member = durable(distinct.join(roots, "fp0", "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root")), "member")
     smallest = durable(member.groupBy("root").agg(F.min("first").alias("component")), "smallest")
-    named = durable(member.join(smallest, "root").select(node, "root", "component"), "named")
-    return hashed.join(named, node, "left").select("id", "raw", *names, "root", "component")
+    named = durable(member.join(smallest, "root").select("fp0", "root", "component"), "named")
+    return hashed.join(named, "fp0", "left").select("id", "raw", "fp0", "root", "component")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns, one of each component: the smallest id; see :func:`near_groups`.
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                  groups: Callable[..., DataFrame] = near_groups, **options) -> DataFrame:
+    """The documents, all columns, one of each component of ``groups``: the smallest id.
 
     Of several rows with that id (or of a component without ids) the one with the smallest text hash stays.
     """
-    groups = durable(near_groups(docs, id_col, text_col, **options), "near")
-    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(
+    judged = durable(groups(docs, id_col, text_col, **options), "near")
+    first = judged.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(
         F.min("raw").alias("raw_kept")
     )
-    judged = groups.join(durable(first, "first"), "root", "left")
+    judged = judged.join(durable(first, "first"), "root", "left")
     stays = F.col("id").eqNullSafe(F.col("component")) & (F.col("raw") == F.col("raw_kept"))
     drop = durable(judged.where(~stays).select("id", "raw"), "dropped")
     repeated = judged.where(stays).groupBy("id", "raw").agg(F.count("*").alias("rows")).where("rows > 1")

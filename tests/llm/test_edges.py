@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlor.llm import (
-    common, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, quality, secret_scan, simhash, url_filter,
+    common, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, quality, secret_scan, similar, simhash, url_filter,
 )
 from tests.llm.conftest import make
 
@@ -242,11 +242,16 @@ def test_similar_texts_are_found(spark):
         near = list(base)
         near[150] = near[40] = "changed"
         texts += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
-    rows = simhash.near_groups(make(spark, texts, "doc_id long, text string"), **simhash.SIMILAR).collect()
+    rows = similar.similar_groups(make(spark, texts, "doc_id long, text string")).collect()
     pairs = sum(r.component == r.id - 1 for r in rows if r.id % 2)
     assert pairs >= 28 and all(r.component in (r.id, r.id - 1) for r in rows)
 
 
+def shingle_set(text, words=5):
+    tokens = (text or "").lower().split()
+    return {tuple(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+
+
 def test_less_similar_texts_are_not_linked(spark):
     """Every link is at 0.8 or more by the sets themselves, also for texts whose fingerprints are equal."""
     order = np.random.default_rng(4)
@@ -260,11 +265,11 @@ def test_less_similar_texts_are_not_linked(spark):
     texts += [(1000, "same " * 30 + " ".join(order.choice(words, 12))), (1001, "same " * 30 + " ".join(order.choice(words, 12)))]
     texts += [(1002, same), (1003, same + "x"), (1004, None), (1005, " "), (1006, "few words"), (1007, "few others")]
     by_id = dict(texts)
-    rows = simhash.near_groups(make(spark, texts, "doc_id long, text string"), **simhash.SIMILAR).collect()
+    rows = similar.similar_groups(make(spark, texts, "doc_id long, text string")).collect()
     groups = {}
     for r in rows:
         groups.setdefault(r.root, []).append(r.id)
-    sets = {i: simhash.shingle_set((t or "").encode(), 5) for i, t in by_id.items()}
+    sets = {i: shingle_set(t) for i, t in by_id.items()}
     for group in groups.values():
         for i in group:
             alike = [len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in group if j != i]
