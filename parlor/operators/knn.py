@@ -11,7 +11,8 @@ Two ways to the same result:
 
 In many dimensions few cells are ruled out, and an exact search then compares all pairs: its cost is queries x
 corpus, with a copy of each corpus row for every chunk of ``query_rows`` queries and of each query for every block
-of ``block_rows`` rows. Where an approximate answer will do, :func:`lsh_similar` avoids that.
+of ``block_rows`` rows. Where an approximate answer will do, :mod:`parlor.operators.ivf` avoids that; it also
+keeps the cells of a corpus on disk for later searches.
 
 Vectors are compared by direction: those that don't have unit length are scaled to it, zero and null vectors are
 found by nobody and find nothing. Ranking compares similarities rounded to nine decimals, ties go to the smaller
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -176,6 +178,65 @@ def _chunks(pivots: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarr
     return first, parts
 
 
+@dataclass(frozen=True)
+class Cells:
+    """A corpus dealt to the cells of its pivots: ``rows (id, _v, extra..., _cell, _block)``, and what each cell is like.
+
+    ``inner`` holds, per cell, the angles of its innermost rows, one row an id over all cells.
+    """
+
+    rows: DataFrame
+    pivots: np.ndarray
+    numbers: np.ndarray
+    blocks: np.ndarray
+    radius: np.ndarray
+    inner: list[np.ndarray]
+
+
+def pair_type(queries: DataFrame, row_id: str, corpus: DataFrame, corpus_id: str, extra: Sequence[str]) -> T.StructType:
+    query = T.StructField("query", queries.schema[row_id].dataType)
+    return T.StructType([query, *candidate_type(corpus, corpus_id, extra).elementType.fields])
+
+
+def assigned_to(known: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``known`` with the nearest pivot ``_cell`` of its vector ``_v``, the ``_angle`` to it and a number ``_pos`` of the row."""
+    schema = T.StructType([*known.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())])
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                angles = _angles(_matrix(batch["_v"]), pivots)
+                nearest = angles.argmin(axis=1)
+                yield batch.assign(_cell=nearest.astype(np.int32), _angle=angles[np.arange(len(batch)), nearest])
+
+    return known.mapInPandas(assign, schema).withColumn("_pos", F.monotonically_increasing_id())
+
+
+def cell_summary(assigned: DataFrame, members: int) -> DataFrame:
+    """``_cell, rows, radius, inner``: the angles of the ``members`` innermost rows. Of an id one row counts, wherever it is.
+
+    A query that passes over its own id passes over one of them at most, so one more than the rows asked for are enough.
+    """
+    one = assigned.groupBy("id").agg(F.min(F.struct("_angle", "_cell")).alias("one")).select("one.*")
+    order = W.partitionBy("_cell").orderBy("_angle")
+    innermost = (
+        one.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= members)
+        .groupBy("_cell").agg(F.sort_array(F.collect_list("_angle")).alias("inner"))
+    )
+    sizes = assigned.groupBy("_cell").agg(F.count("*").alias("rows"), F.max("_angle").alias("radius"))
+    return sizes.join(innermost, "_cell", "left").withColumn("inner", F.coalesce("inner", F.array().cast("array<double>")))
+
+
+def block_of(pos: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(pos), blocks).cast("int")
+
+
+def by_number(column: Column, values: dict[int, int]) -> Column:
+    """The value of each of a bounded number of cells, 0 for others."""
+    dense = [values.get(i, 0) for i in range(max(values, default=0) + 1)]
+    return F.get(F.array(*[F.lit(int(x)) for x in dense]), column)
+
+
 def search_cells(
     queries: DataFrame,
     corpus: DataFrame,
@@ -198,59 +259,54 @@ def search_cells(
     ``query`` is the value of ``row_id``, which must tell the queries apart (by default ``query_id``). ``cells``
     is by default the square root of the corpus rows, 4,096 at most.
     """
-    row_id = row_id or query_id
     known = corpus.select(F.col(corpus_id).alias("id"), directed(F.col(vector_col)).alias("_v"), *extra).where(F.col("_v").isNotNull())
-    pair_schema = T.StructType(
-        [
-            T.StructField("query", queries.schema[row_id].dataType),
-            *candidate_type(corpus, corpus_id, extra).elementType.fields,
-        ]
-    )
-    copies = known.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
-    if not copies["rows"]:
-        return queries.sparkSession.createDataFrame([], pair_schema)
-    # A query may have to pass over as many rows as share its id.
-    bound_n = n + copies["most"] if exclude_same_id else n
-    cells = cells or min(4096, max(1, math.isqrt(copies["rows"])))
+    rows = known.count()
+    if not rows:
+        return queries.sparkSession.createDataFrame([], pair_type(queries, row_id or query_id, corpus, corpus_id, extra))
+    cells = cells or min(4096, max(1, math.isqrt(rows)))
     # Any pivots will do; at most `cells` rows.
     some = known.select("_v").orderBy(F.rand(seed)).limit(cells).collect()
     pivots = _matrix(pd.Series([r["_v"] for r in some]))
-
-    assigned_schema = T.StructType(
-        [*known.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_angle", T.DoubleType())]
-    )
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                angles = _angles(_matrix(batch["_v"]), pivots)
-                nearest = angles.argmin(axis=1)
-                yield batch.assign(_cell=nearest.astype(np.int32), _angle=angles[np.arange(len(batch)), nearest])
-
     # Read twice below (cell summaries, search), so the assignment is stored once.
-    assigned = durable(known.mapInPandas(assign, assigned_schema))
-
-    # Per cell: rows, radius, and the angles of its n innermost members (cells x n numbers).
-    inner = W.partitionBy("_cell").orderBy("_angle")
-    innermost = (
-        assigned.select("_cell", "_angle")
-        .withColumn("_rn", F.row_number().over(inner))
-        .where(F.col("_rn") <= bound_n)
-        .groupBy("_cell")
-        .agg(F.sort_array(F.collect_list("_angle")).alias("inner"))
-    )
-    sizes = assigned.groupBy("_cell").agg(F.count("*").alias("rows"), F.max("_angle").alias("radius"))
-    summary = sizes.join(innermost, "_cell").orderBy("_cell").collect()
-    cell_ids = np.asarray([r["_cell"] for r in summary])
-    radius = np.asarray([r["radius"] for r in summary])
+    assigned = durable(assigned_to(known, pivots))
+    # cells x (n + 1) numbers.
+    summary = cell_summary(assigned, n + 1).orderBy("_cell").collect()
+    numbers = np.asarray([r["_cell"] for r in summary])
     blocks = np.asarray([math.ceil(r["rows"] / block_rows) for r in summary])
-    members = [np.asarray(r["inner"]) for r in summary]
-    member_cell = np.repeat(np.arange(len(summary)), [len(m) for m in members])
-    member_angle = np.concatenate(members)
-    cell_pivots = pivots[cell_ids]
+    block = block_of(F.col("_pos"), by_number(F.col("_cell"), dict(zip(numbers.tolist(), blocks.tolist()))))
+    found = Cells(
+        assigned.withColumn("_block", block).drop("_pos", "_angle"), pivots[numbers], numbers, blocks,
+        np.asarray([r["radius"] for r in summary]), [np.asarray(r["inner"]) for r in summary],
+    )
+    return search_assigned(
+        queries, found, n, query_id=query_id, vector_col=vector_col, row_id=row_id, extra=extra, ties=ties,
+        exclude_same_id=exclude_same_id, query_rows=query_rows,
+    )
+
+
+def search_assigned(
+    queries: DataFrame,
+    cells: Cells,
+    n: int,
+    *,
+    query_id: str,
+    vector_col: str,
+    row_id: str | None = None,
+    extra: Sequence[str] = (),
+    ties: Sequence[str] = (),
+    exclude_same_id: bool = False,
+    query_rows: int = 131_072,
+) -> DataFrame:
+    """:func:`search_cells` in a corpus that is dealt to cells already; only the rows of visited cells are read."""
+    row_id = row_id or query_id
+    pair_schema = pair_type(queries, row_id, cells.rows, "id", extra)
+    bound_n = n + 1 if exclude_same_id else n
+    member_cell = np.repeat(np.arange(len(cells.numbers)), [len(m) for m in cells.inner])
+    member_angle = np.concatenate(cells.inner)
+    pivots, radius, blocks = cells.pivots, cells.radius, cells.blocks
     # Blocks are numbered through all cells: a slot is one block of one cell.
-    slot_cell = np.repeat(np.arange(len(summary)), blocks)
-    first_slot = dict(zip(cell_ids.tolist(), (np.cumsum(blocks) - blocks).tolist()))
+    slot_cell = np.repeat(np.arange(len(blocks)), blocks)
+    first_slot = dict(zip(cells.numbers.tolist(), (np.cumsum(blocks) - blocks).tolist()))
 
     asked = queries.select(
         F.col(row_id).alias("_qrow"), F.col(query_id).alias("_qid"), directed(F.col(vector_col)).alias("_qv")
@@ -268,7 +324,7 @@ def search_cells(
         for batch in batches:
             if not len(batch):
                 continue
-            angles = _angles(_matrix(batch["_qv"]), cell_pivots)
+            angles = _angles(_matrix(batch["_qv"]), pivots)
             slots, floors = [], []
             for row in angles:
                 reach = row[member_cell] + member_angle
@@ -280,21 +336,17 @@ def search_cells(
 
     planned = durable(asked.mapInPandas(plan, visit_schema))
     near = {r["_near"]: r["n"] for r in planned.groupBy("_near").agg(F.count("*").alias("n")).collect()}
-    first_chunk, parts = _chunks(cell_pivots, np.asarray([near.get(i, 0) for i in range(len(cell_ids))]), query_rows)
-
-    def mapped(column: str, values: dict) -> Column:
-        dense = [values.get(i, 0) for i in range(max(values) + 1)]
-        return F.get(F.array(*[F.lit(int(x)) for x in dense]), F.col(column))
-
-    part = F.pmod(F.xxhash64("_qrow"), mapped("_near", dict(enumerate(parts))))
-    chunked = planned.withColumn("_chunk", (mapped("_near", dict(enumerate(first_chunk))) + part).cast("int"))
+    first_chunk, parts = _chunks(pivots, np.asarray([near.get(i, 0) for i in range(len(blocks))]), query_rows)
+    part = F.pmod(F.xxhash64("_qrow"), by_number(F.col("_near"), dict(enumerate(parts))))
+    chunked = planned.withColumn("_chunk", (by_number(F.col("_near"), dict(enumerate(first_chunk))) + part).cast("int"))
     visiting = chunked.withColumn("_slot", F.explode("_slots")).drop("_slots", "_near")
     # A block goes to the chunks that visit it and to no others.
-    needed = visiting.select("_slot", "_chunk").distinct().toDF("_slot", "_chunk")
-    block = F.pmod(F.xxhash64("id", "_v"), mapped("_cell", dict(zip(cell_ids.tolist(), blocks.tolist()))))
+    needed = durable(visiting.select("_slot", "_chunk").distinct())
+    visited = {int(cells.numbers[slot_cell[r["_slot"]]]) for r in needed.select("_slot").distinct().collect()}
     offered = (
-        assigned.withColumn("_slot", (mapped("_cell", first_slot) + block).cast("int")).drop("_cell", "_angle").join(needed, "_slot")
-    )
+        cells.rows.where(F.col("_cell").isin(sorted(visited)))
+        .withColumn("_slot", (by_number(F.col("_cell"), first_slot) + F.col("_block")).cast("int")).drop("_cell", "_block").join(needed, "_slot")
+    )
     key = ["_slot", "_chunk"]
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -312,8 +364,12 @@ def search_cells(
         )[pair_schema.names]
 
     per_block = visiting.groupBy(*key).cogroup(offered.groupBy(*key)).applyInPandas(match, pair_schema)
+    return best_of_all(per_block, n, ties)
+
+
+def best_of_all(pairs: DataFrame, n: int, ties: Sequence[str] = ()) -> DataFrame:
     order = W.partitionBy("query").orderBy(F.bround("similarity", DIGITS).desc(), F.col("id"), *ties)
-    return per_block.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
+    return pairs.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def numbered(queries: DataFrame) -> DataFrame:
@@ -321,10 +377,8 @@ def numbered(queries: DataFrame) -> DataFrame:
     return durable(queries.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def similar_by_row(rows: DataFrame, corpus: DataFrame, n: int, *, corpus_id: str, extra: Sequence[str] = (),
-                   ties: Sequence[str] = (), **options) -> DataFrame:
-    """Add ``candidates`` to :func:`numbered` queries by way of :func:`search_cells`."""
-    pairs = search_cells(rows, corpus, n, row_id="_row", corpus_id=corpus_id, extra=extra, ties=ties, **options)
+def listed_by_row(rows: DataFrame, pairs: DataFrame, kind: T.ArrayType, extra: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Add ``candidates`` to :func:`numbered` queries from pairs whose ``query`` is that number."""
     # At most n small rows per query are gathered.
     keyed = F.struct(
         (-F.bround("similarity", DIGITS)).alias("k"), F.col("id"), *[F.col(c).alias(f"t_{c}") for c in ties],
@@ -332,8 +386,14 @@ def similar_by_row(rows: DataFrame, corpus: DataFrame, n: int, *, corpus_id: str
     )
     gathered = pairs.groupBy("query").agg(F.array_sort(F.collect_list(keyed)).alias("_c"))
     listed = gathered.select(F.col("query").alias("_row"), F.transform("_c", lambda x: x["c"]).alias("candidates"))
-    empty = F.array().cast(candidate_type(corpus, corpus_id, extra))
-    return rows.join(listed, "_row", "left").withColumn("candidates", F.coalesce("candidates", empty))
+    return rows.join(listed, "_row", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(kind)))
+
+
+def similar_by_row(rows: DataFrame, corpus: DataFrame, n: int, *, corpus_id: str, extra: Sequence[str] = (),
+                   ties: Sequence[str] = (), **options) -> DataFrame:
+    """Add ``candidates`` to :func:`numbered` queries by way of :func:`search_cells`."""
+    pairs = search_cells(rows, corpus, n, row_id="_row", corpus_id=corpus_id, extra=extra, ties=ties, **options)
+    return listed_by_row(rows, pairs, candidate_type(corpus, corpus_id, extra), extra, ties)
 
 
 def top_similar(

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parlor import defaults as D
 from parlor.functions import scoring as S
+from parlor.operators import ivf
 from parlor.operators.classify import nearest_centroid
-from parlor.operators.knn import DIGITS, Packed, corpus_size, numbered, search_broadcast, similar_by_row
+from parlor.operators.knn import DIGITS, Packed, candidate_type, corpus_size, listed_by_row, numbered, search_broadcast, similar_by_row
 from parlor.operators.sampling import sample_n
 from parlor.operators.skew import salted_join
 from parlor.operators.threads import long_enough
@@ -145,6 +146,47 @@ def retrieve(
         found = similar_by_row(asked, pool.drop("agent_reply"), top_k * 10, corpus_id="thread_id", extra=extra, ties=["key"], **options)
         joined = replies_from_join(found.select("_row", kept.alias("_kept")), pool.select("key", "agent_reply"))
         ranked = rows.join(joined, "_row", "left").drop("_row")
+    return with_similarities(ranked)
+
+
+def write_corpus_index(corpus: DataFrame, path: str, **options) -> ivf.VectorIndex:
+    """Write a corpus (:data:`CORPUS_COLUMNS`) as a vector index that :func:`retrieve_indexed` searches, now or in a later session."""
+    keyed = corpus.select(*CORPUS_COLUMNS, thread_key().alias("key"))
+    carried = [c for c in keyed.columns if c not in ("thread_id", "embedding")]
+    return ivf.write_index(keyed, path, id_col="thread_id", vector_col="embedding", extra=carried, **options)
+
+
+def retrieve_indexed(
+    queries: DataFrame,
+    index: ivf.VectorIndex,
+    *,
+    query_id: str,
+    class_col: str,
+    vector_col: str = "embedding",
+    top_k: int = 3,
+    catch_all: str = D.CATCH_ALL,
+    exclude_same_id: bool = False,
+    approximate: bool = False,
+) -> DataFrame:
+    """:func:`retrieve` in an index on disk: no row is assigned or classified again, only visited cells are read.
+
+    With ``approximate`` the pool comes from product-quantised codes.
+    """
+    extra, rows = ["class", "is_boilerplate", "key"], numbered(queries)
+    asked = rows.select("_row", query_id, class_col, vector_col)
+    if index.rows is None:
+        texts = F.array().cast("array<struct<id:string,raw_similarity:double,ranking_score:double,class:string,is_boilerplate:boolean,reply:string>>")
+        return with_similarities(rows.drop("_row").withColumn("matches", texts))
+    search = ivf.search_approximate if approximate else ivf.search_index
+    pairs = search(asked, index, top_k * 10, query_id=query_id, vector_col=vector_col, row_id="_row", extra=extra, ties=["key"], exclude_same_id=exclude_same_id)
+    found = listed_by_row(asked, pairs, candidate_type(index.rows, "id", extra), extra, ["key"])
+    kept = rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)
+    joined = replies_from_join(found.select("_row", kept.alias("_kept")), index.rows.select("key", "agent_reply"))
+    return with_similarities(rows.join(joined, "_row", "left").drop("_row"))
+
+
+def with_similarities(ranked: DataFrame) -> DataFrame:
+    """Add ``best_similarity, mean_similarity, grounding_ids`` from ``matches``."""
     raw = F.transform("matches", lambda m: m["raw_similarity"])
     total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
     return ranked.withColumns(

@@ -749,3 +749,11 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, position::BIGINT AS position, round_even(CAST(CASE WHEN size > 0 THEN n / size ELSE 0.0 END AS FLOAT)::DOUBLE, 5) AS value
         FROM counts JOIN sizes USING (doc_id)""",
 }
+# The same answers by another way.
+ORACLES["indexed_neighbours"] = ORACLES["knn_cells"]
+ORACLES["indexed_replies"] = ORACLES["rerank_topk"]
+ORACLES["csv_file_rows"] = ORACLES["csv_rows"]
+ORACLES["jsonl_file_rows"] = """
+    SELECT doc_id % 7 NOT IN (3, 5) AS good, CASE WHEN doc_id % 7 NOT IN (3, 5) THEN doc_id END AS doc_id,
+           sha256(CASE doc_id % 7 WHEN 3 THEN 'not json ' || doc_id WHEN 5 THEN '{"doc_id": ' || doc_id ELSE text END) AS digest
+    FROM documents"""

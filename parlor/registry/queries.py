@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
-from parlor.operators import classify, cluster, evalsets, knn, metrics as M, responses, retrieve, sampling, threads, vectors
+from parlor.operators import classify, cluster, evalsets, ivf, knn, metrics as M, responses, retrieve, sampling, threads, vectors
 from parlor.operators.once import evaluate_once
 from parlor.operators.skew import PROBE_SHARE
 from parlor.plans.benchmark import benchmark, report_fields, report_rows, report_table, stack_systems
 from parlor.plans.labelled_set import build_labelled_set
 from parlor.plans.triage import class_prompt, triage
 from parlor.registry import parameters as P
+from parlor.session import checkpoint_root
 from parlor.sources import readers, writers
 
 TABLES = [
@@ -399,6 +401,50 @@ def knn_cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that the driver and all executors reach."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _embeddings_index(spark: SparkSession, folder: str) -> ivf.VectorIndex:
+    path = _new_folder(spark, "index")
+    ivf.write_index(load(spark, folder, "embeddings"), path, id_col="vec_id", vector_col="embedding")
+    return ivf.open_index(spark, path)
+
+
+def _ranked_pairs(pairs: DataFrame) -> DataFrame:
+    order = W.partitionBy("query").orderBy(F.bround("similarity", knn.DIGITS).desc(), "id")
+    return pairs.select(
+        F.col("query").alias("vec_id"), F.row_number().over(order).cast("long").alias("rank"), F.col("id").alias("neighbour"),
+        half_even(F.col("similarity"), 6).alias("similarity"),
+    )
+
+
+def indexed_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """SK5, SC6, J7: the ten most similar other vectors, exactly, from an index that was written and opened again."""
+    index, asked = _embeddings_index(spark, folder), load(spark, folder, "embeddings").select("vec_id", "embedding")
+    return _ranked_pairs(ivf.search_index(asked, index, 10, query_id="vec_id", vector_col="embedding", exclude_same_id=True))
+
+
+def approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """About the ten most similar other vectors, by product-quantised codes of the nearest cells."""
+    index, asked = _embeddings_index(spark, folder), load(spark, folder, "embeddings").select("vec_id", "embedding")
+    options = dict(query_id="vec_id", vector_col="embedding", exclude_same_id=True)
+    probes = ivf.probes_for(asked, index, 10, **options)
+    return _ranked_pairs(ivf.search_approximate(asked, index, 10, probes=probes, **options))
+
+
+def indexed_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """SK5, C5, C6: re-ranked precedents from a corpus index on disk."""
+    table, path = _centroid_table(spark, folder), _new_folder(spark, "corpus")
+    retrieve.write_corpus_index(_corpus(spark, folder, table), path)
+    found = retrieve.retrieve_indexed(
+        _classified(spark, folder, table), ivf.open_index(spark, path), query_id="doc_id", class_col="class",
+        catch_all=P.VECTOR_CATCH_ALL, exclude_same_id=True,
+    )
+    return _ranked_matches(found)
+
+
 def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
     table = _centroid_table(spark, folder)
     return retrieve.retrieve(
@@ -409,13 +455,13 @@ def _retrieved(spark: SparkSession, folder: str) -> DataFrame:
 
 def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
     """C6, F12, W7, A19."""
-    return (
-        _retrieved(spark, folder)
-        .select("doc_id", "best_similarity", "mean_similarity", F.posexplode("matches").alias("position", "m"))
-        .select(
-            "doc_id", (F.col("position") + 1).cast("long").alias("rank"), F.col("m.id").alias("match_id"),
-            "m.raw_similarity", "m.ranking_score", "best_similarity", "mean_similarity",
-        )
+    return _ranked_matches(_retrieved(spark, folder))
+
+
+def _ranked_matches(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "best_similarity", "mean_similarity", F.posexplode("matches").alias("position", "m")).select(
+        "doc_id", (F.col("position") + 1).cast("long").alias("rank"), F.col("m.id").alias("match_id"),
+        "m.raw_similarity", "m.ranking_score", "best_similarity", "mean_similarity",
     )
 
 
@@ -650,6 +696,27 @@ def json_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _row_digests(lines.select(F.from_json("line", ROW_COLUMNS, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
 
 
+def csv_file_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """SC2, SK3: rows as CSV files with line feeds in quotes, read back in parallel ranges."""
+    path = _new_folder(spark, "csv")
+    rows = load(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return _row_digests(readers.read_source(spark, path, ROW_COLUMNS, "csv", multi_line=True))
+
+
+def jsonl_file_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """SC4, SC3, SK2: JSON lines with planted faults; good rows and malformed lines, each with a digest."""
+    path = _new_folder(spark, "jsonl")
+    row = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text"), {"ignoreNullFields": "false"})
+    fault = F.col("doc_id") % 7
+    line = F.when(fault == 3, F.concat(F.lit("not json "), "doc_id")).when(fault == 5, F.concat(F.lit('{"doc_id": '), "doc_id")).otherwise(row)
+    load(spark, folder, "documents").select(line.alias("value")).write.text(path)
+    good, bad = readers.read_checked(spark, path, ROW_COLUMNS, "jsonl")
+    return good.select(F.lit(True).alias("good"), "doc_id", T.digest(F.col("text")).alias("digest")).unionByName(
+        bad.select(F.lit(False).alias("good"), F.lit(None).cast("long").alias("doc_id"), T.digest(F.col("record")).alias("digest"))
+    )
+
+
 def _rubric(spark: SparkSession, folder: str) -> DataFrame:
     decision = F.when(F.col("role") == "assistant", "auto_handle").otherwise("escalate")
     scores = S.rubric(
@@ -758,6 +825,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pending_prompts, class_override, class_report, class_summary, escalation_report, benchmark_slices,
         benchmark_table, rubric, rubric_summary, audit_join, agreement, silhouette, cluster_sweep, embed_text, knn_cells,
         shared_thread_replies, transcript_turns, transcript_threads, reply_fanout, thread_union, report_json, judge_json, judge_labels,
-        judge_prompts, csv_rows, json_rows, kmeans_step, encode_letters,
+        judge_prompts, csv_rows, json_rows, kmeans_step, encode_letters, indexed_neighbours, approximate_neighbours, indexed_replies,
+        csv_file_rows, jsonl_file_rows,
     )
 }

@@ -24,11 +24,14 @@ def local_session(cpus: int | str = "*", memory: str = "12g", shuffle_partitions
 def checkpoint_root(spark: SparkSession) -> str:
     """The session's checkpoint folder, which the driver and all executors must reach.
 
-    It is named by ``spark.checkpoint.dir``; where that is unset, a folder beside the warehouse tables is taken.
+    It is named by ``spark.checkpoint.dir``; where that is unset and all tasks run on the driver's machine, a folder
+    beside the warehouse tables is taken. On a cluster that folder may be a machine's own, so the setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parlor.sources import schemas
+from parlor.sources import records, schemas
 
 
 SPREAD_BYTES = 256 * 1024 * 1024
@@ -15,7 +15,7 @@ SPREAD_BYTES = 256 * 1024 * 1024
 def spread(df: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
     """Deal a small table over the session's cores.
 
-    For files that cannot be split (one row group, multi-line CSV) and would keep most cores idle. The caller
+    For files that cannot be split (one row group) and would keep most cores idle. The caller
     decides that; a table that Spark estimates above ``max_bytes`` is returned as it is.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
@@ -34,13 +34,16 @@ def read_tweets(
 ) -> DataFrame:
     """Message CSV with a header and quoted text.
 
-    ``multi_line`` is needed where texts hold line feeds. A file then is one split, so the messages should come
-    in many files.
+    ``multi_line`` is needed where texts hold line feeds; files are then read in parallel ranges too, see
+    :mod:`parlor.sources.records`, and a malformed record fails the read.
     """
+    if multi_line:
+        parsed = records.csv_records(spark, path, schema)
+        failed = F.raise_error(F.concat_ws(" ", F.lit("malformed CSV record at"), *records.POSITION)).cast("boolean")
+        return records.checked(parsed.where(F.when(F.col("bad"), failed).otherwise(True)))[0]
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("enforceSchema", False)
@@ -49,7 +52,7 @@ def read_tweets(
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object per line; a malformed line fails the read."""
+    """One JSON object per line; a malformed line fails the read. :func:`read_checked` sets such lines aside."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -67,6 +70,15 @@ def read_source(
     raise ValueError(f"unknown source format: {chosen}")
 
 
+def read_checked(spark: SparkSession, path: str, schema: str, source_format: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV or JSON lines source, and its malformed records ``file, range, line, record``."""
+    if source_format == "csv":
+        return records.checked(records.csv_records(spark, path, schema, multi_line=multi_line))
+    if source_format in ("json", "jsonl"):
+        return records.checked(records.json_records(spark, path, schema))
+    raise ValueError(f"records of this format are not checked: {source_format}")
+
+
 def first_available(spark: SparkSession, paths: Sequence[str]) -> str:
     """The first path that exists, in order of preference."""
     jvm = spark.sparkContext._jvm
