@@ -4,21 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from parlor.functions.scoring import half_even
 from parlor.functions.vectors import as_double
+from parlor.operators import lloyd
 from parlor.operators.bounded import control_rows
-from parlor.session import durable
 
 
 def silhouette_points(
@@ -125,7 +121,8 @@ def silhouette_scores(df: DataFrame, id_col: str, cluster_col: str, vector_col:
 def silhouette(df: DataFrame, id_col: str, cluster_col: str, vector_col: str) -> DataFrame:
     """Number of points and mean silhouette over all rows, see :func:`silhouette_scores`.
 
-    :func:`silhouette_points` has the Euclidean form, whose work grows with the square of the rows.
+    :func:`silhouette_points` has the Euclidean form, whose work grows with the square of the rows, and
+    :func:`parlor.operators.lloyd.silhouette_balls` a linear one with a bound of its error.
     """
     return _mean_silhouette(silhouette_scores(df, id_col, cluster_col, vector_col))
 
@@ -162,32 +159,16 @@ def cluster_sweep(
     ks: Iterable[int] = range(6, 13),
     restarts: int = 5,
     seed: int = 42,
-    parallel_fits: int = 4,
+    turns: int = 20,
 ) -> DataFrame:
     """``(k, silhouette, cluster_distribution)`` of the best of several k-means runs per k, over all rows.
 
-    Each run is a distributed MLlib fit, and a few are submitted at a time.
+    All runs share the scans, see :func:`parlor.operators.lloyd.fit_all`: one job per iteration, and one for the silhouettes.
     """
-    points = durable(df.select(id_col, vector_col).withColumn("_features", array_to_vector(as_double(F.col(vector_col)))))
-
-    def fit(k: int, restart: int):
-        return KMeans(k=k, seed=seed + restart, featuresCol="_features", predictionCol="_cluster").fit(points)
-
-    runs = [(k, r) for k in ks for r in range(restarts)]
-    with ThreadPoolExecutor(parallel_fits) as pool:
-        fits = list(pool.map(inheritable_thread_target(df.sparkSession)(lambda run: fit(*run)), runs))
-    results = []
-    for k in dict.fromkeys(k for k, _ in runs):
-        best = min((m for (n, _), m in zip(runs, fits) if n == k), key=lambda m: m.summary.trainingCost)
-        labelled = best.transform(points).drop("_features")
-        sizes = labelled.groupBy("_cluster").agg(F.count("*").alias("n")).agg(
-            F.sort_array(F.collect_list("n"), asc=False).alias("cluster_distribution")
-        )
-        results.append(
-            silhouette(labelled, id_col, "_cluster", vector_col).select(
-                F.lit(k).alias("k"),
-                half_even(F.col("silhouette"), 4).alias("silhouette"),
-                F.lit(sizes.select("cluster_distribution").scalar()).alias("cluster_distribution"),
-            )
-        )
-    return reduce(DataFrame.unionByName, results)
+    points, ks = lloyd.points_of(df, id_col, vector_col), list(dict.fromkeys(ks))
+    fits = lloyd.fit_all(points, lloyd.drawn_starts(points, ks, restarts, seed), turns=turns)
+    best = {k: min((m for (n, _), m in fits.items() if n == k), key=lambda m: m.cost) for k in ks if (k, 0) in fits}
+    scores = lloyd.mean_silhouettes(points, best)
+    rows = [(k, scores[k], sorted((int(n) for n in m.members if n), reverse=True)) for k, m in best.items()]
+    found = df.sparkSession.createDataFrame(rows, "k int, silhouette double, cluster_distribution array<bigint>")
+    return found.withColumn("silhouette", half_even(F.col("silhouette"), 4))

@@ -757,3 +757,13 @@ ORACLES["jsonl_file_rows"] = """
     SELECT doc_id % 7 NOT IN (3, 5) AS good, CASE WHEN doc_id % 7 NOT IN (3, 5) THEN doc_id END AS doc_id,
            sha256(CASE doc_id % 7 WHEN 3 THEN 'not json ' || doc_id WHEN 5 THEN '{"doc_id": ' || doc_id ELSE text END) AS digest
     FROM documents"""
+ORACLES["silhouette_euclidean"] = ORACLES["silhouette"].replace("pow(list_distance(a.v, b.v), 2)", "list_distance(a.v, b.v)")
+ORACLES["sweep_iteration"] = """
+    WITH runs AS (SELECT k, r, j FROM range(6, 13) a(k), range(5) b(r), range(12) c(j) WHERE j < k),
+    points AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    centres AS (SELECT k, r, j, v FROM runs JOIN points ON vec_id = 7 * r + j),
+    near AS (
+        SELECT k, r, vec_id, p.v, arg_min(j, (list_distance(p.v, c.v), j)) AS cluster, min(pow(list_distance(p.v, c.v), 2)) AS d
+        FROM points p CROSS JOIN centres c GROUP BY k, r, vec_id, p.v)
+    SELECT k, r AS restart, cluster, count(*) AS members, round_even(sum(d), 5) AS cost, round_even(sum(v[1]), 5) AS first
+    FROM near GROUP BY k, r, cluster"""

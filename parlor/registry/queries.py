@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
-from parlor.operators import classify, cluster, evalsets, ivf, knn, metrics as M, responses, retrieve, sampling, threads, vectors
+from parlor.operators import classify, cluster, evalsets, ivf, knn, lloyd, metrics as M, responses, retrieve, sampling, threads, vectors
 from parlor.operators.once import evaluate_once
 from parlor.operators.skew import PROBE_SHARE
 from parlor.plans.benchmark import benchmark, report_fields, report_rows, report_table, stack_systems
@@ -783,6 +783,32 @@ def silhouette(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("silhouette", half_even(F.col("silhouette"), 6))
 
 
+def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    """Silhouette of all vectors by Euclidean distances, exact."""
+    points = cluster.silhouette_points(load(spark, folder, "embeddings"), "vec_id", "label", "embedding")
+    return points.agg(F.count("*").alias("points"), half_even(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+def silhouette_linear(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from balls, in linear work, with a bound of the error of its mean distances."""
+    points = lloyd.silhouette_balls(load(spark, folder, "embeddings"), "vec_id", "label", "embedding")
+    return points.agg(F.count("*").alias("points"), half_even(F.avg("silhouette"), 6).alias("silhouette"), F.max("bound").alias("bound"))
+
+
+def sweep_iteration(spark: SparkSession, folder: str) -> DataFrame:
+    """One iteration of 35 models in one scan; centre j of run r with k centres starts at vector 7 r + j."""
+    points = lloyd.points_of(load(spark, folder, "embeddings"), "vec_id", "embedding")
+    starts = {r["id"]: r["v"] for r in points.where(F.col("id") < 40).collect()}
+    runs = [(k, r) for k in range(6, 13) for r in range(5)]
+    found = lloyd.assignment(points, [[starts[7 * r + j] for j in range(k)] for k, r in runs])
+    names = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(r).cast("long").alias("restart")) for k, r in runs])
+    run = F.get(names, F.col("model"))
+    return found.select(
+        run["k"].alias("k"), run["restart"].alias("restart"), F.col("cluster").cast("long").alias("cluster"), "members",
+        half_even(F.col("cost"), 5).alias("cost"), half_even(F.col("total")[0], 5).alias("first"),
+    )
+
+
 def kmeans_step(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes and cost when every vector goes to the nearest class centroid."""
     step = cluster.kmeans_step(load(spark, folder, "embeddings"), "embedding", _centroid_table(spark, folder))
@@ -826,6 +852,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         benchmark_table, rubric, rubric_summary, audit_join, agreement, silhouette, cluster_sweep, embed_text, knn_cells,
         shared_thread_replies, transcript_turns, transcript_threads, reply_fanout, thread_union, report_json, judge_json, judge_labels,
         judge_prompts, csv_rows, json_rows, kmeans_step, encode_letters, indexed_neighbours, approximate_neighbours, indexed_replies,
-        csv_file_rows, jsonl_file_rows,
+        csv_file_rows, jsonl_file_rows, silhouette_euclidean, silhouette_linear, sweep_iteration,
     )
 }
