@@ -1,13 +1,16 @@
 """Main text of HTML pages from the distribution of text over line blocks.
 
 Markup is stripped block by block, so that every block element is a line; menus, scripts, forms, adverts,
-notices, comments and the like, which the markup names as such, leave an empty line. If the page declares an
-article or else a main part that has text outside links, all lines in it are the main text, links too, and no
-other line is. On other pages a line's weight is its number of visible characters outside links. Sums of weights over sliding windows of ``window`` lines rise from zero at surge points
-and fall back to zero at dive points. The stretches between them whose highest sum reaches ``least`` (and the
-highest of all in any case) are the main text: all their lines, short ones included.
+notices, comments and the like, which the markup names as such, leave an empty line. A line's weight is its number of
+visible characters outside links. If the page declares an article or else a main part that has text outside links, the declaration
+sets the weights: a line outside is empty, and one inside weighs at least 1, also if all of it is a link. Sums of weights over
+sliding windows of ``window`` lines rise from zero at surge points and fall back to zero at dive points. The stretches
+between them are the main text, all their lines, short ones included: every one of a declared part, else those whose
+highest sum reaches ``least`` (and the highest of all in any case).
 
 Results, all cases included:
+* outside an article a word of a class, id or role marks furniture (``related-work``); inside one a whole name must: all its
+  words are marks or say what kind of box it is (``related-links``, but not ``related-work``);
 * a null or empty page, and one without any weight, has an empty text;
 * an article or main part of nothing but links is the main text if no stretch of the page reaches ``least``;
 * an ``a`` without ``href`` or ending in ``/>`` is no link; a link ends with its end tag, also one inside
@@ -60,6 +63,11 @@ MARKS = {
     "related", "recommended", "widget", "toolbar", "search", "copyright", "disclaimer", "skip", "complementary", "contentinfo", "dialog",
     "paywall", "teaser", "teasers", "outbrain", "taboola", "hidden",
 }
+#: Words that, beside a mark, only say what kind of box it is.
+BOXES = {
+    "area", "articles", "bar", "block", "box", "btn", "button", "buttons", "container", "content", "form", "group", "holder", "icons", "inner",
+    "item", "items", "link", "links", "list", "outer", "panel", "post", "posts", "section", "slot", "stories", "thread", "unit", "wrap", "wrapper",
+}
 #: The same, but only outside an article, whose own header holds its title.
 OUTER_MARKS = {"header", "banner", "masthead", "topbar", "head"}
 COMMENT_MARKS = {"comment", "comments", "reply", "replies"}
@@ -70,18 +78,21 @@ OPEN_ENDED = {"li", "dt", "dd", "td", "th", "tr", "option"}
 PARENTS = {"ul", "ol", "dl", "table", "select"}
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def _marks(attrs: str) -> tuple[set[str], bool, bool]:
+    """Words of class, id and role, whether one of their names is nothing but marks and boxes, and whether the element is hidden."""
     words: set[str] = set()
-    hidden = False
+    named = hidden = False
     for match in NAMES.finditer(attrs):
         if not match[1]:
             hidden = True
         elif match[1].lower() == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", match[2], re.IGNORECASE))
         else:
-            words.update(w.lower() for w in WORDS.findall(match[2]))
-    return words, hidden
+            for name in match[2].strip("\"'").split():
+                own = {w.lower() for w in WORDS.findall(name)}
+                words |= own
+                named |= bool(own & MARKS) and all(w in MARKS or w in BOXES or w.isdigit() for w in own)
+    return words, named, hidden
 
 
 class _Lines:
@@ -173,11 +184,11 @@ def page_lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if name in INLINE and (closing or not attrs):
             continue
-        words, hidden = _marks(attrs) if attrs and not closing else (set(), False)
+        words, named, hidden = _marks(attrs) if attrs and not closing else (set(), False, False)
         inside = 2 if articles else 1 if mains else 0
         if not closing and name not in VOID:
             header = name == "header" or words & OUTER_MARKS
-            furniture = name in FURNITURE or hidden or (name not in BODIES and name != "article" and words & MARKS)
+            furniture = name in FURNITURE or hidden or (name not in BODIES and name != "article" and (named if articles else words & MARKS))
             furniture = furniture or (name == "article" and words & COMMENT_MARKS) or (header and not articles and name not in BODIES)
             if furniture and not attrs.endswith("/"):
                 out.blank(inside)
@@ -211,7 +222,8 @@ def main_text(page: str, window: int = 3, least: int = 86) -> str:
     if not declared and linked and (not weights.any() or np.convolve(weights, np.ones(window, dtype=np.int64)).max() < least):
         declared = linked
     if declared:
-        return " ".join(text for text, _, inside in lines if text and inside >= declared)
+        lines = [(text, max(1, weight), inside) if text and inside >= declared else ("", 0, inside) for text, weight, inside in lines]
+        weights, least = np.array([weight for _, weight, _ in lines], dtype=np.int64), 1
     if not weights.any():
         return ""
     # sums[i] covers the lines i - window + 1 to i; a stretch of sums above zero is one of text and its gaps.

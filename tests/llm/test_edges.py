@@ -153,6 +153,25 @@ def test_extraction_edges(spark):
     assert html_text.extract(pages.limit(0)).count() == 0 and html_text.extract(pages.union(pages)).count() == 2 * len(cases)
 
 
+def test_only_whole_names_mark_furniture_inside_an_article():
+    inside = "".join(f"<{tag}><p>Words of {i}.</p></{tag.split()[0]}>" for i, tag in enumerate((
+        "section id=search-methods", "div class='related-work'", "div id='notice-of-motion'", "section class='social-history text'", "div class=menu-of-the-day",
+    )))
+    marked = "".join(f"<{tag}><p>Not this.</p></{tag.split()[0]}>" for tag in (
+        "div class=related", "div class='box share-buttons'", "div id=newsletter-signup", "div class='ad-slot-2'", "section class='related-posts'", "div class=Comments",
+    ))
+    text = html_text.main_text(f"<article><h1>T</h1>{marked}{inside}{marked}</article><div class='related-work'>Outside.</div>")
+    assert text == "T " + " ".join(f"Words of {i}." for i in range(5))
+
+
+def test_the_windows_choose_the_text_of_declared_pages_too(monkeypatch):
+    page = "<div>Before it.</div><article><p>One</p><nav>m</nav><nav>m</nav><nav>m</nav><p><a href=x>Two</a></p></article><div>After it.</div>"
+    assert html_text.main_text(page) == "One Two"
+    monkeypatch.setattr(html_text.np, "convolve", lambda weights, window: np.zeros(len(weights) + len(window) - 1, dtype=np.int64))
+    with pytest.raises(ValueError):  # no stretch, so no text either
+        html_text.main_text(page)
+
+
 def test_windows_find_the_body_without_an_article():
     links = "".join(f"<div><a href=x>Link number {i}</a></div>" for i in range(8))
     body = "".join(f"<p>Paragraph {i} with a sentence that is long enough to be the body of a page, clearly.</p>" for i in range(5))
@@ -408,6 +427,62 @@ def test_language_edges(spark, docs, no_docs):
     assert not any(r.kept for r in language_id.identify(unlabelled).collect())
 
 
+def test_spellings_of_a_language_are_one_and_junk_names_are_bounded(spark):
+    order = np.random.default_rng(7)
+    words = {"en": "the house and tree of this road with water when night".split(), "fr": "la maison et le chemin de ville avec eau quand".split()}
+    names = ["en", "EN", "en-GB", "en_US", " En "]
+    rows = [(i, " ".join(order.choice(words["en"], 20)), names[i % 5]) for i in range(300)]
+    rows += [(1000 + i, " ".join(order.choice(words["fr"], 20)), "fr" if i % 10 else "en-US") for i in range(200)]
+    rows += [(2000 + i, " ".join(order.choice(words["en"], 20)), f"junk{i % 60}") for i in range(300)]
+    rows += [(3000, "the house", " "), (3001, "la maison", "-")]
+    table = make(spark, rows, "doc_id long, text string, lang string")
+    model = language_id.train(table, most_languages=8)
+    assert len(model[0]) == 8 and {"en", "fr"} < set(model[0]) and model[1].shape[1] == 8
+    found = {r.id: r for r in language_id.identify(table, declared=F.col("lang"), model=language_id.train(table, most_languages=2)).collect()}
+    assert all(found[i].language == "en" and found[i].kept and found[i].declared == "en" for i in range(300))
+    # A wrong declaration doesn't outweigh the text; junk names are no languages.
+    assert all(found[1000 + i].language == "fr" and found[1000 + i].kept for i in range(200))
+    assert all(found[2000 + i].language == "en" and found[2000 + i].kept for i in range(300))
+    assert found[3000].declared is None and found[3001].declared is None
+
+
+def test_evidence_matches_bayes_by_hand(spark):
+    """Two languages with one table each, all evidence: the posterior as the product of its parts."""
+    rows = [(i, "aaa bbb" if i % 3 else "ccc ddd", "x" if i % 3 else "y", "h1.com" if i % 4 else "h2.com", "com" if i % 5 else "org") for i in range(120)]
+    table = make(spark, rows, "doc_id long, text string, lang string, host string, suffix string")
+    names, logs = language_id.train(table)
+    found = {r.id: r for r in language_id.identify(table, declared=F.col("lang"), host=F.col("host"), suffix=F.col("suffix"), model=(names, logs)).collect()}
+    likelihood = {}
+    for _, text, *_ in rows:
+        buckets = language_id._trigram_buckets([text.encode()])[0]
+        scale = min(1.0, 60.0 / max(1, (buckets > 0).sum()))
+        likelihood[text] = logs[buckets].sum(axis=0, dtype=np.float64) * scale
+    belief = {t: np.exp(v - v.max()) / np.exp(v - v.max()).sum() for t, v in likelihood.items()}
+
+    def sums(key):
+        out = {}
+        for row in rows:
+            out[key(row)] = out.get(key(row), 0) + belief[row[1]]
+        return out
+
+    total = sum(belief[r[1]] for r in rows)
+    overall = (total + 1) / (total + 1).sum()
+    hosts, domains = sums(lambda r: r[3]), sums(lambda r: ".".join(r[3].split(".")[-2:]))
+
+    def fit(key, value):
+        own = sums(key)[value]
+        expected = own.sum() / total.sum()
+        return np.log((own + 10 * expected) / (total + 10) / expected)
+
+    for i, text, lang, host, suffix in rows:
+        domain = (domains[host] + 10 * overall) / (domains[host].sum() + 10)
+        prior = np.log((hosts[host] + 10 * domain) / (hosts[host].sum() + 10))
+        scores = likelihood[text] + prior + fit(lambda r: r[2], lang) + fit(lambda r: r[4], suffix)
+        posterior = np.exp(scores - scores.max())
+        assert found[i].language == names[int(scores.argmax())]
+        assert abs(found[i].confidence - posterior.max() / posterior.sum()) < 1e-6
+
+
 def test_a_rare_language_is_found_beside_a_hot_source(spark):
     order = np.random.default_rng(6)
     words = {"en": "the house and tree of this road with water when night".split(), "fr": "la maison et le chemin de ville avec eau quand".split(),
