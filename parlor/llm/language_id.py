@@ -8,15 +8,16 @@ a text overlap and repeat, so a text counts as at most ``text_weight`` independe
 texts the other evidence decides.
 
 The models are fitted on about ``train_rows`` distinct labelled texts of each language, chosen by a seeded hash
-(whole texts; the bound is this parameter). Languages are all declarations on at least ``least_rows`` rows,
-whatever their share is; in a small table ``least_share`` of them is enough too. Counts are brought to the same
+(whole texts; the bound is this parameter). A declaration counts by its primary subtag in small letters, so "en", "EN" and
+"en-GB" are one. Languages are the declarations on at least ``least_rows`` rows; in a small table ``least_share`` of
+them is enough too; where more than ``most_languages`` are, the commonest of them. Counts are brought to the same
 total, so that a trigram that no language has seen tells nothing and a language with few texts doesn't draw
-unusual ones. A language takes 256 KB of every task's memory and 16 bytes of every row's intermediates.
+unusual ones. A language takes 256 KB of every task's memory, 64 MB at most by default, and 16 bytes of every row's intermediates.
 
 Results, all cases included:
 * a text without letters (null, empty, digits, signs) has no language and is rejected;
 * so is one whose best language has a posterior below ``least_confidence`` or is not among ``wanted``;
-* a null declaration, suffix or host is no evidence; of equal posteriors the first language by code point wins;
+* a null, blank declaration, suffix or host is no evidence; of equal posteriors the first language by code point wins;
 * a rarer declaration is no language: it is evidence like any other;
 * rows that agree in all evidence are judged alike, repeated rows too; an empty table gives an empty result,
   and without any declaration every text is rejected.
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parlor.llm.common import durable, keep_rows, text_hash
 
 BUCKETS = 1 << 16
+MOST_LANGUAGES = 256
 SHARD_BYTES = 1 << 20
 
 #: ASCII letters lowered, other ASCII characters to a space, all bytes of other letters as they are.
@@ -43,6 +45,11 @@ FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 FOLD[128:] = np.arange(128, 256)
 
 
+def primary_subtag(lang: Column) -> Column:
+    """The part of a language tag before its first ``-`` or ``_``, in small letters; null if it is blank."""
+    return F.nullif(F.lower(F.trim(F.regexp_extract(lang.cast("string"), r"^[^-_]*", 0))), F.lit(""))
+
+
 def _trigram_buckets(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the trigram at every byte (0 if it holds two spaces or crosses two texts), and where texts start."""
     lengths = np.fromiter((len(t) + 3 for t in texts), dtype=np.int64, count=len(texts))
@@ -86,15 +93,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, train_rows: int = 2000,
-          least_rows: int = 5, least_share: float = 0.01, seed: int = 42) -> tuple[list[str], np.ndarray]:
+          least_rows: int = 5, least_share: float = 0.01, most_languages: int = MOST_LANGUAGES, seed: int = 42) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the logarithms of trigram probabilities, one table for each language."""
-    lang, text = F.col(lang_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
+    lang, text = primary_subtag(F.col(lang_col)), F.coalesce(F.col(text_col), F.lit(""))
     declared = docs.where(lang.isNotNull()).groupBy(lang.alias("lang")).agg(
         F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(text)).alias("texts")
     )
     total = declared.agg(F.sum("n").alias("n"))
     enough = (F.col("n") >= least_rows) | (F.col("n") >= F.lit(least_share) * total.scalar())
-    common = declared.where(enough).orderBy("lang").collect()
+    common = sorted(declared.where(enough).orderBy(F.desc("n"), "lang").limit(most_languages).collect(), key=lambda row: row.lang)
     if not common:
         return [], np.zeros((BUCKETS, 0))
     names = [row.lang for row in common]
@@ -200,7 +207,7 @@ def identify(
 
     none = F.lit(None).cast("string")
     names, logs = model or train(docs, text_col, train_col, train_rows=train_rows, least_rows=least_rows, least_share=least_share)
-    evidence = {"declared": declared, "host": host, "suffix": suffix}
+    evidence = {"declared": None if declared is None else primary_subtag(declared), "host": host, "suffix": suffix}
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("raw"), F.rlike(text, F.lit(r"\p{L}")).alias("letters"),
