@@ -1,10 +1,13 @@
 """The pipeline: its stages in order, whole rows, and the cases each one is there for."""
 
+from collections import Counter, defaultdict
+
 import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parlor.llm.common import durable
+from parlor.llm.similar import similar_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,3 +42,35 @@ def test_run_applies_all_stages(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     ids = [r.doc_id for r in rows.select("doc_id").collect()]
     assert ids and len(ids) == len(set(ids))
+
+
+def test_near_copies_are_found_and_nothing_else(spark):
+    """At least nine of ten pairs with a similarity of 0.8, and no group without a chain of such pairs."""
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()
+    sets, holders, label, links = {}, defaultdict(list), {}, []
+    for doc_id, text in rows:
+        words = (text or "").lower().split()
+        own = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+        if own in sets or not own:
+            continue
+        common = Counter(other for shingle in own for other in holders[shingle])
+        links += [(doc_id, o) for o, n in common.items() if n >= 0.8 * (len(own) + len(label[o]) - n)]
+        sets[own], label[doc_id] = doc_id, own
+        for shingle in own:
+            holders[shingle].append(doc_id)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    root = {r.id: r.root for r in similar_groups(docs).select("id", "root").collect()}
+    assert len(links) > 40 and sum(root[a] == root[b] for a, b in links) >= 0.9 * len(links)
+    parent = {d: d for d in label}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in links:
+        parent[top(a)] = top(b)
+    chains = defaultdict(set)
+    for d in label:
+        chains[root[d]].add(top(d))
+    assert all(len(c) == 1 for c in chains.values())
