@@ -12,8 +12,7 @@ large the benchmark is.
 
 Results, all cases included:
 * a null or empty document matches nothing, a null item or one without words is never found;
-* an item of fewer than ``least_chars`` characters is no evidence inside a longer text: it is found only where
-  it is the whole document;
+* an item of fewer than ``least_chars`` characters is found where its words stand without any error, each such place;
 * overlapping places of one item count once, with the least distance and, of equal ones, the first end;
 * repeated items and repeated documents are all reported; empty tables give an empty result.
 """
@@ -98,7 +97,11 @@ class Matcher:
         for number, text in items:
             ids[normalise(text or "")].append(number)
         ids.pop("", None)
-        self.whole = {text: found for text, found in ids.items() if len(text) < least_chars}
+        self.short = ahocorasick.Automaton()
+        for text, found in ids.items():
+            if len(text) < least_chars:
+                self.short.add_word(f" {text} ", (text, found))
+        self.short.make_automaton()
         self.items = []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for text, found in ids.items():
@@ -132,8 +135,13 @@ class Matcher:
     def find(self, raw: str) -> list[tuple[object, int, int, int, int]]:
         """``(item id, distance, errors allowed, start, stop)`` in code points of the original text."""
         text = normalise(raw)
-        found = [(number, 0, 0, 0, len(raw)) for number in self.whole.get(text, ())]
-        words = None
+        found, words = [], None
+        if len(self.short):
+            for last, (item, ids) in self.short.iter(f" {text} "):
+                words = words or _word_places(raw)
+                stop = last - 2  # the item's last character in the text, which has no space before it
+                a, b = _original(words, stop - len(item) + 1), _original(words, stop)
+                found += [(number, 0, 0, a[0], b[1]) for number in ids]
         for item, start, stop in self._windows(text):
             window, length = text[start:stop], len(item.text)
             distance, end = myers(item.masks, length, window)
@@ -201,7 +209,7 @@ def matches(
     item_text_col: str = "text",
     *,
     error_rate: float = 0.1,
-    least_piece: int = 12,
+    least_piece: int = 8,
     least_chars: int = 30,
     group_chars: int = 4_000_000,
 ) -> DataFrame:
