@@ -27,6 +27,8 @@ from parlor.llm.common import durable, keep_rows, text_hash
 
 WHITE = " \t\n\x0b\x0c\r"
 FINGERPRINT_BITS = 48
+#: Fingerprints that an owner gets on average, 16 MB when decoded.
+OWNER_ROWS = 1_000_000
 #: Suspect fingerprints that may be broadcast to filter texts where they lie: 8 bytes each, 16 MB in all.
 MAX_BROADCAST_FINGERPRINTS = 2_000_000
 
@@ -145,11 +147,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  max_broadcast: int = MAX_BROADCAST_FINGERPRINTS) -> DataFrame:
     """One row per document: ``id, raw, keep_id, keep_raw, group_size, kept, sha`` (see the module's text).
 
-    ``raw`` is the hash of the whole original text. ``owners`` is the number of hash ranges, by default the
-    session's number of shuffle partitions; an owner decodes its share of all distinct fingerprints.
+    ``raw`` is the hash of the whole original text. ``owners`` is the number of hash ranges; an owner decodes its share
+    of all distinct fingerprints. By default they are as many as shuffle partitions, and more where that would leave an
+    owner more than ``OWNER_ROWS`` rows.
     """
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     id_field = docs.select(F.col(id_col).alias("id")).schema[0]
     id_type = T.StructType([id_field]).fields[0].dataType
     source = docs.select(
