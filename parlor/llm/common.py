@@ -12,8 +12,10 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``, else beside the warehouse tables."""
+    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``, in local mode else beside the warehouse tables."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = named or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/parlor-{spark.sparkContext.applicationId}"
 
