@@ -5,8 +5,11 @@ are cut into segments, digits become ``{n}``, and level by level a segment that
 of its parent becomes the wildcard ``*``, so that a parent has at most ``1 / least_share`` named children.
 Sibling branches whose shares of bad labels don't differ from the rest of their parent (two-proportion z below
 ``similar_z``) are merged. The purity of a branch is its share of bad labels, drawn towards that of its parent
-by ``smoothing`` labels, from the host's domain down. A template with at least ``least_labels`` labels and a
-purity of ``reject_purity`` or more is blocked, every other one is allowed.
+by ``smoothing`` labels, from the host's domain down. Where a host has fewer than ``least_labels`` labels under a template, those of
+the same template on all hosts are the prior that its own ones are added to, if at least ``least_domains`` domains have
+some: what one site does under a template says little about others. A template with at least ``least_labels`` labels in
+either way and a purity of ``reject_purity`` or more is blocked, every other one is allowed. Levels are built as deep as
+paths go, ``depth`` segments at most; what lies below shares a template.
 
 All of it is DataFrame work over counts per distinct host and generalised path; a large host sends one row per
 path and map task, and the joins that bring templates back to rows are ones that Spark splits where a host is hot.
@@ -78,8 +81,8 @@ def generalised_path(path: Column, depth: int) -> Column:
     return F.concat(F.array_join(named, "/"), F.when(F.size(segments) > depth, "/**").otherwise(""))
 
 
-def path_templates(counts: DataFrame, depth: int, least_share: float) -> DataFrame:
-    """Add ``t0 .. t<depth+1>`` to ``host, key, n``: the template of every level, null where a path has ended."""
+def path_templates(counts: DataFrame, depth: int, least_share: float) -> tuple[DataFrame, int]:
+    """Add ``t0 ..`` to ``host, key, n``, the template of every level, null where a path has ended; and the last level."""
     tree = counts.withColumn("segments", F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", "/")))
     tree = tree.withColumn("t0", F.lit(""))
     for level in range(1, depth + 2):
@@ -89,8 +92,7 @@ def path_templates(counts: DataFrame, depth: int, least_share: float) -> DataFra
         children = known.groupBy("host", "parent", "segment").agg(F.sum("n").alias("rows"))
         parents = durable(known.groupBy("host", "parent").agg(F.sum("n").alias("all_rows")), "parents")
         if parents.isEmpty():
-            tree = tree.withColumn(child, F.lit(None).cast("string"))
-            continue
+            return tree, level - 1
         frequent = (
             children.join(parents, ["host", "parent"])
             .where((F.col("rows") >= F.col("all_rows") * F.lit(least_share)) & (F.col("rows") > 1))
@@ -102,10 +104,10 @@ def path_templates(counts: DataFrame, depth: int, least_share: float) -> DataFra
             .withColumn(child, F.when(F.col("segment").isNotNull(), step)).drop("segment", "named"),
             "tree",
         )
-    return tree
+    return tree, depth + 1
 
 
-def template_purity(tree: DataFrame, depth: int, smoothing: float, similar_z: float, least_labels: int) -> DataFrame:
+def template_purity(tree: DataFrame, levels: int, smoothing: float, similar_z: float, least_labels: int) -> DataFrame:
     """``host, template, labels, purity`` of every node, over the branch that it was merged into."""
     share = lambda bad, labels, prior: (bad + smoothing * prior) / (labels + smoothing)
     sums = [F.sum("labels").alias("labels"), F.sum("bad").alias("bad")]
@@ -122,7 +124,7 @@ def template_purity(tree: DataFrame, depth: int, smoothing: float, similar_z: fl
         "purity",
     )
     nodes = level.select("host", "template", "labels", "purity")
-    for i in range(1, depth + 2):
+    for i in range(1, levels + 1):
         own = tree.where(F.col(f"t{i}").isNotNull()).groupBy("host", F.col(f"t{i - 1}").alias("parent"), F.col(f"t{i}").alias("template"))
         above = level.select("host", F.col("template").alias("parent"), F.col("labels").alias("all"), F.col("bad").alias("all_bad"),
                              F.col("purity").alias("prior"))
@@ -154,11 +156,12 @@ def judge_urls(
     url_col: str = "url",
     label: Column | None = None,
     *,
-    depth: int = 4,
+    depth: int = 32,
     least_share: float = 0.01,
     smoothing: float = 5.0,
     similar_z: float = 1.96,
     least_labels: int = 5,
+    least_domains: int = 3,
     reject_purity: float = 0.8,
 ) -> DataFrame:
     """One row per page: ``id, host, path, rule, verdict, template, labels, purity``.
@@ -178,10 +181,26 @@ def judge_urls(
     counts = rows.groupBy("host", "key").agg(
         F.count("*").alias("n"), F.count(bad).alias("labels"), F.count_if(bad).alias("bad")
     )
-    tree = path_templates(durable(counts, "paths"), depth, least_share)
-    nodes = template_purity(tree, depth, smoothing, similar_z, least_labels)
-    leaf = tree.select("host", "key", F.coalesce(*[f"t{i}" for i in range(depth + 1, -1, -1)]).alias("template"))
-    judged = durable(leaf.join(durable(nodes, "nodes"), ["host", "template"], "left"), "templates")
+    tree, levels = path_templates(durable(counts, "paths"), depth, least_share)
+    nodes = durable(template_purity(tree, levels, smoothing, similar_z, least_labels), "nodes")
+    named = F.coalesce(*[f"t{i}" for i in range(levels, -1, -1)]).alias("template")
+    # The labels of a template on all hosts, for hosts that have few of their own.
+    sums = [F.sum("labels").alias("pool"), F.sum("bad").alias("pool_bad")]
+    leaves = durable(tree.select("host", "key", named, "labels", "bad"), "leaves")
+    by_domain = leaves.where("labels > 0").groupBy("template", domain_of(F.col("host")).alias("domain")).agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+    pooled = by_domain.groupBy("template").agg(*sums, F.count("*").alias("domains"))
+    pooled = durable(pooled.where(F.col("domains") >= least_domains).drop("domains"), "pooled")
+    total = leaves.agg(F.sum("labels"), F.sum("bad")).first()
+    overall = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
+    own = leaves.groupBy("host", "template").agg(F.sum("labels").alias("few"), F.sum("bad").alias("few_bad"))
+    prior = (F.col("pool_bad") + smoothing * overall) / (F.col("pool") + smoothing)
+    drawn = F.when(F.col("pool").isNotNull(), (F.col("few_bad") + smoothing * prior) / (F.col("few") + smoothing)).otherwise(F.col("purity"))
+    lacking = F.col("labels") < least_labels
+    nodes = own.join(pooled, "template", "left").join(nodes, ["host", "template"], "left").select(
+        "host", "template", F.when(lacking, drawn).otherwise(F.col("purity")).alias("purity"),
+        F.when(lacking, F.greatest(F.col("labels"), F.coalesce("pool", F.lit(0)))).otherwise(F.col("labels")).alias("labels"),
+    )
+    judged = durable(leaves.select("host", "key", "template").join(durable(nodes, "judged"), ["host", "template"], "left"), "templates")
     blocks = (F.col("labels") >= least_labels) & (F.col("purity") >= reject_purity)
     return rows.join(judged, ["host", "key"], "left").select(
         "id", "host", "path", "rule",

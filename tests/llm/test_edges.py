@@ -151,6 +151,29 @@ def test_url_rules_edges(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, []).collect()} == {"allow"}
 
 
+def test_templates_of_several_domains_judge_hosts_without_labels(spark):
+    rows = [(100 * d + i, f"http://a{d}.org/spam/{i}", True) for d in range(3) for i in range(20)]
+    rows += [(1000 + i, f"http://b.com/promo/{i}", True) for i in range(30)]
+    rows += [(2000 + i, f"http://new.net/{name}/{i}", None) for name in ("spam", "promo") for i in range(10)]
+    # Branches that part only at the sixth segment.
+    deep = "http://deep.org/a/b/c/d/e/"
+    rows += [(3000 + i, f"{deep}{'bad' if i % 2 else 'good'}/{i}", bool(i % 2)) for i in range(60)]
+    rows += [(4000 + i, f"{deep}{'bad' if i % 2 else 'good'}/{900 + i}", None) for i in range(10)]
+    pages = make(spark, [(i, u, b) for i, (_, u, b) in enumerate(rows)], "page_id long, url string, bad boolean")
+    found = {r.id: r for r in url_filter.judge_urls(pages, [], label=F.col("bad")).collect()}
+    by_url = {u: found[i] for i, (_, u, _) in enumerate(rows)}
+    for i in range(10):
+        spam, promo = by_url[f"http://new.net/spam/{i}"], by_url[f"http://new.net/promo/{i}"]
+        assert (spam.verdict, spam.labels) == ("block", 60) and (promo.verdict, promo.labels) == ("allow", 0)
+        kind = "bad" if i % 2 else "good"
+        assert by_url[f"{deep}{kind}/{900 + i}"].verdict == ("block" if i % 2 else "allow")
+    # Smoothed purity by hand: 60 of 60 bad labels, drawn towards the share of all.
+    bad, labels = sum(b is True for *_, b in rows), sum(b is not None for *_, b in rows)
+    overall = (bad + 1) / (labels + 2)
+    pool = (60 + 5 * overall) / 65
+    assert abs(by_url["http://new.net/spam/3"].purity - (0 + 5 * pool) / 5) < 1e-9
+
+
 def test_templates_learn_from_labels(spark):
     rows = [(i, f"http://h.org/spam/{i}", True) for i in range(40)] + [(100 + i, f"http://h.org/news/{i}", False) for i in range(40)]
     rows += [(200 + i, f"http://h.org/spam/{900 + i}", None) for i in range(5)] + [(300 + i, f"http://h.org/news/{900 + i}", None) for i in range(5)]
