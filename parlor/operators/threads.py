@@ -27,20 +27,23 @@ def parse_turns(
     A line that starts with a role prefix opens a turn and the lines after it continue it.
     Lines before the first prefix and turns without text after cleaning are dropped.
     """
+    turns = F.transform(turn_pieces(transcript, prefixes), lambda piece: turn_of(piece, prefixes, handles))
+    return F.filter(turns, lambda t: t["role"].isNotNull() & (t["text"] != "")).cast(TURNS_TYPE)
+
+
+def turn_pieces(transcript: Column, prefixes: Mapping[str, str] = ROLE_PREFIXES) -> Column:
+    """The transcript cut before every line that starts with a role prefix."""
     names = "|".join(r"\Q" + p + r"\E" for p in prefixes.values())
     opens = f"(?iu)(?:^|(?:{T.LINE_BREAK})){T.WHITESPACE_CLASS}*(?={names})"
-    pieces = F.split(F.coalesce(transcript, F.lit("")), opens)
+    return F.split(F.coalesce(transcript, F.lit("")), opens)
 
-    def turn(piece: Column) -> Column:
-        lowered = F.lower(piece)
-        role = F.coalesce(*[F.when(lowered.startswith(p.lower()), F.lit(r)) for r, p in prefixes.items()])
-        body = F.coalesce(
-            *[F.when(lowered.startswith(p.lower()), F.substr(piece, F.lit(len(p) + 1))) for p in prefixes.values()]
-        )
-        return F.struct(role.alias("role"), T.clean_text(body, handles).alias("text"))
 
-    turns = F.transform(pieces, turn)
-    return F.filter(turns, lambda t: t["role"].isNotNull() & (t["text"] != "")).cast(TURNS_TYPE)
+def turn_of(piece: Column, prefixes: Mapping[str, str] = ROLE_PREFIXES, handles: Sequence[str] = ()) -> Column:
+    """``struct(role, text)`` of a piece, the role null if it starts with no prefix."""
+    lowered = F.lower(piece)
+    role = F.coalesce(*[F.when(lowered.startswith(p.lower()), F.lit(r)) for r, p in prefixes.items()])
+    body = F.coalesce(*[F.when(lowered.startswith(p.lower()), F.substr(piece, F.lit(len(p) + 1))) for p in prefixes.values()])
+    return F.struct(role.alias("role"), T.clean_text(body, handles).alias("text"))
 
 
 def threads_from_transcripts(

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
-from parlor.operators import classify, cluster, evalsets, ivf, knn, lloyd, metrics as M, responses, retrieve, sampling, threads, vectors
+from parlor.operators import classify, cluster, evalsets, ivf, knn, lloyd, metrics as M, responses, retrieve, sampling, scan, threads, vectors
 from parlor.operators.once import evaluate_once
 from parlor.operators.skew import PROBE_SHARE
 from parlor.plans.benchmark import benchmark, report_fields, report_rows, report_table, stack_systems
 from parlor.plans.labelled_set import build_labelled_set
 from parlor.plans.triage import class_prompt, triage
 from parlor.registry import parameters as P
-from parlor.session import checkpoint_root
+from parlor.session import checkpoint_root, durable
 from parlor.sources import readers, writers
 
 TABLES = [
@@ -151,8 +151,10 @@ def _turn_rows(transcripts: DataFrame) -> DataFrame:
 
 
 def transcript_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns of whole conversations."""
-    return _turn_rows(_whole_transcripts(spark, folder))
+    """Turns of whole conversations, read line by line."""
+    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
+    lines = load(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("block_id"), "turn", line.alias("line"))
+    return scan.turns_of_lines(lines, "block_id", ["turn"], "line", ROLE_PREFIXES, P.HANDLES).withColumnRenamed("id", "block_id")
 
 
 def transcript_threads(spark: SparkSession, folder: str) -> DataFrame:
@@ -489,9 +491,12 @@ def precedent_prompt(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.select("doc_id", F.length("prompt").cast("long").alias("prompt_chars"), "cache_key")
 
 
-def _triaged(spark: SparkSession, folder: str) -> DataFrame:
+def _triaged(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """Triage of the documents, or of those whose ``doc_id`` is in ``only``."""
+    asked = documents(spark, folder).select("doc_id", "text")
+    asked = asked if only is None else asked.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
     embedded = load(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    messages = documents(spark, folder).select("doc_id", "text").join(embedded, "doc_id", "left")
+    messages = asked.join(embedded, "doc_id", "left")
     table = _centroid_table(spark, folder)
     return triage(
         messages, _corpus(spark, folder, table), table, id_col="doc_id", text_col="text",
@@ -597,9 +602,9 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     def answer(which: Column, decision: Column, reply: Column) -> Column:
         return F.struct(which.alias("class"), decision.alias("decision"), reply.alias("draft_reply"))
 
-    examples = evaluate_once(
-        examples,
-        {"rule_class": R.first_class(text, P.LANGUAGE_RULES, P.OTHER), "rule_hit": T.matches(text, P.ESCALATE)},
+    # Every system reads them, and what the rules say.
+    examples = durable(
+        evaluate_once(examples, {"rule_class": R.first_class(text, P.LANGUAGE_RULES, P.OTHER), "rule_hit": T.matches(text, P.ESCALATE)})
     )
     by_rule = F.col("rule_class")
     keyword_decision = F.when(F.col("rule_hit"), "escalate").otherwise("auto_handle")
@@ -611,7 +616,7 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
         "length": answer(length_class, length_decision, text),
     }
     names = F.array(*[F.lit(c) for c in P.AGENT_CLASSES])
-    agent = _triaged(spark, folder).select(
+    agent = _triaged(spark, folder, examples).select(
         "doc_id", F.lit("agent").alias("system"), F.get(names, F.col("class").cast("int") % len(P.AGENT_CLASSES)).alias("class"),
         "decision", "draft_reply",
     )
