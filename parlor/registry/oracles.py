@@ -767,3 +767,9 @@ ORACLES["sweep_iteration"] = """
         FROM points p CROSS JOIN centres c GROUP BY k, r, vec_id, p.v)
     SELECT k, r AS restart, cluster, count(*) AS members, round_even(sum(d), 5) AS cost, round_even(sum(v[1]), 5) AS first
     FROM near GROUP BY k, r, cluster"""
+ORACLES["many_keywords"] = r"""
+    WITH words AS (
+        SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM benchmark) WHERE length(word) >= 5),
+    lowered AS (SELECT doc_id, lower(text) AS t FROM documents),
+    hits AS (SELECT doc_id, word FROM lowered JOIN words ON contains(t, word))
+    SELECT doc_id, count(word) AS found, min(word) AS first FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""

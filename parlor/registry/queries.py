@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from parlor.functions import rules as R, scoring as S, text as T
 from parlor.functions.scoring import half_even
-from parlor.operators import classify, cluster, evalsets, ivf, knn, lloyd, metrics as M, responses, retrieve, sampling, scan, threads, vectors
+from parlor.operators import classify, cluster, evalsets, ivf, knn, lloyd, manyrules, metrics as M, responses, retrieve, sampling, scan, threads, vectors
 from parlor.operators.once import evaluate_once
 from parlor.operators.skew import PROBE_SHARE
 from parlor.plans.benchmark import benchmark, report_fields, report_rows, report_table, stack_systems
@@ -74,6 +74,14 @@ def keyword_hits(spark: SparkSession, folder: str) -> DataFrame:
     return lowered.select("doc_id", F.concat_ws(",", hits).alias("classes"))
 
 
+def many_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """how many of all longer words of the benchmark items, and which first, each document contains."""
+    words = load(spark, folder, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("length(word) >= 5")
+    lowered = documents(spark, folder).select("doc_id", F.lower("text").alias("lower"))
+    found = manyrules.keywords_found(lowered, "lower", words, "word")
+    return found.select("doc_id", F.size("keywords").cast("long").alias("found"), F.array_min("keywords").alias("first"))
+
+
 def keyword_baseline(spark: SparkSession, folder: str) -> DataFrame:
     """Both baselines, stacked."""
     docs = documents(spark, folder).select("doc_id", "text")
@@ -858,5 +866,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         shared_thread_replies, transcript_turns, transcript_threads, reply_fanout, thread_union, report_json, judge_json, judge_labels,
         judge_prompts, csv_rows, json_rows, kmeans_step, encode_letters, indexed_neighbours, approximate_neighbours, indexed_replies,
         csv_file_rows, jsonl_file_rows, silhouette_euclidean, silhouette_linear, sweep_iteration,
+        many_keywords,
     )
 }
