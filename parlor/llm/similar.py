@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from parlor.llm.common import MAX_BROADCAST_ROWS, components, durable, text_hash
-from parlor.llm.jaccard_join import MIXERS, Shingler, _compared, bitmap, links_if
+from parlor.llm.jaccard_join import MIXERS, Shingler, _bucket_pairs, bitmap, links_if
 
 #: Mean number of unrelated texts in a bucket; the chance that a pair at the bound shares no block.
 LOAD, MISS = 1024, 0.01
@@ -191,6 +191,45 @@ def _links(blocks: Blocks):
     return run
 
 
+def _apart(blocks: Blocks, least: int):
+    """Pairs of texts of different groups that sizes and bitmaps leave possible, each in the first of their blocks."""
+    prints = [f"fp{i}" for i in range(COMPARED)]
+
+    def found(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(held)
+        node, root, n, own = (rows.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+        if root.min() == root.max():
+            return None
+        own = np.zeros(len(rows), dtype=np.int64) if rows.column("i")[0] == rows.column("j")[0] else own
+        a, b = _bucket_pairs(node, root, n, own, rows.column("bits").to_pylist(), least, False)
+        if not len(a):
+            return None
+        order = np.argsort(node)
+        words = np.stack([rows.column(c).to_numpy() for c in prints], axis=1).view(np.uint64)
+        x, y = (words[order[np.searchsorted(node[order], ends)]] for ends in (a, b))
+        new = _first_shared(x ^ y, blocks) >= block
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[new]), pa.array(np.maximum(a, b)[new])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                bucket = tuple(keys[start])
+                if bucket != last:
+                    if held and (out := found(int(last[0]) >> 48, held)):
+                        yield out
+                    last, held = bucket, []
+                held.append(batch.slice(start, stop - start))
+        if held and (out := found(int(last[0]) >> 48, held)):
+            yield out
+
+    return run
+
+
 def dealt(keyed: DataFrame, key: str, tile: int) -> DataFrame:
     """Rows by bucket, sorted, with ``i, j`` (the tiles that meet) and ``own``; every two rows of a bucket meet in one of its pairs of tiles."""
     large = durable(keyed.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > tile), "large")
@@ -244,7 +283,7 @@ def _between(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return durable(named.where("ra <> rb"), "between"), roots
 
 
-def _roots(docs: DataFrame, text_col: str, nodes: DataFrame, proposed: DataFrame, words: int, least: int, tile: int) -> DataFrame:
+def _roots(docs: DataFrame, text_col: str, nodes: DataFrame, proposed: DataFrame, words: int, least: int, blocks: Blocks, tile: int) -> DataFrame:
     """``node, root`` of the groups that tested links connect."""
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = _texts_of(docs, text_col, nodes, ends(proposed))
@@ -267,9 +306,10 @@ def _roots(docs: DataFrame, text_col: str, nodes: DataFrame, proposed: DataFrame
     member = tree.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = member.groupBy("tree").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tree")
     apart = durable(member.join(several, "tree", "left_semi").select("node", "root"), "apart")
-    keyed = nodes.join(apart, "node").select("node", "root", "n", "bits", F.explode("keys").alias("token"))
-    met = dealt(durable(keyed, "keyed"), "token", tile).select("token", "i", "j", "own", "node", "root", "n", "bits")
-    rest = durable(met.mapInArrow(_compared(least), "a long, b long, na long, nb long").select("a", "b").distinct(), "rest")
+    prints = [f"fp{i}" for i in range(COMPARED)]
+    keyed = nodes.join(apart, "node").select("node", "root", "n", "bits", *prints, F.explode("keys").alias("token"))
+    met = dealt(durable(keyed, "keyed"), "token", tile).select("token", "i", "j", "own", "node", "root", "n", "bits", *prints)
+    rest = durable(met.mapInArrow(_apart(blocks, least), "a long, b long").distinct(), "rest")
     if rest.isEmpty():
         return roots
     return components(links.union(_tested(rest, texts, words, least)), "a", "b")
@@ -289,7 +329,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = durable(hashed.groupBy("node").agg(F.min("id").alias("first"), F.min("raw").alias("raw"), *alike), "nodes")
     keyed = nodes.where("n > 0").select("node", *names, F.explode("keys").alias("key"))
     links = dealt(keyed, "key", tile).select("key", "i", "j", "node", *names).mapInArrow(_links(blocks), "a long, b long, d long")
-    roots = _roots(docs, text_col, nodes, durable(links.groupBy("a", "b").agg(F.min("d").alias("d")), "proposed"), words, least, tile)
+    roots = _roots(docs, text_col, nodes, durable(links.groupBy("a", "b").agg(F.min("d").alias("d")), "proposed"), words, least, blocks, tile)
     member = durable(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "member")
     smallest = member.groupBy("root").agg(F.min("first").alias("component"))
     named = durable(member.join(smallest, "root").select("node", "root", "component"), "named")
