@@ -4,14 +4,15 @@ Layout below one folder, which lives across runs and sessions:
 
 * ``rows``: the corpus partitioned by ``_cell`` (the nearest of the trained pivots), with the vector, the columns carried
   along, ``_block`` (a part of a large cell), ``_pos`` (the row's number) and ``_code`` (one byte per subspace);
-* ``cells``: one row per cell with its pivot, rows, radius and the angles of its innermost rows;
+* ``cells``: one row per cell with its pivot, rows, blocks and radius;
 * ``codebooks``: for each subspace (a run of dimensions) the centroids its codes stand for.
 
 :func:`search_index` is exact: bounds per cell say which cells a query must visit, and only their partitions are read; no
 row is assigned again. :func:`search_approximate` visits the ``probes`` nearest cells and compares codes by table lookup:
-the similarity to a row is that to its pivot plus one entry per subspace of a table that is computed once per
-query. Only queries travel to the codes; a block of codes is copied where more than ``query_rows`` queries visit it. The best
-``rerank * n`` rows of a query are then compared by their vectors, so every similarity returned is exact.
+the similarity to a row is that to its pivot plus one entry per subspace, which is the product with the vector that the
+code stands for; a tile of neighbouring cells is decoded once and multiplied with a chunk of queries. The best
+``rerank * n`` rows that a query finds in a tile are compared by their vectors in the same task, so every similarity
+returned is exact and a tile returns n rows per query. Cells travel to the chunks of ``query_rows`` queries that visit them.
 
 Pivots and codebooks are trained on a bounded sample (``train_rows``, and ``TRAIN_BYTES`` of vectors), every row is
 indexed. Vectors count by direction; null and zero vectors are neither indexed nor found and find nothing. An empty corpus gives an
@@ -26,17 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from parlor.functions.vectors import dot, normalize
 from parlor.operators.knn import (
-    Cells, PRODUCT_CELLS, _matrix, assigned_to, best_of_all, block_of, by_number, cell_summary, directed, pair_type, search_assigned,
+    Cells, PRODUCT_CELLS, _matrix, assigned_to, best_of_all, block_of, by_number, by_tile, cell_summary, cut, directed, least_of_best,
+    pair_type, products, same_ids, search_assigned, short_directed, slots_of, tiles_visited, unit_rows, visit_type,
 )
 from parlor.session import durable
 
 TRAIN_ROWS, TRAIN_BYTES = 65_536, 64 << 20
-#: Innermost angles kept per cell: exact searches for more rows than that have weaker bounds.
-INNER = 128
 #: Centroids per subspace; a code is one byte.
 CODES = 256
 
@@ -81,6 +82,14 @@ def encode(vectors: np.ndarray, cell: np.ndarray, pivots: np.ndarray, codebooks:
     return np.stack(columns, axis=1)
 
 
+def decode(codes: np.ndarray, cell: np.ndarray, pivots: np.ndarray, codebooks: list[np.ndarray]) -> np.ndarray:
+    """The vectors that codes stand for."""
+    vectors = pivots[cell]
+    for m, (s, book) in enumerate(zip(_subspaces(vectors.shape[1], len(codebooks)), codebooks)):
+        vectors[:, s] += book[codes[:, m]]
+    return vectors
+
+
 def write_index(corpus: DataFrame, path: str, *, id_col: str, vector_col: str, extra: Sequence[str] = (), cells: int | None = None,
                 parts: int | None = None, train_rows: int = TRAIN_ROWS, block_rows: int = 131_072, seed: int = 42) -> VectorIndex:
     """Train, assign every row, write. ``parts`` is the number of subspaces, by default a quarter of the dimensions.
@@ -97,8 +106,8 @@ def write_index(corpus: DataFrame, path: str, *, id_col: str, vector_col: str, e
     vectors = _matrix(sample) if len(sample) else np.ones((1, 1))
     pivots, codebooks = train(vectors, cells or min(4096, max(1, math.isqrt(rows))), parts or max(1, dimensions // 4), seed)
     assigned = durable(assigned_to(known, pivots))
-    summary = cell_summary(assigned, INNER).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")).orderBy("_cell")
-    # At most 4,096 rows of INNER numbers.
+    summary = cell_summary(assigned).withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")).orderBy("_cell")
+    # At most 4,096 rows.
     stored = summary.collect()
     blocks = {r["_cell"]: r["blocks"] for r in stored}
     schema = T.StructType([*assigned.schema.fields, T.StructField("_code", T.BinaryType())])
@@ -112,8 +121,8 @@ def write_index(corpus: DataFrame, path: str, *, id_col: str, vector_col: str, e
     table = assigned.mapInPandas(coded, schema).withColumn("_block", block_of(F.col("_pos"), by_number(F.col("_cell"), blocks) if blocks else F.lit(1)))
     # A task writes the blocks of few cells, so a cell has few files; large cells have one a block.
     table.repartition("_cell", "_block").write.partitionBy("_cell").mode("overwrite").parquet(f"{path}/rows")
-    fields = "_cell int, rows long, radius double, inner array<double>, blocks int, pivot array<double>"
-    found = [(r["_cell"], r["rows"], r["radius"], r["inner"], r["blocks"], pivots[r["_cell"]].tolist()) for r in stored]
+    fields = "_cell int, rows long, radius double, blocks int, pivot array<double>"
+    found = [(r["_cell"], r["rows"], r["radius"], r["blocks"], pivots[r["_cell"]].tolist()) for r in stored]
     spark.createDataFrame(found, fields).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     books = [(m, k, c.tolist()) for m, book in enumerate(codebooks) for k, c in enumerate(book)]
     spark.createDataFrame(books, "part int, code int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebooks")
@@ -141,7 +150,8 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     layout = spark.read.parquet(f"{path}/rows") if cells else None
     found = Cells(
         layout, np.asarray([r["pivot"] for r in cells]), np.asarray([r["_cell"] for r in cells], dtype=np.int64),
-        np.asarray([r["blocks"] for r in cells], dtype=np.int64), np.asarray([r["radius"] for r in cells]), [np.asarray(r["inner"]) for r in cells],
+        np.asarray([r["blocks"] for r in cells], dtype=np.int64), np.asarray([r["rows"] for r in cells], dtype=np.int64),
+        np.asarray([r["radius"] for r in cells]),
     )
     return VectorIndex(found, [np.asarray(b) for b in books.values()])
 
@@ -198,68 +208,69 @@ def search_approximate(queries: DataFrame, index: VectorIndex, n: int, *, query_
     if index.rows is None:
         return _nothing(queries, row_id)
     cells, codebooks, most = index.cells, index.codebooks, rerank * n
-    pivots, numbers = cells.pivots, cells.numbers
+    pivots, dimensions = cells.pivots, cells.pivots.shape[1]
+    pair_schema = pair_type(queries, row_id, cells.rows, "id", extra)
+    slot_cell, tile = slots_of(cells, 131_072)
     asked = queries.select(
-        F.col(row_id).alias("_qrow"), F.col(query_id).alias("_qid"), normalize(directed(F.col(vector_col))).alias("_qv")
+        F.col(row_id).alias("_qrow"), F.col(query_id).alias("_qid"), short_directed(queries, vector_col).alias("_qv")
     ).where(F.col("_qv").isNotNull())
-    visit = T.ArrayType(T.StructType([T.StructField("_cell", T.IntegerType()), T.StructField("_base", T.DoubleType())]))
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 base = _matrix(batch["_qv"]) @ pivots.T
                 nearest = np.argsort(-base, axis=1, kind="stable")[:, :probes]
-                yield batch.assign(_visits=[[(int(numbers[c]), float(row[c])) for c in near] for row, near in zip(base, nearest)])
-
-    planned = durable(asked.mapInPandas(plan, T.StructType([*asked.schema.fields, T.StructField("_visits", visit)])))
-    visiting = planned.select("_qrow", "_qid", "_qv", F.inline("_visits"))
-    visits = {r["_cell"]: r["n"] for r in visiting.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    if not visits:
-        return _nothing(queries, row_id)
-    blocks = dict(zip(numbers.tolist(), cells.blocks.tolist()))
-    parts = by_number(F.col("_cell"), {c: math.ceil(v / query_rows) for c, v in visits.items()})
-    # Queries go to every block of a cell; where very many visit it, each to one of several copies of its codes.
-    part = F.pmod(F.xxhash64("_qrow"), parts).cast("int")
-    sent = visiting.withColumn("_part", part).withColumn("_block", F.explode(F.sequence(F.lit(0), by_number(F.col("_cell"), blocks) - 1)))
-    codes = (
-        index.rows.where(F.col("_cell").isin(sorted(visits))).select("_cell", "_block", "id", "_pos", "_code")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    )
-    key = ["_cell", "_block", "_part"]
-    kind = index.rows.schema["id"].dataType
-    hit = T.StructType([
-        T.StructField("_qrow", asked.schema["_qrow"].dataType), T.StructField("_cell", T.IntegerType()), T.StructField("_pos", T.LongType()),
-        T.StructField("_near", T.FloatType()), T.StructField("id", kind),
-    ])
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=hit.names)
-        table = np.frombuffer(b"".join(right["_code"]), dtype=np.uint8).reshape(len(right), len(codebooks))
-        asked_, base = np.stack(left["_qv"].to_numpy()), left["_base"].to_numpy()
-        ids, own = right["id"].to_numpy(), left["_qid"].to_numpy()
-        rows, found, near = [], [], []
-        step = max(1, PRODUCT_CELLS // len(right))
-        for start in range(0, len(left), step):
-            scores = _scores(asked_[start : start + step], base[start : start + step], table, codebooks)
+                visits = np.zeros(base.shape, dtype=bool)
+                np.put_along_axis(visits, nearest, True, axis=1)
+                slots = visits[:, slot_cell]
+                yield batch.assign(
+                    _near=nearest[:, 0].astype(np.int32), _floor=-1.0, _slots=[row.tobytes() for row in np.packbits(slots, axis=1)],
+                    _tiles=tiles_visited(slots, tile),
+                )
+
+    planned = durable(asked.mapInPandas(plan, visit_type(asked)))
+    at = {c: i for i, c in enumerate(cells.numbers.tolist())}
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Rows of a cell lie side by side.
+        order = [(c, "ascending") for c in ("_cell", "id", "_pos")]
+        right = right.take(pc.sort_indices(right, order, null_placement="at_start"))
+        numbers = right["_cell"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, np.diff(numbers) != 0])
+        edges = np.r_[starts, len(numbers)]
+        own_cells = [at[c] for c in numbers[starts].tolist()]
+        codes = np.frombuffer(b"".join(right["_code"].to_pylist()), dtype=np.uint8).reshape(len(numbers), len(codebooks))
+        decoded = decode(codes, np.repeat(own_cells, np.diff(edges)), pivots, codebooks).astype(np.float32)
+        vectors, queries_ = unit_rows(right["_v"], dimensions), unit_rows(left["_qv"], dimensions)
+        bits = np.frombuffer(b"".join(left["_slots"].to_pylist()), dtype=np.uint8).reshape(len(queries_), -1)
+        own, others = same_ids(left["_qid"], right["id"], exclude_same_id)
+        id_order = np.argsort(others, kind="stable")
+        by_id = others[id_order]
+        place = np.empty(len(numbers), dtype=np.int64)
+        place[pc.sort_indices(right, [(c, "ascending") for c in ("id", *ties, "_pos")], null_placement="at_start").to_numpy()] = np.arange(len(numbers))
+        first = np.searchsorted(slot_cell, own_cells)
+        short, out, step = queries_.astype(np.float32), [], max(1, PRODUCT_CELLS // len(numbers))
+        for start in range(0, len(short), step):
+            scores = short[start : start + step] @ decoded.T
+            visits = np.unpackbits(bits[start : start + step], axis=1)[:, first]
+            for cell in np.flatnonzero(~visits.all(axis=0)):
+                scores[visits[:, cell] == 0, edges[cell] : edges[cell + 1]] = -np.inf
             if exclude_same_id:
-                scores[own[start : start + step, None] == ids[None, :]] = -np.inf
-            best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if len(right) > most else np.tile(np.arange(len(right)), (len(scores), 1))
-            rows.append(np.repeat(np.arange(start, start + len(scores)), best.shape[1]))
-            found.append(best.ravel())
-            near.append(np.take_along_axis(scores, best, axis=1).ravel())
-        rows, found, near = (np.concatenate(x) for x in (rows, found, near))
-        kept = np.isfinite(near)
-        rows, found, near = rows[kept], found[kept], near[kept]
-        return pd.DataFrame({
-            "_qrow": left["_qrow"].to_numpy()[rows], "_cell": right["_cell"].to_numpy()[found], "_pos": right["_pos"].to_numpy()[found],
-            "_near": near, "id": ids[found],
-        })[hit.names]
-
-    per_block = sent.groupBy(*key).cogroup(codes.groupBy(*key)).applyInPandas(match, hit)
-    order = W.partitionBy("_qrow").orderBy(F.col("_near").desc(), F.col("id"), F.col("_pos"))
-    likely = durable(per_block.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= most).select("_qrow", "_cell", "_pos"))
-    vectors = index.rows.where(F.col("_cell").isin(sorted(visits))).select("_cell", "_pos", "id", "_v", *extra)
-    exact = likely.join(vectors, ["_cell", "_pos"]).join(planned.select("_qrow", "_qv"), "_qrow")
-    pairs = exact.select(F.col("_qrow").alias("query"), "id", dot(F.col("_qv"), normalize(F.col("_v"))).alias("similarity"), *extra)
-    return best_of_all(pairs, n, ties)
+                # Their own rows must not crowd out others.
+                low, high = np.searchsorted(by_id, own[start : start + step]), np.searchsorted(by_id, own[start : start + step], side="right")
+                for i in np.flatnonzero(high > low):
+                    scores[i, id_order[low[i] : high[i]]] = -np.inf
+            reached = scores >= least_of_best(scores, most)[:, None]
+            rows, columns = np.nonzero(reached & np.isfinite(scores))
+            likely = cut(rows, columns, scores[rows, columns], most)
+            rows, columns = rows[likely], columns[likely]
+            sims = products(queries_, vectors, start + rows, columns)
+            kept = cut(rows, place[columns], sims, n)
+            out.append((start + rows[kept], columns[kept], sims[kept]))
+        rows, columns, sims = (np.concatenate(x) for x in zip(*out))
+        hits = right.select(["id", *extra]).take(pa.array(columns))
+        found = {"query": left["_qrow"].take(pa.array(rows)), "similarity": pa.array(sims)} | {c: hits[c] for c in hits.column_names}
+        return pa.table({c: found[c] for c in pair_schema.names})
+
+    per_tile = by_tile(planned, cells, slot_cell, tile, dict.fromkeys(["id", "_v", "_code", "_pos", "_cell", *extra]), match, pair_schema, query_rows)
+    return best_of_all(per_tile, n, ties)

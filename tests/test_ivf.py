@@ -5,6 +5,7 @@ import pytest
 
 from parlor.operators import ivf, knn, retrieve
 from parlor.registry.queries import QUERIES
+from tests.test_vectors import sent_queries
 
 
 def unit(a):
@@ -148,3 +149,14 @@ def test_replies_from_an_index_equal_the_others(spark, tmp_path):
     assert shown(retrieve.retrieve_indexed(queries, index, **options)) == shown(retrieve.retrieve(queries, corpus, **options))
     none = retrieve.retrieve_indexed(queries, retrieve.write_corpus_index(corpus.limit(0), str(tmp_path / "none")), **options)
     assert all(r.matches == [] and r.best_similarity == 0 for r in none.collect())
+
+
+def test_a_query_is_sent_once_to_a_tile_of_codes(spark, clustered, tmp_path, monkeypatch):
+    df = table(spark, clustered)
+    index = ivf.write_index(df, str(tmp_path / "index"), id_col="id", vector_col="v")
+    seen = sent_queries(monkeypatch, df)
+    asked = df.where("id % 10 = 0")
+    pairs = ivf.search_approximate(asked, index, 10, query_id="id", vector_col="v", exclude_same_id=True)
+    got, right = found(pairs), best(clustered, list(range(0, 3000, 10)), 10, skip=(True,))
+    assert np.mean([len(set(got[q]) & set(right[q])) / 10 for q in right]) >= 0.95
+    assert seen and max(seen) <= 300  # once a visited cell they were several thousand

@@ -336,3 +336,49 @@ def test_baselines(spark):
     assert (rows[1]["class"], rows[1]["confidence"], rows[1]["reason_code"], rows[1]["draft_reply"]) == ("other_unclear", 0.4, "rule_keyword_autohandle", D.GENERIC_REPLY)
     constant = classify.constant_baseline(df).orderBy("i").collect()
     assert {(r["class"], r["decision"], r["confidence"]) for r in constant} == {("other_unclear", "auto_handle", 0.5)}
+
+
+def sent_queries(monkeypatch, frame):
+    """The numbers of rows with queries that are grouped for the tasks that compare them."""
+    seen = []
+    original = type(frame).groupBy
+
+    def spy(self, *keys):
+        if "_qv" in self.columns and len(keys) > 1:
+            seen.append(self.count())
+        return original(self, *keys)
+
+    monkeypatch.setattr(type(frame), "groupBy", spy)
+    return seen
+
+
+def test_a_query_is_sent_once_to_a_tile_of_many_cells(points, monkeypatch):
+    df, x = points
+    seen = sent_queries(monkeypatch, df)
+    found = knn.search_cells(df, df, 7, query_id="id", corpus_id="id", vector_col="v", exclude_same_id=True, cells=20)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query"], []).append((-round(r["similarity"], knn.DIGITS), r["id"]))
+    assert {q: [i for _, i in sorted(m)] for q, m in got.items()} == brute(x, 7)
+    assert seen and max(seen) <= 400  # once a cell they were several thousand
+
+
+@pytest.mark.parametrize("floor", [-2.0, 0.5])
+def test_pairs_of_a_tile(monkeypatch, floor):
+    """Products in single precision, raised floors and many copies leave the exact best pairs."""
+    monkeypatch.setattr(knn, "TILE_ROWS", 64)
+    monkeypatch.setattr(knn, "HELD_PAIRS", 500)
+    order = np.random.default_rng(12)
+    x = unit(order.normal(size=(900, 6)))
+    x[300:700] = x[300]
+    ids = np.arange(900) // 2
+    some = knn.enough_copies(x, ids, 5)
+    assert len(some) < 540
+    rows, columns, sims = knn.best_pairs(x[:400], ids[:400], np.full(400, floor), x[some], ids[some], 5)
+    columns = some[columns]
+    exact = np.round(x[:400] @ x.T, knn.DIGITS)
+    for i in range(400):
+        right = sorted((j for j in range(900) if ids[j] != ids[i] and exact[i, j] >= floor), key=lambda j: (-exact[i, j], j))[:5]
+        at = np.flatnonzero(rows == i)
+        hits = [j for _, j in sorted(zip(-np.round(sims[at], knn.DIGITS), columns[at])) if exact[i, j] >= floor]
+        assert hits == right
