@@ -78,6 +78,7 @@ def rerank(candidates: Column, predicted: Column, top_k: int, catch_all: str = D
 
 
 def _with_replies(kept: Column, replies: Column) -> Column:
+    """The matches with their replies; ``replies`` may be shorter, the matches beyond have none."""
     return F.zip_with(kept, replies, lambda m, r: m.dropFields("key").withField("reply", r))
 
 
@@ -94,13 +95,16 @@ def replies_from_broadcast(found: DataFrame, replies: Mapping[str, str]) -> Data
     return found.withColumn("matches", _with_replies(F.col("_kept"), F.col("_replies"))).drop("_kept", "_replies")
 
 
-def replies_from_join(found: DataFrame, replies: DataFrame) -> DataFrame:
+def replies_from_join(found: DataFrame, replies: DataFrame, count: int | None = None) -> DataFrame:
     """The same for a corpus beyond the broadcast bound: top-k small rows per query row are joined.
 
-    A reply that suits very many queries is spread by the salted join.
+    A reply that suits very many queries is spread by the salted join. Only the first ``count`` matches get theirs.
     """
+    if count == 0:
+        return found.withColumn("matches", _with_replies(F.col("_kept"), F.array().cast("array<string>"))).drop("_kept")
     found = durable(found)  # read for the keys and again for the scores
-    wanted = found.select("_row", F.posexplode("_kept").alias("_at", "_m")).select("_row", "_at", F.col("_m.key").alias("key"))
+    asked = F.col("_kept") if count is None else F.slice("_kept", 1, count)
+    wanted = found.select("_row", F.posexplode(asked).alias("_at", "_m")).select("_row", "_at", F.col("_m.key").alias("key"))
     joined = salted_join(wanted, replies.dropDuplicates(["key"]), ["key"], "left", F.col("_row"))
     gathered = joined.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "agent_reply"))).alias("_r"))
     listed = gathered.select("_row", F.transform("_r", lambda r: r["agent_reply"]).alias("_replies"))
@@ -121,12 +125,14 @@ def retrieve(
     catch_all: str = D.CATCH_ALL,
     exclude_same_id: bool = False,
     max_broadcast_bytes: int = 64 * 1024 * 1024,
+    replies: int | None = None,
 ) -> DataFrame:
     """Add ``matches, best_similarity, mean_similarity, grounding_ids``.
 
     The pool of ``10 * top_k`` candidates is chosen by raw similarity, then re-ranked. An empty
     corpus gives empty matches and similarity 0. Every corpus row is a match with its own reply,
-    also where several share a ``thread_id``; queries may share an id as well.
+    also where several share a ``thread_id``; queries may share an id as well. A caller that reads the replies of
+    the first ``replies`` matches only may say so; beyond the broadcast bound the others then stay null.
     """
     pool = corpus.select(
         "thread_id", F.col("embedding").alias(vector_col), "class", "is_boilerplate", "agent_reply", thread_key().alias("key")
@@ -134,7 +140,9 @@ def retrieve(
     extra = ["class", "is_boilerplate", "key"]
     kept = rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)
     options = dict(query_id=query_id, vector_col=vector_col, exclude_same_id=exclude_same_id)
-    if corpus_size(pool, vector_col, ["agent_reply"], len(extra) + 1) <= max_broadcast_bytes:
+    # Read several times below, without its texts.
+    searched = durable(pool.withColumn("_bytes", F.octet_length("agent_reply")).drop("agent_reply"))
+    if corpus_size(searched, vector_col, [], len(extra) + 2, "_bytes") <= max_broadcast_bytes:
         # One pass gathers vectors and replies.
         packed = Packed(pool, "thread_id", vector_col, extra, ["key"], ["agent_reply"])
         found = search_broadcast(queries, packed, top_k * 10, **options).withColumn("_kept", kept).drop("candidates")
@@ -142,13 +150,19 @@ def retrieve(
     else:
         # Only ids, classes and vectors take part in the search; texts are joined last.
         rows = numbered(queries)
-        asked = rows.select("_row", query_id, class_col, vector_col)
-        found = similar_by_row(asked, pool.drop("agent_reply"), top_k * 10, corpus_id="thread_id", extra=extra, ties=["key"], **options)
-        joined = replies_from_join(found.select("_row", kept.alias("_kept")), pool.select("key", "agent_reply"))
-        ranked = rows.join(joined, "_row", "left").drop("_row")
+        asked = rows.select("_row", query_id, class_col, vector_col).where(F.col(vector_col).isNotNull())
+        found = similar_by_row(asked, searched, top_k * 10, corpus_id="thread_id", extra=extra, ties=["key"], **options)
+        joined = replies_from_join(found.select("_row", kept.alias("_kept")), pool.select("key", "agent_reply"), replies)
+        ranked = _joined_to(rows, joined)
     return with_similarities(ranked)
 
 
+def _joined_to(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    kind = joined.schema["matches"].dataType
+    found = rows.join(joined, "_row", "left").drop("_row")
+    return found.withColumn("matches", F.coalesce("matches", F.array().cast(kind)))
+
+
 def write_corpus_index(corpus: DataFrame, path: str, **options) -> ivf.VectorIndex:
     """Write a corpus (:data:`CORPUS_COLUMNS`) as a vector index that :func:`retrieve_indexed` searches, now or in a later session."""
     keyed = corpus.select(*CORPUS_COLUMNS, thread_key().alias("key"))
@@ -167,13 +181,14 @@ def retrieve_indexed(
     catch_all: str = D.CATCH_ALL,
     exclude_same_id: bool = False,
     approximate: bool = False,
+    replies: int | None = None,
 ) -> DataFrame:
     """:func:`retrieve` in an index on disk: no row is assigned or classified again, only visited cells are read.
 
     With ``approximate`` the pool comes from product-quantised codes.
     """
     extra, rows = ["class", "is_boilerplate", "key"], numbered(queries)
-    asked = rows.select("_row", query_id, class_col, vector_col)
+    asked = rows.select("_row", query_id, class_col, vector_col).where(F.col(vector_col).isNotNull())
     if index.rows is None:
         texts = F.array().cast("array<struct<id:string,raw_similarity:double,ranking_score:double,class:string,is_boilerplate:boolean,reply:string>>")
         return with_similarities(rows.drop("_row").withColumn("matches", texts))
@@ -181,8 +196,8 @@ def retrieve_indexed(
     pairs = search(asked, index, top_k * 10, query_id=query_id, vector_col=vector_col, row_id="_row", extra=extra, ties=["key"], exclude_same_id=exclude_same_id)
     found = listed_by_row(asked, pairs, candidate_type(index.rows, "id", extra), extra, ["key"])
     kept = rerank(F.col("candidates"), F.col(class_col), top_k, catch_all)
-    joined = replies_from_join(found.select("_row", kept.alias("_kept")), index.rows.select("key", "agent_reply"))
-    return with_similarities(rows.join(joined, "_row", "left").drop("_row"))
+    joined = replies_from_join(found.select("_row", kept.alias("_kept")), index.rows.select("key", "agent_reply"), replies)
+    return with_similarities(_joined_to(rows, joined))
 
 
 def with_similarities(ranked: DataFrame) -> DataFrame:

@@ -89,7 +89,11 @@ def triage(
             .withColumns({"class": F.col("_override.class"), "confidence": F.col("_override.confidence")})
             .drop("_override")
         )
-    searchable = classified.withColumn("_query", F.when(F.col("_rule").isNull(), F.col(vector_col)))
+    # What is read below and no more, since a search beyond the broadcast bound stores and joins these rows.
+    searchable = classified.select(
+        id_col, *[c for c in ("customer_message", "class", "confidence", "margin", "class_scores", "_rule") if c != id_col],
+        F.when(F.col("_rule").isNull(), F.col(vector_col)).alias("_query"),
+    )
     grounded = retrieve(
         searchable,
         corpus,
@@ -100,6 +104,8 @@ def triage(
         catch_all=catch_all,
         exclude_same_id=exclude_same_id,
         max_broadcast_bytes=max_broadcast_bytes,
+        # The draft is the first precedent's reply; prompts quote more.
+        replies=1 if responses is None else None,
     )
     hit = F.col("_rule").isNotNull()
     stored_reply = F.lit("")

@@ -382,3 +382,22 @@ def test_pairs_of_a_tile(monkeypatch, floor):
         at = np.flatnonzero(rows == i)
         hits = [j for _, j in sorted(zip(-np.round(sims[at], knn.DIGITS), columns[at])) if exact[i, j] >= floor]
         assert hits == right
+
+
+def test_some_replies_of_a_large_corpus(spark):
+    order = np.random.default_rng(6)
+    x = unit(order.normal(size=(80, 6)))
+    rows = [(i // 2, f"question number {i}", f"answer number {i}", "ab"[i % 2], i % 5 == 0, x[i].tolist()) for i in range(80)]
+    names = "thread_id long, customer_message string, agent_reply string, class string, is_boilerplate boolean, embedding array<double>"
+    corpus = spark.createDataFrame(rows, names)
+    queries = corpus.select("thread_id", "class", "embedding")
+    options = dict(query_id="thread_id", class_col="class", catch_all="b", exclude_same_id=True, max_broadcast_bytes=-1)
+
+    def shown(count):
+        return sorted((tuple(r[:6]) for r in retrieve.retrieve(queries, corpus, replies=count, **options).drop("embedding").collect()), key=str)
+
+    for full, one, none in zip(shown(None), shown(1), shown(0)):
+        assert full[0] == one[0] == none[0] and full[3:] == one[3:] == none[3:]
+        matches, first, bare = full[2], one[2], none[2]
+        assert [m["reply"] for m in first] == [matches[0]["reply"], None, None] and [m["reply"] for m in bare] == [None] * 3
+        assert [m[:-1] for m in matches] == [m[:-1] for m in first] == [m[:-1] for m in bare]
