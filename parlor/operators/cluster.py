@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from parlor.functions.scoring import half_even
 from parlor.functions.vectors import as_double
@@ -17,21 +17,29 @@ from parlor.operators import lloyd
 from parlor.operators.bounded import control_rows
 
 
+# Distances held at once by a task, and rows of the smallest block that is worth a task of its own.
+DISTANCE_CELLS, LEAST_BLOCK = 2_000_000, 2048
+
+
 def silhouette_points(
-    df: DataFrame, id_col: str, cluster_col: str, vector_col: str, block_rows: int = 2048, rows: int | None = None
+    df: DataFrame, id_col: str, cluster_col: str, vector_col: str, block_rows: int = 65_536, rows: int | None = None
 ) -> DataFrame:
     """``(id, cluster, a, b, silhouette)`` per point, with Euclidean distances.
 
     Points meet in block pairs of bounded size. A pair returns one distance sum per point and
     cluster, never the distances themselves. The work grows with the square of the row count, and each row
-    is sent to every block; :func:`silhouette_scores` is the linear form. ``rows`` saves counting where the
-    number (or a bound) is known.
+    is sent to every block: to a dozen, and beyond a dozen times ``block_rows`` rows to one for each ``block_rows``.
+    :func:`silhouette_scores` is the linear form. ``rows`` saves counting where the number (or a bound) is known.
     """
-    blocks = max(1, math.ceil((df.count() if rows is None else rows) / block_rows))
+    count = df.count() if rows is None else rows
+    blocks = max(1, math.ceil(count / block_rows), min(12, math.ceil(count / LEAST_BLOCK)))
+    kind = df.schema[vector_col].dataType
+    # Single precision stays as it is on the way; tasks compute in double precision.
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     points = df.select(
         F.col(id_col).alias("id"),
         F.col(cluster_col).cast("string").alias("cluster"),
-        as_double(F.col(vector_col)).alias("v"),
+        (F.col(vector_col) if single else as_double(F.col(vector_col))).alias("v"),
     )
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -43,18 +51,27 @@ def silhouette_points(
     def distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=["id", "cluster", "other", "total", "members"])
-        a = np.stack(left["v"].to_numpy())
-        parts = []
+        a, ids = np.stack(left["v"].to_numpy()).astype(np.float64), left["id"].to_numpy()
+        # Only a block that meets itself holds a point twice.
+        itself = left["_row"].iloc[0] == left["_col"].iloc[0]
+        lengths, parts = (a * a).sum(1), []
         for other, members in right.groupby("cluster"):
-            b = np.stack(members["v"].to_numpy())
-            squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-            distance = np.sqrt(np.maximum(squared, 0.0))
-            # The point itself is at distance 0, whatever rounding says.
-            distance[left["id"].to_numpy()[:, None] == members["id"].to_numpy()[None, :]] = 0.0
+            b, total = np.stack(members["v"].to_numpy()).astype(np.float64), np.empty(len(a))
+            squares, own = (b * b).sum(1), members["id"].to_numpy()
+            step = max(1, DISTANCE_CELLS // len(b))
+            for start in range(0, len(a), step):
+                here = slice(start, start + step)
+                distance = a[here] @ b.T
+                distance *= -2.0
+                distance += lengths[here, None]
+                distance += squares
+                np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+                if itself:
+                    # The point itself is at distance 0, whatever rounding says.
+                    distance[ids[here, None] == own[None, :]] = 0.0
+                total[here] = distance.sum(1)
             parts.append(
-                pd.DataFrame(
-                    {"id": left["id"], "cluster": left["cluster"], "other": other, "total": distance.sum(1), "members": len(members)}
-                )
+                pd.DataFrame({"id": left["id"], "cluster": left["cluster"], "other": other, "total": total, "members": len(members)})
             )
         return pd.concat(parts)
 

@@ -401,3 +401,28 @@ def test_some_replies_of_a_large_corpus(spark):
         matches, first, bare = full[2], one[2], none[2]
         assert [m["reply"] for m in first] == [matches[0]["reply"], None, None] and [m["reply"] for m in bare] == [None] * 3
         assert [m[:-1] for m in matches] == [m[:-1] for m in first] == [m[:-1] for m in bare]
+
+
+def test_silhouette_rows_travel_to_a_dozen_blocks(spark, monkeypatch):
+    """Blocks grow with the table, so that a row isn't sent to ever more of them."""
+    order = np.random.default_rng(15)
+    x = order.normal(size=(3000, 3))
+    df = spark.createDataFrame([(i, v.tolist(), str(i % 3)) for i, v in enumerate(x)], "id long, v array<double>, c string")
+    seen = []
+    original = type(df).groupBy
+
+    def spy(self, *keys):
+        if "_row" in self.columns:
+            seen.append(self.select(*keys).distinct().count())
+        return original(self, *keys)
+
+    monkeypatch.setattr(type(df), "groupBy", spy)
+    few = cluster.silhouette_points(df, "id", "c", "v", rows=100_000).agg(F.avg("silhouette")).first()[0]
+    assert seen and max(seen) <= 144  # 49 blocks of 2,048 rows made 2,401 pairs
+    whole = np.linalg.norm(x[:, None] - x[None], axis=2)
+    label = np.arange(3000) % 3
+    means = np.stack([whole[:, label == c].sum(1) / ((label == c).sum() - (label == c)) for c in range(3)], axis=1)
+    a = means[np.arange(3000), label]
+    means[np.arange(3000), label] = np.inf
+    b = means.min(1)
+    assert few == pytest.approx(np.mean((b - a) / np.maximum(a, b)), abs=1e-9)
