@@ -63,7 +63,8 @@ def benchmark(
         S.judged(F.col(judge_answer), reply, decision, lowered=lowered) if use_answers else S.rubric(reply, decision, lowered=lowered)
     )
     scored = predictions.withColumn("_lower", F.lower(reply)).withColumn("scores", scores).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-    cube = M.sliced(M.evaluation_cube(scored, ["system", flag]), flag)
+    # The small cube is read once per metric family; predictions are joined and scored once.
+    cube = M.sliced(durable(M.evaluation_cube(scored, ["system", flag])), flag)
     return M.benchmark_report(cube, ["system", "slice"], judge_mode)
 
 

@@ -256,3 +256,20 @@ def test_from_seeds_to_reports(spark, tmp_path):
     for name, rows in (("summary", 3), ("agreement", 5)):
         assert spark.read.text(str(tmp_path / "out" / name)).count() == rows
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "table")).count() == 3
+
+
+def test_benchmark_reads_its_predictions_once(spark):
+    """The metrics come from a stored cube; no plan behind them scans the predictions again."""
+    from parlor.plans.benchmark import benchmark
+
+    rows = [(s, "a", "ab"[i % 2], "escalate", "auto_handle", f"Sorry, reply {i}", i % 3 == 0) for s in ("x", "y") for i in range(6)]
+    columns = "system string, gold_class string, class string, gold_decision string, decision string, draft_reply string, is_adversarial boolean"
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counted.add(len(batch))
+            yield batch
+
+    predictions = spark.createDataFrame(rows, columns).repartition(2).mapInPandas(count, columns)
+    assert benchmark(predictions).count() == 6 and counted.value == len(rows)
